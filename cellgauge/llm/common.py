@@ -27,7 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
         found = getattr(spark, "_cellgauge_shared", None)
         if not found:
             found = spark._cellgauge_shared = "file://" + tempfile.mkdtemp(prefix="cellgauge-")
-    return found.rstrip("/")
+    path = spark._jvm.org.apache.hadoop.fs.Path(found)
+    return str(path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()).rstrip("/")
 
 
 def scratch(spark: SparkSession, label: str) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, urls
+from . import chat, fingerprints, urls, warc
 from .common import table
 
 #: What the chat query adds as conversation -1.
@@ -61,6 +61,26 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_neighbours(table(spark, sf_dir, "documents"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to archives, found again through the capture index and read by range."""
+    return warc.capture(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP9_SQL = """
+with p as (
+  select page_id, coalesce(html, '') as html from pages
+), d as (
+  select page_id, octet_length(encode(html)) as payload_bytes, sha1(html) as payload_digest from p
+), g as (
+  select payload_digest, max(page_id) as resp from d where payload_bytes >= 1000 group by payload_digest having count(*) > 1
+)
+select page_id, payload_bytes, payload_digest,
+       case when resp is not null and page_id is distinct from resp then 'revisit' else 'response' end as record_type,
+       case when resp is not null and page_id is distinct from resp then resp end as refers_to
+from d left join g using (payload_digest)
+"""
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return urls.filter_urls(pages, list(URL_RULES)).select("page_id", "_judged.*")
@@ -89,8 +109,8 @@ from h left join (select * from m where k = 1) using (n)
 
 
 def queries() -> dict:
-    return {"op1_chat_format": op1_chat_format, "op7_fingerprints": op7_fingerprints, "op10_url_filter": op10_url_filter}
+    return {"op1_chat_format": op1_chat_format, "op7_fingerprints": op7_fingerprints, "op9_warc": op9_warc, "op10_url_filter": op10_url_filter}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": OP1_SQL, "op10_url_filter": OP10_SQL}
+    return {"op1_chat_format": OP1_SQL, "op9_warc": OP9_SQL, "op10_url_filter": OP10_SQL}
