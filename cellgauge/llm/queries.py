@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, urls, warc
+from . import chat, fingerprints, mixing, urls, warc, wrappers
 from .common import table
 
 #: What the chat query adds as conversation -1.
@@ -57,6 +57,44 @@ from e group by conv_id
 """
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page, by wrappers induced from all pages of its host."""
+    out = wrappers.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.withColumn("n_chars", F.length("text").cast("bigint"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed so that every source has the same share of as many documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mix(docs).select("doc_id", "source", "text", F.round("rate", 6).alias("rate"), "n_copies", "copy", "position")
+
+
+OP5_SQL = f"""
+with c as (
+  select source, count(*) as n from documents group by source
+), s as (
+  select count(*)::double as k, sum(n)::double as total from c
+), r as (
+  select source, 1.0::double * total / k / n as rate from c, s
+), m as (
+  select source, rate, greatest(ceil(rate / {mixing.PIECE}), 1)::int as pieces from r
+), p as (
+  select source, k, exp(-(rate / pieces)) * pow(rate / pieces, k) / gamma(k + 1) as p from m, range(0, {mixing.TERMS}) t(k)
+), f as (
+  select source, k, sum(p) over (partition by source order by k) as cdf from p
+), u as (
+  select row_id, doc_id, source, i, ('0x' || substr(md5('17:' || coalesce(doc_id::varchar, '') || ':' || i), 1, 13))::bigint / 4503599627370496.0::double as u
+  from (select rowid as row_id, doc_id, d.source, unnest(range(1, pieces + 1)) as i from (select row_number() over () as rowid, * from documents) d join m on d.source is not distinct from m.source)
+), n as (
+  select row_id, sum((select count(*) from f where f.source is not distinct from u.source and f.cdf <= u.u))::int as n_copies from u group by row_id
+)
+select doc_id, d.source, text, round(rate, 6) as rate, n_copies, copy,
+       substr(md5('order:17:' || coalesce(doc_id::varchar, '') || ':' || copy), 1, 16) as position
+from (select x.*, n_copies, unnest(range(0, n_copies)) as copy from (select row_number() over () as row_id, * from documents) x join n using (row_id)) d
+join m on d.source is not distinct from m.source
+"""
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_neighbours(table(spark, sf_dir, "documents"))
 
@@ -109,8 +147,8 @@ from h left join (select * from m where k = 1) using (n)
 
 
 def queries() -> dict:
-    return {"op1_chat_format": op1_chat_format, "op7_fingerprints": op7_fingerprints, "op9_warc": op9_warc, "op10_url_filter": op10_url_filter}
+    return {"op1_chat_format": op1_chat_format, "op4_html_text": op4_html_text, "op5_mixing": op5_mixing, "op7_fingerprints": op7_fingerprints, "op9_warc": op9_warc, "op10_url_filter": op10_url_filter}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": OP1_SQL, "op9_warc": OP9_SQL, "op10_url_filter": OP10_SQL}
+    return {"op1_chat_format": OP1_SQL, "op5_mixing": OP5_SQL, "op9_warc": OP9_SQL, "op10_url_filter": OP10_SQL}
