@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, mixing, urls, warc, wrappers
+from . import chat, fingerprints, mixing, toxicity, urls, warc, wrappers
 from .common import table
 
 #: What the chat query adds as conversation -1.
@@ -99,6 +99,22 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_neighbours(table(spark, sf_dir, "documents"))
 
 
+def labelled_training_rows(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """Texts and toxic labels of the rows that may be learned from: crc32 of the id modulo 3 isn't 1."""
+    known = labels.where(F.col("toxic").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 3 != 1)).select("doc_id", F.col("toxic").alias("label"))
+    return documents.select("doc_id", "text").join(known, "doc_id")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by a machine that has seen none of the held-out labels."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(labelled_training_rows(docs, table(spark, sf_dir, "labels")))
+    out = toxicity.score(docs.select("doc_id", "text"), model)
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    value = F.col("_toxicity.score")
+    return out.select("doc_id", held.alias("held_out"), value.alias("score"), F.when(value >= 0.7, 1).otherwise(0).alias("predicted"), F.col("_toxicity.word").alias("word"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to archives, found again through the capture index and read by range."""
     return warc.capture(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -147,7 +163,7 @@ from h left join (select * from m where k = 1) using (n)
 
 
 def queries() -> dict:
-    return {"op1_chat_format": op1_chat_format, "op4_html_text": op4_html_text, "op5_mixing": op5_mixing, "op7_fingerprints": op7_fingerprints, "op9_warc": op9_warc, "op10_url_filter": op10_url_filter}
+    return {"op1_chat_format": op1_chat_format, "op4_html_text": op4_html_text, "op5_mixing": op5_mixing, "op7_fingerprints": op7_fingerprints, "op8_toxicity": op8_toxicity, "op9_warc": op9_warc, "op10_url_filter": op10_url_filter}
 
 
 def oracle_sql() -> dict[str, str]:
