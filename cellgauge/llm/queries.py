@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, mixing, toxicity, urls, warc, wrappers
+from . import chat, fingerprints, mixing, ngram_join, toxicity, urls, warc, wrappers
 from .common import table
 
 #: What the chat query adds as conversation -1.
@@ -95,6 +95,11 @@ join m on d.source is not distinct from m.source
 """
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents whose sets of 4-word shingles link at 0.85."""
+    return ngram_join.components(table(spark, sf_dir, "documents").select("doc_id", "text"), k=4, num=85, den=100)
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_neighbours(table(spark, sf_dir, "documents"))
 
@@ -163,7 +168,7 @@ from h left join (select * from m where k = 1) using (n)
 
 
 def queries() -> dict:
-    return {"op1_chat_format": op1_chat_format, "op4_html_text": op4_html_text, "op5_mixing": op5_mixing, "op7_fingerprints": op7_fingerprints, "op8_toxicity": op8_toxicity, "op9_warc": op9_warc, "op10_url_filter": op10_url_filter}
+    return {"op1_chat_format": op1_chat_format, "op4_html_text": op4_html_text, "op5_mixing": op5_mixing, "op6_ngram_join": op6_ngram_join, "op7_fingerprints": op7_fingerprints, "op8_toxicity": op8_toxicity, "op9_warc": op9_warc, "op10_url_filter": op10_url_filter}
 
 
 def oracle_sql() -> dict[str, str]:
