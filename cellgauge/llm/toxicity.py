@@ -33,7 +33,7 @@ ORDER = 3
 DECAY = 0.5
 WINDOW = 12
 #: Rows that a machine is fitted to at most.
-MAX_ROWS = 20_000
+MAX_ROWS = 6_000
 LANDMARKS = 64
 #: A landmark may lack so many of its distinct letters in a word whose kernel with it isn't 0.
 SPARE_LETTERS = 1
@@ -203,16 +203,15 @@ def _grams(words: set[str], sizes: range, holding: set[str] | None = None) -> se
     return out
 
 
-def _typical(toxic: list[set[str]], clean: list[set[str]], most: int) -> list[str]:
+def _typical(toxic: list[set[str]], clean_quads: Counter, n_clean: int, most: int) -> list[str]:
     """Strings of 4 to 10 characters that cover the toxic texts best and hardly occur in clean ones."""
-    toxic, clean = ([{b for w in s if len(b := bare(w)) >= 4} for s in side] for side in (toxic, clean))
+    toxic = [{b for w in s if len(b := bare(w)) >= 4} for s in toxic]
     # Near copies of a text say nothing new: of those that share their least-hashed rare word, one is kept.
     often = Counter(w for s in toxic for w in s)
     toxic = list({min((crc32(w.encode("utf-8", "replace")) for w in s if often[w] <= 0.05 * len(toxic)), default=-1 - k): s for k, s in enumerate(toxic)}.values())
-    quads = [Counter(g for s in side for g in _grams(s, range(4, 5))) for side in (toxic, clean)]
+    quads = Counter(g for s in toxic for g in _grams(s, range(4, 5)))
     least = max(3, 0.01 * len(toxic))
-    share = lambda g, k: quads[k][g] / max(1, len((toxic, clean)[k]))
-    seeds = {g for g, n in quads[0].items() if n >= least and share(g, 1) <= 0.02 * share(g, 0)}
+    seeds = {g for g, n in quads.items() if n >= least and clean_quads[g] / max(1, n_clean) <= 0.02 * n / len(toxic)}
     # What is to be covered: each suspicious word of each toxic text.
     spots: dict[str, set[tuple[int, str]]] = {}
     for k, s in enumerate(toxic):
@@ -281,16 +280,20 @@ def _logistic(value: np.ndarray, label: np.ndarray) -> tuple[float, float]:
 def fit_texts(texts: list[str | None], labels: list[int]) -> ToxicityModel:
     toxic = [words_of(t) for t, y in zip(texts, labels, strict=True) if y == 1]
     clean_words: Counter = Counter()
-    clean = [words_of(t) for t, y in zip(texts, labels, strict=True) if y == 0]
-    n_clean = len(clean)
-    for s in clean:
-        clean_words.update({b for w in s if (b := bare(w))})
-    typical = _typical(toxic, clean, LANDMARKS * 3 // 4) if toxic else []
+    clean_quads: Counter = Counter()
+    n_clean = 0
+    for t, y in zip(texts, labels, strict=True):
+        if y == 0:
+            n_clean += 1
+            words = {b for w in words_of(t) if len(b := bare(w)) >= 4}
+            clean_words.update(words)
+            clean_quads.update(_grams(words, range(4, 5)))
+    typical = _typical(toxic, clean_quads, n_clean, LANDMARKS * 3 // 4) if toxic else []
     if not typical:  # nothing to learn from: every text has the base rate
         model = ToxicityModel(["abc"], 0)
         model.slope, model.shift, model.bias = 1e-3, float(np.log((len(toxic) + 1) / (n_clean + 1))), 0.0
         return model
-    frequent = [w for w, _ in sorted(clean_words.items(), key=lambda x: (-x[1], x[0])) if len(w) >= 4]
+    frequent = [w for w, _ in sorted(clean_words.items(), key=lambda x: (-x[1], x[0]))]
     model = ToxicityModel(typical + frequent[: LANDMARKS - len(typical)], len(typical))
     pool = sorted({x for w in frequent[:60_000] for x in windows(w)})
     near = model._near(pool, len(typical)).any(axis=1)
