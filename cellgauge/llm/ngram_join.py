@@ -376,8 +376,9 @@ def _across_blocks(docs, big: DataFrame, links: DataFrame, plan: Plan, key: str,
 
 
 def _with_text(docs: DataFrame, rows: DataFrame, key: str, text: str) -> DataFrame:
+    # Merged at every size: rows grows with the documents that have near copies.
     d = docs.select(F.col(key).alias("_k"), text)
-    return rows.join(d, rows["_key"].eqNullSafe(d["_k"])).drop("_k", "_key")
+    return rows.hint("merge").join(d, rows["_key"].eqNullSafe(d["_k"])).drop("_k", "_key")
 
 
 def components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text", **limits) -> DataFrame:
