@@ -85,10 +85,13 @@ def _powers() -> tuple[np.ndarray, np.ndarray]:
 class WordHasher:
     """64-bit hashes of the words `[^\\x20\\x09-\\x0D]+` of UTF-8 buffers, A-Z folded, without a Python loop over words."""
 
-    def __init__(self, fold: bool = True):
+    def __init__(self, fold: bool = True, punctuation: bool = False):
+        """punctuation: ASCII punctuation parts words too."""
         self.values = _byte_values(fold)
         self.space = np.zeros(256, dtype=bool)
         self.space[list(WS_BYTES)] = True
+        if punctuation:
+            self.space[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
         self.up, self.down = _powers()
 
     def words(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -157,6 +160,13 @@ def blocks_of(offsets: np.ndarray, limit: int = _CHUNK) -> Iterator[tuple[int, i
 
 def documents_words(hasher: WordHasher, column) -> Iterator[tuple[int, np.ndarray]]:
     """(row, word hashes) for each row of an Arrow string column, in order."""
+    for lo, h, bounds, _, _ in blocks_words(hasher, column):
+        for k in range(len(bounds) - 1):
+            yield lo + k, h[bounds[k] : bounds[k + 1]]
+
+
+def blocks_words(hasher: WordHasher, column) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of runs of rows: (first row, word hashes, each row's bounds in them, words' starts and ends in their row's bytes)."""
     offsets, data = text_buffers(column)
     for lo, hi in blocks_of(offsets):
         # A row's last word must not run into the next row's first one.
@@ -167,12 +177,10 @@ def documents_words(hasher: WordHasher, column) -> Iterator[tuple[int, np.ndarra
             ends = np.concatenate((cuts + np.arange(len(cuts)), [len(pieces)]))
         else:
             ends = np.array([len(pieces)])
-        h, start, _ = hasher.words(pieces)
-        stops = np.searchsorted(start, ends)
-        prev = 0
-        for k, stop in enumerate(stops):
-            yield lo + k, h[prev:stop]
-            prev = stop
+        h, start, end = hasher.words(pieces)
+        bounds = np.concatenate(([0], np.searchsorted(start, ends)))
+        origin = np.repeat(np.concatenate(([0], ends[:-1] + 1)), np.diff(bounds))
+        yield lo, h, bounds, start - origin, end - origin
 
 
 def shingles(words: np.ndarray, k: int) -> np.ndarray:

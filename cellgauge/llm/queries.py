@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, mixing, ngram_join, toxicity, urls, warc, wrappers
+from . import chat, decontamination, fingerprints, licenses, mixing, ngram_join, toxicity, urls, warc, wrappers
 from .common import table
 
 #: What the chat query adds as conversation -1.
@@ -57,6 +57,16 @@ from e group by conv_id
 """
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every place in every document where a license template is covered by 0.8 at least."""
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), coverage=0.8)
+
+
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with each benchmark item that it repeats."""
+    return decontamination.find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), threshold=0.6, overlap=0.5)
+
+
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page, by wrappers induced from all pages of its host."""
     out = wrappers.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
@@ -168,7 +178,7 @@ from h left join (select * from m where k = 1) using (n)
 
 
 def queries() -> dict:
-    return {"op1_chat_format": op1_chat_format, "op4_html_text": op4_html_text, "op5_mixing": op5_mixing, "op6_ngram_join": op6_ngram_join, "op7_fingerprints": op7_fingerprints, "op8_toxicity": op8_toxicity, "op9_warc": op9_warc, "op10_url_filter": op10_url_filter}
+    return {"op1_chat_format": op1_chat_format, "op2_licenses": op2_licenses, "op3_decontaminate": op3_decontaminate, "op4_html_text": op4_html_text, "op5_mixing": op5_mixing, "op6_ngram_join": op6_ngram_join, "op7_fingerprints": op7_fingerprints, "op8_toxicity": op8_toxicity, "op9_warc": op9_warc, "op10_url_filter": op10_url_filter}
 
 
 def oracle_sql() -> dict[str, str]:
