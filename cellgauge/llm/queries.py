@@ -114,16 +114,15 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_neighbours(table(spark, sf_dir, "documents"))
 
 
-def labelled_training_rows(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """Texts and toxic labels of the rows that may be learned from: crc32 of the id modulo 3 isn't 1."""
-    known = labels.where(F.col("toxic").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 3 != 1)).select("doc_id", F.col("toxic").alias("label"))
-    return documents.select("doc_id", "text").join(known, "doc_id")
+def training_labels(labels: DataFrame) -> DataFrame:
+    """The toxic labels that may be learned from: crc32 of the id modulo 3 isn't 1."""
+    return labels.where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1).select("doc_id", F.col("toxic").alias("label"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document scored by a machine that has seen none of the held-out labels."""
     docs = table(spark, sf_dir, "documents")
-    model = toxicity.fit(labelled_training_rows(docs, table(spark, sf_dir, "labels")))
+    model = toxicity.fit(docs, training_labels(table(spark, sf_dir, "labels")))
     out = toxicity.score(docs.select("doc_id", "text"), model)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
     value = F.col("_toxicity.score")

@@ -317,11 +317,16 @@ def fit_texts(texts: list[str | None], labels: list[int]) -> ToxicityModel:
     return model
 
 
-def fit(rows: DataFrame, key: str = "doc_id", text: str = "text", label: str = "label", max_rows: int = MAX_ROWS) -> ToxicityModel:
-    """A machine fitted to rows (key, text, label 0 or 1), of which at most max_rows reach the driver."""
-    chosen = rows.where(F.col(label).isin(0, 1)).select(key, text, label)
-    order = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")))
-    chosen = chosen.withColumn("_order", order).orderBy("_order", text, label).limit(max_rows).select(text, label)
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "label", max_rows: int = MAX_ROWS) -> ToxicityModel:
+    """A machine fitted to the texts of docs that labels (key, label 0 or 1) marks.
+
+    At most max_rows labels are drawn, from narrow rows; only they, so a bounded table, are broadcast
+    to find their texts, and no more than max_rows texts reach the driver.
+    """
+    order = F.md5(F.col(key).cast("string"))
+    drawn = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(key, label).distinct()
+    drawn = drawn.orderBy(order, label).limit(max_rows)
+    chosen = docs.select(key, text).join(F.broadcast(drawn), key).orderBy(order, text, label).limit(max_rows).select(text, label)
     pairs = [(r[0], int(r[1])) for r in chosen.toLocalIterator()]
     return fit_texts([t for t, _ in pairs], [y for _, y in pairs])
 
