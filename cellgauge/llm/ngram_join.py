@@ -40,8 +40,8 @@ from .graph import connected_components
 DIMS = 64
 LEAF = 16
 #: Shingles, and sets, that one block holds; and the pivots that each block of a class shares.
-BLOCK_SHINGLES = 1_500_000
-BLOCK_SETS = 4_000
+BLOCK_SHINGLES = 6_000_000
+BLOCK_SETS = 12_000
 PIVOTS = 64
 
 _K1, _K2, _K3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -350,14 +350,23 @@ def classes_of_sets(docs: DataFrame, sets: DataFrame, plan: Plan, key: str = "do
     own = F.array(F.pmod(F.xxhash64("set_id"), F.col("nb")).cast("int"))
     spread = members.withColumn("part", F.explode(F.when(is_pivot, F.sequence(F.lit(0), F.col("nb") - 1)).otherwise(own)))
     block = F.concat_ws(":", "cand", "part")
-    links = materialize(_join_blocks(_with_text(docs, spread.select("_key", "set_id", block.alias("block"), F.lit(None).cast("bigint").alias("start")), key, text), plan, text), "links")
-    big = members.where("nb > 1").select("set_id", "cand", "_key", "n")
-    if big.limit(1).count():
-        links = _across_blocks(docs, big, links, plan, key, text, block_shingles)
+    texts = _with_text(docs, spread.select("_key", "set_id", block.alias("block"), (F.col("nb") > 1).alias("big"), F.lit(None).cast("bigint").alias("start")), key, text)
+    big = members.where("nb > 1").select("set_id", "cand", "n")
+    if not big.limit(1).count():
+        return _labels(materialize(_join_blocks(texts, plan, text), "links"))
+    # The members' texts are needed again, so they are kept; the corpus is dealt out once.
+    texts = materialize(texts, "texts")
+    links = materialize(_join_blocks(texts, plan, text), "links")
+    links = _across_blocks(texts.where("big").select("set_id", text).dropDuplicates(["set_id", text]), big, links, plan, text, block_shingles)
+    discard(texts)
+    return _labels(links)
+
+
+def _labels(links: DataFrame) -> DataFrame:
     return connected_components(links).select(F.col("node").alias("set_id"), "label")
 
 
-def _across_blocks(docs, big: DataFrame, links: DataFrame, plan: Plan, key: str, text: str, block_shingles: int) -> DataFrame:
+def _across_blocks(texts: DataFrame, big: DataFrame, links: DataFrame, plan: Plan, text: str, block_shingles: int) -> DataFrame:
     """links and those between sets of one large candidate class that are still in different classes."""
     labels = connected_components(links.join(big.select(F.col("set_id").alias("a")), "a", "left_semi")).withColumnRenamed("node", "set_id")
     rows = big.join(labels, "set_id", "left").withColumn("start", F.coalesce("label", "set_id")).drop("label")
@@ -367,11 +376,11 @@ def _across_blocks(docs, big: DataFrame, links: DataFrame, plan: Plan, key: str,
     half = block_shingles / 2
     pure = F.col("w") > block_shingles / 4
     unit = F.when(pure, F.concat(F.lit("L"), F.col("start"), F.lit("/"), F.pmod(F.xxhash64("set_id"), F.ceil(F.col("w") / half).cast("bigint")))).otherwise(F.concat(F.lit("S"), F.pmod(F.xxhash64("start"), F.ceil(F.col("ws") / half).cast("bigint"))))
-    rows = materialize(rows.select("cand", "set_id", "_key", "start", unit.alias("unit"), F.when(pure, F.col("start")).alias("only")), "units")
+    rows = materialize(rows.select("cand", "set_id", "start", unit.alias("unit"), F.when(pure, F.col("start")).alias("only")), "units")
     units = rows.groupBy("cand").agg(F.collect_set(F.struct("unit", "only")).alias("units"))
     pairs = rows.join(units, "cand").withColumn("other", F.explode("units")).where(~F.coalesce(F.col("only") == F.col("other.only"), F.lit(False)))
     block = F.concat_ws("|", F.col("cand").cast("string"), F.least("unit", "other.unit"), F.greatest("unit", "other.unit"))
-    more = _join_blocks(_with_text(docs, pairs.select("_key", "set_id", block.alias("block"), "start"), key, text), plan, text)
+    more = _join_blocks(pairs.select("set_id", block.alias("block"), "start").join(texts, "set_id"), plan, text)
     return materialize(links.unionByName(more), "links")
 
 
