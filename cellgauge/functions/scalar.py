@@ -6,6 +6,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def rescale(x: Column, a, b, c, d) -> Column:
@@ -52,7 +53,7 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_tail(x: pd.Series) -> pd.Series:
     """Probability that a standard normal variable exceeds x."""
     return x.map(lambda v: 0.5 * math.erfc(v / math.sqrt(2)))
