@@ -78,19 +78,29 @@ def known_paths(mappings=MAPPINGS) -> list[str]:
 
 
 def schema_mapping(schema: T.StructType, mappings=MAPPINGS) -> Mapping | None:
-    """The mapping whose fingerprint that of the schema's known paths equals; other fields don't count."""
-    known = set(known_paths(mappings))
-    mark = paths_fingerprint([p for p in schema_paths(schema) if p in known])
-    return next((m for m in mappings if m.fingerprint == mark), None)
+    """The mapping with the most paths whose fingerprint the schema's paths among them have; other fields don't count."""
+    paths = schema_paths(schema)
+    return next((m for m in by_size(mappings) if paths_fingerprint([p for p in paths if p in m.paths]) == m.fingerprint), None)
+
+
+def by_size(mappings) -> list[Mapping]:
+    return sorted(mappings, key=lambda m: -len(m.paths))
 
 
 def record_fingerprint(json: Column, mappings=MAPPINGS) -> Column:
-    """The fingerprint of one JSON record: its known field paths, sorted and hashed."""
+    """The fingerprint of the mapping with the most paths that a JSON record has, else that of all its known paths."""
     top = F.coalesce(F.json_object_keys(json), F.array().cast("array<string>"))
     arrays = sorted({m.array for m in mappings if m.array})
     nested = [_prefixed(f"{a}[].", F.json_object_keys(F.get_json_object(json, f"$.{a}[0]"))) for a in arrays]
-    paths = F.array_intersect(F.concat(top, *nested), F.array(*[F.lit(p) for p in known_paths(mappings)]))
-    return F.sha2(F.array_join(F.array_sort(paths), "\n"), 256)
+    paths = F.array_distinct(F.concat(top, *nested))
+
+    def among(wanted) -> Column:
+        return F.sha2(F.array_join(F.array_sort(F.array_intersect(paths, F.array(*[F.lit(p) for p in wanted]))), "\n"), 256)
+
+    out = among(known_paths(mappings))
+    for m in reversed(by_size(mappings)):
+        out = F.when(among(m.paths) == m.fingerprint, F.lit(m.fingerprint)).otherwise(out)
+    return out
 
 
 def record_turns(json: Column, fingerprint: Column, mappings=MAPPINGS) -> Column:

@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free
+
 PIECE = 16.0
 #: Terms of the distribution function that are summed for one piece; at a mean of 16 what lies beyond has probability below 1e-25.
 TERMS = 90
@@ -51,13 +53,15 @@ def source_rates(docs: DataFrame, source: str, weights: dict[str | None, float]
 
 def with_counts(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", weights: dict[str | None, float] | None = None, default: float = 1.0, total: int | None = None, seed: int = 17) -> DataFrame:
     """docs with `rate` and `n_copies`."""
-    rates = source_rates(docs, source, weights, default, total)
-    joined = docs.join(rates, docs[source].eqNullSafe(rates["_source"]), "left").drop("_source", "_n")
-    rate = F.coalesce("_rate", F.lit(0.0))
+    docs = docs.drop("rate", "n_copies")
+    s, r = free(docs, "_source"), free(docs, "_rate")
+    rates = source_rates(docs, source, weights, default, total).select(F.col("_source").alias(s), F.col("_rate").alias(r))
+    joined = docs.join(rates, docs[source].eqNullSafe(rates[s]), "left").drop(s)
+    rate = F.coalesce(r, F.lit(0.0))
     pieces = F.greatest(F.ceil(rate / PIECE), F.lit(1)).cast("int")
     key = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
     drawn = F.aggregate(F.sequence(F.lit(1), pieces), F.lit(0), lambda n, i: n + poisson(uniform(F.lit(str(seed)), key, i.cast("string")), rate / pieces))
-    return joined.withColumn("rate", rate).withColumn("n_copies", drawn).drop("_rate")
+    return joined.withColumn("rate", rate).withColumn("n_copies", drawn).drop(r)
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", weights: dict[str | None, float] | None = None, default: float = 1.0, total: int | None = None, seed: int = 17) -> DataFrame:

@@ -302,8 +302,8 @@ def candidate_stars(docs: DataFrame, plan: Plan, text: str = "text") -> DataFram
     return keys.repartition("key").sortWithinPartitions("key", "set_id").mapInArrow(stars, "a bigint, b bigint").distinct()
 
 
-def _join_blocks(rows: DataFrame, plan: Plan, text: str) -> DataFrame:
-    """Links a, b found in each block; rows: block string, set_id, start (class so far) and text."""
+def _join_blocks(rows: DataFrame, plan: Plan) -> DataFrame:
+    """Links a, b found in each block; rows: block string, set_id, start (class so far) and _text."""
 
     def join(batches):
         sets = ShingleSets(plan.k)
@@ -328,7 +328,7 @@ def _join_blocks(rows: DataFrame, plan: Plan, text: str) -> DataFrame:
         if len(held) > 1:
             yield finish()
 
-    return rows.select("block", "set_id", "start", text).repartition("block").sortWithinPartitions("block", "set_id").mapInArrow(join, "a bigint, b bigint")
+    return rows.select("block", "set_id", "start", "_text").repartition("block").sortWithinPartitions("block", "set_id").mapInArrow(join, "a bigint, b bigint")
 
 
 def _share(x):
@@ -353,11 +353,11 @@ def classes_of_sets(docs: DataFrame, sets: DataFrame, plan: Plan, key: str = "do
     texts = _with_text(docs, spread.select("_key", "set_id", block.alias("block"), (F.col("nb") > 1).alias("big"), F.lit(None).cast("bigint").alias("start")), key, text)
     big = members.where("nb > 1").select("set_id", "cand", "n")
     if not big.limit(1).count():
-        return _labels(materialize(_join_blocks(texts, plan, text), "links"))
+        return _labels(materialize(_join_blocks(texts, plan), "links"))
     # The members' texts are needed again, so they are kept; the corpus is dealt out once.
     texts = materialize(texts, "texts")
-    links = materialize(_join_blocks(texts, plan, text), "links")
-    links = _across_blocks(texts.where("big").select("set_id", text).dropDuplicates(["set_id", text]), big, links, plan, text, block_shingles)
+    links = materialize(_join_blocks(texts, plan), "links")
+    links = _across_blocks(texts.where("big").select("set_id", "_text").dropDuplicates(["set_id", "_text"]), big, links, plan, block_shingles)
     discard(texts)
     return _labels(links)
 
@@ -366,7 +366,7 @@ def _labels(links: DataFrame) -> DataFrame:
     return connected_components(links).select(F.col("node").alias("set_id"), "label")
 
 
-def _across_blocks(texts: DataFrame, big: DataFrame, links: DataFrame, plan: Plan, text: str, block_shingles: int) -> DataFrame:
+def _across_blocks(texts: DataFrame, big: DataFrame, links: DataFrame, plan: Plan, block_shingles: int) -> DataFrame:
     """links and those between sets of one large candidate class that are still in different classes."""
     labels = connected_components(links.join(big.select(F.col("set_id").alias("a")), "a", "left_semi")).withColumnRenamed("node", "set_id")
     rows = big.join(labels, "set_id", "left").withColumn("start", F.coalesce("label", "set_id")).drop("label")
@@ -380,13 +380,13 @@ def _across_blocks(texts: DataFrame, big: DataFrame, links: DataFrame, plan: Pla
     units = rows.groupBy("cand").agg(F.collect_set(F.struct("unit", "only")).alias("units"))
     pairs = rows.join(units, "cand").withColumn("other", F.explode("units")).where(~F.coalesce(F.col("only") == F.col("other.only"), F.lit(False)))
     block = F.concat_ws("|", F.col("cand").cast("string"), F.least("unit", "other.unit"), F.greatest("unit", "other.unit"))
-    more = _join_blocks(pairs.select("set_id", block.alias("block"), "start").join(texts, "set_id"), plan, text)
+    more = _join_blocks(pairs.select("set_id", block.alias("block"), "start").join(texts, "set_id"), plan)
     return materialize(links.unionByName(more), "links")
 
 
 def _with_text(docs: DataFrame, rows: DataFrame, key: str, text: str) -> DataFrame:
     # Merged at every size: rows grows with the documents that have near copies.
-    d = docs.select(F.col(key).alias("_k"), text)
+    d = docs.select(F.col(key).alias("_k"), F.col(text).alias("_text"))
     return rows.hint("merge").join(d, rows["_key"].eqNullSafe(d["_k"])).drop("_k", "_key")
 
 

@@ -332,7 +332,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
 
 def score(df: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
-    """df with `_toxicity`: score, the worst word and the sentence that holds it first."""
+    """df with `_toxicity` (replaced if there): score, the worst word and the sentence that holds it first."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("score double, word string, sentence string")

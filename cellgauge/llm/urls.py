@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import free
+
 #: A trie of more rules, or of more characters, isn't broadcast; a join judges the urls then.
 MAX_RULES = 200_000
 MAX_CHARS = 16_000_000
@@ -115,9 +117,11 @@ def _by_join(df: DataFrame, url: str, rules: DataFrame, default: str) -> DataFra
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     r = rules.select(F.lower("host").alias("_rh"), F.col("path").alias("_rp"), F.col("action").alias("_ra"))
     fits = urls.select("_u", "_p", F.explode(suffixes).alias("_rh")).join(r, "_rh").where(F.col("_p").startswith(F.col("_rp")))
-    best = fits.groupBy("_u").agg(F.max(F.struct(F.size(F.split("_rh", r"\.")).alias("a"), F.length("_rp").alias("b"), F.col("_ra"), F.concat("_rh", "_rp").alias("rule"))).alias("_b"))
-    judged = urls.join(best, urls["_u"].eqNullSafe(best["_u"]), "left").select(urls["_u"], F.struct(F.col("_h").alias("host"), F.col("_p").alias("path"), F.col("_b.rule").alias("rule"), F.coalesce("_b._ra", F.lit(default)).alias("verdict")).alias("_judged"))
-    return df.join(judged, df[url].eqNullSafe(judged["_u"]), "left").drop("_u")
+    best = fits.groupBy("_u").agg(F.max(F.struct(F.size(F.split("_rh", r"\.")).alias("a"), F.length("_rp").alias("b"), F.col("_ra"), F.concat("_rh", "_rp").alias("rule"))).alias("_b")).withColumnRenamed("_u", "_v")
+    judged = urls.join(best, F.col("_u").eqNullSafe(F.col("_v")), "left").select("_u", F.struct(F.col("_h").alias("host"), F.col("_p").alias("path"), F.col("_b.rule").alias("rule"), F.coalesce("_b._ra", F.lit(default)).alias("verdict")).alias("_judged"))
+    u = free(df, "_u")
+    judged = judged.withColumnRenamed("_u", u)
+    return df.join(judged, df[url].eqNullSafe(judged[u]), "left").drop(u)
 
 
 def filter_urls(df: DataFrame, rules: list[Rule] | DataFrame, url: str = "url", default: str = "allow", max_rules: int = MAX_RULES, max_chars: int = MAX_CHARS) -> DataFrame:
@@ -125,9 +129,10 @@ def filter_urls(df: DataFrame, rules: list[Rule] | DataFrame, url: str = "url",
 
     The trie is broadcast only when the rules number at most max_rules and hold at most
     max_chars characters, which is counted first; a larger set is joined instead, with the
-    same answers. Empty tables give empty results; repeated rows are judged alike.
+    same answers. A column `_judged` of df is replaced. Empty tables give empty results; repeated rows are judged alike.
     """
     spark = df.sparkSession
+    df = df.drop("_judged")
     if isinstance(rules, DataFrame):
         n, chars = rules.agg(F.count("*"), F.coalesce(F.sum(F.length(F.concat("host", "path"))), F.lit(0))).first()
         if n > max_rules or chars > max_chars:
