@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -35,12 +36,20 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there and survives lost executors."""
-    spark = df.sparkSession
+def materialize(df: DataFrame, label: str, release: bool = False) -> DataFrame:
+    """Write df to the shared folder and read it back: lineage ends there and survives lost executors.
+
+    release: have the JVM collect its garbage, so that the shuffle files behind df, which nothing
+    needs any more, are deleted now rather than when memory runs short.
+    """
+    spark, schema = df.sparkSession, df.schema
     path = scratch(spark, label)
     df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    if release:
+        del df
+        gc.collect()
+        spark._jvm.System.gc()
     out._cellgauge_path = path
     return out
 

@@ -10,9 +10,11 @@ all pairs of a class.
    meet under a key are candidates, and only a star of each key's sets is kept, never their pairs.
    If a set has more than spare empty groups, its rarest-ordered prefix is dealt out as well, which
    covers pairs of two such sets. So no link is missed, whatever the sizes.
-2. Candidate classes: connected components of those stars.
-3. In each candidate class an R-tree over the sets' count vectors (shingles hashed into DIMS
-   coordinates) joins the sets: nodes, then leaves, are passed over when the summed minima of their
+2. Candidate classes: connected components of those stars, one size band at a time. A set is a node
+   in its own band and in those of the smaller sets that it can link to, so sets of very different
+   sizes don't share a class for a passage that they share.
+3. In each candidate class an R-tree over the sets' count vectors (shingles hashed into
+   coordinates, more of them for larger sets) joins the sets: nodes, then leaves, are passed over when the summed minima of their
    upper bounds, or the vectors' own, are below the overlap needed. What is left is verified by
    intersection. Sets that are already in one class aren't compared again.
 4. A class larger than a block is first joined block by block, each with the same few pivots. Only
@@ -37,7 +39,6 @@ from pyspark.sql import functions as F
 from .common import WordHasher, as_long, discard, documents_words, materialize, mix64, shingles
 from .graph import connected_components
 
-DIMS = 64
 LEAF = 16
 #: Shingles, and sets, that one block holds; and the pivots that each block of a class shares.
 BLOCK_SHINGLES = 6_000_000
@@ -88,8 +89,8 @@ class Plan:
             b -= 1
         return tuple(out)
 
-    def keys(self, h: np.ndarray) -> np.ndarray:
-        """The keys of a set under which it meets every other set that it links to."""
+    def keys(self, h: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """By band, the keys of a set under which it meets every other set that it links to."""
         out = []
         r, v = mix64(h ^ _K1), mix64(h + _K3)
         for b in self.families(len(h)):
@@ -99,11 +100,17 @@ class Plan:
             gs = g[order]
             starts = np.flatnonzero(np.concatenate(([True], gs[1:] != gs[:-1])))
             total = np.add.reduceat(v[order], starts)
-            out.append(mix64(total + gs[starts].astype(np.uint64) * _K1 + _band_salt(b)))
+            found = [mix64(total + gs[starts].astype(np.uint64) * _K1 + _band_salt(b))]
             if len(starts) < m - spare:
                 prefix = np.sort(r)[: len(h) - self.least_partner(len(h)) + 1]
-                out.append(mix64((prefix ^ _K3) + _band_salt(-b - 1)))
-        return np.concatenate(out) if out else np.empty(0, np.uint64)
+                found.append(mix64((prefix ^ _K3) + _band_salt(-b - 1)))
+            out.append((b, np.concatenate(found)))
+        return out
+
+
+def node(i: np.uint64, band: int) -> int:
+    """The id of a set in the candidate graph of a band."""
+    return int(mix64(np.array([i ^ _band_salt(band)], dtype=np.uint64)).view(np.int64)[0])
 
 
 def _band_salt(b: int) -> np.uint64:
@@ -203,7 +210,8 @@ def join_block(plan: Plan, sets: list[np.ndarray], start: list[int] | None = Non
         for k, s in enumerate(start):
             classes.union(first.setdefault(s, k), k)
     sizes = np.array([len(s) for s in sets])
-    counts = np.stack([np.bincount((s % np.uint64(DIMS)).astype(np.int64), minlength=DIMS) for s in sets])
+    dims = max(64, min(4096, 1 << (int(sizes.max()) // 4).bit_length()))
+    counts = np.stack([np.bincount((s % np.uint64(dims)).astype(np.int64), minlength=dims).astype(np.int32) for s in sets])
     tree = CountTree(counts, sizes)
     links = []
     for i, j in tree.leaf_pairs(plan):
@@ -235,22 +243,24 @@ def linked(plan: Plan, a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def shingle_sets(docs: DataFrame, plan: Plan, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_shingles and set_id (null if the set is empty) of each row."""
+    """key, n_shingles, set_id (null if the set is empty) and the set's nodes, of each row."""
 
     def digest(batches):
         sets = ShingleSets(plan.k)
         for batch in batches:
-            n, ids = [], []
+            n, ids, nodes = [], [], []
             for h in sets(batch.column(1)):
+                i = set_id(h) if len(h) else None
                 n.append(len(h))
-                ids.append(int(set_id(h).view(np.int64)) if len(h) else None)
-            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.int64())], names=["key", "n_shingles", "set_id"])
+                ids.append(None if i is None else int(i.view(np.int64)))
+                nodes.append([] if i is None else [node(i, b) for b in plan.families(len(h))])
+            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(nodes, pa.list_(pa.int64()))], names=["key", "n_shingles", "set_id", "nodes"])
 
-    return docs.select(key, text).mapInArrow(digest, f"key {dict(docs.dtypes)[key]}, n_shingles bigint, set_id bigint")
+    return docs.select(key, text).mapInArrow(digest, f"key {dict(docs.dtypes)[key]}, n_shingles bigint, set_id bigint, nodes array<bigint>")
 
 
 def _dealt_keys(docs: DataFrame, plan: Plan, text: str) -> DataFrame:
-    """key and set_id for each group of each set, once for equal sets of a task."""
+    """key and node for each group of each set, once for equal sets of a task."""
 
     def emit(batches):
         sets, seen = ShingleSets(plan.k), set()
@@ -263,17 +273,17 @@ def _dealt_keys(docs: DataFrame, plan: Plan, text: str) -> DataFrame:
                 if i in seen:
                     continue
                 seen.add(i)
-                k = plan.keys(h)
-                keys.append(k)
-                ids.append(np.full(len(k), i))
-                held += len(k)
+                for band, k in plan.keys(h):
+                    keys.append(k)
+                    ids.append(np.full(len(k), node(i, band)))
+                    held += len(k)
                 if held > 200_000:
-                    yield _two("key", keys, "set_id", ids)
+                    yield _two("key", keys, "node", ids)
                     keys, ids, held = [], [], 0
             if keys:
-                yield _two("key", keys, "set_id", ids)
+                yield _two("key", keys, "node", ids)
 
-    return docs.select(text).mapInArrow(emit, "key bigint, set_id bigint")
+    return docs.select(text).mapInArrow(emit, "key bigint, node bigint")
 
 
 def _two(a: str, x: list, b: str, y: list) -> pa.RecordBatch:
@@ -281,7 +291,7 @@ def _two(a: str, x: list, b: str, y: list) -> pa.RecordBatch:
 
 
 def candidate_stars(docs: DataFrame, plan: Plan, text: str = "text") -> DataFrame:
-    """Edges a, b: the least set of each key and the others. Rows come sorted, so a key of any size streams through."""
+    """Edges a, b: the least node of each key and the others. Rows come sorted, so a key of any size streams through."""
 
     def stars(batches):
         last_key, center = None, None
@@ -299,7 +309,7 @@ def candidate_stars(docs: DataFrame, plan: Plan, text: str = "text") -> DataFram
                 yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     keys = _dealt_keys(docs, plan, text)
-    return keys.repartition("key").sortWithinPartitions("key", "set_id").mapInArrow(stars, "a bigint, b bigint").distinct()
+    return keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(stars, "a bigint, b bigint").distinct()
 
 
 def _join_blocks(rows: DataFrame, plan: Plan) -> DataFrame:
@@ -338,11 +348,11 @@ def _share(x):
 
 def classes_of_sets(docs: DataFrame, sets: DataFrame, plan: Plan, key: str = "doc_id", text: str = "text", block_shingles: int = BLOCK_SHINGLES, block_sets: int = BLOCK_SETS) -> DataFrame:
     """set_id and label of each set that links to another; sets: the written table of shingle_sets()."""
-    stars = candidate_stars(docs, plan, text)
-    members = connected_components(stars).select(F.col("node").alias("set_id"), F.col("label").alias("cand"))
+    found = connected_components(materialize(candidate_stars(docs, plan, text), "stars", release=True))
     # One row of each member set stands for it.
-    stand = sets.where("set_id is not null").groupBy("set_id").agg(F.min("key").alias("_key"), F.max("n_shingles").alias("n"))
-    members = materialize(members.join(stand, "set_id"), "members")
+    stand = sets.where("set_id is not null").groupBy("set_id").agg(F.min("key").alias("_key"), F.max("n_shingles").alias("n"), F.first("nodes").alias("nodes"))
+    nodes = stand.select("set_id", "_key", "n", F.explode("nodes").alias("node"))
+    members = materialize(nodes.join(found.withColumnRenamed("label", "cand"), "node").drop("node"), "members")
     weight = members.groupBy("cand").agg(F.sum("n").alias("w"), F.count("*").alias("c"))
     weight = weight.select("cand", "w", F.greatest(F.ceil(F.col("w") / block_shingles), F.ceil(F.col("c") / block_sets)).cast("int").alias("nb"), "c")
     members = members.join(weight, "cand")
@@ -353,9 +363,9 @@ def classes_of_sets(docs: DataFrame, sets: DataFrame, plan: Plan, key: str = "do
     texts = _with_text(docs, spread.select("_key", "set_id", block.alias("block"), (F.col("nb") > 1).alias("big"), F.lit(None).cast("bigint").alias("start")), key, text)
     big = members.where("nb > 1").select("set_id", "cand", "n")
     if not big.limit(1).count():
-        return _labels(materialize(_join_blocks(texts, plan), "links"))
+        return _labels(materialize(_join_blocks(texts, plan), "links", release=True))
     # The members' texts are needed again, so they are kept; the corpus is dealt out once.
-    texts = materialize(texts, "texts")
+    texts = materialize(texts, "texts", release=True)
     links = materialize(_join_blocks(texts, plan), "links")
     links = _across_blocks(texts.where("big").select("set_id", "_text").dropDuplicates(["set_id", "_text"]), big, links, plan, block_shingles)
     discard(texts)
