@@ -46,9 +46,10 @@ def source_rates(docs: DataFrame, source: str, weights: dict[str | None, float]
     for name, w in (weights or {}).items():
         weight = F.when(F.col("_source").eqNullSafe(F.lit(name)), F.lit(float(w))).otherwise(weight)
     counts = counts.withColumn("_w", weight)
-    sums = counts.agg(F.sum("_w").alias("_all"), F.sum("_n").alias("_total"))
-    wanted = F.lit(float(total)) if total is not None else F.col("_total").cast("double")
-    return counts.crossJoin(F.broadcast(sums)).select("_source", "_n", (F.col("_w") * wanted / F.nullif(F.col("_all"), F.lit(0.0)) / F.col("_n")).alias("_rate"))
+    # Two numbers come to the driver: the sum of weights and the documents in all.
+    sums = counts.agg(F.sum("_w").alias("w"), F.sum("_n").alias("n")).first()
+    wanted = float(total if total is not None else sums["n"] or 0)
+    return counts.select("_source", "_n", (F.col("_w") * F.lit(wanted) / F.nullif(F.lit(float(sums["w"] or 0)), F.lit(0.0)) / F.col("_n")).alias("_rate"))
 
 
 def with_counts(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", weights: dict[str | None, float] | None = None, default: float = 1.0, total: int | None = None, seed: int = 17) -> DataFrame:
