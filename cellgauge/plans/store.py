@@ -13,6 +13,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Buckets that new rows are numbered in; their counts are the only rows that meet in one task.
+BUCKETS = 1024
 CONFIG = "id bigint, hash string, config string"
 KEY = ["experiment", "compressor", "dataset", "field", "replicate"]
 SCHEMAS = {
@@ -35,9 +37,14 @@ def config_rows(spark: SparkSession, configs: list[dict]) -> DataFrame:
 
 
 def numbered(new: DataFrame, old: DataFrame, order: list[str]) -> DataFrame:
-    """new with ids that follow the greatest in old."""
-    top = old.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    return new.crossJoin(F.broadcast(top)).withColumn("id", (F.row_number().over(Window.orderBy(*order)) + F.col("_top")).cast("bigint")).drop("_top")
+    """new with ids that follow the greatest in old: numbered within buckets of a hash, by order, plus the counts of the buckets before."""
+    top = old.agg(F.max("id")).first()[0] or 0
+    new = new.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(BUCKETS)).cast("int"))
+    counts = new.groupBy("_bucket").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select("_bucket", F.coalesce(before, F.lit(0)).alias("_before"))
+    w = Window.partitionBy("_bucket").orderBy(*order)
+    return new.join(offsets, "_bucket").withColumn("id", (F.row_number().over(w) + F.col("_before") + top).cast("bigint")).drop("_bucket", "_before")
 
 
 def missing(rows: DataFrame, old: DataFrame, keys: list[str]) -> DataFrame:
