@@ -12,15 +12,26 @@ from pyspark.sql import functions as F
 from .common import discard, materialize
 
 
+EDGES_PER_FILE = 500_000
+
+
 def _state(e: DataFrame) -> tuple:
     row = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").bitwiseAND(0xFFFFFFFF))).first()
     return row[0], row[1]
 
 
+def _files(rows: int) -> int:
+    """Files for a table of about so many rows: a round of a small graph shouldn't write hundreds."""
+    return max(8, rows // EDGES_PER_FILE)
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """node and label, the least node of its component, for each node that has an edge to another."""
+    """node and label, the least node of its component, for each node that has an edge to another.
+
+    edges is read twice, so it should be a written table.
+    """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    e = materialize(e, "edges")
+    e = materialize(e.coalesce(_files(edges.count())), "edges")
     before = _state(e)
     while before[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -29,7 +40,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         new = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        new = materialize(new, "edges")
+        new = materialize(new.coalesce(_files(before[0])), "edges")
         after = _state(new)
         discard(e)
         e = new
