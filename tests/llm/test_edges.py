@@ -387,3 +387,15 @@ def test_kernel_equals_enumeration():
 
 def test_shared_folder_follows_the_session(spark):
     assert shared_dir(spark).startswith("file:")
+
+
+@pytest.mark.parametrize("mark", ["sideBar", "side-bar left", "ad_slot", "ads2", "CookieConsent", "site-header", "footer-links", "newsletter", "commentList", "breadcrumbs", "promo-box"])
+def test_marked_boxes_go(mark):
+    page = f"<body><div class='{mark}'><p>box</p></div><div class='text'><p>story</p></div></body>"
+    assert wrappers.extract_page(page) == "story"
+    assert wrappers.extract_page(page.replace("<div class='text'>", "<article>").replace("</p></div></body>", f"</p><div id='{mark}'>box</div></article></body>")) == "story" or mark == "site-header"
+
+
+@pytest.mark.parametrize("mark", ["article-header", "entry-content", "main-text", "addition", "navigator7x", "headline"])
+def test_content_stays(mark):
+    assert wrappers.extract_page(f"<body><div class='{mark}'><h1>a</h1><p>story</p></div></body>") == "a\nstory"
