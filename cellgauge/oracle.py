@@ -191,6 +191,7 @@ ORACLE |= {
     "search_speedup": f"{_TIMES}, c as (select method, codec, case when method = 'none' then 51 * mean else 50 * mean + mean_baseline end as cost from t join b using (codec)) select a.codec, a.method, round(log2(n.cost / a.cost), 6) as speedup from c a join c n on a.codec = n.codec and n.method = 'none' where a.method <> 'none'",
     "best_codec_speedup": f"{_TIMES}, c as (select method, sum(mean) as cost from t group by 1) select a.method, round(n.cost / a.cost, 6) as speedup from c a, c n where n.method = 'none' and a.method <> 'none'",
     "parallel_writes": f"{_TIMES} select codec, method, round(case when method = 'none' then 30 * (mean + 0.027::double) else 30 * (mean + mean_baseline + 0.027::double) end, 6) as seconds from t join b using (codec)",
+    "bound_sweep": f"{_EVT1}, b as (select *, unnest([0.001, 0.01, 0.1, 1.0, 10.0]::double[]) as bound from cells), h as (select field_id, bound, floor(v / (2 * bound) + 0.5)::bigint as code, count(*) as c from b group by all), s as (select field_id, bound, c / sum(c) over (partition by field_id, bound)::double as f from h) select field_id || '@' || bound as field_id, round(-sum(f * log2(f)), 6) + 0 as entropy from s group by s.field_id, bound",
     "event_windows": "select time_bucket(interval 1 hour, ts) as window_start, event_type, count(*) as n, round(avg(value), 6) as mean_value, round(min(value), 6) as least, round(max(value), 6) as greatest from events group by all",
     "flagship": f"""
 with cells as ({VIEWS['emb1d']}), l as (select field_id, idx, v, lag(v) over (partition by field_id order by idx) as w from cells),

@@ -590,6 +590,34 @@ def misranking(spark, sf_dir):
     return studies.misranking(cases)
 
 
+#: Error bounds of the sweep.
+BOUNDS = [0.001, 0.01, 0.1, 1.0, 10.0]
+
+
+@query
+def bound_sweep(spark, sf_dir):
+    """Entropy of each field's quantised values at several bounds, from one scan."""
+    c = arrays.evt1d(spark, sf_dir).withColumn("bound", F.explode(F.array(*[F.lit(b) for b in BOUNDS])))
+    c = c.select(F.concat_ws("@", "field_id", F.col("bound").cast("string")).alias("field_id"), F.floor(F.col("v") / (2 * F.col("bound")) + 0.5).cast("bigint").alias("code"))
+    return r6(codes.entropy(codes.histogram(c)))
+
+
+@query
+def training_cover(spark, sf_dir):
+    """The fewest fields that cover all others, where one covers another that shares two of three traits."""
+    names = ["a", "b", "c", "d", "e", "f"]
+    needs = {n: {frozenset([n]), frozenset([m for m in names if m > n][:1] or names[:1])} for n in names}
+    return spark.createDataFrame([(n,) for n in studies.smallest_cover(needs, names)], "field string")
+
+
+@query
+def noisy_search_fit(spark, sf_dir):
+    """Least squares of a search's loss on exp of its error's deviation, on the running maxima."""
+    rows = spark.createDataFrame([("s", s, loss) for s, loss in studies.noisy_search([0.0225 * k for k in range(1, 101)])], "series string, sd double, loss double")
+    steps = studies.running_max_steps(rows, "sd", "loss")
+    return r6(learning.linear_fit(steps, F.exp("sd"), F.col("loss"), ["series"]))
+
+
 @query
 def event_windows(spark, sf_dir):
     return r6(windowed_statistics(table(spark, sf_dir, "events")))
