@@ -41,7 +41,7 @@ from .graph import connected_components
 
 LEAF = 16
 #: Shingles, and sets, that one block holds; and the pivots that each block of a class shares.
-BLOCK_SHINGLES = 6_000_000
+BLOCK_SHINGLES = 12_000_000
 BLOCK_SETS = 12_000
 PIVOTS = 64
 
@@ -357,17 +357,17 @@ def classes_of_sets(docs: DataFrame, sets: DataFrame, plan: Plan, key: str = "do
     weight = weight.select("cand", "w", F.greatest(F.ceil(F.col("w") / block_shingles), F.ceil(F.col("c") / block_sets)).cast("int").alias("nb"), "c")
     members = members.join(weight, "cand")
     is_pivot = (F.col("nb") > 1) & (_share(F.col("set_id")) < F.lit(float(PIVOTS)) / F.col("c"))
-    own = F.array(F.pmod(F.xxhash64("set_id"), F.col("nb")).cast("int"))
-    spread = members.withColumn("part", F.explode(F.when(is_pivot, F.sequence(F.lit(0), F.col("nb") - 1)).otherwise(own)))
+    own = F.pmod(F.xxhash64("set_id"), F.col("nb")).cast("int")
+    spread = members.withColumn("part", F.explode(F.when(is_pivot, F.sequence(F.lit(0), F.col("nb") - 1)).otherwise(F.array(own))))
     block = F.concat_ws(":", "cand", "part")
-    texts = _with_text(docs, spread.select("_key", "set_id", block.alias("block"), (F.col("nb") > 1).alias("big"), F.lit(None).cast("bigint").alias("start")), key, text)
+    texts = _with_text(docs, spread.select("_key", "cand", "set_id", block.alias("block"), ((F.col("nb") > 1) & (F.col("part") == own)).alias("big"), F.lit(None).cast("bigint").alias("start")), key, text)
     big = members.where("nb > 1").select("set_id", "cand", "n")
     if not big.limit(1).count():
         return _labels(materialize(_join_blocks(texts, plan), "links", release=True))
     # The members' texts are needed again, so they are kept; the corpus is dealt out once.
     texts = materialize(texts, "texts", release=True)
     links = materialize(_join_blocks(texts, plan), "links")
-    links = _across_blocks(texts.where("big").select("set_id", "_text").dropDuplicates(["set_id", "_text"]), big, links, plan, block_shingles)
+    links = _across_blocks(texts.where("big").select("cand", "set_id", "_text"), big, links, plan, block_shingles)
     discard(texts)
     return _labels(links)
 
@@ -390,7 +390,7 @@ def _across_blocks(texts: DataFrame, big: DataFrame, links: DataFrame, plan: Pla
     units = rows.groupBy("cand").agg(F.collect_set(F.struct("unit", "only")).alias("units"))
     pairs = rows.join(units, "cand").withColumn("other", F.explode("units")).where(~F.coalesce(F.col("only") == F.col("other.only"), F.lit(False)))
     block = F.concat_ws("|", F.col("cand").cast("string"), F.least("unit", "other.unit"), F.greatest("unit", "other.unit"))
-    more = _join_blocks(pairs.select("set_id", block.alias("block"), "start").join(texts, "set_id"), plan)
+    more = _join_blocks(pairs.select("cand", "set_id", block.alias("block"), "start").join(texts, ["cand", "set_id"]), plan)
     return materialize(links.unionByName(more), "links")
 
 
