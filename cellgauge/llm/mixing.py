@@ -22,6 +22,8 @@ from .common import free
 PIECE = 16.0
 #: Terms of the distribution function that are summed for one piece; at a mean of 16 what lies beyond has probability below 1e-25.
 TERMS = 90
+#: Sources that are broadcast at most; with more of them the join splits the largest.
+SENT_SOURCES = 100_000
 
 
 def uniform(*parts: Column) -> Column:
@@ -46,17 +48,19 @@ def source_rates(docs: DataFrame, source: str, weights: dict[str | None, float]
     for name, w in (weights or {}).items():
         weight = F.when(F.col("_source").eqNullSafe(F.lit(name)), F.lit(float(w))).otherwise(weight)
     counts = counts.withColumn("_w", weight)
-    # Two numbers come to the driver: the sum of weights and the documents in all.
-    sums = counts.agg(F.sum("_w").alias("w"), F.sum("_n").alias("n")).first()
+    # Three numbers come to the driver: the sum of weights, the documents in all and the sources.
+    sums = counts.agg(F.sum("_w").alias("w"), F.sum("_n").alias("n"), F.count("*").alias("k")).first()
     wanted = float(total if total is not None else sums["n"] or 0)
-    return counts.select("_source", "_n", (F.col("_w") * F.lit(wanted) / F.nullif(F.lit(float(sums["w"] or 0)), F.lit(0.0)) / F.col("_n")).alias("_rate"))
+    rates = counts.select("_source", "_n", (F.col("_w") * F.lit(wanted) / F.nullif(F.lit(float(sums["w"] or 0)), F.lit(0.0)) / F.col("_n")).alias("_rate"))
+    # Few sources are sent to the documents, so a source with a third of them isn't dealt to one task.
+    return F.broadcast(rates) if sums["k"] <= SENT_SOURCES else rates
 
 
 def with_counts(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", weights: dict[str | None, float] | None = None, default: float = 1.0, total: int | None = None, seed: int = 17) -> DataFrame:
     """docs with `rate` and `n_copies`."""
     docs = docs.drop("rate", "n_copies")
     s, r = free(docs, "_source"), free(docs, "_rate")
-    rates = source_rates(docs, source, weights, default, total).select(F.col("_source").alias(s), F.col("_rate").alias(r))
+    rates = source_rates(docs, source, weights, default, total).withColumnsRenamed({"_source": s, "_rate": r}).drop("_n")
     joined = docs.join(rates, docs[source].eqNullSafe(rates[s]), "left").drop(s)
     rate = F.coalesce(r, F.lit(0.0))
     pieces = F.greatest(F.ceil(rate / PIECE), F.lit(1)).cast("int")
