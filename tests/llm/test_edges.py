@@ -399,3 +399,12 @@ def test_marked_boxes_go(mark):
 @pytest.mark.parametrize("mark", ["article-header", "entry-content", "main-text", "addition", "navigator7x", "headline"])
 def test_content_stays(mark):
     assert wrappers.extract_page(f"<body><div class='{mark}'><h1>a</h1><p>story</p></div></body>") == "a\nstory"
+
+
+def test_deep_and_long_pages(spark):
+    deep = "<div>" * 5000 + "x" + "</div>" * 5000 + "<p>y"
+    long = "<article>" + "".join(f"<p>line {i}</p>" for i in range(6000)) + "</article>"
+    assert wrappers.extract_page(deep) == "x\ny"
+    rows = [(i, "http://h/", (deep, long)[i % 2]) for i in range(6)]
+    got = [r["text"] for r in wrappers.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).orderBy("page_id").collect()]
+    assert got == ["x\ny", "\n".join(f"line {i}" for i in range(6000))] * 3
