@@ -39,7 +39,7 @@ LANDMARKS = 64
 SPARE_LETTERS = 1
 
 _OTHER = re.compile(r"[\W_]+")
-_SPELLED = re.compile(r"(?<!\S)(?:\w[\s.\-_*]+){3,}\w(?!\S)")
+_SPELLED = re.compile(r"(?<!\S)(?:[^\W_][\s.\-_*]+){3,}[^\W_](?!\S)")
 _SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 
 

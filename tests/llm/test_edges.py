@@ -408,3 +408,9 @@ def test_deep_and_long_pages(spark):
     rows = [(i, "http://h/", (deep, long)[i % 2]) for i in range(6)]
     got = [r["text"] for r in wrappers.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).orderBy("page_id").collect()]
     assert got == ["x\ny", "\n".join(f"line {i}" for i in range(6000))] * 3
+
+
+def test_spelled_words_take_no_time_on_hostile_texts():
+    for t in ("_" * 400 + "#", "a b " + "_ " * 3000 + "#", "a_" * 3000 + "#", ("a " * 3000) + "bb", "x" * 300_000):
+        toxicity.words_of(t)
+    assert "idiot" in toxicity.words_of("an i d.i-o t x") or "idiotx" in toxicity.words_of("an i d.i-o t x")
