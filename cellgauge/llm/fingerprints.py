@@ -24,6 +24,8 @@ PROBES = 8
 #: Text bytes that one task sorts to find each row's successor, and the most intervals of ids cut.
 BUCKET_BYTES = 8 << 20
 INTERVALS = 256
+#: Buckets whose bounds are broadcast at most, 24 bytes each.
+SENT_BUCKETS = 500_000
 
 
 def _seeds() -> list[int]:
@@ -95,31 +97,31 @@ def fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint", k:
     return with_signature(df, text, "_sig", k).withColumn(out, packed(F.col("_sig"))).drop("_sig")
 
 
-def _buckets(df: DataFrame, key: str, size: Column) -> Column:
-    """An int for each row that rises with key and whose rows hold about BUCKET_BYTES; -1 for null keys.
+def _buckets(df: DataFrame, key: str, size: Column) -> tuple[Column, int]:
+    """An int for each row that rises with key and whose rows hold about BUCKET_BYTES, -1 for null keys; and how many there are at most.
 
     The cuts are quantiles of the ids, INTERVALS at most, each split evenly by value; only they
     come to the driver.
     """
     row = df.agg(F.percentile_approx(key, [i / INTERVALS for i in range(INTERVALS + 1)], 10_000).alias("q"), F.sum(size).alias("n")).first()
     if not row["q"]:
-        return F.lit(-1)
+        return F.lit(-1), 1
     cuts = sorted(set(row["q"]))
     need = int((row["n"] or 0) // BUCKET_BYTES) + 1
     kept = cuts[:: max(1, len(cuts) // need)] if need < len(cuts) else cuts
     parts = -(-need // len(kept))
     if parts == 1:
         lows = F.array(*[F.lit(int(c)) for c in kept[1:]]).cast("array<bigint>")
-        return F.when(F.col(key).isNull(), F.lit(-1)).otherwise(F.size(F.filter(lows, lambda c: c <= F.col(key))))
+        return F.when(F.col(key).isNull(), F.lit(-1)).otherwise(F.size(F.filter(lows, lambda c: c <= F.col(key)))), len(kept) + 1
     edges = [*kept, max(cuts[-1] + 1, kept[-1] + 1)]
     lows = F.array(*[F.lit(int(c)) for c in edges]).cast("array<bigint>")
     i = F.greatest(F.lit(0), F.least(F.lit(len(kept) - 1), F.size(F.filter(lows, lambda c: c <= F.col(key))) - 1))
     lo, hi = F.get(lows, i), F.get(lows, i + 1)
     inside = F.floor((F.col(key) - lo) * F.lit(float(parts)) / (hi - lo)).cast("int")
-    return F.when(F.col(key).isNull(), F.lit(-1)).otherwise(i * parts + F.greatest(F.lit(0), F.least(F.lit(parts - 1), inside)))
+    return F.when(F.col(key).isNull(), F.lit(-1)).otherwise(i * parts + F.greatest(F.lit(0), F.least(F.lit(parts - 1), inside))), len(kept) * parts + 1
 
 
-def with_next(df: DataFrame, key: str, order: list[str], carry: list[str], size: Column) -> DataFrame:
+def with_next(df: DataFrame, key: str, order: list[str], carry: list[str], size: Column, prepare=lambda df: df) -> DataFrame:
     """df and `next_<c>` for each c in carry: the value in the next row by key and order, after the last row the first's.
 
     Rows are dealt into buckets of rising keys; each bucket also gets a copy of the first row of
@@ -131,8 +133,9 @@ def with_next(df: DataFrame, key: str, order: list[str], carry: list[str], size:
     w = Window.orderBy("_bucket")
     ring = first.select("_bucket", "_min", F.coalesce(F.lag("_bucket").over(w), F.last("_bucket").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("_to"))
     ring = ring.select(F.col("_bucket").alias("_from"), "_min", "_to")
+    ring = F.broadcast(ring) if n <= SENT_BUCKETS else ring
     heads = df.join(ring, (F.col("_bucket") == F.col("_from")) & F.col(key).eqNullSafe(F.col("_min"))).withColumn("_bucket", F.col("_to")).drop("_from", "_min", "_to")
-    both = df.withColumn("_copy", F.lit(False)).unionByName(heads.withColumn("_copy", F.lit(True)))
+    both = prepare(df.withColumn("_copy", F.lit(False)).unionByName(heads.withColumn("_copy", F.lit(True))))
     w = Window.partitionBy("_bucket").orderBy("_copy", F.col(key).asc_nulls_first(), *[F.col(o).asc_nulls_first() for o in order])
     out = both
     for c in carry:
@@ -148,8 +151,7 @@ def edited_neighbours(docs: DataFrame, k: int = 5) -> DataFrame:
     by itself. Rows with a null doc_id come first. Repeated rows are documents like any others.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    docs = with_signature(docs, "text", "sig", k)
-    docs = with_next(docs, "doc_id", ["text"], ["text", "sig"], F.octet_length("text"))
+    docs = with_next(docs, "doc_id", ["text"], ["text", "sig"], F.octet_length("text"), lambda d: with_signature(d, "text", "sig", k))
     half = F.floor(F.length("text") / 2).cast("int")
     docs = docs.withColumn("n_chars", F.length("text").cast("bigint"))
     docs = docs.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next_text", F.lit(1), half))).drop("text", "next_text")
