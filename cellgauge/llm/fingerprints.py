@@ -126,14 +126,17 @@ def with_next(df: DataFrame, key: str, order: list[str], carry: list[str], size:
 
     Rows are dealt into buckets of rising keys; each bucket also gets a copy of the first row of
     the next one, so no task sees more than its bucket. The buckets' bounds are a table with one
-    row for each bucket.
+    row for each bucket, sent to the rows if there are few. prepare adds columns to carry to the
+    dealt rows, before they move.
     """
-    df = df.withColumn("_bucket", _buckets(df, key, size))
+    bucket, n = _buckets(df, key, size)
+    df = df.withColumn("_bucket", bucket)
     first = df.groupBy("_bucket").agg(F.min(key).alias("_min"))
     w = Window.orderBy("_bucket")
     ring = first.select("_bucket", "_min", F.coalesce(F.lag("_bucket").over(w), F.last("_bucket").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("_to"))
     ring = ring.select(F.col("_bucket").alias("_from"), "_min", "_to")
     ring = F.broadcast(ring) if n <= SENT_BUCKETS else ring
+    ring = F.broadcast(ring) if n <= SENT_BUCKETS else ring
     heads = df.join(ring, (F.col("_bucket") == F.col("_from")) & F.col(key).eqNullSafe(F.col("_min"))).withColumn("_bucket", F.col("_to")).drop("_from", "_min", "_to")
     both = prepare(df.withColumn("_copy", F.lit(False)).unionByName(heads.withColumn("_copy", F.lit(True))))
     w = Window.partitionBy("_bucket").orderBy("_copy", F.col(key).asc_nulls_first(), *[F.col(o).asc_nulls_first() for o in order])
