@@ -162,7 +162,7 @@ ORACLE |= {
     "stored_results": f"{_STORED} select c_custkey as field, 'balance' as metric, c_acctbal as value from c union all select c_custkey, 'nation', c_nationkey::double from c",
     "stored_wide": f"{_STORED} select c_custkey as field, c_acctbal as balance, c_nationkey::double as nation from c",
     "config_hashes": """select distinct sha256(c) as hash, c as config from (select '{"brand":"' || p_brand || '","size":' || p_size || '}' as c from part)""",
-    "outer_joined_entries": "select o_orderkey, c_name, n_name from orders left join customer on o_custkey = c_custkey left join nation on c_nationkey = n_nationkey where o_orderkey % 10 = 0",
+    "outer_joined_entries": "select o_orderkey, c_name, n_name from orders left join customer on o_custkey = c_custkey left join nation on c_nationkey = n_nationkey",
     "key_lookup": "select o_orderkey, o_orderstatus from orders where o_orderpriority = '1-URGENT' and o_orderstatus = 'F' and o_custkey = (select max(o_custkey) from orders where o_orderstatus = 'F' and o_orderpriority = '1-URGENT')",
     "insert_ignore_union": "select c_nationkey as nation from customer union select s_nationkey from supplier",
     "set_differences": "select *, 'both' as part from (select c_nationkey as nation from customer intersect select s_nationkey from supplier) union all select *, 'customers' from (select c_nationkey as nation from customer except select s_nationkey from supplier)",
