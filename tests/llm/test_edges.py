@@ -414,3 +414,32 @@ def test_spelled_words_take_no_time_on_hostile_texts():
     for t in ("_" * 400 + "#", "a b " + "_ " * 3000 + "#", "a_" * 3000 + "#", ("a " * 3000) + "bb", "x" * 300_000):
         toxicity.words_of(t)
     assert "idiot" in toxicity.words_of("an i d.i-o t x") or "idiotx" in toxicity.words_of("an i d.i-o t x")
+
+
+def test_long_pages_keep_their_wrapper(spark):
+    """Blocks beyond any fixed number: what stands behind 1,500 varying ones on each page is still found constant."""
+    page = "<body><div class=a>{}</div><div class=b>All rights kept by us</div></body>"
+    body = [[f"line {i} {j}" for j in range(1500)] for i in range(20)]
+    rows = [(i, f"http://long/{i}", page.format("".join(f"<h4>{t}</h4><p>{t} too</p>" for t in b))) for i, b in enumerate(body)]
+    out = wrappers.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(4)).collect()
+    assert {r["page_id"]: r["text"] for r in out} == {i: "\n".join(f"{t}\n{t} too" for t in b) for i, b in enumerate(body)}
+
+
+def test_what_tree_matching_pairs_has_one_path():
+    """So the paths miss no text that simple tree matching would find constant."""
+    draw = random.Random(6)
+
+    def tree(depth):
+        return [(draw.choice("pqd"), 0, tree(depth - 1) if depth else []) for _ in range(draw.randrange(0, 5))]
+
+    def paths(nodes, above=""):
+        return {above + n[0] for n in nodes}.union(*(paths(n[2], above + n[0]) for n in nodes))
+
+    def paired(a, b, above=""):
+        for i, j in wrappers.match(a, b, wrappers._label, wrappers._kids)[1]:
+            yield above + a[i][0]
+            yield from paired(a[i][2], b[j][2], above + a[i][0])
+
+    for _ in range(50):
+        a, b = tree(2), tree(2)
+        assert set(paired(a, b)) <= paths(a) & paths(b)
