@@ -443,3 +443,12 @@ def test_what_tree_matching_pairs_has_one_path():
     for _ in range(50):
         a, b = tree(2), tree(2)
         assert set(paired(a, b)) <= paths(a) & paths(b)
+
+
+def test_copies_neither_make_nor_break_a_wrapper(spark):
+    page = "<body><div class=a><p>{}</p></div><div class=b>call us</div></body>"
+    rows = [(i, "http://h/", page.format(f"story {i}")) for i in range(12)] + [(100 + i, "http://h/", page.format("again")) for i in range(60)]
+    rows += [(200 + i, "http://few/", page.format(f"story {i % 5}")) for i in range(50)]
+    out = {r["page_id"]: r["text"] for r in wrappers.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(4)).collect()}
+    assert out[3] == "story 3" and out[130] == "again"
+    assert out[203] == "story 3\ncall us"
