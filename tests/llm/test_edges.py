@@ -452,3 +452,16 @@ def test_copies_neither_make_nor_break_a_wrapper(spark):
     out = {r["page_id"]: r["text"] for r in wrappers.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(4)).collect()}
     assert out[3] == "story 3" and out[130] == "again"
     assert out[203] == "story 3\ncall us"
+
+
+def test_depth_moves_no_end_tag():
+    """Elements nested deeper than any fixed number close themselves, not their ancestors, and stay what they are."""
+    for n in (10, 200, 3000):
+        runs = "".join(f"<div>in {i}" for i in range(n)) + "".join(f"</div>out {i}" for i in range(n))
+        page = f"<html><body><div><article>{runs}<p>after</p></article></div><p>beside</p></body></html>"
+        assert wrappers.extract_page(page).split("\n") == [f"in {i}" for i in range(n)] + [f"out {i}" for i in range(n)] + ["after"]
+        deep = "<div>" * n + "<nav>menu</nav><div class=ad>buy</div><footer>foot</footer><p>text</p>" + "</div>" * n
+        assert wrappers.extract_page(f"<body>{deep}<p>y</p></body>") == "text\ny"
+    marked = "<div class=nav>" * 5000 + "<article>x</article>"
+    assert wrappers.extract_page(marked) == "x"
+    assert wrappers.extract_page("<p>" + "<b>" * 100_000 + "</i>" * 100_000 + "x") == "x"
