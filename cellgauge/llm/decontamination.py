@@ -16,7 +16,8 @@ own for them is parted into its first and second half.
 
 Words are runs of what is neither ASCII white space nor ASCII punctuation, with A-Z lower-cased.
 Null or blank texts, and items without words, give no rows; repeated items are items of their own.
-The index is broadcast in chunks of at most CHUNK_ITEMS items and CHUNK_CHARS characters.
+The index is broadcast in chunks of at most CHUNK_ITEMS items and CHUNK_CHARS characters; document
+frequencies, mean length and passage width are those of all items, so chunks change no result.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, blocks_words, mix64
+from .common import WordHasher, as_long, blocks_words, discard, materialize, mix64
 
 BLOCK_WORDS = 64
 ITEM_BLOCK = 4
@@ -37,14 +38,53 @@ GRAM = 3
 K1, B = 1.2, 0.75
 
 
+def item_words():
+    """A function that gives the word hashes of an item's text."""
+    hasher = WordHasher(punctuation=True)
+    return lambda t: hasher.words(np.frombuffer(t.encode(), np.uint8))[0]
+
+
+class Whole:
+    """What scores take from all items: their number, mean and greatest length, and in how many each term is."""
+
+    def __init__(self, items: DataFrame):
+        """items: columns id, question and answer without nulls."""
+
+        def count(batches):
+            words = item_words()
+            for batch in batches:
+                found = [np.concatenate([words(q), words(a)]) for q, a in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+                terms = [as_long(np.unique(w)) for w in found]
+                bounds = np.cumsum([0] + [len(t) for t in terms])
+                flat = pa.array(np.concatenate(terms) if terms else np.empty(0, np.int64), pa.int64())
+                yield pa.record_batch([pa.array([len(w) for w in found], pa.int64()), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), flat)], names=["length", "terms"])
+
+        rows = materialize(items.select("question", "answer").mapInArrow(count, "length bigint, terms array<bigint>"), "items")
+        r = rows.where("length > 0").agg(F.count("*"), F.sum("length"), F.max("length")).first()
+        self.count, self.mean, self.longest = r[0], (r[1] or 0) / max(1, r[0]), r[2] or 0
+        self.table = materialize(rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")), "frequencies")
+        discard(rows)
+
+    def frequencies(self, vocabulary: np.ndarray) -> np.ndarray:
+        """The number of items that have each term of a sorted vocabulary, each of which some item has."""
+        wanted = self.table.sparkSession.createDataFrame(pa.table({"term": as_long(vocabulary)}))
+        got = self.table.join(F.broadcast(wanted), "term").select("term", "df").toArrow()
+        term, df = got.column(0).to_numpy().view(np.uint64), got.column(1).to_numpy()
+        out = np.empty(len(vocabulary), np.int64)
+        out[np.searchsorted(vocabulary, term)] = df
+        return out
+
+
 class ItemIndex:
     """Impacts of terms on items as shares of each item's own score, by term and with block maxima."""
 
-    def __init__(self, items: list[tuple[int, str, str]], threshold: float, overlap: float):
-        """items: (id, question, answer); an empty answer means that the question is the whole item."""
+    def __init__(self, items: list[tuple[int, str, str]], threshold: float, overlap: float, whole: Whole | None = None):
+        """items: (id, question, answer); an empty answer means that the question is the whole item.
+
+        whole: of the items that these are a part of; None if these are all.
+        """
         self.threshold, self.overlap = threshold, overlap
-        hasher = WordHasher(punctuation=True)
-        words = lambda t: hasher.words(np.frombuffer(t.encode(), np.uint8))[0]
+        words = item_words()
         self.ids, self.parts, terms = [], [], []
         for i, q, a in items:
             wq, wa = words(q), words(a)
@@ -57,7 +97,7 @@ class ItemIndex:
         self.vocabulary = np.unique(np.concatenate(terms)) if terms else np.empty(0, np.uint64)
         n = len(terms)
         lengths = np.array([len(t) for t in terms], dtype=float)
-        self.block_words = max(BLOCK_WORDS, int(lengths.max(initial=0)))
+        self.block_words = max(BLOCK_WORDS, whole.longest if whole else int(lengths.max(initial=0)))
         term_of, item_of, tf = [], [], []
         for k, t in enumerate(terms):
             u, c = np.unique(np.searchsorted(self.vocabulary, t), return_counts=True)
@@ -67,9 +107,10 @@ class ItemIndex:
         if not n:
             return
         term, item, tf = np.concatenate(term_of), np.concatenate(item_of), np.concatenate(tf).astype(float)
-        df = np.bincount(term, minlength=len(self.vocabulary))
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[item] / lengths.mean()))
+        df = whole.frequencies(self.vocabulary) if whole else np.bincount(term, minlength=len(self.vocabulary))
+        count, mean = (whole.count, whole.mean) if whole else (n, lengths.mean())
+        idf = np.log(1 + (count - df + 0.5) / (df + 0.5))
+        impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[item] / mean))
         impact /= np.bincount(item, weights=impact, minlength=n)[item]
         order = np.lexsort((item, term))
         self.item, self.impact = item[order], impact[order]
@@ -169,27 +210,31 @@ def share(part: np.ndarray, around: np.ndarray) -> float:
 RESULT = "doc_id {kind}, item_id bigint, score double, question_overlap double, answer_overlap double"
 
 
-def _chunks(items: DataFrame, item_id: str, question: str, answer: str | None):
-    """Lists of items within the bounds for broadcasting; one list is held at a time."""
-    cols = [F.col(item_id).cast("bigint"), F.coalesce(question, F.lit("")), F.coalesce(answer, F.lit("")) if answer else F.lit("")]
+def _chunks(items: DataFrame):
+    """(list of items, whether it is all of them), within the bounds for broadcasting; two lists are held at a time."""
     held: list = []
-    chars = 0
-    for i, q, a in items.select(*cols).toLocalIterator():
+    chars, before = 0, None
+    for i, q, a in items.toLocalIterator():
         if held and (len(held) >= CHUNK_ITEMS or chars + len(q) + len(a) > CHUNK_CHARS):
-            yield held
-            held, chars = [], 0
+            if before is not None:
+                yield before, False
+            before, held, chars = held, [], 0
         held.append((i, q, a))
         chars += len(q) + len(a)
-    yield held
+    if before is not None:
+        yield before, False
+    yield held, before is None
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overlap: float = 0.5, key: str = "doc_id", text: str = "text", item_id: str = "item_id", question: str = "text", answer: str | None = None) -> DataFrame:
     """Per document and item that it repeats: the best passage's score and both overlaps."""
     spark = docs.sparkSession
     schema = RESULT.format(kind=dict(docs.dtypes)[key])
-    found = None
-    for chunk in _chunks(items, item_id, question, answer):
-        index = spark.sparkContext.broadcast(ItemIndex(chunk, threshold, overlap))
+    found = whole = None
+    items = items.select(F.col(item_id).cast("bigint").alias("id"), F.coalesce(question, F.lit("")).alias("question"), (F.coalesce(answer, F.lit("")) if answer else F.lit("")).alias("answer"))
+    for chunk, alone in _chunks(items):
+        whole = whole or (None if alone else Whole(items))
+        index = spark.sparkContext.broadcast(ItemIndex(chunk, threshold, overlap, whole))
 
         def search(batches, index=index):
             hasher = WordHasher(punctuation=True)
@@ -205,5 +250,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overla
 
         part = docs.select(key, text).mapInArrow(search, schema)
         found = part if found is None else found.unionByName(part)
+    if whole:
+        discard(whole.table)
     best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", "question_overlap", "answer_overlap")).alias("b"))
     return best.select(F.col("doc_id").alias(key), "item_id", "b.*")

@@ -465,3 +465,24 @@ def test_depth_moves_no_end_tag():
     marked = "<div class=nav>" * 5000 + "<article>x</article>"
     assert wrappers.extract_page(marked) == "x"
     assert wrappers.extract_page("<p>" + "<b>" * 100_000 + "</i>" * 100_000 + "x") == "x"
+
+
+def test_chunks_of_items_change_no_leak(spark, monkeypatch):
+    """Frequencies, mean length and passage width are those of all items, however they are dealt into chunks."""
+    draw = random.Random(14)
+    make = lambda n, v: [f"w{draw.randrange(v)}" for _ in range(n)]
+    items = [(i, " ".join(make(draw.randrange(6, 40), 30 if i < 10 else 200))) for i in range(30)] + [(30, " ".join(make(150, 200))), (31, None), (32, " ")]
+    texts = []
+    for d in range(150):
+        w = items[d % 30][1].split()
+        for _ in range(len(w) // 3):
+            w[draw.randrange(len(w))] = draw.choice(["new", "w1", "w150"])
+        texts.append((d, " ".join(make(draw.randrange(0, 150), 200) + w)))
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    whole = sorted((r["doc_id"], r["item_id"], round(r["score"], 9)) for r in decontamination.find_leaks(docs, bench, overlap=0.2).collect())
+    assert {r[:2] for r in whole} == bm25_pairs(texts, items, 0.6, 0.2)
+    monkeypatch.setattr(decontamination, "CHUNK_ITEMS", 7)
+    assert sorted((r["doc_id"], r["item_id"], round(r["score"], 9)) for r in decontamination.find_leaks(docs, bench, overlap=0.2).collect()) == whole
+    monkeypatch.setattr(decontamination, "CHUNK_CHARS", 400)
+    assert sorted((r["doc_id"], r["item_id"], round(r["score"], 9)) for r in decontamination.find_leaks(docs, bench, overlap=0.2).collect()) == whole
