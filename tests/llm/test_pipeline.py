@@ -73,3 +73,18 @@ def test_run_is_the_stages_in_order(spark, corpus):
     assert sorted(map(str, out)) == sorted(map(str, again))
     ids = {r["doc_id"] for r in out}
     assert ids and not ids & {1100 + i for i in range(6)} and not ids & {i for i in range(0, 400, 6)}
+
+
+def test_rows_leave_by_id_and_text(spark, corpus):
+    """Rows that share an id with a copy or a leak, or have none like it, stay."""
+    folder, _, items = corpus
+    leak = f"{PROSE} {items[0][1]} {PROSE[::-1]}"
+    rows = [(None, leak), (None, "clean and without an id"), (7, leak), (7, "clean and of the same id"), (8, "clean")]
+    full = [(*r, "en", "s", len(r[1]), 7, "x", 3) for r in rows]
+    got = staged(spark, "decontamination", full, folder)
+    assert sorted(map(str, got)) == sorted(str(r) for r in full if "clean" in r[1])
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(100)) for x in "abcd")
+    rows = [(1, a), (5, a + " more"), (5, b), (None, c), (None, c + " more"), (None, d), (9, d + " more"), (9, d), (6, "lone"), (6, "lone"), (None, "x"), (None, "y")]
+    full = [(*r, "en", "s", len(r[1]), 7, "x", 3) for r in rows]
+    got = [(r[0], r[1].removesuffix(" more")) for r in staged(spark, "near_duplicates", full, folder)]
+    assert sorted(map(str, got)) == sorted(map(str, [(1, a), (5, b), (None, c), (9, d), (6, "lone"), (None, "x"), (None, "y")]))
