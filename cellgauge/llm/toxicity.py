@@ -5,8 +5,11 @@ subsequence of ORDER characters with weight DECAY to the power of the length tha
 normalised to 1 for equal strings. Inserted characters only lengthen a span, so an insult written
 `idxiot` or `i-d-i-o-t` stays near `idiot`.
 
-A sentence is scored by its words, words longer than WINDOW by windows, and runs of single
-characters also joined to one word; a text by its worst sentence. Of training texts only the label
+A sentence is scored by its words, words longer than WINDOW by windows of that length, in one of which
+each typical string lies whole, and of twice the longest typical string, in one of which it lies whole
+with a character put in at each place;
+runs of single characters, also with marks beside them, are joined to one word as well. A text is
+scored by its worst sentence. Of training texts only the label
 of the whole is known, so positives are the words that carry a string typical of texts labelled 1
 (strings whose document counts best cover those texts), and negatives are words of texts labelled 0,
 the nearest ones first. Landmarks are those strings and some negatives; the machine is linear in
@@ -39,7 +42,7 @@ LANDMARKS = 64
 SPARE_LETTERS = 1
 
 _OTHER = re.compile(r"[\W_]+")
-_SPELLED = re.compile(r"(?<!\S)(?:[^\W_][\s.\-_*]+){3,}[^\W_](?!\S)")
+_SPELLED = re.compile(r"(?<!\S)(?:[^\W_][\s.\-_*]+){3,}[^\W_][.\-_*]*(?!\S)")
 _SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 
 
@@ -49,7 +52,7 @@ def words_of(text: str | None) -> set[str]:
         return set()
     low = text.lower()
     found = set(low.split())
-    if sum(len(w) == 1 for w in found) >= 2:
+    if sum(len(w) == 1 or (not w.isalnum() and len(bare(w)) == 1) for w in found) >= 2:
         found.update("".join(c for c in m[0] if c.isalnum()) for m in _SPELLED.finditer(low))
     return found
 
@@ -60,12 +63,25 @@ def bare(word: str) -> str:
 
 
 def windows(word: str) -> list[str]:
+    """The word, or strings of it that fit for learning."""
     if len(word) <= WINDOW:
         return [word]
     step = WINDOW // 2
     return [word[i : i + WINDOW] for i in range(0, len(word) - step, step)]
 
 
+def all_windows(word: str, wide: int) -> list[str]:
+    """The word, or strings of it such that each run of WINDOW - 2 characters lies whole in one of WINDOW, and each of wide - 1 in one of `wide`."""
+    if len(word) <= WINDOW:
+        return [word]
+    found = {}
+    for n, step in ((WINDOW, 3), (wide, 2)):
+        last = max(0, len(word) - n)
+        for i in (*range(0, last, step), last):
+            found[word[i : i + n]] = None
+    return list(found)
+
+
 def _codes(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
     size = np.array([len(s) for s in strings], dtype=np.int64)
     width = max(1, int(size.max(initial=1)))
@@ -116,6 +132,7 @@ class ToxicityModel:
     def __init__(self, landmarks: list[str], positive: int):
         #: The first `positive` landmarks are typical of texts labelled 1.
         self.landmarks, self.positive = landmarks, positive
+        self.wide = max([WINDOW, *(2 * len(x) for x in landmarks[:positive])])
         self.own = np.sqrt(np.maximum(kernel_pairs(landmarks, landmarks), 1e-12))
         self.masks = _letters(landmarks)
         self.need = np.bitwise_count(self.masks).astype(np.int64) - np.array([SPARE_LETTERS if len(x) > 5 else 0 for x in landmarks])
@@ -148,14 +165,20 @@ class ToxicityModel:
     def decide(self, strings: list[str]) -> np.ndarray:
         """The machine's value of each word, that of its worst window. Words without the letters of any typical string have the bias."""
         out = np.full(len(strings), self.bias)
-        parts = [(k, w) for k, s in enumerate(strings) for w in windows(s) if len(w) >= ORDER]
-        if parts:
-            near = self._near([w for _, w in parts], self.positive).any(axis=1)
-            parts = [p for p, n in zip(parts, near, strict=True) if n]
+        parts = self._passing([(k, s) for k, s in enumerate(strings) if len(s) >= ORDER])
+        # A window has no letters that its word lacks, so only words that pass are cut.
+        parts = self._passing([(k, w) for k, s in parts for w in all_windows(s, self.wide)])
         if parts:
             np.maximum.at(out, np.array([k for k, _ in parts]), self.features([w for _, w in parts]) @ self.weights + self.bias)
         return out
 
+    def _passing(self, parts: list[tuple[int, str]]) -> list[tuple[int, str]]:
+        """Those whose letters could be a typical string's."""
+        if not parts:
+            return parts
+        near = self._near([w for _, w in parts], self.positive).any(axis=1)
+        return [p for p, n in zip(parts, near, strict=True) if n]
+
     def probability(self, value: np.ndarray) -> np.ndarray:
         return 1.0 / (1.0 + np.exp(-np.clip(self.slope * value + self.shift, -500, 500)))
 

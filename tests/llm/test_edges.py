@@ -486,3 +486,23 @@ def test_chunks_of_items_change_no_leak(spark, monkeypatch):
     assert sorted((r["doc_id"], r["item_id"], round(r["score"], 9)) for r in decontamination.find_leaks(docs, bench, overlap=0.2).collect()) == whole
     monkeypatch.setattr(decontamination, "CHUNK_CHARS", 400)
     assert sorted((r["doc_id"], r["item_id"], round(r["score"], 9)) for r in decontamination.find_leaks(docs, bench, overlap=0.2).collect()) == whole
+
+
+def test_long_spellings_lie_whole_in_a_window():
+    texts, labels = sample(600, 1)
+    model = toxicity.fit_texts(texts, labels)
+    spelled = "x".join("wretchling")
+    for before in range(12):
+        found = toxicity.all_windows("o" * before + spelled + "oo", model.wide)
+        assert any(spelled in w for w in found)
+        assert any("wretchling" in w for w in toxicity.all_windows("o" * before + "wretchling" + "oo", model.wide))
+    # Wherever it starts in a long word, a typical string is judged alike.
+    value = model.decide(["onre" * 5 + "thou"[:k] + "blockhead" + "thou"[k:] + "ster" * 5 for k in range(5)])
+    assert (model.probability(value) >= 0.5).all()
+
+
+def test_spelled_with_marks():
+    for t in ("an i. d. i. o. t. here", "i- d- i- o- t", "(x) i.. d.. i.. o.. t."):
+        assert "idiot" in toxicity.words_of(t)
+    for t in ("a. " * 5000 + "#", "a_ " * 5000 + "#_", "a. b" + ". " * 5000):
+        toxicity.words_of(t)
