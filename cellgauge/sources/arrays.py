@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .ranges import Ranges
+
 PACKED = "field_id string, dims array<bigint>, dtype string, values array<double>"
 #: Rows that one numbering bucket holds on average.
 BUCKET_ROWS = 1_000_000
@@ -35,22 +37,23 @@ def coordinates(dims: list[int], idx: str = "idx") -> list[Column]:
     return out + [F.expr(f"({idx} div {s[k]}) % {dims[k]}") for k in range(1, len(dims))]
 
 
-def dense_index(df: DataFrame, key: str, out: str = "idx") -> DataFrame:
-    """df with its rows numbered from 0 by a unique integer key, without one task for all rows.
+def dense_index(df: DataFrame, key: str, out: str = "idx", by: list[str] | None = None) -> DataFrame:
+    """df with its rows numbered from 0 by an integer key, within each group of `by`, without one task for all rows.
 
-    Keys are cut into ranges of equal width; rows are numbered within each, and the ranges' counts,
-    a small table, give the offsets.
+    Null keys come first; rows with equal keys are numbered by a hash of all their columns. Rows are
+    numbered within buckets of rising keys, and the buckets' counts, a small table, give the offsets.
     """
-    lo, hi, n = df.agg(F.min(key), F.max(key), F.count(key)).first()
-    if n == 0:
-        return df.withColumn(out, F.lit(0).cast("bigint"))
-    width = max(1, (hi - lo + 1) * BUCKET_ROWS // n)
-    df = df.withColumn("_bucket", F.expr(f"({key} - {lo}) div {width}"))
-    counts = df.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select("_bucket", F.coalesce(before, F.lit(0)).alias("_before"))
-    w = Window.partitionBy("_bucket").orderBy(key)
-    return df.join(offsets, "_bucket").withColumn(out, F.row_number().over(w) - 1 + F.col("_before")).drop("_bucket", "_before")
+    by = by or []
+    tie, bucket, before = "_tie", "_bucket", "_before"
+    df = df.withColumn(tie, F.xxhash64(*df.columns))
+    df = df.withColumn(bucket, Ranges(df, key, BUCKET_ROWS).bucket(key, tie))
+    counts = df.groupBy(*by, bucket).agg(F.count("*").alias("_n"))
+    running = F.sum("_n").over(Window.partitionBy(*by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select(*by, bucket, F.coalesce(running, F.lit(0)).alias(before))
+    w = Window.partitionBy(*by, bucket).orderBy(F.col(key).asc_nulls_first(), tie)
+    numbered = df.withColumn(out, F.row_number().over(w) - 1)
+    joined = numbered.alias("a").join(offsets.alias("b"), [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*by, bucket)])
+    return joined.select(*[F.col(f"a.{c}") for c in numbered.columns if c not in (tie, bucket, out)], (F.col(f"a.{out}") + F.col(before)).cast("bigint").alias(out))
 
 
 # --- views of the driver's tables ------------------------------------------------------------------
@@ -67,8 +70,8 @@ def emb1d(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def evt1d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("event_type").orderBy("event_id")
-    return table(spark, sf_dir, "events").select(F.col("event_type").alias("field_id"), (F.row_number().over(w) - 1).cast("bigint").alias("idx"), F.col("value").alias("v"))
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("field_id"), "event_id", F.col("value").alias("v"))
+    return dense_index(e, "event_id", by=["field_id"]).select("field_id", "idx", "v")
 
 
 def evt3d(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,11 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cellgauge.operators import closedloop, codecs, codes, learning, neighbours, sampling, studies, tiles
 from cellgauge.sources import arrays
+from cellgauge.sources.ranges import Ranges
 
 
 def cells(spark, x, name="x"):
@@ -216,3 +218,25 @@ def test_mahalanobis(spark):
         return np.einsum("ij,jk,ik->i", e, np.linalg.inv(np.cov(q.T)), e).mean()
 
     assert got["a", "b"] == pytest.approx((one(a, b) + one(b, a)) / 2)
+
+
+@pytest.mark.parametrize("kind", ["spread", "clumped", "hot", "null", "tiny"])
+def test_dense_index_with_null_hot_and_clumped_keys(spark, monkeypatch, kind):
+    """Every row is numbered once, from 0, nulls first and keys rising, whatever the keys; no bucket is large."""
+    monkeypatch.setattr(arrays, "BUCKET_ROWS", 40)
+    keys = {"spread": [7 * i for i in range(1000)], "clumped": [i for i in range(900)] + [10**12 + i for i in range(100)], "hot": [5] * 600 + list(range(400)), "null": [None] * 500 + list(range(500)), "tiny": [None, 3, None]}[kind]
+    df = spark.createDataFrame([(k, i, "ab"[i % 2]) for i, k in enumerate(keys)], "k bigint, row int, g string").repartition(3)
+    got = sorted(((r["idx"], r["k"], r["row"]) for r in arrays.dense_index(df, "k").collect()), key=lambda r: r[0])
+    assert [r[0] for r in got] == list(range(len(keys)))
+    assert [r[1] for r in got] == sorted(keys, key=lambda k: (k is not None, k or 0))
+    assert len({r[2] for r in got}) == len(keys)
+    by = arrays.dense_index(df, "k", by=["g"]).collect()
+    for g in "ab":
+        mine = sorted((r for r in by if r["g"] == g), key=lambda r: r["idx"])
+        assert [r["idx"] for r in mine] == list(range(len(mine)))
+        assert [r["k"] for r in mine] == sorted((r["k"] for r in mine), key=lambda k: (k is not None, k or 0))
+    tied = df.withColumn("t", F.xxhash64("k", "row"))
+    largest = tied.groupBy(Ranges(tied, "k", 40).bucket("k", "t").alias("b")).count().agg(F.max("count")).first()[0]
+    assert largest <= 160
+    with pytest.raises(TypeError):
+        arrays.dense_index(df, "g")
