@@ -10,6 +10,8 @@ becomes backslash-n. After that no text holds `<|`, and every backslash starts o
 Null roles and texts are empty. Turns are ordered by turn (nulls first), then role, then text,
 so ties and repeated rows have one order. A null conversation id is a conversation of its own.
 A conversation is one output row, so its rows do meet in one task.
+An empty table gives an empty one. Columns that an operator adds (`layout`, `turns`, `formatted`,
+`loss_spans`) replace those of the same name; others of the table stay as they are.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import free
+
 START, END = "<|im_start|>", "<|im_end|>"
 TURNS = "array<struct<role:string,text:string>>"
 
@@ -171,10 +175,11 @@ def unescape_role(role: Column) -> Column:
 def render(df: DataFrame) -> DataFrame:
     """Adds `formatted` and `loss_spans`: (start, length) in code points of each assistant text, from 0."""
     pieces = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), F.concat(F.lit(START), escape_role(t["role"]), F.lit("\n")).alias("head"), escape(t["text"]).alias("body")))
-    df = df.withColumn("_pieces", pieces)
+    held = free(df, "_pieces")
+    df = df.withColumn(held, pieces)
     tail = len(END) + 1
     ends = F.aggregate(
-        "_pieces",
+        held,
         F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans")),
         lambda acc, p: F.struct(
             (acc["at"] + F.length(p["head"]) + F.length(p["body"]) + tail).alias("at"),
@@ -182,8 +187,8 @@ def render(df: DataFrame) -> DataFrame:
         ),
         lambda acc: acc["spans"],
     )
-    text = F.array_join(F.transform("_pieces", lambda p: F.concat(p["head"], p["body"], F.lit(END + "\n"))), "")
-    return df.withColumn("formatted", text).withColumn("loss_spans", ends).drop("_pieces")
+    text = F.array_join(F.transform(held, lambda p: F.concat(p["head"], p["body"], F.lit(END + "\n"))), "")
+    return df.withColumn("formatted", text).withColumn("loss_spans", ends).drop(held)
 
 
 def read_back(formatted: Column) -> Column:

@@ -93,13 +93,13 @@ with c as (
 ), f as (
   select source, k, sum(p) over (partition by source order by k) as cdf from p
 ), u as (
-  select row_id, doc_id, source, i, ('0x' || substr(md5('17:' || coalesce(doc_id::varchar, '') || ':' || i), 1, 13))::bigint / 4503599627370496.0::double as u
-  from (select rowid as row_id, doc_id, d.source, unnest(range(1, pieces + 1)) as i from (select row_number() over () as rowid, * from documents) d join m on d.source is not distinct from m.source)
+  select row_id, doc_id, source, i, ('0x' || substr(md5('17:' || coalesce(doc_id::varchar, 'text:' || md5(coalesce(text, ''))) || ':' || i), 1, 13))::bigint / 4503599627370496.0::double as u
+  from (select rowid as row_id, doc_id, d.text, d.source, unnest(range(1, pieces + 1)) as i from (select row_number() over () as rowid, * from documents) d join m on d.source is not distinct from m.source)
 ), n as (
   select row_id, sum((select count(*) from f where f.source is not distinct from u.source and f.cdf <= u.u))::int as n_copies from u group by row_id
 )
 select doc_id, d.source, text, round(rate, 6) as rate, n_copies, copy,
-       substr(md5('order:17:' || coalesce(doc_id::varchar, '') || ':' || copy), 1, 16) as position
+       substr(md5('order:17:' || coalesce(doc_id::varchar, 'text:' || md5(coalesce(text, ''))) || ':' || copy), 1, 16) as position
 from (select x.*, n_copies, unnest(range(0, n_copies)) as copy from (select row_number() over () as row_id, * from documents) x join n using (row_id)) d
 join m on d.source is not distinct from m.source
 """

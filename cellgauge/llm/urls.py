@@ -112,7 +112,7 @@ def _by_join(df: DataFrame, url: str, rules: DataFrame, default: str) -> DataFra
     rest = F.when(F.instr(url, "://") > 0, F.expr(f"substring(`{url}`, instr(`{url}`, '://') + 3)")).otherwise("")
     head = F.regexp_extract(rest, r"(?s)^([^?#]*)", 1)
     host = F.translate(F.regexp_extract(head, r"(?s)^([^/]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    urls = df.select(F.col(url).alias("_u")).distinct().withColumnRenamed("_u", url).select(F.col(url).alias("_u"), host.alias("_h"), F.expr("''").alias("_x"), F.regexp_extract(head, r"(?s)^[^/]*(.*)$", 1).alias("_p"))
+    urls = df.select(F.col(url).alias("_u")).distinct().withColumnRenamed("_u", url).select(F.col(url).alias("_u"), host.alias("_h"), F.regexp_extract(head, r"(?s)^[^/]*(.*)$", 1).alias("_p"))
     labels = F.split("_h", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     r = rules.select(F.lower("host").alias("_rh"), F.col("path").alias("_rp"), F.col("action").alias("_ra"))
