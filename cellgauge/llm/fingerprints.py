@@ -9,6 +9,9 @@ bytes, corrected for those that agree by chance: (p - 1/256) / (1 - 1/256), not
 Words are runs of anything but ASCII white space, lower-cased. A text of one to four words is one
 shingle. A null, empty or blank text has the empty string as its fingerprint: likeness 1 to
 another such, else 0. Everything is a DataFrame expression, so whole texts stay in the JVM.
+
+An empty table gives an empty one; repeated rows and rows without an id are documents like others;
+the column that is added replaces one of its name, and any others may be there. Ids are integers.
 """
 
 from __future__ import annotations
@@ -18,14 +21,19 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.ranges import Ranges
+from .common import free
+
 BINS = 256
 #: Bins probed one after the other before the rest are ranked at once; both give the same bin.
 PROBES = 8
-#: Text bytes that one task sorts to find each row's successor, and the most intervals of ids cut.
-BUCKET_BYTES = 8 << 20
-INTERVALS = 256
-#: Buckets whose bounds are broadcast at most, 24 bytes each.
+#: Text bytes that one task sorts to find each row's successor; more where there would be too many buckets to send.
+BUCKET_BYTES = 4 << 20
+INTERVALS = 1024
+#: Buckets whose bounds are sent to the rows at most, 40 bytes each.
 SENT_BUCKETS = 500_000
+#: The bits of a hash below those that choose its bin.
+BELOW = (1 << 56) - 1
 
 
 def _seeds() -> list[int]:
@@ -51,26 +59,30 @@ def shingle_hashes(h: Column, k: int) -> Column:
 
 def with_signature(df: DataFrame, text: str, out: str, k: int = 5) -> DataFrame:
     """df and, as array<tinyint> `out`, the densified low-order bytes; null if the text has no words."""
-    df = df.withColumn("_h", word_hashes(F.col(text)))
-    df = df.withColumn("_s", F.sort_array(shingle_hashes(F.col("_h"), k)))
-    s = F.col("_s")
+    h, s, d, b = (free(df, c) for c in ("_h", "_s", "_d", "_b"))
+    df = df.withColumn(h, word_hashes(F.col(text)))
+    # A greatest value for each bin joins the shingles, so every bin has a first value in the sorted hashes; alone it says that the bin is empty.
+    ends = F.array(*[F.lit((i << 56 | BELOW) - (i >> 7 << 64)) for i in range(BINS)])
+    df = df.withColumn(s, F.sort_array(F.concat(shingle_hashes(F.col(h), k), ends)))
     top = lambda x: F.shiftrightunsigned(x, 56)
-    df = df.withColumn("_m", F.filter(s, lambda x, i: (i == 0) | (top(x) != top(F.get(s, i - 1)))))
-    df = df.withColumn("_b", F.transform("_m", lambda x: top(x).cast("int")))
-    m, b = F.col("_m"), F.col("_b")
-    df = df.withColumn("_d", F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda i: F.get(m, F.array_position(b, i).cast("int") - 1).bitwiseAND(255).cast("int")))
-    d = F.col("_d")
+    least = F.filter(F.col(s), lambda x, i: (i == 0) | (top(x) != top(F.get(F.col(s), i - 1))))
+    # In the order of signed numbers, so bin i stands at place(i).
+    place = lambda i: (i + BINS // 2).bitwiseAND(BINS - 1)
+    df = df.withColumn(d, F.transform(least, lambda x: F.when(x.bitwiseAND(BELOW) != BELOW, x.bitwiseAND(255).cast("int"))))
+    low = lambda i: F.get(F.col(d), place(i))
+    bins = F.sequence(F.lit(0), F.lit(BINS - 1))
+    df = df.withColumn(b, F.when(F.exists(F.col(d), lambda v: v.isNull()), F.filter(bins, lambda i: low(i).isNotNull())))
     seeds = F.array(*[F.lit(x) for x in _seeds()])
 
     def borrowed(seed: Column) -> Column:
         start, step, inverse = seed.bitwiseAND(255), F.shiftright(seed, 8).bitwiseAND(255), F.shiftright(seed, 16)
-        near = [F.get(d, (start + step * t).bitwiseAND(BINS - 1)) for t in range(PROBES)]
-        rank = F.transform(b, lambda x: ((x - start + BINS) * inverse).bitwiseAND(BINS - 1) * BINS + x)
-        return F.coalesce(*near, F.get(d, F.array_min(rank).bitwiseAND(BINS - 1)))
+        near = [low((start + step * t).bitwiseAND(BINS - 1)) for t in range(PROBES)]
+        rank = F.transform(F.col(b), lambda x: ((x - start + BINS) * inverse).bitwiseAND(BINS - 1) * BINS + x)
+        return F.coalesce(*near, low(F.array_min(rank).bitwiseAND(BINS - 1)))
 
-    full = F.transform(d, lambda v, i: F.coalesce(v, F.get(F.transform(F.array(F.get(seeds, i)), borrowed), F.lit(0))))
-    signature = F.when(F.size(m) > 0, F.when(F.size(m) == BINS, d).otherwise(full))
-    return df.withColumn(out, F.transform(signature, lambda v: (v - 128).cast("tinyint"))).drop("_h", "_s", "_m", "_b", "_d")
+    own = lambda i: F.coalesce(low(i), F.get(F.transform(F.array(F.get(seeds, i)), borrowed), F.lit(0)))
+    signature = F.when(F.size(h) > 0, F.transform(bins, lambda i: (own(i) - 128).cast("tinyint")))
+    return df.withColumn(out, signature).drop(h, s, d, b)
 
 
 def packed(signature: Column) -> Column:
@@ -94,67 +106,46 @@ def unpack(fingerprint: Column) -> Column:
 
 def fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint", k: int = 5) -> DataFrame:
     """df and `out`, each row's packed fingerprint."""
-    return with_signature(df, text, "_sig", k).withColumn(out, packed(F.col("_sig"))).drop("_sig")
+    sig = free(df, "_sig")
+    return with_signature(df, text, sig, k).withColumn(out, packed(F.col(sig))).drop(sig)
 
 
-def _buckets(df: DataFrame, key: str, size: Column) -> tuple[Column, int]:
-    """An int for each row that rises with key and whose rows hold about BUCKET_BYTES, -1 for null keys; and how many there are at most.
+def with_next(df: DataFrame, key: str, text: str, carry: list[str], prepare=lambda df: df) -> DataFrame:
+    """df and `next_<c>` for each c in carry: the value in the next row, after the last row the first's.
 
-    The cuts are quantiles of the ids, INTERVALS at most, each split evenly by value; only they
-    come to the driver.
-    """
-    row = df.agg(F.percentile_approx(key, [i / INTERVALS for i in range(INTERVALS + 1)], 10_000).alias("q"), F.sum(size).alias("n")).first()
-    if not row["q"]:
-        return F.lit(-1), 1
-    cuts = sorted(set(row["q"]))
-    need = int((row["n"] or 0) // BUCKET_BYTES) + 1
-    kept = cuts[:: max(1, len(cuts) // need)] if need < len(cuts) else cuts
-    parts = -(-need // len(kept))
-    if parts == 1:
-        lows = F.array(*[F.lit(int(c)) for c in kept[1:]]).cast("array<bigint>")
-        return F.when(F.col(key).isNull(), F.lit(-1)).otherwise(F.size(F.filter(lows, lambda c: c <= F.col(key)))), len(kept) + 1
-    edges = [*kept, max(cuts[-1] + 1, kept[-1] + 1)]
-    lows = F.array(*[F.lit(int(c)) for c in edges]).cast("array<bigint>")
-    i = F.greatest(F.lit(0), F.least(F.lit(len(kept) - 1), F.size(F.filter(lows, lambda c: c <= F.col(key))) - 1))
-    lo, hi = F.get(lows, i), F.get(lows, i + 1)
-    inside = F.floor((F.col(key) - lo) * F.lit(float(parts)) / (hi - lo)).cast("int")
-    return F.when(F.col(key).isNull(), F.lit(-1)).otherwise(i * parts + F.greatest(F.lit(0), F.least(F.lit(parts - 1), inside))), len(kept) * parts + 1
-
-
-def with_next(df: DataFrame, key: str, order: list[str], carry: list[str], size: Column, prepare=lambda df: df) -> DataFrame:
-    """df and `next_<c>` for each c in carry: the value in the next row by key and order, after the last row the first's.
-
-    Rows are dealt into buckets of rising keys; each bucket also gets a copy of the first row of
-    the next one, so no task sees more than its bucket. The buckets' bounds are a table with one
-    row for each bucket, sent to the rows if there are few. prepare adds columns to carry to the
-    dealt rows, before they move.
+    Rows are ordered by key, nulls first, then by a hash of the text, then by the text. They are dealt
+    into buckets of rising keys and hashes; each bucket also gets a copy of the first row of the next
+    one, so no task sees more than its bucket, and a key with any share of the rows is split. The
+    buckets' first rows, one small row each, are sent to the rows. prepare adds columns to carry to the
+    dealt rows, once they have moved.
     """
-    bucket, n = _buckets(df, key, size)
-    df = df.withColumn("_bucket", bucket)
-    first = df.groupBy("_bucket").agg(F.min(key).alias("_min"))
-    w = Window.orderBy("_bucket")
-    ring = first.select("_bucket", "_min", F.coalesce(F.lag("_bucket").over(w), F.last("_bucket").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("_to"))
-    ring = ring.select(F.col("_bucket").alias("_from"), "_min", "_to")
-    ring = F.broadcast(ring) if n <= SENT_BUCKETS else ring
-    ring = F.broadcast(ring) if n <= SENT_BUCKETS else ring
-    heads = df.join(ring, (F.col("_bucket") == F.col("_from")) & F.col(key).eqNullSafe(F.col("_min"))).withColumn("_bucket", F.col("_to")).drop("_from", "_min", "_to")
-    both = prepare(df.withColumn("_copy", F.lit(False)).unionByName(heads.withColumn("_copy", F.lit(True))))
-    w = Window.partitionBy("_bucket").orderBy("_copy", F.col(key).asc_nulls_first(), *[F.col(o).asc_nulls_first() for o in order])
-    out = both
-    for c in carry:
-        out = out.withColumn(f"next_{c}", F.lead(c).over(w))
-    return out.where(~F.col("_copy")).drop("_copy", "_bucket")
+    tie, own, copy, least, source, to = (free(df, c) for c in ("_tie", "_bucket", "_copy", "_least", "_from", "_to"))
+    df = df.withColumn(tie, F.xxhash64(text))
+    ranges = Ranges(df, key, BUCKET_BYTES, F.octet_length(text).cast("bigint"), INTERVALS, SENT_BUCKETS)
+    df = df.withColumn(own, ranges.bucket(key, tie))
+    first = df.groupBy(F.col(own).alias(source)).agg(F.min(F.struct(key, tie)).alias(least))
+    w = Window.orderBy(source)
+    ring = first.select(source, least, F.coalesce(F.lag(source).over(w), F.last(source).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias(to))
+    found = df.join(F.broadcast(ring), (F.col(own) == F.col(source)) & F.struct(key, tie).eqNullSafe(F.col(least)))
+    # Rows of one key and hash are copies of each other, however many: one is enough.
+    rest = [c for c in df.columns if c not in (key, tie, text, own)]
+    heads = found.groupBy(to).agg(F.min(F.struct(key, tie, text, *rest)).alias(least)).select(f"{least}.*", F.col(to).alias(own)).select(*df.columns)
+    both = df.withColumn(copy, F.lit(False)).unionByName(heads.withColumn(copy, F.lit(True)))
+    both = prepare(both.repartition(own))
+    w = Window.partitionBy(own).orderBy(copy, F.col(key).asc_nulls_first(), tie, text)
+    out = both.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in carry])
+    return out.where(~F.col(copy)).drop(copy, own, tie)
 
 
 def edited_neighbours(docs: DataFrame, k: int = 5) -> DataFrame:
     """Fingerprints of each text and of its edited text, and their likeness; docs has doc_id and text.
 
     Edited: the last floor(n_chars / 2) code points give way to the first as many (or all) of the
-    next document by doc_id, then text; the last document is followed by the first, and a lone one
-    by itself. Rows with a null doc_id come first. Repeated rows are documents like any others.
+    next document by doc_id; the last document is followed by the first, and a lone one by itself.
+    Rows with a null doc_id come first; rows of one doc_id lie in order of a hash of their texts.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    docs = with_next(docs, "doc_id", ["text"], ["text", "sig"], F.octet_length("text"), lambda d: with_signature(d, "text", "sig", k))
+    docs = with_next(docs, "doc_id", "text", ["text", "sig"], lambda d: with_signature(d, "text", "sig", k))
     half = F.floor(F.length("text") / 2).cast("int")
     docs = docs.withColumn("n_chars", F.length("text").cast("bigint"))
     docs = docs.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next_text", F.lit(1), half))).drop("text", "next_text")

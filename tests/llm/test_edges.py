@@ -506,3 +506,26 @@ def test_spelled_with_marks():
         assert "idiot" in toxicity.words_of(t)
     for t in ("a. " * 5000 + "#", "a_ " * 5000 + "#_", "a. b" + ". " * 5000):
         toxicity.words_of(t)
+
+
+@pytest.mark.parametrize("kind", ["null", "hot", "clumped"])
+def test_next_document_with_null_hot_and_clumped_ids(spark, monkeypatch, kind):
+    """A third of the rows without an id, or with one id, or ids close together: the ring of texts is whole, no bucket is large."""
+    monkeypatch.setattr(fingerprints, "BUCKET_BYTES", 200)
+    ids = {"null": [None] * 100 + list(range(200)), "hot": [7] * 100 + list(range(200)), "clumped": list(range(280)) + [10**15 + i for i in range(20)]}[kind]
+    rows = [(d, f"text {i} " + "w " * (i % 5)) for i, d in enumerate(ids)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    out = fingerprints.with_next(df.withColumn("_tie", F.lit(1)), "doc_id", "text", ["text", "doc_id"]).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in out if r["doc_id"] is not None) == sorted(r for r in rows if r[0] is not None)
+    to = {(r["doc_id"], r["text"]): (r["next_doc_id"], r["next_text"]) for r in out}
+    assert len(to) == len(rows) == len(set(to.values()))
+    at, seen = (rows[0][0], rows[0][1]), []
+    for _ in rows:
+        seen.append(at)
+        at = to[at]
+    assert len(set(seen)) == len(rows) and at == seen[0]
+    key = [(d is not None, d or 0) for d, _ in seen]
+    turn = min(range(len(key)), key=lambda i: (key[i], key[i - 1] <= key[i]))
+    assert key[turn:] + key[:turn] == sorted(key)
+    with pytest.raises(TypeError):
+        fingerprints.with_next(df.withColumn("doc_id", F.col("doc_id").cast("string")), "doc_id", "text", ["text"])
