@@ -10,6 +10,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 WS_BYTES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
@@ -77,6 +78,29 @@ def free(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Keys that join_hot() sends at most, and rows of a key from which on it does.
+HOT_KEYS = 200_000
+HOT_ROWS = 1_000
+
+
+def join_hot(rows: DataFrame, per_key: DataFrame, key: str, count: str, total: int, how: str = "inner") -> DataFrame:
+    """rows and the columns of per_key, a table with one row for each key, by key.
+
+    count: the column of per_key (left out of the result) with the rows that have the key; total: about
+    how many rows there are. Keys with many rows, HOT_KEYS at most, are sent to the rows, so none of
+    them is one task's work; the others are joined. rows is read twice.
+    """
+    most = max(HOT_ROWS, total // HOT_KEYS)
+    given = [c for c in per_key.columns if c not in (key, count)]
+    mark = free(rows, "_hot")
+    sent = [free(rows, f"_hot_{c}") for c in given]
+    hot = per_key.where(F.col(count) > most).select(F.col(key).alias(mark), *[F.col(c).alias(x) for c, x in zip(given, sent, strict=True)])
+    both = rows.join(F.broadcast(hot), rows[key] == hot[mark], "left")
+    few = both.where(F.col(mark).isNull()).drop(mark, *sent).join(per_key.where(F.col(count) <= most).drop(count), key, how)
+    many = both.where(F.col(mark).isNotNull()).drop(mark).withColumnsRenamed(dict(zip(sent, given, strict=True)))
+    return few.unionByName(many)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer: every input bit reaches every output bit."""
     x = x.astype(np.uint64, copy=True)

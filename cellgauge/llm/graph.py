@@ -1,7 +1,8 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
 Every round is a few shuffles with partial aggregation and is written to the shared folder; nothing
-but two numbers per round reaches the driver.
+but two numbers per round reaches the driver. A node with many edges, the centre of a star, isn't one
+join key: the few nodes that have more than a share of the edges are sent to the edges instead.
 """
 
 from __future__ import annotations
@@ -9,8 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
-
+from .common import discard, join_hot, materialize
 
 EDGES_PER_FILE = 500_000
 
@@ -25,21 +25,29 @@ def _files(rows: int) -> int:
     return max(8, rows // EDGES_PER_FILE)
 
 
+def _with_least(edges: DataFrame, rows: int) -> DataFrame:
+    """edges (u, v), rows of them at most, with m, the least v of each u."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_n"))
+    return join_hot(edges, least, "u", "_n", rows)
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node and label, the least node of its component, for each node that has an edge to another.
 
-    edges is read twice, so it should be a written table.
+    edges is read twice, so it should be a written table. No edges give no rows; repeated edges and
+    edges from a node to itself change nothing.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     e = materialize(e.coalesce(_files(edges.count())), "edges")
     before = _state(e)
     while before[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        new = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+        # Large star: each larger neighbour of u meets the least of u and its neighbours.
+        to = F.least("u", "m")
+        large = _with_least(both, 2 * before[0]).where((F.col("v") > F.col("u")) & (F.col("v") != to)).select(F.col("v").alias("u"), to.alias("v")).distinct()
+        # Small star: u and its smaller neighbours meet the least of them.
+        small = _with_least(large, 2 * before[0])
+        new = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(small.select("u", F.col("m").alias("v"))).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         new = materialize(new.coalesce(_files(before[0])), "edges")
         after = _state(new)
         discard(e)
@@ -47,4 +55,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         if after == before:
             break
         before = after
-    return e.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+    out = e.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+    out._cellgauge_path = e._cellgauge_path
+    return out

@@ -20,10 +20,15 @@ all pairs of a class.
 4. A class larger than a block is first joined block by block, each with the same few pivots. Only
    sets that are then still in different classes meet, in pairs of blocks.
 
+Keys that many sets of a map task share, such as those of a passage that a third of all documents
+hold, are dealt out under a key of their own for each run of sets, of which one set goes on under the
+common key: no task gathers all sets of a key, and no connection is lost.
+
 Equal sets are one set throughout. Words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased; fewer than
 k words are one shingle; a null or blank text has an empty set and is alone in its class. Rows with
 a null doc_id take part; a class of only such rows has a null id. Repeated rows each get a row.
-Sets and shingles are compared by 64-bit hashes.
+Sets and shingles are compared by 64-bit hashes. An empty table gives an empty one; other columns of
+the table, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -36,16 +41,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, as_long, discard, documents_words, materialize, mix64, shingles
+from .common import WordHasher, as_long, discard, documents_words, join_hot, materialize, mix64, shingles
 from .graph import connected_components
 
 LEAF = 16
 #: Shingles, and sets, that one block holds; and the pivots that each block of a class shares.
 BLOCK_SHINGLES = 12_000_000
-BLOCK_SETS = 12_000
+BLOCK_SETS = 4_000
 PIVOTS = 64
+#: Keys that one task holds before it sends them, and sets of such a run under one key from which on they get a key of their own.
+HELD_KEYS = 200_000
+MANY = 16
 
-_K1, _K2, _K3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
+_K1, _K2, _K3, _K4 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 
 
 class Plan:
@@ -169,7 +177,7 @@ class CountTree:
             small, large = min(lo[i], lo[j]), max(lo[i], lo[j])
             if i != j and (plan.least_partner(int(large)) > (up[i] if lo[i] < lo[j] else up[j])):
                 continue
-            if np.minimum(hi[i], hi[j]).sum() < plan.overlap(int(small), int(max(small, min(large, up[i], up[j])))):
+            if np.minimum(hi[i], hi[j]).sum(dtype=np.int64) < plan.overlap(int(small), int(max(small, min(large, up[i], up[j])))):
                 continue
             if level == 0:
                 yield i, j
@@ -211,7 +219,9 @@ def join_block(plan: Plan, sets: list[np.ndarray], start: list[int] | None = Non
             classes.union(first.setdefault(s, k), k)
     sizes = np.array([len(s) for s in sets])
     dims = max(64, min(4096, 1 << (int(sizes.max()) // 4).bit_length()))
-    counts = np.stack([np.bincount((s % np.uint64(dims)).astype(np.int64), minlength=dims).astype(np.int32) for s in sets])
+    counts = np.empty((n, dims), dtype=np.uint16 if sizes.max() < 1 << 16 else np.int32)
+    for k, s in enumerate(sets):
+        counts[k] = np.bincount((s % np.uint64(dims)).astype(np.int64), minlength=dims)
     tree = CountTree(counts, sizes)
     links = []
     for i, j in tree.leaf_pairs(plan):
@@ -219,7 +229,7 @@ def join_block(plan: Plan, sets: list[np.ndarray], start: list[int] | None = Non
         ra, rb = np.array([classes.find(int(x)) for x in a]), np.array([classes.find(int(x)) for x in b])
         if (ra == ra[0]).all() and (rb == ra[0]).all():
             continue
-        bound = np.minimum(counts[a][:, None, :], counts[b][None, :, :]).sum(axis=2)
+        bound = np.minimum(counts[a][:, None, :], counts[b][None, :, :]).sum(axis=2, dtype=np.int64)
         both = sizes[a][:, None] + sizes[b][None, :]
         fits = (bound * (plan.den + plan.num) >= plan.num * both) & (ra[:, None] != rb[None, :])
         for x, y in zip(*np.nonzero(fits), strict=True):
@@ -277,17 +287,30 @@ def _dealt_keys(docs: DataFrame, plan: Plan, text: str) -> DataFrame:
                     keys.append(k)
                     ids.append(np.full(len(k), node(i, band)))
                     held += len(k)
-                if held > 200_000:
-                    yield _two("key", keys, "node", ids)
+                if held > HELD_KEYS:
+                    yield _keys_of_run(keys, ids)
                     keys, ids, held = [], [], 0
             if keys:
-                yield _two("key", keys, "node", ids)
+                yield _keys_of_run(keys, ids)
 
     return docs.select(text).mapInArrow(emit, "key bigint, node bigint")
 
 
-def _two(a: str, x: list, b: str, y: list) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(as_long(np.concatenate(x))), pa.array(as_long(np.concatenate(y)))], names=[a, b])
+def _keys_of_run(keys: list[np.ndarray], ids: list[np.ndarray]) -> pa.RecordBatch:
+    """Keys and nodes; where MANY nodes or more have a key, they have one of the run instead, and the least of them also has the key itself."""
+    key, node_ = as_long(np.concatenate(keys)), as_long(np.concatenate(ids))
+    order = np.lexsort((node_, key))
+    key, node_ = key[order], node_[order]
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    size = np.diff(np.concatenate((first, [len(key)])))
+    lead = first[size >= MANY]
+    if len(lead):
+        many = np.repeat(size >= MANY, size)
+        # The run's key follows from its content, so a task that is run again sends the same.
+        run = mix64(np.array([int(np.add.reduce(mix64(node_.view(np.uint64))))], dtype=np.uint64))[0]
+        own = as_long(mix64((key.view(np.uint64) ^ _K4) + run))
+        key, node_ = np.concatenate((np.where(many, own, key), key[lead])), np.concatenate((node_, node_[lead]))
+    return pa.record_batch([pa.array(key), pa.array(node_)], names=["key", "node"])
 
 
 def candidate_stars(docs: DataFrame, plan: Plan, text: str = "text") -> DataFrame:
@@ -348,11 +371,15 @@ def _share(x):
 
 def classes_of_sets(docs: DataFrame, sets: DataFrame, plan: Plan, key: str = "doc_id", text: str = "text", block_shingles: int = BLOCK_SHINGLES, block_sets: int = BLOCK_SETS) -> DataFrame:
     """set_id and label of each set that links to another; sets: the written table of shingle_sets()."""
-    found = connected_components(materialize(candidate_stars(docs, plan, text), "stars", release=True))
+    stars = materialize(candidate_stars(docs, plan, text), "stars", release=True)
+    found = connected_components(stars)
+    discard(stars)
     # One row of each member set stands for it.
     stand = sets.where("set_id is not null").groupBy("set_id").agg(F.min("key").alias("_key"), F.max("n_shingles").alias("n"), F.first("nodes").alias("nodes"))
     nodes = stand.select("set_id", "_key", "n", F.explode("nodes").alias("node"))
     members = materialize(nodes.join(found.withColumnRenamed("label", "cand"), "node").drop("node"), "members")
+    members_table = members
+    discard(found)
     weight = members.groupBy("cand").agg(F.sum("n").alias("w"), F.count("*").alias("c"))
     weight = weight.select("cand", "w", F.greatest(F.ceil(F.col("w") / block_shingles), F.ceil(F.col("c") / block_sets)).cast("int").alias("nb"), "c")
     members = members.join(weight, "cand")
@@ -363,23 +390,29 @@ def classes_of_sets(docs: DataFrame, sets: DataFrame, plan: Plan, key: str = "do
     texts = _with_text(docs, spread.select("_key", "cand", "set_id", block.alias("block"), ((F.col("nb") > 1) & (F.col("part") == own)).alias("big"), F.lit(None).cast("bigint").alias("start")), key, text)
     big = members.where("nb > 1").select("set_id", "cand", "n")
     if not big.limit(1).count():
-        return _labels(materialize(_join_blocks(texts, plan), "links", release=True))
+        links = materialize(_join_blocks(texts, plan), "links", release=True)
+        discard(members_table)
+        return _labels(links)
     # The members' texts are needed again, so they are kept; the corpus is dealt out once.
     texts = materialize(texts, "texts", release=True)
     links = materialize(_join_blocks(texts, plan), "links")
     links = _across_blocks(texts.where("big").select("cand", "set_id", "_text"), big, links, plan, block_shingles)
-    discard(texts)
+    discard(texts, members_table)
     return _labels(links)
 
 
 def _labels(links: DataFrame) -> DataFrame:
-    return connected_components(links).select(F.col("node").alias("set_id"), "label")
+    found = connected_components(links)
+    discard(links)
+    out = found.select(F.col("node").alias("set_id"), "label")
+    out._cellgauge_path = found._cellgauge_path
+    return out
 
 
 def _across_blocks(texts: DataFrame, big: DataFrame, links: DataFrame, plan: Plan, block_shingles: int) -> DataFrame:
     """links and those between sets of one large candidate class that are still in different classes."""
-    labels = connected_components(links.join(big.select(F.col("set_id").alias("a")), "a", "left_semi")).withColumnRenamed("node", "set_id")
-    rows = big.join(labels, "set_id", "left").withColumn("start", F.coalesce("label", "set_id")).drop("label")
+    labels = connected_components(links.join(big.select(F.col("set_id").alias("a")), "a", "left_semi"))
+    rows = big.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("start", F.coalesce("label", "set_id")).drop("label")
     size = rows.groupBy("cand", "start").agg(F.sum("n").alias("w"))
     split = size.groupBy("cand").agg(F.count("*").alias("k"), F.sum(F.when(F.col("w") <= block_shingles / 4, F.col("w")).otherwise(0)).alias("ws")).where("k > 1")
     rows = rows.join(size, ["cand", "start"]).join(split, "cand")
@@ -387,11 +420,14 @@ def _across_blocks(texts: DataFrame, big: DataFrame, links: DataFrame, plan: Pla
     pure = F.col("w") > block_shingles / 4
     unit = F.when(pure, F.concat(F.lit("L"), F.col("start"), F.lit("/"), F.pmod(F.xxhash64("set_id"), F.ceil(F.col("w") / half).cast("bigint")))).otherwise(F.concat(F.lit("S"), F.pmod(F.xxhash64("start"), F.ceil(F.col("ws") / half).cast("bigint"))))
     rows = materialize(rows.select("cand", "set_id", "start", unit.alias("unit"), F.when(pure, F.col("start")).alias("only")), "units")
+    discard(labels)
     units = rows.groupBy("cand").agg(F.collect_set(F.struct("unit", "only")).alias("units"))
     pairs = rows.join(units, "cand").withColumn("other", F.explode("units")).where(~F.coalesce(F.col("only") == F.col("other.only"), F.lit(False)))
     block = F.concat_ws("|", F.col("cand").cast("string"), F.least("unit", "other.unit"), F.greatest("unit", "other.unit"))
     more = _join_blocks(pairs.select("cand", "set_id", block.alias("block"), "start").join(texts, ["cand", "set_id"]), plan)
-    return materialize(links.unionByName(more), "links")
+    out = materialize(links.unionByName(more), "links")
+    discard(links, rows)
+    return out
 
 
 def _with_text(docs: DataFrame, rows: DataFrame, key: str, text: str) -> DataFrame:
@@ -407,7 +443,7 @@ def components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, key:
     labels = classes_of_sets(docs, sets, plan, key, text, **limits)
     rows = sets.join(labels, "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
     rows = materialize(rows, "labelled")
-    discard(sets)
-    first = rows.where("label is not null").groupBy("label").agg(F.min("key").alias("component_id"))
-    out = rows.join(first, "label", "left")
+    discard(sets, labels)
+    first = rows.where("label is not null").groupBy("label").agg(F.min("key").alias("component_id"), F.count("*").alias("_n"))
+    out = join_hot(rows, first, "label", "_n", rows.count(), "left")
     return out.select(F.col("key").alias(key), "n_shingles", F.when(F.col("n_shingles") == 0, F.col("key")).otherwise(F.col("component_id")).alias("component_id"))

@@ -62,3 +62,29 @@ def test_very_long_word_and_text(spark):
     long = "x" * 3_000_000
     rows = [(1, long + " b c d"), (2, long + " B c d"), (3, "y " * 700_000 + "z")]
     assert [r[2] for r in run(spark, rows, k=4, num=85, den=100)] == [1, 1, 3]
+
+
+def test_runs_of_keys_and_hot_nodes_lose_no_connection(spark, monkeypatch):
+    """Keys in runs of their own, and centres and classes sent instead of joined, give the same classes."""
+    from cellgauge.llm import common
+
+    rows = list(enumerate(near_texts(11, 200, 40))) + [(1000 + i, "a passage that very many documents have " * 3) for i in range(100)] + [(2000 + i, None) for i in range(50)]
+    want = classes(rows, 4, 85, 100)
+    monkeypatch.setattr(J, "HELD_KEYS", 600)
+    monkeypatch.setattr(J, "MANY", 2)
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    assert run(spark, rows, k=4, num=85, den=100) == want
+
+
+def test_components_of_stars_chains_and_rings(spark, monkeypatch):
+    from cellgauge.llm import common
+    from cellgauge.llm.graph import connected_components
+
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    edges = [(500, i) for i in range(1, 60)] + [(1000 + i, 1001 + i) for i in range(40)] + [(2000 + i, 2000 + (i + 1) % 9) for i in range(9)] + [(3000 + i, 3999) for i in range(30)] + [(7, 7), (500, 1)]
+    classes = J.Classes(5000)
+    for x, y in edges:
+        classes.union(x, y)
+    got = {r["node"]: r["label"] for r in connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert got == {x: classes.find(x) for e in edges if e[0] != e[1] for x in e}
+    assert connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
