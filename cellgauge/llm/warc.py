@@ -29,13 +29,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch
+from .common import join_hot, materialize, scratch
 
 DATE = "2024-01-01T00:00:00Z"
 ROLL_BYTES = 1 << 30
 BLOCK_LINES = 2000
 #: Directory entries that are broadcast at a time; a larger directory is searched in ranges of so many.
 DIRECTORY_CHUNK = 500_000
+#: Index blocks that one task of a lookup reads on average.
+TASK_BLOCKS = 8
+#: Recurring digests that are sent to the pages at most, about 100 bytes each.
+SENT_DIGESTS = 500_000
 
 LOCATION = "urlkey string, page_id bigint, file string, offset bigint, length bigint"
 DIRECTORY = "first string, last string, file string, offset bigint, length bigint, lines bigint"
@@ -136,8 +140,11 @@ def with_revisits(pages: DataFrame, html: str, min_bytes: int) -> DataFrame:
     rows = pages.select("page_id", "url", F.encode(F.coalesce(html, F.lit("")), "UTF-8").alias("payload")).withColumn("digest", F.sha1("payload"))
     # Only digests that recur join, from a narrow scan that is summed before it is dealt out.
     digests = pages.select("page_id", F.encode(F.coalesce(html, F.lit("")), "UTF-8").alias("p")).where(F.octet_length("p") >= min_bytes).select("page_id", F.sha1("p").alias("_d"))
-    again = digests.groupBy("_d").agg(F.max("page_id").alias("_to"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    rows = rows.join(again, rows["digest"] == again["_d"], "left")
+    again = materialize(digests.groupBy(F.col("_d").alias("digest")).agg(F.max("page_id").alias("_to"), F.count("*").alias("_n")).where("_n > 1"), "recurring")
+    if again.count() <= SENT_DIGESTS:  # payloads stay where they are
+        rows = rows.join(F.broadcast(again.drop("_n")), "digest", "left")
+    else:
+        rows = join_hot(rows, again, "digest", "_n", pages.count(), "left")
     is_copy = F.col("_to").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_to"))
     return rows.select("page_id", "url", "payload", "digest", F.when(is_copy, F.col("_to")).alias("refers_to"))
 
@@ -243,20 +250,21 @@ def lookup(directory: DataFrame, urls: DataFrame, url: str = "url") -> DataFrame
     """Locations of the captures of urls, each distinct key once.
 
     The directory is broadcast if it has at most DIRECTORY_CHUNK blocks; else it is searched range
-    by range, so its size isn't bounded.
+    by range, so its size isn't bounded. Blocks found are dealt out before they are read, so the
+    captures of one url, however many, come out of many tasks.
     """
     keys = urls.select(_key_udf()(F.col(url)).alias("urlkey")).distinct()
     n = directory.count()
     if n <= DIRECTORY_CHUNK:
-        return _lookup(directory, keys)
+        return _read_blocks(_find_blocks(directory, keys), n)
     cuts = _cuts(directory, n)
     out = None
     for lo, hi in zip([None, *cuts], [*cuts, None], strict=True):
         within = [(F.col(c) >= lo) if lo is not None else F.lit(True) for c in ("urlkey", "last")]
         before = [(F.col(c) < hi) if hi is not None else F.lit(True) for c in ("urlkey", "first")]
-        part = _lookup(directory.where(within[1] & before[1]), keys.where(within[0] & before[0]))
+        part = _find_blocks(directory.where(within[1] & before[1]), keys.where(within[0] & before[0]))
         out = part if out is None else out.unionByName(part)
-    return out
+    return _read_blocks(out, n)
 
 
 def _cuts(directory: DataFrame, n: int) -> list[str]:
@@ -274,29 +282,49 @@ def _key_udf():
     return key
 
 
-def _lookup(directory: DataFrame, keys: DataFrame) -> DataFrame:
+def _find_blocks(directory: DataFrame, keys: DataFrame) -> DataFrame:
+    """urlkey and the range of each index block that can have it, by binary search in the directory."""
     found = directory.sparkSession.sparkContext.broadcast(BlockDirectory([tuple(r) for r in directory.select("first", "last", "file", "offset", "length").collect()]))
 
+    def packed(rows):
+        cols = list(zip(*rows, strict=True)) or [()] * 4
+        return pa.record_batch([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())], names=["urlkey", "file", "offset", "length"])
+
     def search(batches):
+        for batch in batches:
+            rows = []
+            for key in batch.column(0).to_pylist():
+                rows += [(key, *where) for _, _, *where in found.value.find(key)]
+                if len(rows) >= 50_000:
+                    yield packed(rows)
+                    rows = []
+            yield packed(rows)
+
+    return keys.mapInArrow(search, "urlkey string, file string, offset bigint, length bigint")
+
+
+def _read_blocks(wanted: DataFrame, blocks: int) -> DataFrame:
+    """The lines of each wanted key in each wanted block, of `blocks` in all; a block is read once."""
+
+    def read(batches):
         ranges = _Ranges()
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            for key in batch.column(0).to_pylist():
-                for _, _, *where in found.value.find(key):
-                    lines = ranges.block(*where)
-                    at = bisect.bisect_left(lines, key, key=lambda x: x[0])
-                    while at < len(lines) and lines[at][0] == key:
-                        k, page, file, offset, length = lines[at]
-                        for c, v in zip(out, (k, int(page) if page else None, file, int(offset), int(length)), strict=True):
-                            c.append(v)
-                        at += 1
-                    if len(out[0]) >= 50_000:
-                        yield _location_batch(out)
-                        out = [[], [], [], [], []]
+            for key, *where in _rows(batch):
+                lines = ranges.block(*where)
+                at = bisect.bisect_left(lines, key, key=lambda x: x[0])
+                while at < len(lines) and lines[at][0] == key:
+                    k, page, file, offset, length = lines[at]
+                    for c, v in zip(out, (k, int(page) if page else None, file, int(offset), int(length)), strict=True):
+                        c.append(v)
+                    at += 1
+                if len(out[0]) >= 50_000:
+                    yield _location_batch(out)
+                    out = [[], [], [], [], []]
             yield _location_batch(out)
 
-    # Keys in order: neighbours share blocks, and each block is read about once.
-    return keys.repartitionByRange("urlkey").sortWithinPartitions("urlkey").mapInArrow(search, LOCATION)
+    parts = max(1, -(-blocks // TASK_BLOCKS))
+    return wanted.repartition(parts, "file", "offset").sortWithinPartitions("file", "offset", "urlkey").mapInArrow(read, LOCATION)
 
 
 def _location_batch(out: list[list]) -> pa.RecordBatch:

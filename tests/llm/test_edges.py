@@ -529,3 +529,18 @@ def test_next_document_with_null_hot_and_clumped_ids(spark, monkeypatch, kind):
     assert key[turn:] + key[:turn] == sorted(key)
     with pytest.raises(TypeError):
         fingerprints.with_next(df.withColumn("doc_id", F.col("doc_id").cast("string")), "doc_id", "text", ["text"])
+
+
+def test_warc_with_many_recurring_payloads_and_one_hot_url(spark, monkeypatch):
+    """The joined form gives the same records as the sent one; one url's captures lie in many blocks."""
+    from cellgauge.llm import common
+
+    monkeypatch.setattr(warc, "BLOCK_LINES", 4)
+    monkeypatch.setattr(warc, "TASK_BLOCKS", 2)
+    rows = [(i, "http://hot.org/x" if i % 3 else f"http://h{i}.org/", f"page {i % 7} " * (200 if i % 7 < 4 else 1), "d", i) for i in range(120)] + [(None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string, digest string, offset int").repartition(3)
+    sent = sorted((tuple(r) for r in warc.capture(df).drop("payload").collect()), key=str)
+    monkeypatch.setattr(warc, "SENT_DIGESTS", 2)
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    assert sorted((tuple(r) for r in warc.capture(df).drop("payload").collect()), key=str) == sent
+    assert len(sent) == 121 and sum(r[2] == "revisit" for r in sent) == sum(i % 7 < 4 for i in range(120)) - 4
