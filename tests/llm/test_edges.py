@@ -84,6 +84,116 @@ def test_alignment_is_common_and_rising():
     assert len(licenses.align(list(range(50)), list(range(0, 50, 2)))) == 25
 
 
+def plain_align(a, b):
+    """Patience alignment by its definition, with the longest rising sequence (of those, the one that ends first) from all of them."""
+    pre = 0
+    while pre < min(len(a), len(b)) and a[pre] == b[pre]:
+        pre += 1
+    post = 0
+    while post < min(len(a), len(b)) - pre and a[len(a) - 1 - post] == b[len(b) - 1 - post]:
+        post += 1
+    ends = [(i, i) for i in range(pre)] + [(len(a) - 1 - i, len(b) - 1 - i) for i in range(post)]
+    x, y = a[pre : len(a) - post], b[pre : len(b) - post]
+    pairs = [(i, y.index(w)) for i, w in enumerate(x) if x.count(w) == 1 and y.count(w) == 1]
+    best, rank = [[]], lambda c: (len(c), -c[-1][1] if c else 0)
+    for p in pairs:
+        best.append(max((c for c in best if not c or c[-1][1] < p[1]), key=rank) + [p])
+    anchors = max(best, key=rank)
+    out, at = [], (0, 0)
+    for i, j in [*anchors, (len(x), len(y))] if anchors else []:
+        out += [(at[0] + p, at[1] + q) for p, q in plain_align(x[at[0] : i], y[at[1] : j])]
+        at = (i + 1, j + 1)
+    return sorted(ends + [(pre + p, pre + q) for p, q in [*out, *anchors]])
+
+
+def test_alignment_equals_the_definition():
+    draw = random.Random(12)
+    for _ in range(400):
+        a, b = ([draw.randrange(draw.choice([4, 12, 40])) for _ in range(draw.randrange(0, 25))] for _ in range(2))
+        assert licenses.align(a, b) == plain_align(a, b)
+
+
+def test_license_places_equal_a_plain_scan(spark):
+    """Every start of every text against every template, the best places first, none overlapping."""
+    templates = {"A": "one two three four five six seven eight", "B": "one two three nine ten eleven", "C": "red green blue red yellow"}
+    said = {n: t.split() for n, t in templates.items()}
+    draw = random.Random(13)
+    texts = []
+    for _ in range(150):
+        w = []
+        for _ in range(draw.randrange(0, 6)):
+            w += [draw.choice("pqrstuv") for _ in range(draw.randrange(0, 9))]
+            t = list(draw.choice(list(said.values())))
+            for _ in range(draw.randrange(0, 3)):
+                at = draw.randrange(len(t))
+                t[at : at + draw.randrange(0, 2)] = [draw.choice(["p", "one", "red", "three"])]
+            w += t
+        texts.append(w)
+
+    def plain(w):
+        places = []
+        for name, t in said.items():
+            hits = []
+            need = math.ceil(0.8 * len(t) - 1e-9)
+            for at in range(len(w)):
+                if w[at] not in t[: len(t) - need + 1]:
+                    continue  # more words than may be missing come before it
+                pairs = plain_align(w[at : at + 2 * len(t)], t)
+                if len(pairs) >= need:
+                    hits.append((len(pairs), at + pairs[0][0], at + pairs[-1][0] + 1, at))
+            while hits:  # the best of those that start before the first hit ends
+                first = hits[0]
+                near = [h for h in hits if h[3] < first[2]]
+                best = min(near, key=lambda h: (-h[0], h[2] - h[1], h[1]))
+                places.append((-best[0], best[2] - best[1], best[1], name, best[2]))
+                hits = [h for h in hits if h[3] >= best[2]]
+        out = []
+        for n, _, i, name, j in sorted(places):
+            if all(j <= a or b <= i for a, b, *_ in out):
+                out.append((i, j, name, -n / len(said[name])))
+        return sorted(out)
+
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id bigint, text string").repartition(3)
+    got: dict = {}
+    for r in licenses.scan(df, templates).collect():
+        got.setdefault(r["doc_id"], []).append((r["license"], round(r["coverage"], 6), r["span"]))
+    for i, w in enumerate(texts):
+        want = [(name, round(c, 6), " ".join(w[a:b])) for a, b, name, c in plain(w)]
+        assert sorted(got.get(i, [])) == sorted(want)
+
+
+@pytest.mark.parametrize(
+    "text,name",
+    [
+        ("GNU General Public License, version 2.", "GPL-2.0 short"),
+        ("under the GNU Lesser General Public License version 2.1", "LGPL-2.1 short"),
+        ("under the GNU Lesser General Public License version 2", None),
+        ("This work is licensed under the GNU General Public License, version 3.0.", "GPL-3.0"),
+        ("This work is licensed under the GNU General Public License, version 3.5.", None),
+        ("Licensed under CC BY 4.0.", "CC-BY-4.0"),
+        ("see CC BY-SA 4.0", "CC-BY-SA-4.0 short"),
+        ("Licensed under CC BY-NC-SA 4.0", "CC-BY-NC-SA-4.0"),
+        ("Released under the Foo License.", None),
+        ("a released, see: Released under the MIT License.", "MIT"),
+        ("SPDX-License-Identifier: LGPL-3.0", "LGPL-3.0 tag"),
+        (licenses.TEMPLATES["BSD-2-Clause text"], "BSD-2-Clause text"),
+        (licenses.TEMPLATES["BSD-3-Clause text"], "BSD-3-Clause text"),
+        (licenses.TEMPLATES["Apache-2.0 notice"], "Apache-2.0 notice"),
+    ],
+)
+def test_licenses_that_differ_in_a_word(spark, text, name):
+    got = licenses.scan(spark.createDataFrame([(1, f"{PROSE} {text} {PROSE}")], "doc_id bigint, text string")).collect()
+    assert [r["license"] for r in got] == ([name] if name else [])
+    if name == "MIT":
+        assert got[0]["span"] == "Released under the MIT License"
+
+
+def test_each_template_finds_itself(spark):
+    rows = [(i, f"{PROSE}. {t} {PROSE}") for i, t in enumerate(licenses.TEMPLATES.values())]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r["doc_id"], r["license"], r["coverage"]) for r in got) == [(i, n, 1.0) for i, n in enumerate(licenses.TEMPLATES)]
+
+
 # --- decontamination ---
 
 
