@@ -5,35 +5,48 @@ every item that a text repeats lies within one passage. A passage retrieves ever
 score for it is at least `threshold` of the score of the item's own words.
 
 Scores are kept as shares of that own score. Postings are cut into blocks of items with the greatest
-share in each. Terms whose greatest shares sum up to less than SLACK are left out of the first
-bounds, which add SLACK instead (they are the frequent words, with the long postings). A passage and
-an item block whose bound is below the threshold are skipped; in the others each item is scored in
-full. So all items above the threshold are found, and nothing else is scored.
+share in each. First the block maxima of a passage's terms are summed for all blocks, for a run of
+passages at once; terms whose greatest shares sum up to less than SLACK are left out of these
+bounds, which add SLACK instead (they are the frequent words, with the long postings). Blocks below
+the threshold are skipped. In the others a cursor for each term stands at its next item: cursors are
+sorted by item, the pivot is the first item at which the maxima summed so far reach the threshold,
+and either all cursors stand there and the item is scored in full, or those before it skip to it.
+All passages walk in step. So all items above the threshold are found, and little else is scored.
 
 What is retrieved is verified: of the three-word sequences of an item's question, and of its answer,
 at least `overlap` must occur in the passage or the blocks beside it. An item without columns of its
 own for them is parted into its first and second half.
 
 Words are runs of what is neither ASCII white space nor ASCII punctuation, with A-Z lower-cased.
-Null or blank texts, and items without words, give no rows; repeated items are items of their own.
-The index is broadcast in chunks of at most CHUNK_ITEMS items and CHUNK_CHARS characters; document
-frequencies, mean length and passage width are those of all items, so chunks change no result.
+Null or blank texts, items without words, and empty tables give no rows; repeated items are items of
+their own; rows that share a key count as one; other columns, whatever their names, are left out.
+One index of at most CHUNK_ITEMS items and CHUNK_CHARS characters is broadcast; of more items there
+are more such indexes in the shared folder, and each task goes through them for each GROUP_WORDS words
+that it has read, so the texts are scanned once. Document frequencies, mean length and passage width
+are those of all items, so chunks change no result.
 """
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, as_long, blocks_words, discard, materialize, mix64
+from .common import WordHasher, as_long, blocks_words, discard, materialize, mix64, scratch
 
 BLOCK_WORDS = 64
 ITEM_BLOCK = 4
 SLACK = 0.05
 CHUNK_ITEMS = 5_000
-CHUNK_CHARS = 20_000_000
+CHUNK_CHARS = 5_000_000
+GROUP_WORDS = 4_000_000
+#: Passages whose block bounds are held at a time.
+RUN_PASSAGES = 4_096
+#: Sums of floats differ by less in whatever order they are made.
+TINY = 1e-9
 GRAM = 3
 K1, B = 1.2, 0.75
 
@@ -83,6 +96,8 @@ class ItemIndex:
 
         whole: of the items that these are a part of; None if these are all.
         """
+        if not threshold > SLACK:
+            raise ValueError(f"the threshold must be above {SLACK}")
         self.threshold, self.overlap = threshold, overlap
         words = item_words()
         self.ids, self.parts, terms = [], [], []
@@ -136,20 +151,48 @@ class ItemIndex:
         at[at == len(self.vocabulary)] = 0
         return np.where(self.vocabulary[at] == words, at, -1)
 
-    def scores(self, pair: np.ndarray, term: np.ndarray, block: np.ndarray) -> np.ndarray:
-        """Scores of the items of block[k] for the distinct terms given with pair k: a row for each pair."""
+    def walk(self, block: np.ndarray, pair: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(pair, item, score) of the items of block[k] that reach the threshold for the distinct terms given with pair k, by cursors."""
         key = term * self.blocks + block[pair]
         at = np.searchsorted(self.cells, key)
         at[at == len(self.cells)] = 0
         hit = self.cells[at] == key
-        pair, at = pair[hit], at[hit]
-        n = self.cell_first[at + 1] - self.cell_first[at]
-        post = spread(self.cell_first[at], n)
-        cell = np.repeat(pair, n) * ITEM_BLOCK + self.item[post] % ITEM_BLOCK
-        return np.bincount(cell, weights=self.impact[post], minlength=len(block) * ITEM_BLOCK).reshape(len(block), ITEM_BLOCK)
+        pair, term, at = pair[hit], term[hit], at[hit]
+        pos, end, top = self.cell_first[at], self.cell_first[at + 1], self.block_max[at]
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        while len(pair):
+            item = self.item[pos]
+            order = np.lexsort((term, item, pair))
+            pair, term, item, pos, end, top = (x[order] for x in (pair, term, item, pos, end, top))
+            first = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1])))
+            size = np.diff(np.concatenate((first, [len(pair)])))
+            group = np.repeat(np.arange(len(first)), size)
+            run = np.cumsum(top)
+            reached = np.flatnonzero(run - np.repeat(run[first] - top[first], size) >= self.threshold - TINY)
+            # The pivot: the item of the first cursor at which the sum is reached.
+            has, lead = np.unique(group[reached], return_index=True)
+            pivot = np.full(len(first), -1)
+            pivot[has] = item[reached[lead]]
+            goal = pivot[group]
+            whole = (pivot == item[first])[group] & (item == goal)
+            if whole.any():
+                g, slot = np.unique(group[whole], return_inverse=True)
+                score = np.bincount(slot, weights=self.impact[pos[whole]])
+                good = score >= self.threshold
+                found.append((pair[first[g[good]]], pivot[g[good]], score[good]))
+            # Cursors at a scored item go on, those before a pivot skip to it; where no pivot is, the pair is done.
+            pos = pos + whole
+            behind = (goal >= 0) & ~whole & (pos < end)
+            while (behind := behind & (pos < end) & (self.item[np.minimum(pos, len(self.item) - 1)] < goal)).any():
+                pos = pos + behind
+            keep = (goal >= 0) & (pos < end)
+            pair, term, pos, end, top = (x[keep] for x in (pair, term, pos, end, top))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
     def search(self, words: np.ndarray, bounds: np.ndarray):
         """(row, item, score, question overlap, answer overlap) of verified items in rows of words."""
+        if not len(self.vocabulary):
+            return
         size = np.diff(bounds)
         rows = np.repeat(np.arange(len(size)), size)
         # Each row has blocks of its own, and an empty one behind it, so no passage reaches into the next row.
@@ -158,32 +201,41 @@ class ItemIndex:
         place = base[rows] + (np.arange(len(words)) - bounds[rows]) // self.block_words
         term = self.terms(words)
         known = np.flatnonzero(term >= 0)
-        strong = known[self.essential[term[known]]] if len(known) else known
-        if not len(strong):
-            return
-        V, blocks = len(self.vocabulary), self.blocks
+        V = len(self.vocabulary)
         mine = np.unique(place[known] * V + term[known])
+        total = int(base[-1])
+        for lo in range(0, total, RUN_PASSAGES):
+            hi = min(total, lo + RUN_PASSAGES)
+            # A run's last passage needs the block behind it.
+            part = mine[np.searchsorted(mine, lo * V) : np.searchsorted(mine, (hi + 1) * V)]
+            for q, item, score in self._retrieved(part, lo, hi):
+                row = int(np.searchsorted(base, q, "right")) - 1
+                at = bounds[row] + (q - base[row]) * self.block_words
+                around = grams(words[max(bounds[row], at - self.block_words) : min(bounds[row + 1], at + 3 * self.block_words)])
+                question, answer = (share(g, around) for g in self.parts[item])
+                if min(question, answer) >= self.overlap:
+                    yield row, self.ids[item], score, question, answer
+
+    def _retrieved(self, mine: np.ndarray, lo: int, hi: int):
+        """(passage, item, score) above the threshold, of passages lo to hi - 1; mine: sorted keys place * vocabulary + term."""
+        V, blocks = len(self.vocabulary), self.blocks
         p, t = mine // V, mine % V
-        p, t = p[self.essential[t]], t[self.essential[t]]
+        essential = self.essential[t]
+        if not essential.any():
+            return
+        p, t = p[essential] - lo, t[essential]
         n = self.block_first[t + 1] - self.block_first[t]
         at = spread(self.block_first[t], n)
-        total = int(base[-1])
-        bound = np.bincount(np.repeat(p, n) * blocks + self.block[at], weights=self.block_max[at], minlength=total * blocks).reshape(total, blocks)
+        bound = np.bincount(np.repeat(p, n) * blocks + self.block[at], weights=self.block_max[at], minlength=(hi - lo + 1) * blocks).reshape(-1, blocks)
         bound[:-1] += bound[1:]
-        q, block = np.nonzero(bound + SLACK >= self.threshold)
+        q, block = np.nonzero(bound[: hi - lo] + SLACK >= self.threshold - TINY)
         # The distinct terms of both halves of each passage that is left.
+        q = q + lo
         first = np.searchsorted(mine, q * V)
         n = np.searchsorted(mine, (q + 2) * V) - first
         pair = np.unique(np.repeat(np.arange(len(q)), n) * V + mine[spread(first, n)] % V)
-        score = self.scores(pair // V, pair % V, block)
-        for k, slot in zip(*np.nonzero(score >= self.threshold), strict=True):
-            row = int(np.searchsorted(base, q[k], "right")) - 1
-            lo = bounds[row] + (q[k] - base[row]) * self.block_words
-            around = grams(words[max(bounds[row], lo - self.block_words) : min(bounds[row + 1], lo + 3 * self.block_words)])
-            item = int(block[k]) * ITEM_BLOCK + int(slot)
-            question, answer = (share(g, around) for g in self.parts[item])
-            if min(question, answer) >= self.overlap:
-                yield row, self.ids[item], float(score[k, slot]), question, answer
+        found = self.walk(block, pair // V, pair % V)
+        yield from zip(q[found[0]].tolist(), found[1].tolist(), found[2].tolist(), strict=True)
 
 
 def spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -226,31 +278,72 @@ def _chunks(items: DataFrame):
     yield held, before is None
 
 
+class _Chunks:
+    """The indexes of all items: the one that is broadcast, or files of the shared folder, read one after the other."""
+
+    def __init__(self, alone=None, files: list[str] | None = None):
+        self.alone, self.files = alone, files or []
+
+    def __iter__(self):
+        if self.alone is not None:
+            yield self.alone.value
+        for uri in self.files:
+            from pyarrow import fs
+
+            system, path = fs.FileSystem.from_uri(uri)
+            with system.open_input_file(path) as f:
+                yield pickle.loads(f.read())
+
+
+def _indexes(items: DataFrame, threshold: float, overlap: float) -> _Chunks:
+    """items: columns id, question and answer without nulls. Two chunks of items are on the driver at a time."""
+    spark = items.sparkSession
+    whole, files, folder = None, [], None
+    for chunk, alone in _chunks(items):
+        if alone:
+            return _Chunks(alone=spark.sparkContext.broadcast(ItemIndex(chunk, threshold, overlap)))
+        from pyarrow import fs
+
+        if whole is None:
+            whole, folder = Whole(items), scratch(spark, "item-index")
+            system, path = fs.FileSystem.from_uri(folder)
+            system.create_dir(path, recursive=True)
+        with system.open_output_stream(f"{path}/{len(files):06d}", compression=None) as f:
+            f.write(pickle.dumps(ItemIndex(chunk, threshold, overlap, whole), protocol=5))
+        files.append(f"{folder}/{len(files):06d}")
+    discard(whole.table)
+    return _Chunks(files=files)
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overlap: float = 0.5, key: str = "doc_id", text: str = "text", item_id: str = "item_id", question: str = "text", answer: str | None = None) -> DataFrame:
     """Per document and item that it repeats: the best passage's score and both overlaps."""
-    spark = docs.sparkSession
-    schema = RESULT.format(kind=dict(docs.dtypes)[key])
-    found = whole = None
     items = items.select(F.col(item_id).cast("bigint").alias("id"), F.coalesce(question, F.lit("")).alias("question"), (F.coalesce(answer, F.lit("")) if answer else F.lit("")).alias("answer"))
-    for chunk, alone in _chunks(items):
-        whole = whole or (None if alone else Whole(items))
-        index = spark.sparkContext.broadcast(ItemIndex(chunk, threshold, overlap, whole))
-
-        def search(batches, index=index):
-            hasher = WordHasher(punctuation=True)
-            for batch in batches:
-                keys = batch.column(0)
-                at, rest = [], []
-                for lo, words, bounds, _, _ in blocks_words(hasher, batch.column(1)):
-                    for row, *values in index.value.search(words, bounds):
-                        at.append(lo + row)
-                        rest.append(values)
-                cols = list(zip(*rest, strict=True)) or [(), (), (), ()]
-                yield pa.record_batch([keys.take(pa.array(at, pa.int64())), pa.array(cols[0], pa.int64()), *[pa.array(c, pa.float64()) for c in cols[1:]]], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
-
-        part = docs.select(key, text).mapInArrow(search, schema)
-        found = part if found is None else found.unionByName(part)
-    if whole:
-        discard(whole.table)
+    indexes = _indexes(items, threshold, overlap)
+
+    def search(batches):
+        hasher = WordHasher(punctuation=True)
+
+        def flush(group):
+            found = []
+            for index in indexes:
+                for k, (_, words, bounds) in enumerate(group):
+                    found += [(k, *hit) for hit in index.search(words, bounds)]
+            for k, (keys, _, _) in enumerate(group):
+                hits = [h[1:] for h in found if h[0] == k]
+                if hits:
+                    row, *cols = zip(*hits, strict=True)
+                    yield pa.record_batch([keys.take(pa.array(row, pa.int64())), pa.array(cols[0], pa.int64()), *[pa.array(c, pa.float64()) for c in cols[1:]]], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
+
+        group, held = [], 0
+        for batch in batches:
+            for lo, words, bounds, _, _ in blocks_words(hasher, batch.column(1)):
+                group.append((batch.column(0).slice(lo, len(bounds) - 1), words, bounds))
+                held += len(words)
+                if held >= GROUP_WORDS or indexes.alone is not None:
+                    yield from flush(group)
+                    group, held = [], 0
+        yield from flush(group)
+
+    found = docs.select(key, text).mapInArrow(search, RESULT.format(kind=dict(docs.dtypes)[key]))
     best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", "question_overlap", "answer_overlap")).alias("b"))
     return best.select(F.col("doc_id").alias(key), "item_id", "b.*")

@@ -594,6 +594,11 @@ def test_chunks_of_items_change_no_leak(spark, monkeypatch):
     assert {r[:2] for r in whole} == bm25_pairs(texts, items, 0.6, 0.2)
     monkeypatch.setattr(decontamination, "CHUNK_ITEMS", 7)
     assert sorted((r["doc_id"], r["item_id"], round(r["score"], 9)) for r in decontamination.find_leaks(docs, bench, overlap=0.2).collect()) == whole
+    for size, words in ((2, 500), (50, 4_000_000)):
+        monkeypatch.setattr(decontamination, "CHUNK_ITEMS", size)
+        monkeypatch.setattr(decontamination, "GROUP_WORDS", words)
+        monkeypatch.setattr(decontamination, "RUN_PASSAGES", 3)
+        assert sorted((r["doc_id"], r["item_id"], round(r["score"], 9)) for r in decontamination.find_leaks(docs, bench, overlap=0.2).collect()) == whole
     monkeypatch.setattr(decontamination, "CHUNK_CHARS", 400)
     assert sorted((r["doc_id"], r["item_id"], round(r["score"], 9)) for r in decontamination.find_leaks(docs, bench, overlap=0.2).collect()) == whole
 
@@ -654,3 +659,23 @@ def test_warc_with_many_recurring_payloads_and_one_hot_url(spark, monkeypatch):
     monkeypatch.setattr(common, "HOT_ROWS", 10)
     assert sorted((tuple(r) for r in warc.capture(df).drop("payload").collect()), key=str) == sent
     assert len(sent) == 121 and sum(r[2] == "revisit" for r in sent) == sum(i % 7 < 4 for i in range(120)) - 4
+
+
+def test_walk_scores_what_reaches_the_threshold_and_little_else():
+    """Cursors find the items that a sum over all postings finds; a block's items that can't reach it aren't scored."""
+    draw = random.Random(21)
+    items = [(i, " ".join(f"w{draw.randrange(60)}" for _ in range(draw.randrange(4, 30))), "") for i in range(50)]
+    ix = decontamination.ItemIndex(items, 0.5, 0.5)
+    for _ in range(60):
+        term = np.unique([draw.randrange(len(ix.vocabulary)) for _ in range(draw.randrange(1, 40))])
+        block = np.arange(ix.blocks)
+        pair, t = np.repeat(block, len(term)), np.tile(term, ix.blocks)
+        got = {(int(k), int(i)): s for k, i, s in zip(*ix.walk(block, pair, t), strict=True)}
+        want: dict = {}
+        for x in term:
+            for p in range(ix.first[x], ix.first[x + 1]):
+                i = int(ix.item[p])
+                want[i // decontamination.ITEM_BLOCK, i] = want.get((i // decontamination.ITEM_BLOCK, i), 0.0) + ix.impact[p]
+        assert got == pytest.approx({k: s for k, s in want.items() if s >= 0.5})
+    with pytest.raises(ValueError):
+        decontamination.ItemIndex(items, decontamination.SLACK, 0.5)
