@@ -679,3 +679,101 @@ def test_walk_scores_what_reaches_the_threshold_and_little_else():
         assert got == pytest.approx({k: s for k, s in want.items() if s >= 0.5})
     with pytest.raises(ValueError):
         decontamination.ItemIndex(items, decontamination.SLACK, 0.5)
+
+
+def made_pages(seed, n, hosts):
+    """Pages without telling tags or names, and the text that each should give: menus of varying links, constant blocks, varying content."""
+    draw = random.Random(seed)
+    word = lambda: "".join(draw.choice("abcdefghij") for _ in range(draw.randrange(2, 8)))
+    say = lambda k: " ".join(word() for _ in range(k))
+    rows, want = [], {}
+    for h in range(hosts):
+        before, after = [[(draw.choice(["div", "p", "h3"]), say(draw.randrange(1, 9))) for _ in range(draw.randrange(0, 4))] for _ in range(2)]
+        deep = draw.randrange(0, 3)
+        for i in range(n):
+            menu = "".join(f"<li><a href=/{k}>{say(2)}</a></li>" for k in range(draw.randrange(2, 6)))
+            body = [(draw.choice(["p", "p", "h2"]), say(draw.randrange(3, 20))) for _ in range(draw.randrange(2, 9))]
+            some = [b for b in before if draw.random() < 0.96]
+            tag = lambda x: "".join(f"<{t}>{v}</{t}>" for t, v in x)
+            html = f"<html><body><div><ul>{menu}</ul></div><div>{tag(some)}</div>{'<div>' * deep}<section>{tag(body)}</section>{'</div>' * deep}<div>{tag(after)}</div></body></html>"
+            page = h * n + i
+            rows.append((page, f"http://host{h}.org/{i}", html))
+            want[page] = "\n".join(v for _, v in body)
+    return rows, want
+
+
+@pytest.mark.parametrize("sent", [True, False])
+def test_wrappers_leave_what_varies(spark, monkeypatch, sent):
+    """Of pages that mark nothing, menus and constant blocks go, whether wrappers are sent or merged; without wrappers they stay."""
+    rows, want = made_pages(3, 24, 5)
+    rows += [(1000 + i, "http://few.org/", rows[i][2]) for i in range(5)]
+    if not sent:
+        monkeypatch.setattr(wrappers, "SENT_BYTES", 0)
+        monkeypatch.setattr(wrappers, "PARTS", 3)
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(4)
+    got = {r["page_id"]: r["text"] for r in wrappers.extract(df).collect()}
+    assert {k: got[k] for k in want} == want
+    assert all(wrappers.extract_page(rows[k][2]) != v for k, v in want.items())
+    assert all(got[1000 + i].endswith(wrappers.extract_page(rows[i][2])) for i in range(5))
+    found = {r["name"]: len(r["units"]) for r in wrappers.wrappers(df).collect()}
+    assert sorted(found) == [f"host{h}.org" for h in range(5)] and min(found.values()) >= 2
+
+
+def test_alignment_of_trees_pairs_as_simple_tree_matching_does():
+    draw = random.Random(31)
+
+    def html(depth):
+        return "".join(f"<{t}>{'x' if draw.random() < 0.5 else ''}{html(depth - 1) if depth else ''}</{t}>" for t in (draw.choice(["div", "section", "ul"]) for _ in range(draw.randrange(0, 4))))
+
+    def pairs(x, y):
+        return sum(1 + pairs(x.kids[i], y.kids[j]) for i, j in wrappers.match(x.kids, y.kids, wrappers._label, wrappers._kids)[1])
+
+    for _ in range(150):
+        a, b = (wrappers.fold(wrappers.parse(html(3)))[0] for _ in range(2))
+        wrappers.number(a), wrappers.number(b)
+        again = wrappers.rebuilt(wrappers.skeleton(wrappers.number(b)))
+        got = wrappers.align(a, again)
+        assert len(got) == 1 + pairs(a, b) == 1 + wrappers.match(a.kids, b.kids, wrappers._label, wrappers._kids)[0]
+        label = {x.index: x.label for x in wrappers.number(b)}
+        assert all(label[got[x.index]] == x.label for x in wrappers.number(a) if x.index in got)
+        order = [got[x.index] for x in wrappers.number(a) if x.index in got]
+        assert order == sorted(set(order))
+
+
+@pytest.mark.parametrize("n", [650, 5000])
+def test_templates_of_any_size(spark, n):
+    rows = [(i, f"http://long/{i}", "<body><div>" + "".join(f"<p>row {k} of ours</p>" for k in range(n)) + f"</div><section><p>story {i} begins</p></section></body>") for i in range(12)]
+    got = wrappers.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in got} == {i: f"story {i} begins" for i in range(12)}
+
+
+def test_articles_with_other_adverts_stay(spark):
+    """One article taken many times, each time beside other adverts, isn't template; what stands beside many articles is."""
+    page = "<body><div><p>{}</p><p>{}</p></div><section class='ad box'>{}</section><div>all rights are ours</div></body>"
+    rows = [(i, "http://h.org/", page.format(f"the first story of number {i}", f"and how the story {i} ends", f"buy {i}")) for i in range(12)]
+    rows += [(100 + i, "http://h.org/", page.format("the same article, taken again", "which ends like this here", f"buy now {i}")) for i in range(200)]
+    got = {r["page_id"]: r["text"] for r in wrappers.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)).collect()}
+    assert got[105] == "the same article, taken again\nwhich ends like this here"
+    assert got[3] == "the first story of number 3\nand how the story 3 ends"
+
+
+@pytest.mark.parametrize("name", ["social-history", "related-work", "legal", "share", "share-price", "header-less", "formal notice"])
+def test_names_that_can_mean_content(name):
+    assert wrappers.extract_page(f"<body><nav>menu</nav><div class='{name}'><p>The whole story.</p></div></body>") == "The whole story."
+
+
+@pytest.mark.parametrize(
+    "html,text",
+    [
+        ('<p title="abc>hello</p>', "hello"),
+        ('<p title="abc>hello</p><p class="x">world</p>', "hello\nworld"),
+        ("<p title='it's'>hello</p>", "hello"),
+        ('<a href="x"title="a > b">link</a>', "link"),
+        ('<p title="a > b">hello</p>', "hello"),
+        ('<p "">x</p>' * 2000, "\n".join("x" * 2000)),
+        ("<p '" * 3000, ""),
+        ('<p a="' * 20000, ""),
+    ],
+)
+def test_stray_quotes(html, text):
+    assert wrappers.extract_page(html) == text
