@@ -3,23 +3,35 @@
 Kernel: the gap-weighted subsequence kernel. Strings share each (not necessarily contiguous)
 subsequence of ORDER characters with weight DECAY to the power of the length that it spans in both,
 normalised to 1 for equal strings. Inserted characters only lengthen a span, so an insult written
-`idxiot` or `i-d-i-o-t` stays near `idiot`.
-
-A sentence is scored by its words, words longer than WINDOW by windows of that length, in one of which
-each typical string lies whole, and of twice the longest typical string, in one of which it lies whole
-with a character put in at each place;
-runs of single characters, also with marks beside them, are joined to one word as well. A text is
-scored by its worst sentence. Of training texts only the label
-of the whole is known, so positives are the words that carry a string typical of texts labelled 1
-(strings whose document counts best cover those texts), and negatives are words of texts labelled 0,
-the nearest ones first. Landmarks are those strings and some negatives; the machine is linear in
-the Nyström features K(x, landmarks) K(landmarks, landmarks)^(-1/2). A logistic curve fitted to
-the training texts' scores gives the probability.
-
-Fitting uses at most max_rows labelled rows, those with the least hashes of their id, and gathers
-their word counts on the driver; scoring covers every row and its whole text. Labels, language,
-source and id are no inputs of a score. A null or blank text has the score of a text without any
-insult. Rows repeated in the labels count once each; null labels are left out.
+`idxiot` or `i-d-i-o-t` stays near `idiot`. A string's likeness to a landmark is their kernel if the
+string has the landmark's letters, of which one may lack if there are more than five; else it is 0, and a
+word without any likeness to a typical string has none at all. That is how the machines are defined,
+in training and in scoring, so what lacks the letters needs no kernel.
+
+Words are read with their start marked; of words longer than WINDOW, windows of that length, in one of
+which each typical string lies whole, and of twice the longest typical string, in one of which it lies
+whole with a character put in at each place; runs of single characters, also with marks beside them, are
+joined to one word as well. Landmarks are strings that tell texts labelled 1 from the others (by how
+many of either hold them in one word, or in two different ones; those that cover the texts best are
+kept) and the most frequent words of texts labelled 0.
+
+The machine, linear in the Nyström features K(x, landmarks) K(landmarks, landmarks)^(-1/2) with squared
+hinge loss, tells words that hold a typical string, also with a character put in, from words that are
+only near one. A word that it accepts mentions the string that it is nearest to, plainly if it holds it
+whole and in disguise if not. What mentions mean is learned from the sentences of the labelled texts: for
+each string and either kind, the share of label 1 among the texts that mention it in one, two, or TOP
+or more different sentences, where each text labelled 1 counts a tenth once more with its plain mentions
+disguised by a character put in. So one mention of a word that clean texts hold too is little, several
+are much, and a disguise counts unless clean texts have words as near. Of a long text as many sentences
+count as it has in LONG, and one more. A text's score takes its mentions as independent evidence, and
+what isn't mentioned at all as the share of label 1 among texts without mentions.
+
+Fitting uses at most max_rows labelled rows with max_chars characters together, those with the least
+hashes of their id, and gathers their texts on the driver; scoring covers every row and its whole
+text. Labels, language, source and id are no inputs of a score. A null or blank text has the score of
+a text without any insult. Rows repeated in the labels count once each; null labels are left out;
+without labelled texts every text has the base rate; empty tables give empty ones; the column
+`_toxicity` is replaced if there, any others may be there.
 """
 
 import re
@@ -29,21 +41,36 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ORDER = 3
 DECAY = 0.5
+#: Of a landmark with more than five letters, so many may lack.
+SPARE_LETTERS = 1
 WINDOW = 12
-#: Rows that a machine is fitted to at most.
+#: From so many sentences on, more mentions of a string mean no more; in a text of more than LONG sentences they count by share.
+TOP = 3
+LONG = 12
+#: Texts of the general share of label 1 that are added to those seen with a number of mentions.
+PRIOR = 2.0
+DISGUISED = 0.1
+#: Rows that a machine is fitted to at most, and their characters.
 MAX_ROWS = 6_000
+MAX_CHARS = 60_000_000
 LANDMARKS = 64
-#: A landmark may lack so many of its distinct letters in a word whose kernel with it isn't 0.
-SPARE_LETTERS = 1
+#: Of the landmarks, typical strings at most; and the words of clean texts that are looked through for the nearest.
+TYPICAL = 48
+CLEAN_WORDS = 60_000
+#: Words of either kind that the machine for words is trained on at most.
+MOST_WORDS = 2_500
 
 _OTHER = re.compile(r"[\W_]+")
 _SPELLED = re.compile(r"(?<!\S)(?:[^\W_][\s.\-_*]+){3,}[^\W_][.\-_*]*(?!\S)")
 _SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
+_ENDS = re.compile(r"(?<=[.!?])\s+|\n+")
+#: Stands before a word.
+START = "^"
 
 
 def words_of(text: str | None) -> set[str]:
@@ -62,14 +89,6 @@ def bare(word: str) -> str:
     return word if word.isalnum() else _OTHER.sub("", word)
 
 
-def windows(word: str) -> list[str]:
-    """The word, or strings of it that fit for learning."""
-    if len(word) <= WINDOW:
-        return [word]
-    step = WINDOW // 2
-    return [word[i : i + WINDOW] for i in range(0, len(word) - step, step)]
-
-
 def all_windows(word: str, wide: int) -> list[str]:
     """The word, or strings of it such that each run of WINDOW - 2 characters lies whole in one of WINDOW, and each of wide - 1 in one of `wide`."""
     if len(word) <= WINDOW:
@@ -117,7 +136,7 @@ def _kernel(a: list[str], b: list[str]) -> np.ndarray:
     return np.sum(same * below[:, :ls, :lt], axis=(1, 2)) * DECAY * DECAY
 
 
-def _letters(strings: list[str]) -> np.ndarray:
+def _masks(strings: list[str]) -> np.ndarray:
     """A bit for each letter, modulo 64."""
     out = np.zeros(len(strings), dtype=np.uint64)
     for i, s in enumerate(strings):
@@ -134,112 +153,179 @@ class ToxicityModel:
         self.landmarks, self.positive = landmarks, positive
         self.wide = max([WINDOW, *(2 * len(x) for x in landmarks[:positive])])
         self.own = np.sqrt(np.maximum(kernel_pairs(landmarks, landmarks), 1e-12))
-        self.masks = _letters(landmarks)
-        self.need = np.bitwise_count(self.masks).astype(np.int64) - np.array([SPARE_LETTERS if len(x) > 5 else 0 for x in landmarks])
-        gram = self._against(landmarks, screen=False)
+        self.masks = _masks(landmarks)
+        self.need = np.bitwise_count(self.masks).astype(np.int64) - np.array([SPARE_LETTERS if len(x.removeprefix(START)) > 5 else 0 for x in landmarks])
+        gram = self._pairs(landmarks, *map(np.ravel, np.indices((len(landmarks), len(landmarks)))))
         values, vectors = np.linalg.eigh((gram + gram.T) / 2)
         keep = values > 1e-6
         self.root = vectors[:, keep] / np.sqrt(values[keep])
-        self.weights, self.bias = np.zeros(self.root.shape[1]), -1.0
-        self.slope, self.shift = 1.0, 0.0
+        #: The machine, in terms of likenesses.
+        self.weights, self.bias = np.zeros(len(landmarks)), 0.0
+        #: The share of label 1 among texts without mentions, and by the number of mentions of each typical string, plain ones first.
+        self.base, self.shares = 0.5, np.zeros((TOP, 2 * positive))
 
-    def _near(self, strings: list[str], first: int | None = None) -> np.ndarray:
-        masks = _letters(strings)
-        return np.bitwise_count(masks[:, None] & self.masks[None, :first]) >= self.need[None, :first].astype(np.uint8)
+    def _holds(self, strings: list[str], first: int | None = None) -> np.ndarray:
+        """Whether each string has the letters of each landmark."""
+        return np.bitwise_count(_masks(strings)[:, None] & self.masks[None, :first]) >= self.need[None, :first].astype(np.uint8)
 
-    def _against(self, strings: list[str], screen: bool = True) -> np.ndarray:
-        """Normalised kernel of strings and landmarks; 0 where too few of a landmark's letters occur."""
+    def _pairs(self, strings: list[str], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Normalised kernel of string i[k] and landmark j[k] for each k, else 0."""
         out = np.zeros((len(strings), len(self.landmarks)))
-        if not strings:
-            return out
-        i, j = np.nonzero(self._near(strings)) if screen else map(np.ravel, np.indices(out.shape))
         if len(i):
             used, back = np.unique(i, return_inverse=True)
             norm = np.sqrt(np.maximum(kernel_pairs(x := [strings[k] for k in used], x), 1e-12))
             out[i, j] = kernel_pairs([strings[k] for k in i], [self.landmarks[k] for k in j]) / (norm[back] * self.own[j])
         return out
 
-    def features(self, strings: list[str]) -> np.ndarray:
-        return self._against(strings) @ self.root
-
-    def decide(self, strings: list[str]) -> np.ndarray:
-        """The machine's value of each word, that of its worst window. Words without the letters of any typical string have the bias."""
-        out = np.full(len(strings), self.bias)
-        parts = self._passing([(k, s) for k, s in enumerate(strings) if len(s) >= ORDER])
+    def likeness(self, words: list[str]) -> np.ndarray:
+        """Of each bare word its likeness to each landmark, that of its nearest window; 0 to all if it is near no typical string."""
+        out = np.zeros((len(words), len(self.landmarks)))
+        marked = [START + w for w in words]
+        few = [k for k, w in enumerate(words) if len(w) >= ORDER]
         # A window has no letters that its word lacks, so only words that pass are cut.
-        parts = self._passing([(k, w) for k, s in parts for w in all_windows(s, self.wide)])
-        if parts:
-            np.maximum.at(out, np.array([k for k, _ in parts]), self.features([w for _, w in parts]) @ self.weights + self.bias)
+        few = [few[k] for k in np.flatnonzero(self._holds([marked[k] for k in few], self.positive).any(axis=1))] if few else few
+        parts = [(k, w) for k in few for w in all_windows(marked[k], self.wide)]
+        for first, last in ((0, self.positive), (self.positive, len(self.landmarks))):
+            if not parts:
+                break
+            strings, at = [w for _, w in parts], np.array([k for k, _ in parts])
+            i, j = np.nonzero(self._holds(strings)[:, first:last])
+            found = self._pairs(strings, i, j + first)
+            np.maximum.at(out, at, found)
+            # The other landmarks are asked only of words near a typical string.
+            parts = [p for p in parts if out[p[0], : self.positive].any()]
         return out
 
-    def _passing(self, parts: list[tuple[int, str]]) -> list[tuple[int, str]]:
-        """Those whose letters could be a typical string's."""
-        if not parts:
-            return parts
-        near = self._near([w for _, w in parts], self.positive).any(axis=1)
-        return [p for p, n in zip(parts, near, strict=True) if n]
+    def mentions(self, words: list[str]) -> np.ndarray:
+        """The typical string that each bare word mentions, plus `positive` if in disguise, or -1."""
+        out = np.full(len(words), -1)
+        if not self.positive:
+            return out
+        found = self.likeness(words)
+        typical = found[:, : self.positive]
+        for k in np.flatnonzero(typical.any(axis=1) & (found @ self.weights + self.bias > 0)):
+            plain = [j for j in range(self.positive) if self.landmarks[j] in START + words[k]]
+            out[k] = max(plain, key=lambda j, k=k: typical[k, j]) if plain else self.positive + int(typical[k].argmax())
+        return out
+
+    def value(self, counts: np.ndarray) -> np.ndarray:
+        """Log odds of label 1 of texts with so many mentions of each typical string."""
+        at = np.minimum(counts, TOP)
+        share = np.where(at > 0, self.shares[np.maximum(at, 1) - 1, np.arange(2 * self.positive)], 0.0)
+        rest = np.log(1 - self.base) + np.log(1 - share).sum(axis=1)
+        return np.log(-np.expm1(rest)) - rest
+
+    def decide(self, words: list[str]) -> np.ndarray:
+        """The value of a text of each word alone."""
+        counts = np.zeros((len(words), 2 * self.positive), dtype=np.int64)
+        found = self.mentions(words)
+        counts[found >= 0, found[found >= 0]] = 1
+        return self.value(counts)
 
     def probability(self, value: np.ndarray) -> np.ndarray:
-        return 1.0 / (1.0 + np.exp(-np.clip(self.slope * value + self.shift, -500, 500)))
+        return 1.0 / (1.0 + np.exp(-np.clip(value, -500, 500)))
 
 
 class Scorer:
-    """Values of texts; each word's value is computed once and kept while there is room."""
+    """Values of texts; what each word mentions is computed once and kept while there is room."""
 
     def __init__(self, model: ToxicityModel, room: int = 400_000):
+        #: What a word mentions, or -1.
         self.model, self.room, self.known = model, room, {}
 
-    def values(self, texts: list[str | None]) -> np.ndarray:
-        return np.array([v for v, _ in self.worst(texts)])
-
-    def worst(self, texts: list[str | None]) -> list[tuple[float, str | None]]:
-        out: list = []
+    def counts(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, list[str]]]:
+        """(in how many sentences each typical string is mentioned, the words that do) of each text."""
         at = 0
         while at < len(texts):
             sets, size = [], 0
-            while at < len(texts) and (not sets or size < 60_000):
-                sets.append(words_of(texts[at]))
+            while at + len(sets) < len(texts) and (not sets or size < 60_000):
+                sets.append(words_of(texts[at + len(sets)]))
                 size += len(sets[-1])
-                at += 1
             fresh = list({w for s in sets for w in s if w not in self.known})
             if len(self.known) + len(fresh) > self.room:
                 self.known = {}
                 fresh = list({w for s in sets for w in s})
-            self.known.update(zip(fresh, self.model.decide([bare(w) for w in fresh]).tolist(), strict=True))
-            for s in sets:
-                top = max(s, key=lambda w: (self.known[w], w), default=None)
-                out.append((max(self.known[top], self.model.bias) if top is not None else self.model.bias, top))
-        return out
+            self.known.update(zip(fresh, self.model.mentions([bare(w) for w in fresh]).tolist(), strict=True))
+            for s, text in zip(sets, texts[at : at + len(sets)], strict=True):
+                said = {w for w in s if self.known[w] >= 0}
+                yield self._sentences(text, said), sorted(said)
+            at += len(sets)
+
+    def _sentences(self, text: str, said: set[str]) -> np.ndarray:
+        out = np.zeros(2 * self.model.positive, dtype=np.int64)
+        if not said:
+            return out
+        left, sentences = set(said), dict.fromkeys(_ENDS.split(text.lower()))
+        for sentence in sentences:
+            held = said.intersection(sentence.split())
+            if held:
+                left -= held
+                out[list({self.known[w] for w in held})] += 1
+        for w in left:  # joined runs
+            out[self.known[w]] += 1
+        return np.minimum(out, 1 + LONG * out // max(LONG, len(sentences)))
+
+    def values(self, texts: list[str | None]) -> np.ndarray:
+        return np.array([v for v, _ in self.worst(texts)])
+
+    def worst(self, texts: list[str | None]) -> list[tuple[float, str | None]]:
+        """(value, the word that says most for it) of each text."""
+        found = list(self.counts(texts))
+        values = self.model.value(np.array([c for c, _ in found]).reshape(len(found), -1)) if found else []
+        share = lambda w: (self.model.shares[0, self.known[w]], w)
+        return [(float(v), max(said, key=share) if said else None) for v, (_, said) in zip(values, found, strict=True)]
 
 
 def _grams(words: set[str], sizes: range, holding: set[str] | None = None) -> set[str]:
     """Strings of the words; with holding, only of words and strings that hold one of those."""
     out = set()
     for w in words:
-        if holding is not None and not any(w[i : i + 4] in holding for i in range(len(w) - 3)):
+        if holding is not None and not any(w[i : i + n] in holding for n in SEEDS for i in range(len(w) - n + 1)):
             continue
         for n in sizes:
             for i in range(len(w) - n + 1):
                 g = w[i : i + n]
-                if holding is None or any(g[j : j + 4] in holding for j in range(n - 3)):
+                if holding is None or any(g[j : j + k] in holding for k in SEEDS for j in range(n - k + 1)):
                     out.add(g)
     return out
 
 
-def _typical(toxic: list[set[str]], clean_quads: Counter, n_clean: int, most: int) -> list[str]:
-    """Strings of 4 to 10 characters that cover the toxic texts best and hardly occur in clean ones."""
-    toxic = [{b for w in s if len(b := bare(w)) >= 4} for s in toxic]
+#: Lengths of the strings that are counted first, and of those that can be typical.
+SEEDS = (4, 5)
+SIZES = range(4, 11)
+
+
+def _marked_words(text: str | None) -> set[str]:
+    return {START + b for w in words_of(text) if len(b := bare(w)) >= 4}
+
+
+def _counts(texts: list[set[str]]) -> list[Counter]:
+    """In how many texts each short string occurs in one word or more, and in two different words or more."""
+    once: Counter = Counter()
+    twice: Counter = Counter()
+    for s in texts:
+        held: Counter = Counter()
+        for w in s:
+            held.update({w[i : i + n] for n in SEEDS for i in range(len(w) - n + 1)})
+        once.update(held.keys())
+        twice.update(g for g, n in held.items() if n > 1)
+    return [once, twice]
+
+
+def _typical(toxic: list[set[str]], clean: list[Counter], n_clean: int, most: int) -> list[str]:
+    """Strings that cover the toxic texts best, among those that clean texts hardly hold once, or twice."""
     # Near copies of a text say nothing new: of those that share their least-hashed rare word, one is kept.
     often = Counter(w for s in toxic for w in s)
     toxic = list({min((crc32(w.encode("utf-8", "replace")) for w in s if often[w] <= 0.05 * len(toxic)), default=-1 - k): s for k, s in enumerate(toxic)}.values())
-    quads = Counter(g for s in toxic for g in _grams(s, range(4, 5)))
     least = max(3, 0.01 * len(toxic))
-    seeds = {g for g, n in quads.items() if n >= least and clean_quads[g] / max(1, n_clean) <= 0.02 * n / len(toxic)}
+    seeds = set()
+    for held, other in zip(_counts(toxic), clean, strict=True):
+        seeds |= {g for g, n in held.items() if n >= least and other[g] / max(1, n_clean) <= 0.02 * n / len(toxic)}
     # What is to be covered: each suspicious word of each toxic text.
     spots: dict[str, set[tuple[int, str]]] = {}
     for k, s in enumerate(toxic):
         for w in s:
-            for g in _grams({w}, range(4, 11), seeds):
+            for g in _grams({w}, SIZES, seeds):
                 spots.setdefault(g, set()).add((k, w))
     spots = {g: t for g, t in spots.items() if len(t) >= least}
     covered: set[tuple[int, str]] = set()
@@ -283,73 +369,64 @@ def _train(x: np.ndarray, y: np.ndarray, cost: float = 10.0) -> tuple[np.ndarray
     return w[:-1], float(w[-1])
 
 
-def _logistic(value: np.ndarray, label: np.ndarray) -> tuple[float, float]:
-    """Slope and shift by Newton steps on smoothed labels."""
-    pos, neg = label.sum(), len(label) - label.sum()
-    target = np.where(label == 1, (pos + 1) / (pos + 2), 1 / (neg + 2))
-    x = np.stack([value, np.ones(len(value))], axis=1)
-    w = np.array([1.0, 0.0])
-    for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (p - target) + 1e-4 * w
-        hess = (x * (p * (1 - p))[:, None]).T @ x + 1e-4 * np.eye(2)
-        step = np.linalg.solve(hess, grad)
-        w = w - np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-8:
-            break
-    return float(max(w[0], 1e-3)), float(w[1])
-
-
 def fit_texts(texts: list[str | None], labels: list[int]) -> ToxicityModel:
-    toxic = [words_of(t) for t, y in zip(texts, labels, strict=True) if y == 1]
+    label = np.array(labels)
+    toxic = [_marked_words(t) for t, y in zip(texts, labels, strict=True) if y == 1]
     clean_words: Counter = Counter()
-    clean_quads: Counter = Counter()
+    clean = [Counter(), Counter()]
     n_clean = 0
     for t, y in zip(texts, labels, strict=True):
         if y == 0:
             n_clean += 1
-            words = {b for w in words_of(t) if len(b := bare(w)) >= 4}
-            clean_words.update(words)
-            clean_quads.update(_grams(words, range(4, 5)))
-    typical = _typical(toxic, clean_quads, n_clean, LANDMARKS * 3 // 4) if toxic else []
+            held = _marked_words(t)
+            clean_words.update(held)
+            for total, part in zip(clean, _counts([held]), strict=True):
+                total.update(part)
+    typical = _typical(toxic, clean, n_clean, TYPICAL) if toxic else []
     if not typical:  # nothing to learn from: every text has the base rate
         model = ToxicityModel(["abc"], 0)
-        model.slope, model.shift, model.bias = 1e-3, float(np.log((len(toxic) + 1) / (n_clean + 1))), 0.0
+        model.base = (len(toxic) + 1) / (len(toxic) + n_clean + 2)
         return model
-    frequent = [w for w, _ in sorted(clean_words.items(), key=lambda x: (-x[1], x[0]))]
-    model = ToxicityModel(typical + frequent[: LANDMARKS - len(typical)], len(typical))
-    pool = sorted({x for w in frequent[:60_000] for x in windows(w)})
-    near = model._near(pool, len(typical)).any(axis=1)
-    hard = [w for w, n in zip(pool, near, strict=True) if n]
-    if hard:
-        likeness = model._against(hard)[:, : len(typical)].max(axis=1)
-        hard = [hard[k] for k in np.argsort(-likeness, kind="stable")[:2500]]
-    other = [w for w, n in zip(pool, near, strict=True) if not n][:: max(1, len(pool) // 500)]
-    shown = Counter(x for s in toxic for w in s for x in windows(bare(w)) if any(g in x for g in typical))
-    positive = [w for w, _ in sorted(shown.items(), key=lambda x: (-x[1], x[0]))[:2500]]
-    negative = hard + other + [w for w in frequent[:500]]
-    bent = [x for w in [*typical, *positive[:200]] for x in _bent(w) if len(w) <= WINDOW - 1]
-    x = model.features(positive + bent + negative)
-    model.weights, model.bias = _train(x, np.array([1.0] * (len(positive) + len(bent)) + [-1.0] * len(negative)))
-    model.bias = min(model.bias, 0.0)
-    # Bent words count as a quarter as many more texts labelled 1, so the curve leaves room for them.
-    value, label = Scorer(model).values(texts), np.array(labels)
-    shown = model.decide([x for w in typical for x in _bent(w)])
-    shown = np.resize(shown, max(1, len(toxic) // 4))
-    model.slope, model.shift = _logistic(np.concatenate([value, shown]), np.concatenate([label, np.ones(len(shown), dtype=label.dtype)]))
+    frequent = [w[1:] for w, _ in sorted(clean_words.items(), key=lambda x: (-x[1], x[0]))[:CLEAN_WORDS]]
+    model = ToxicityModel([*typical, *((START + w)[:WINDOW] for w in frequent[: LANDMARKS - len(typical)])], len(typical))
+    near = model.likeness(frequent)[:, : len(typical)].max(axis=1, initial=0.0)
+    # Words that hold a typical string, as they are and with a character put in, against words of clean texts that are only near one.
+    shown = Counter(w[1:] for s in toxic for w in s if any(g in w for g in typical))
+    holding = [w for w, _ in sorted(shown.items(), key=lambda x: (-x[1], x[0]))[:MOST_WORDS]]
+    bent = [x for w in [*typical, *holding[:200]] for x in _bent(w.removeprefix(START)) if len(w) < WINDOW]
+    other = [frequent[k] for k in np.argsort(-near, kind="stable")[:MOST_WORDS] if near[k] > 0 and not any(g in START + frequent[k] for g in typical)]
+    x = model.likeness(holding + bent + other)
+    w, model.bias = _train(x @ model.root, np.array([1.0] * (len(holding) + len(bent)) + [-1.0] * len(other)))
+    model.weights = model.root @ w
+    counts = np.array([c for c, _ in Scorer(model).counts(texts)])
+    general = label.mean()
+    # Of each string's disguises, those that are taken for it.
+    taken = [np.mean(np.isin(model.mentions(_bent(g.removeprefix(START))), (j, len(typical) + j))) for j, g in enumerate(typical)]
+    for n in range(1, TOP + 1):
+        held = counts >= n if n == TOP else counts == n
+        yes = (held & (label == 1)[:, None]).sum(axis=0)
+        more = np.concatenate([np.zeros(len(typical)), DISGUISED * np.array(taken) * yes[: len(typical)]])
+        model.shares[n - 1] = (yes + more + PRIOR * general) / (held.sum(axis=0) + more + PRIOR)
+    # More mentions never mean less.
+    model.shares = np.minimum(np.maximum.accumulate(model.shares, axis=0), 1 - 1e-9)
+    silent = ~counts.any(axis=1)
+    model.base = ((silent & (label == 1)).sum() + PRIOR * general) / (silent.sum() + PRIOR)
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "label", max_rows: int = MAX_ROWS) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "label", max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> ToxicityModel:
     """A machine fitted to the texts of docs that labels (key, label 0 or 1) marks.
 
     At most max_rows labels are drawn, from narrow rows; only they, so a bounded table, are broadcast
-    to find their texts, and no more than max_rows texts reach the driver.
+    to find their texts, of which as many reach the driver as have max_chars characters together.
     """
     order = F.md5(F.col(key).cast("string"))
     drawn = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(key, label).distinct()
     drawn = drawn.orderBy(order, label).limit(max_rows)
-    chosen = docs.select(key, text).join(F.broadcast(drawn), key).orderBy(order, text, label).limit(max_rows).select(text, label)
+    chosen = docs.select(key, text).join(F.broadcast(drawn), key).orderBy(order, text, label).limit(max_rows)
+    # max_rows rows at most: one task adds up their lengths.
+    so_far = F.sum(F.coalesce(F.length(text), F.lit(0))).over(Window.orderBy(order, text, label).rowsBetween(Window.unboundedPreceding, 0))
+    chosen = chosen.withColumn("_chars", so_far).where(F.col("_chars") <= max_chars).select(text, label)
     pairs = [(r[0], int(r[1])) for r in chosen.toLocalIterator()]
     return fit_texts([t for t, _ in pairs], [y for _, y in pairs])
 

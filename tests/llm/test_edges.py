@@ -777,3 +777,84 @@ def test_names_that_can_mean_content(name):
 )
 def test_stray_quotes(html, text):
     assert wrappers.extract_page(html) == text
+
+
+def test_scores_equal_a_plain_version():
+    """Words, windows, likenesses, mentions, sentences and shares by their definitions, one text at a time."""
+    from itertools import combinations
+
+    texts, labels = sample(300, 4)
+    texts = [t.replace(" th ", ". Th ") for t in texts]
+    model = toxicity.fit_texts(texts, labels)
+
+    def weigh(s):
+        out: dict = {}
+        for c in combinations(range(len(s)), toxicity.ORDER):
+            u = "".join(s[i] for i in c)
+            out[u] = out.get(u, 0.0) + toxicity.DECAY ** (c[-1] - c[0] + 1)
+        return out
+
+    marks = [weigh(x) for x in model.landmarks]
+
+    def likeness(string, j):
+        x = model.landmarks[j]
+        lack = len(set(x) - set(string))
+        if lack > (1 if len(x.removeprefix("^")) > 5 else 0):
+            return 0.0
+        a, b = weigh(string), marks[j]
+        return sum(v * b.get(u, 0.0) for u, v in a.items()) / max(1e-6, math.sqrt(sum(v * v for v in a.values()) * sum(v * v for v in b.values())))
+
+    def mention(word):
+        word = "".join(c for c in word if c.isalnum())
+        if len(word) < toxicity.ORDER:
+            return -1
+        marked = "^" + word
+        found = [max(likeness(w, j) for w in toxicity.all_windows(marked, model.wide)) for j in range(len(model.landmarks))]
+        near = found[: model.positive]
+        if not any(near) or sum(f * w for f, w in zip(found, model.weights, strict=True)) + model.bias <= 0:
+            return -1
+        plain = [j for j in range(model.positive) if model.landmarks[j] in marked]
+        return max(plain, key=lambda j: near[j]) if plain else model.positive + near.index(max(near))
+
+    def score(text):
+        sentences = set(filter(None, toxicity._ENDS.split((text or "").lower())))
+        held: dict = {}
+        for s in sentences:
+            for m in {mention(w) for w in s.split()} - {-1}:
+                held[m] = held.get(m, 0) + 1
+        no = 1 - model.base
+        for m, n in held.items():
+            n = min(n, 1 + toxicity.LONG * n // max(toxicity.LONG, len(sentences)))
+            no *= 1 - model.shares[min(n, toxicity.TOP) - 1, m]
+        return 1 - no
+
+    given = [texts[k] for k in range(0, 60, 3)] + [None, "", "blockhead", "a numbskxull. blockhead!\nblockhead", "wretchling " * 3]
+    got = model.probability(toxicity.Scorer(model).values(given))
+    assert np.allclose(got, [score(t) for t in given])
+    assert model.positive >= 3 and (got > 0.7).any() and (got < 0.3).any()
+
+
+def test_one_mention_of_a_word_that_clean_texts_hold_is_little(spark):
+    draw = random.Random(41)
+    vocab = ["".join(draw.choice(["an", "th", "er", "on", "re", "in"]) for _ in range(draw.randrange(1, 4))) for _ in range(300)]
+    say = lambda n: [draw.choice(vocab) for _ in range(n)]
+    texts, labels = [], []
+    for i in range(500):
+        said = [say(8) for _ in range(8)]
+        n = 3 if i % 6 == 0 else 1 if i % 9 == 1 else 0
+        for k in draw.sample(range(8), n):
+            said[k].insert(draw.randrange(8), "zubrik" + draw.choice(["an", "on", "er", "in"]))
+        texts.append(". ".join(" ".join(s) for s in said))
+        labels.append(int(i % 6 == 0))
+    model = toxicity.fit_texts(texts[:400], labels[:400])
+    p = model.probability(toxicity.Scorer(model).values(texts[400:]))
+    assert ((p >= 0.7) == (np.array(labels[400:]) == 1)).mean() > 0.97
+
+
+def test_fit_takes_whole_texts_up_to_its_bounds(spark):
+    texts, labels = sample(120, 1)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    given = spark.createDataFrame(list(enumerate(labels)), "doc_id bigint, label int")
+    few = toxicity.fit(docs, given, max_chars=300)
+    assert few.positive == 0
+    assert toxicity.fit(docs, given).positive >= 3
