@@ -88,3 +88,15 @@ def test_rows_leave_by_id_and_text(spark, corpus):
     full = [(*r, "en", "s", len(r[1]), 7, "x", 3) for r in rows]
     got = [(r[0], r[1].removesuffix(" more")) for r in staged(spark, "near_duplicates", full, folder)]
     assert sorted(map(str, got)) == sorted(map(str, [(1, a), (5, b), (None, c), (9, d), (6, "lone"), (None, "x"), (None, "y")]))
+
+
+def test_two_columns_are_enough(spark, corpus):
+    """Stages that need no more than an id and a text take tables without other columns, also where ids repeat."""
+    folder, _, _ = corpus
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    df = spark.createDataFrame([(1, a), (1, a), (1, b), (None, a + " more"), (2, None), (2, None)], "doc_id bigint, text string")
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        out = stage(spark, df, folder)
+        assert out.columns == df.columns
+        rows = sorted(map(str, (tuple(r) for r in out.collect())))
+        assert rows == sorted(map(str, [(1, a), (1, b), (2, None), (2, None)] if name == "near_duplicates" else [tuple(r) for r in df.collect()]))
