@@ -80,17 +80,20 @@ def free(df: DataFrame, name: str) -> str:
 
 #: Keys that join_hot() sends at most, and rows of a key from which on it does.
 HOT_KEYS = 200_000
-HOT_ROWS = 1_000
+HOT_ROWS = 50_000
 
 
-def join_hot(rows: DataFrame, per_key: DataFrame, key: str, count: str, total: int, how: str = "inner") -> DataFrame:
+def join_hot(rows: DataFrame, per_key: DataFrame, key: str, count: str, total: int, how: str = "inner", largest: int | None = None) -> DataFrame:
     """rows and the columns of per_key, a table with one row for each key, by key.
 
     count: the column of per_key (left out of the result) with the rows that have the key; total: about
-    how many rows there are. Keys with many rows, HOT_KEYS at most, are sent to the rows, so none of
-    them is one task's work; the others are joined. rows is read twice.
+    how many rows there are; largest: how many one key has at most, if that is known. Keys with many
+    rows, HOT_KEYS at most, are sent to the rows, so none of them is one task's work; the others are
+    joined. rows is read twice where there are such keys.
     """
     most = max(HOT_ROWS, total // HOT_KEYS)
+    if (total if largest is None else largest) <= most:
+        return rows.join(per_key.drop(count), key, how)
     given = [c for c in per_key.columns if c not in (key, count)]
     mark = free(rows, "_hot")
     sent = [free(rows, f"_hot_{c}") for c in given]

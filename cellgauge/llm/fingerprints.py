@@ -29,7 +29,7 @@ BINS = 256
 PROBES = 8
 #: Text bytes that one task sorts to find each row's successor; more where there would be too many buckets to send.
 BUCKET_BYTES = 4 << 20
-INTERVALS = 1024
+INTERVALS = 512
 #: Buckets whose bounds are sent to the rows at most, 40 bytes each.
 SENT_BUCKETS = 500_000
 #: The bits of a hash below those that choose its bin.

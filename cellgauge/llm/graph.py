@@ -1,7 +1,7 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
 Every round is a few shuffles with partial aggregation and is written to the shared folder; nothing
-but two numbers per round reaches the driver. A node with many edges, the centre of a star, isn't one
+but three numbers per round reaches the driver. A node with many edges, the centre of a star, isn't one
 join key: the few nodes that have more than a share of the edges are sent to the edges instead.
 """
 
@@ -15,9 +15,11 @@ from .common import discard, join_hot, materialize
 EDGES_PER_FILE = 500_000
 
 
-def _state(e: DataFrame) -> tuple:
-    row = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").bitwiseAND(0xFFFFFFFF))).first()
-    return row[0], row[1]
+def _state(e: DataFrame) -> tuple[int, int, int]:
+    """Edges, a sum that tells edge tables apart, and the most edges of one node."""
+    each = e.select(F.explode(F.array("u", "v")).alias("x"), F.xxhash64("u", "v").bitwiseAND(0xFFFFFFFF).alias("h"))
+    row = each.groupBy("x").agg(F.count("*").alias("n"), F.sum("h").alias("h")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("h"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    return row[0] // 2, row[1], row[2]
 
 
 def _files(rows: int) -> int:
@@ -25,10 +27,10 @@ def _files(rows: int) -> int:
     return max(8, rows // EDGES_PER_FILE)
 
 
-def _with_least(edges: DataFrame, rows: int) -> DataFrame:
-    """edges (u, v), rows of them at most, with m, the least v of each u."""
+def _with_least(edges: DataFrame, rows: int, largest: int) -> DataFrame:
+    """edges (u, v), rows of them and largest of one u at most, with m, the least v of each u."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_n"))
-    return join_hot(edges, least, "u", "_n", rows)
+    return join_hot(edges, least, "u", "_n", rows, largest=largest)
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -44,9 +46,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # Large star: each larger neighbour of u meets the least of u and its neighbours.
         to = F.least("u", "m")
-        large = _with_least(both, 2 * before[0]).where((F.col("v") > F.col("u")) & (F.col("v") != to)).select(F.col("v").alias("u"), to.alias("v")).distinct()
+        large = _with_least(both, 2 * before[0], before[2]).where((F.col("v") > F.col("u")) & (F.col("v") != to)).select(F.col("v").alias("u"), to.alias("v")).distinct()
         # Small star: u and its smaller neighbours meet the least of them.
-        small = _with_least(large, 2 * before[0])
+        small = _with_least(large, 2 * before[0], before[2])
         new = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(small.select("u", F.col("m").alias("v"))).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         new = materialize(new.coalesce(_files(before[0])), "edges")
         after = _state(new)

@@ -445,5 +445,5 @@ def components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, key:
     rows = materialize(rows, "labelled")
     discard(sets, labels)
     first = rows.where("label is not null").groupBy("label").agg(F.min("key").alias("component_id"), F.count("*").alias("_n"))
-    out = join_hot(rows, first, "label", "_n", rows.count(), "left")
+    out = join_hot(rows, first, "label", "_n", rows.count(), "left", first.agg(F.max("_n")).first()[0] or 0)
     return out.select(F.col("key").alias(key), "n_shingles", F.when(F.col("n_shingles") == 0, F.col("key")).otherwise(F.col("component_id")).alias("component_id"))

@@ -233,8 +233,8 @@ class Scorer:
         #: What a word mentions, or -1.
         self.model, self.room, self.known = model, room, {}
 
-    def counts(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, list[str]]]:
-        """(in how many sentences each typical string is mentioned, the words that do) of each text."""
+    def counts(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, str | None]]:
+        """(in how many sentences each typical string is mentioned, the word that says most) of each text."""
         at = 0
         while at < len(texts):
             sets, size = [], 0
@@ -248,7 +248,7 @@ class Scorer:
             self.known.update(zip(fresh, self.model.mentions([bare(w) for w in fresh]).tolist(), strict=True))
             for s, text in zip(sets, texts[at : at + len(sets)], strict=True):
                 said = {w for w in s if self.known[w] >= 0}
-                yield self._sentences(text, said), sorted(said)
+                yield self._sentences(text, said), max(said, key=lambda w: (self.model.shares[0, self.known[w]], w), default=None)
             at += len(sets)
 
     def _sentences(self, text: str, said: set[str]) -> np.ndarray:
@@ -272,8 +272,7 @@ class Scorer:
         """(value, the word that says most for it) of each text."""
         found = list(self.counts(texts))
         values = self.model.value(np.array([c for c, _ in found]).reshape(len(found), -1)) if found else []
-        share = lambda w: (self.model.shares[0, self.known[w]], w)
-        return [(float(v), max(said, key=share) if said else None) for v, (_, said) in zip(values, found, strict=True)]
+        return [(float(v), word) for v, (_, word) in zip(values, found, strict=True)]
 
 
 def _grams(words: set[str], sizes: range, holding: set[str] | None = None) -> set[str]:

@@ -38,6 +38,9 @@ BLOCK_LINES = 2000
 DIRECTORY_CHUNK = 500_000
 #: Index blocks that one task of a lookup reads on average.
 TASK_BLOCKS = 8
+#: Records that one task reads on average.
+TASK_RECORDS = 5_000
+SLICE = 4 << 20
 #: Recurring digests that are sent to the pages at most, about 100 bytes each.
 SENT_DIGESTS = 500_000
 
@@ -332,8 +335,8 @@ def _location_batch(out: list[list]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], names=["urlkey", "page_id", "file", "offset", "length"])
 
 
-def read_records(locations: DataFrame) -> DataFrame:
-    """The records at locations, by range reads in the order in which they lie."""
+def read_records(locations: DataFrame, records: int = 0) -> DataFrame:
+    """The records at locations, by range reads in the order in which they lie; records: about how many there are."""
 
     def read(batches):
         ranges = _Ranges()
@@ -353,13 +356,13 @@ def read_records(locations: DataFrame) -> DataFrame:
                     rows, held = [], 0
             yield packed(rows)
 
-    # Slices of 32 MB of an archive, so that a large one is read by many tasks.
-    cut = F.floor(F.col("offset") / (32 << 20))
-    return locations.withColumn("_cut", cut).repartition("file", "_cut").sortWithinPartitions("file", "offset").select("file", "offset", "length").mapInArrow(read, RECORD)
+    # Slices of an archive, so that a large one is read by many tasks.
+    cut = F.floor(F.col("offset") / SLICE)
+    return locations.withColumn("_cut", cut).repartition(max(1, records // TASK_RECORDS), "file", "_cut").sortWithinPartitions("file", "offset").select("file", "offset", "length").mapInArrow(read, RECORD)
 
 
 def capture(pages: DataFrame, html: str = "html", min_bytes: int = 1000) -> DataFrame:
     """Write pages to archives, index them, look every url up in the index and read the records back."""
     locations = write_archives(pages, html, min_bytes)
     directory = build_index(locations)
-    return read_records(lookup(directory, pages.select("url")))
+    return read_records(lookup(directory, pages.select("url")), directory.agg(F.sum("lines")).first()[0] or 0)
