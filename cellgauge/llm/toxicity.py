@@ -139,11 +139,17 @@ def _kernel(a: list[str], b: list[str]) -> np.ndarray:
 def _masks(strings: list[str]) -> np.ndarray:
     """A bit for each letter, modulo 64."""
     out = np.zeros(len(strings), dtype=np.uint64)
+    short = [i for i, s in enumerate(strings) if 0 < len(s) <= 40]
+    for lo in range(0, len(short), 50_000):
+        part = short[lo : lo + 50_000]
+        codes, _ = _codes([strings[i] for i in part])
+        out[part] = np.bitwise_or.reduce(np.where(codes > 0, np.uint64(1) << (codes & 63).astype(np.uint64), np.uint64(0)), axis=1)
     for i, s in enumerate(strings):
-        m = 0
-        for c in s:
-            m |= 1 << (ord(c) & 63)
-        out[i] = m
+        if len(s) > 40:
+            m = 0
+            for c in set(s):
+                m |= 1 << (ord(c) & 63)
+            out[i] = m
     return out
 
 
@@ -298,27 +304,38 @@ def _marked_words(text: str | None) -> set[str]:
     return {START + b for w in words_of(text) if len(b := bare(w)) >= 4}
 
 
-def _counts(texts: list[set[str]]) -> list[Counter]:
-    """In how many texts each short string occurs in one word or more, and in two different words or more."""
+def _counts(texts: Iterator[set[str]], among: set[str] | None = None) -> list[Counter]:
+    """In how many texts each short string (of those among) occurs in one word or more, and in two different words or more."""
     once: Counter = Counter()
     twice: Counter = Counter()
     for s in texts:
         held: Counter = Counter()
         for w in s:
-            held.update({w[i : i + n] for n in SEEDS for i in range(len(w) - n + 1)})
+            grams = {w[i : i + n] for n in SEEDS for i in range(len(w) - n + 1)}
+            held.update(grams if among is None else grams & among)
         once.update(held.keys())
         twice.update(g for g, n in held.items() if n > 1)
     return [once, twice]
 
 
-def _typical(toxic: list[set[str]], clean: list[Counter], n_clean: int, most: int) -> list[str]:
+def _frequent(texts: Iterator[set[str]], most: int) -> list[str]:
+    """About the `most` words that most texts hold; words seen once are forgotten whenever there are too many."""
+    seen: Counter = Counter()
+    for s in texts:
+        seen.update(s)
+        if len(seen) > 5 * most:
+            seen = Counter({w: n for w, n in seen.items() if n > 1})
+    return [w for w, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:most]]
+
+
+def _typical(toxic: list[set[str]], clean: Iterator[set[str]], n_clean: int, most: int) -> list[str]:
     """Strings that cover the toxic texts best, among those that clean texts hardly hold once, or twice."""
     # Near copies of a text say nothing new: of those that share their least-hashed rare word, one is kept.
     often = Counter(w for s in toxic for w in s)
     toxic = list({min((crc32(w.encode("utf-8", "replace")) for w in s if often[w] <= 0.05 * len(toxic)), default=-1 - k): s for k, s in enumerate(toxic)}.values())
     least = max(3, 0.01 * len(toxic))
-    seeds = set()
-    for held, other in zip(_counts(toxic), clean, strict=True):
+    seeds, counts = set(), _counts(iter(toxic))
+    for held, other in zip(counts, _counts(clean, {g for g, n in counts[0].items() if n >= least}), strict=True):
         seeds |= {g for g, n in held.items() if n >= least and other[g] / max(1, n_clean) <= 0.02 * n / len(toxic)}
     # What is to be covered: each suspicious word of each toxic text.
     spots: dict[str, set[tuple[int, str]]] = {}
@@ -371,22 +388,14 @@ def _train(x: np.ndarray, y: np.ndarray, cost: float = 10.0) -> tuple[np.ndarray
 def fit_texts(texts: list[str | None], labels: list[int]) -> ToxicityModel:
     label = np.array(labels)
     toxic = [_marked_words(t) for t, y in zip(texts, labels, strict=True) if y == 1]
-    clean_words: Counter = Counter()
-    clean = [Counter(), Counter()]
-    n_clean = 0
-    for t, y in zip(texts, labels, strict=True):
-        if y == 0:
-            n_clean += 1
-            held = _marked_words(t)
-            clean_words.update(held)
-            for total, part in zip(clean, _counts([held]), strict=True):
-                total.update(part)
-    typical = _typical(toxic, clean, n_clean, TYPICAL) if toxic else []
+    n_clean = int((label == 0).sum())
+    clean = lambda: (_marked_words(t) for t, y in zip(texts, labels, strict=True) if y == 0)
+    typical = _typical(toxic, clean(), n_clean, TYPICAL) if toxic else []
     if not typical:  # nothing to learn from: every text has the base rate
         model = ToxicityModel(["abc"], 0)
         model.base = (len(toxic) + 1) / (len(toxic) + n_clean + 2)
         return model
-    frequent = [w[1:] for w, _ in sorted(clean_words.items(), key=lambda x: (-x[1], x[0]))[:CLEAN_WORDS]]
+    frequent = [w.removeprefix(START) for w in _frequent(clean(), CLEAN_WORDS)]
     model = ToxicityModel([*typical, *((START + w)[:WINDOW] for w in frequent[: LANDMARKS - len(typical)])], len(typical))
     near = model.likeness(frequent)[:, : len(typical)].max(axis=1, initial=0.0)
     # Words that hold a typical string, as they are and with a character put in, against words of clean texts that are only near one.
