@@ -97,14 +97,14 @@ def _lines(x: np.ndarray, step: int, stride: int):
 
 
 def scan_histograms(packed: DataFrame, bound: float, every: int = 100, how: str = "lorenzo", **options) -> DataFrame:
-    """field_id, code, freq for each packed field; how: lorenzo or interpolation. Fields of fewer cells than `every` count each code."""
+    """field_id, code, freq for each packed field; how: lorenzo (every so-manieth code, so fields with fewer cells have none) or interpolation."""
 
     def run(frames):
         for f in frames:
             rows = []
             for name, dims, values in zip(f["field_id"], f["dims"], f["values"], strict=True):
                 x = np.asarray(values, dtype=float).reshape([int(d) for d in dims])
-                hist = lorenzo_scan(x, bound, every if x.size >= every else 1) if how == "lorenzo" else interpolation_codes(x, bound, **options)
+                hist = lorenzo_scan(x, bound, every) if how == "lorenzo" else interpolation_codes(x, bound, **options)
                 rows += [(name, c, n) for c, n in sorted(hist.items())]
             yield pd.DataFrame(rows, columns=["field_id", "code", "freq"])
 

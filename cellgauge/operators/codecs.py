@@ -22,16 +22,24 @@ def _quantised(x: np.ndarray, bound: float) -> np.ndarray:
     return np.floor(x / (2 * bound) + 0.5).astype(np.int64)
 
 
+def _packed(q: np.ndarray) -> tuple[bytes, str]:
+    """Codes as bytes, four each if all fit, else eight; and their kind."""
+    kind = "<i4" if np.abs(q).max(initial=0) < 1 << 31 else "<i8"
+    return q.astype(kind).tobytes(), kind
+
+
 def quant_zlib(x: np.ndarray, bound: float) -> tuple[int, np.ndarray]:
-    q = _quantised(x, bound)
-    return len(zlib.compress(q.astype("<i4").tobytes(), 6)), q * (2 * bound)
+    raw, kind = _packed(_quantised(x, bound))
+    data = zlib.compress(raw, 6)
+    return len(data), np.frombuffer(zlib.decompress(data), kind) * (2 * bound)
 
 
 def quant_zstd(x: np.ndarray, bound: float) -> tuple[int, np.ndarray]:
     import pyarrow as pa
 
-    q = _quantised(x, bound)
-    return len(pa.Codec("zstd").compress(q.astype("<i4").tobytes())), q * (2 * bound)
+    raw, kind = _packed(_quantised(x, bound))
+    data = pa.Codec("zstd").compress(raw)
+    return len(data), np.frombuffer(pa.Codec("zstd").decompress(data, len(raw)), kind) * (2 * bound)
 
 
 def code_lengths(freq: dict[int, int]) -> dict[int, int]:

@@ -1,8 +1,8 @@
 """Tile statistics of two-dimensional fields: spread, variation, correlation, entropy, coding gain.
 
 Tiles are k x k; tiles cut off by the field's edge, and tiles without variance, drop out. Pairs of
-tiles meet within one field only, by a join on the field; the number of tiles of a field, not of its
-cells, is what is squared.
+tiles meet within one field only, block by block; the number of tiles of a field, not of its cells, is
+what is squared.
 """
 
 from __future__ import annotations
@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 BINS = 15
 EMPTY_BIN = 1e-10
+#: Tiles of a block, and fields whose numbers of blocks are sent to their tiles at most.
+TILE_BLOCK = 256
+SENT_FIELDS = 500_000
 
 
 def tile_cells(cells: DataFrame, width: int, k: int, center: bool = False) -> DataFrame:
@@ -32,33 +35,55 @@ def tiles(cells: DataFrame, width: int, k: int, center: bool = False) -> DataFra
     return t.select("field_id", "tr", "tc", F.col("_r.v").alias("values"), (2 * F.col("_var")).alias("intra"), "mean_square")
 
 
-def _sum(x: Column) -> Column:
-    return F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
+SUMS = ["n", "w", "d", "r", "root_w", "root_wd", "root_w_r"]
+PAIRED = "field_id string, tr bigint, tc bigint, intra double, " + ", ".join(f"{c} double" for c in SUMS) + ", rmax double, rmin double"
 
 
-def tile_pairs(t: DataFrame) -> DataFrame:
-    """Each ordered pair of different tiles of a field: Manhattan distance w, Euclidean distance d, correlation r."""
-    n = F.size("values").cast("double")
-    t = t.withColumn("_m", _sum(F.col("values")) / n)
-    t = t.withColumn("_c", F.transform("values", lambda x: x - F.col("_m"))).withColumn("_s", F.sqrt(_sum(F.transform("_c", lambda x: x * x))))
-    a, b = t.select("field_id", *[F.col(c).alias(f"a_{c}") for c in ("tr", "tc", "values", "intra", "_c", "_s")]), t.select("field_id", *[F.col(c).alias(f"b_{c}") for c in ("tr", "tc", "values", "_c", "_s")])
-    p = a.join(b, "field_id").where((F.col("a_tr") != F.col("b_tr")) | (F.col("a_tc") != F.col("b_tc")))
-    dist = F.sqrt(_sum(F.zip_with("a_values", "b_values", lambda x, y: (x - y) * (x - y))))
-    corr = _sum(F.zip_with("a__c", "b__c", lambda x, y: x * y)) / (F.col("a__s") * F.col("b__s"))
-    return p.select("field_id", F.col("a_tr").alias("tr"), F.col("a_tc").alias("tc"), F.col("a_intra").alias("intra"), (F.abs(F.col("a_tr") - F.col("b_tr")) + F.abs(F.col("a_tc") - F.col("b_tc"))).cast("double").alias("w"), dist.alias("d"), F.abs(corr).alias("r"))
+def _block_sums(f):
+    """Of each tile of two blocks of one field (or of one block twice) its sums over the other block's tiles."""
+    import pandas as pd
+
+    def side(part):
+        v = np.stack(part["values"].to_numpy())
+        c = v - v.mean(axis=1, keepdims=True)
+        return part, v, c / np.linalg.norm(c, axis=1, keepdims=True)
+
+    lo, hi = f["lo"].iloc[0], f["hi"].iloc[0]
+    parts = [f[f["own"] == lo], f[f["own"] == hi]]
+    if not all(len(p) for p in parts):
+        return pd.DataFrame({c.split(" ")[0]: [] for c in PAIRED.split(", ")})
+    (a, va, ca), (b, vb, cb) = map(side, parts)
+    w = np.abs(a["tr"].to_numpy()[:, None] - b["tr"].to_numpy()) + np.abs(a["tc"].to_numpy()[:, None] - b["tc"].to_numpy()).astype(float)
+    d = np.sqrt(np.maximum(0.0, (va**2).sum(axis=1)[:, None] + (vb**2).sum(axis=1) - 2 * va @ vb.T))
+    r = np.abs(ca @ cb.T)
+    other = w > 0  # different tiles
+    root = np.sqrt(w)
+    cells = [other.astype(float), w, np.where(other, d, 0), np.where(other, r, 0), root, root * np.sqrt(d), root * r]
+    out = []
+    for part, axis in ((a, 1), (b, 0))[: 1 if lo == hi else 2]:
+        cols = {"field_id": part["field_id"], "tr": part["tr"], "tc": part["tc"], "intra": part["intra"]} | {c: x.sum(axis=axis) for c, x in zip(SUMS, cells, strict=True)}
+        out.append(pd.DataFrame(cols | {"rmax": np.where(other, r, -1.0).max(axis=axis), "rmin": np.where(other, r, 2.0).min(axis=axis)}))
+    return pd.concat(out)
+
+
+def pair_sums(t: DataFrame, block: int = TILE_BLOCK) -> DataFrame:
+    """Of each tile, over the other tiles of its field: their number n, and sums of the Manhattan distance w, the Euclidean distance d, the absolute correlation r, sqrt(w), sqrt(w d) and sqrt(w) r; and r's extremes.
+
+    A field's tiles are dealt into blocks of about `block` tiles; each two blocks meet once, as one
+    task's matrix products, so neither a field nor a pair of tiles is a row that moves.
+    """
+    counts = t.groupBy("field_id").agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
+    rows = t.join(F.broadcast(counts) if counts.count() <= SENT_FIELDS else counts, "field_id")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("tr", "tc"), F.col("_blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    rows = rows.select("field_id", "tr", "tc", "intra", "values", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    each = rows.groupBy("field_id", "lo", "hi").applyInPandas(_block_sums, PAIRED)
+    return each.groupBy("field_id", "tr", "tc").agg(F.first("intra").alias("intra"), *[F.sum(c).alias(c) for c in SUMS], F.max("rmax").alias("rmax"), F.min("rmin").alias("rmin")).where("n > 0")
 
 
 def spatial_statistics(t: DataFrame) -> DataFrame:
     """Per field: spatial variation, and four summaries of the tiles' absolute correlations."""
     n = t.groupBy("field_id").agg(F.count("*").cast("double").alias("n"))
-    w = F.sqrt("w")
-    per = tile_pairs(t).groupBy("field_id", "tr", "tc").agg(
-        F.first("intra").alias("intra"),
-        (F.sum(F.sqrt(F.col("w") * F.col("d"))) / F.sum(w)).alias("sv"),
-        (F.sum(w * F.col("r")) / F.sum(w)).alias("sc"),
-        F.max("r").alias("rmax"),
-        F.min("r").alias("rmin"),
-    )
+    per = pair_sums(t).select("field_id", "tr", "tc", "intra", (F.col("root_wd") / F.col("root_w")).alias("sv"), (F.col("root_w_r") / F.col("root_w")).alias("sc"), "rmax", "rmin")
     return (
         per.join(n, "field_id")
         .groupBy("field_id")

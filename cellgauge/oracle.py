@@ -113,7 +113,7 @@ _MOCK = (
     'x as (select "case", position, metric, module, usage, causes, list_has_any(causes, classes) and (usage = \'feature\' or training) as invalid from m, ch)'
 )
 _TIMES = "with t(method, codec, mean, sd) as (values " + _values(TIMINGS) + "), b as (select codec, mean as mean_baseline from t where method = 'none')"
-_STORED = "with c as (select * from customer where c_custkey % 2 = 0)"
+_STORED = "with c as (select * from customer)"
 
 ORACLE |= {
     "sampled_grid_stats": f"{_EMB2} select field_id, {_TOTALS} from cells where {on_grid(DIMS['emb2d'])} group by field_id",
@@ -185,6 +185,7 @@ ORACLE |= {
     "any_of": "select l_returnflag, bool_or(l_discount > 0.09) as any_large, count(distinct l_linestatus) as n_status from lineitem group by 1",
     "timing_summary": "select event_type, round(avg(value), 6) as mean, round(stddev_samp(value), 6) as sd, round(min(value), 6) as least, round(max(value), 6) as greatest from events group by 1",
     "synthetic_grid": "select idx, case when y = 0 then null else round(ln(y), 6) + 0 end as v from (select idx, pow(pow(sin((idx // 100) * 0.1::double + (idx % 100) * 0.2::double), 2) / cos((idx % 100) * 0.1::double), 2) as y from range(10000) t(idx))",
+    "metadata_scan": "select 'nation.parquet' as name, true as filled",
     "dataset_count": "select count(distinct event_type) as n_fields from events",
     "one_field": f"{_EMB1} select idx, v from cells where field_id = '7'",
     "packed_round_trip": f"{_EMB1} select field_id, idx, v from cells",

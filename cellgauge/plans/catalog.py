@@ -103,12 +103,12 @@ def fresh_or_cached(fresh: DataFrame, cached: DataFrame, metrics: list[str], key
     return both.select(key, *[one(m) for m in metrics])
 
 
-#: The estimators of this package; each scheme's label is the ratio of a real codec.
+#: The estimators of this package, with the published causes (fixed values); each scheme's label is the ratio of a real codec.
 SCHEMES: dict[str, Scheme] = {
-    name: Scheme(name, (Metric(f"{name}:ratio", name, "feature", (DEPENDENT, AGNOSTIC, DATA), False, False), Metric("size:ratio", "size", "label", (DEPENDENT, AGNOSTIC, DATA), True, False)), training_required=False)
-    for name in ("sampled_tiles", "lorenzo_bits", "interpolation_bits", "sampled_blocks")
+    name: Scheme(name, (Metric(f"{name}:ratio", name, "feature", causes, False, False), Metric("size:ratio", "size", "label", (DEPENDENT, AGNOSTIC, DATA), True, False)), training_required=False)
+    for name, causes in {"sampled_tiles": (DEPENDENT, AGNOSTIC, DATA), "lorenzo_bits": (DEPENDENT, AGNOSTIC, DATA), "interpolation_bits": (DEPENDENT,), "sampled_blocks": (DEPENDENT,)}.items()
 } | {
-    "neighbours": Scheme("neighbours", tuple(Metric(f"neighbours:{m}", "neighbours", "feature", (DATA,), False, False) for m in ("value_range", "mean_value", "mean_neighbor_difference", "mean_lorenzo_difference", "mean_spline_difference", "non_constant_block_percentage")) + (Metric("size:ratio", "size", "label", (DEPENDENT, AGNOSTIC, DATA), True, False),), predictor="offset", training_required=True)
+    "neighbours": Scheme("neighbours", tuple(Metric(f"neighbours:{m}", "neighbours", "feature", (DEPENDENT,), False, False) for m in ("value_range", "mean_value", "mean_neighbor_difference", "mean_lorenzo_difference", "mean_spline_difference", "non_constant_block_percentage")) + (Metric("size:ratio", "size", "label", (DEPENDENT, AGNOSTIC, DATA), True, False),), predictor="offset", training_required=True)
 }
 
 
@@ -128,7 +128,7 @@ def describe(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(*r, __version__, "stable" if r[0] != "scheme" else "experimental") for r in rows], "kind string, name string, detail string, version string, stability string")
 
 
-#: A scheme over mock modules, with the settings of a mock compressor.
+#: A scheme over mock modules, with the settings of a mock compressor, and the eight changes that are told apart.
 MOCK = Scheme(
     "mock",
     (

@@ -113,7 +113,7 @@ def quantise_grid(spark, sf_dir):
 
 @query
 def lorenzo_closed_loop_ratio(spark, sf_dir):
-    h = closedloop.scan_histograms(arrays.pack(arrays.emb1d(spark, sf_dir), [64]), 0.01)
+    h = closedloop.scan_histograms(arrays.pack(arrays.evt1d(spark, sf_dir), [-1]), 0.01)
     return codes.corrected_ratio(h, codes.CENTER, 0)
 
 
@@ -133,8 +133,8 @@ def tile_spread(spark, sf_dir):
 
 @query
 def tile_pairs(spark, sf_dir):
-    p = tiles.tile_pairs(tiles.tiles(arrays.ord2d(spark, sf_dir), 50, 10, center=True))
-    return r6(p.groupBy("field_id").agg(F.count("*").alias("n_pairs"), F.sum("w").alias("sum_w"), (F.avg("d") / 1e6).alias("mean_d"), F.avg("r").alias("mean_r")))
+    p = tiles.pair_sums(tiles.tiles(arrays.ord2d(spark, sf_dir), 50, 10, center=True))
+    return r6(p.groupBy("field_id").agg(F.sum("n").alias("n_pairs"), F.sum("w").alias("sum_w"), (F.sum("d") / F.sum("n") / 1e6).alias("mean_d"), (F.sum("r") / F.sum("n")).alias("mean_r")))
 
 
 @query
@@ -291,29 +291,29 @@ def linear_fit(spark, sf_dir):
     return r6(learning.linear_fit(rows, F.col("l_quantity"), F.col("l_extendedprice"), ["l_returnflag"]))
 
 
-def _profile(spark, sf_dir):
+def _profile(spark, sf_dir, dims: int = 64):
     e = table(spark, sf_dir, "embeddings")
-    return e.select("vec_id", "label", *[F.element_at("embedding", k + 1).cast("double").alias(f"x{k}") for k in range(6)])
+    return e.select("vec_id", "label", *[F.element_at("embedding", k + 1).cast("double").alias(f"x{k}") for k in range(dims)])
 
 
 @query
 def kmeans_elbow(spark, sf_dir):
-    return learning.kmeans_costs(_profile(spark, sf_dir), [f"x{k}" for k in range(6)], range(1, 6))
+    return learning.kmeans_costs(_profile(spark, sf_dir), [f"x{k}" for k in range(64)], range(1, 11))
 
 
 @query
 def principal_components(spark, sf_dir):
-    return learning.principal_components(_profile(spark, sf_dir), [f"x{k}" for k in range(6)], 4)
+    return learning.principal_components(_profile(spark, sf_dir), [f"x{k}" for k in range(64)], 4)
 
 
 @query
 def mahalanobis_distances(spark, sf_dir):
-    return learning.row_shares(learning.mahalanobis_between(_profile(spark, sf_dir), "label", [f"x{k}" for k in range(6)]))
+    return learning.row_shares(learning.mahalanobis_between(_profile(spark, sf_dir, 6), "label", [f"x{k}" for k in range(6)]))
 
 
 @query
 def mahalanobis_spread(spark, sf_dir):
-    return learning.mahalanobis_between(_profile(spark, sf_dir), "label", [f"x{k}" for k in range(6)], "spread")
+    return learning.mahalanobis_between(_profile(spark, sf_dir, 6), "label", [f"x{k}" for k in range(6)], "spread")
 
 
 # --- catalog ---
@@ -367,11 +367,13 @@ def task_grid(spark, sf_dir):
     return store.task_grid(fields, 3, experiment=1, compressor=1, dataset=1)
 
 
-def _filled(spark, sf_dir):
+def _filled(spark, sf_dir, whole: bool = False):
+    """A store of all customers, or of half of them so that tasks are left, and the grid of all."""
     s = store.ResultStore(spark)
     o = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("field"), F.create_map(F.lit("balance"), F.col("c_acctbal").cast("string"), F.lit("nation"), F.col("c_nationkey").cast("string"), F.lit("name"), F.col("c_name")).alias("values"))
     grid = store.task_grid(o, 1, experiment=1, compressor=1, dataset=1)
-    s.upsert_results(grid.join(o, "field").where("field % 2 = 0"))
+    rows = grid.join(o, "field")
+    s.upsert_results(rows if whole else rows.where("field % 2 = 0"))
     return s, grid
 
 
@@ -389,13 +391,13 @@ def done_tasks(spark, sf_dir):
 
 @query
 def stored_results(spark, sf_dir):
-    s, _ = _filled(spark, sf_dir)
+    s, _ = _filled(spark, sf_dir, whole=True)
     return s.load().select("field", F.explode("values").alias("metric", "value"))
 
 
 @query
 def stored_wide(spark, sf_dir):
-    s, _ = _filled(spark, sf_dir)
+    s, _ = _filled(spark, sf_dir, whole=True)
     return s.wide(["balance", "nation"]).select("field", "balance", "nation")
 
 

@@ -240,3 +240,23 @@ def test_dense_index_with_null_hot_and_clumped_keys(spark, monkeypatch, kind):
     assert largest <= 160
     with pytest.raises(TypeError):
         arrays.dense_index(df, "g")
+
+
+def test_blocks_of_tiles_change_no_sum(spark):
+    x = np.random.default_rng(8).normal(size=(40, 30))
+    t = tiles.tiles(cells(spark, x).unionByName(cells(spark, x[:8] * 2, "y")), 30, 5)
+    one, many = (sorted(map(tuple, tiles.pair_sums(t, block).collect())) for block in (1000, 7))
+    assert [r[:3] for r in one] == [r[:3] for r in many] and len(one) == 48 + 6
+    assert np.allclose([r[3:] for r in one], [r[3:] for r in many])
+    assert all(r[4] == (47 if r[0] == "x" else 5) for r in one)
+
+
+def test_codes_beyond_four_bytes_are_kept():
+    x = np.array([1e7, -3.5, 1e7 + 0.25, 0.0])
+    for name in ("quant_zlib", "quant_zstd"):
+        assert np.abs(codecs.CODECS[name](x, 1e-3)[1] - x).max() <= 1e-3 + 1e-6
+
+
+def test_every_hundredth_code_of_a_scan(spark):
+    packed = arrays.from_values(spark, "a", np.arange(250.0)).unionByName(arrays.from_values(spark, "b", np.arange(64.0)))
+    assert sum(r["freq"] for r in closedloop.scan_histograms(packed, 0.01).collect()) == 2

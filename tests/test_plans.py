@@ -9,6 +9,7 @@ from cellgauge.plans import catalog, run, store
 from cellgauge.sources import arrays
 from cellgauge.streaming import ingest
 
+#: The published cases.
 ND, ED, EA, DA = "mock:nondeterministic", "mock:error_dependent", "mock_data:error_agnostic", "mock_data:data"
 EXPECTED = {
     "all": ({ND, ED, EA, DA}, False),
@@ -112,3 +113,9 @@ def test_entry_lists_every_query():
     e = importlib.import_module("__spark_entry__")
     names = set(e.queries())
     assert len(names) >= 99 and set(e.oracle_sql()) <= names
+
+
+def test_causes_of_the_schemes():
+    causes = {n: s.metrics[0].causes for n, s in catalog.SCHEMES.items()}
+    every = (catalog.DEPENDENT, catalog.AGNOSTIC, catalog.DATA)
+    assert causes == {"sampled_tiles": every, "lorenzo_bits": every, "interpolation_bits": (catalog.DEPENDENT,), "sampled_blocks": (catalog.DEPENDENT,), "neighbours": (catalog.DEPENDENT,)}
