@@ -119,6 +119,7 @@ ORACLE |= {
     "sampled_grid_stats": f"{_EMB2} select field_id, {_TOTALS} from cells where {on_grid(DIMS['emb2d'])} group by field_id",
     "rescaled_range": f"{_EVT1} select field_id, round(avg((v - lo) / nullif(hi - lo, 0)), 6) as mean_rescaled from (select *, min(v) over (partition by field_id) as lo, max(v) over (partition by field_id) as hi from cells) group by field_id",
     "quant_entropy_ratio": f"{_EMB1}, h as (select field_id, floor(v / 0.02::double + 0.5) as q, count(*) as c from cells group by all), f as (select field_id, c / sum(c) over (partition by field_id)::double as f from h), e as (select field_id, -sum(f * log2(f)) as entropy from f group by field_id) select field_id, round(entropy, 6) + 0 as entropy, round(64.0 / nullif(round(entropy, 12), 0), 6) as ratio from e",
+    "changed_bound_run": f"{_EMB1}, h as (select field_id, floor(v / 0.02::double + 0.5) as q, count(*) as c from cells group by all), f as (select field_id, c / sum(c) over (partition by field_id)::double as f from h) select field_id, -1.0::double as value_range, round(-sum(f * log2(f)), 6) + 0 as entropy from f group by field_id",
     "code_histogram": f"{_EVT1} select field_id, floor(v / 2.0::double + 0.5)::bigint as code, count(*) as freq from cells group by all",
     "lorenzo_histogram": _CODES.format(b="0.01") + " select field_id, code, freq from h",
     "lorenzo_code_bits": _CODES.format(b="0.01") + " select field_id, round(sum(f * bits), 6) as mean_bits, round(32.0 / nullif(sum(f * bits), 0), 6) as ratio from k group by field_id",

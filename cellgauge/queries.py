@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .functions import scalar
 from .operators import closedloop, codecs, codes, learning, neighbours, sampling, studies, tiles
-from .plans import catalog, store
+from .plans import catalog, collect, store
 from .sources import arrays
 from .sources.arrays import DIMS, SOURCES, dense_index, table
 from .streaming.ingest import windowed_statistics
@@ -358,6 +358,15 @@ def registered(spark, sf_dir):
     return catalog.describe(spark).select("kind", "name", "stability")
 
 
+@query
+def changed_bound_run(spark, sf_dir):
+    """After a change of the bound alone: what depends on it anew, the rest from a cache whose values are -1."""
+    packed = arrays.pack(arrays.emb1d(spark, sf_dir), [64])
+    cached = packed.select("field_id", F.lit(-1.0).alias("range:value_range"), F.lit(-1.0).alias("entropy:entropy"))
+    got = collect.features(collect.CODES, collect.collect(collect.CODES, {"bound"}, packed, {"bound": 0.01}, cached))
+    return r6(got.select("field_id", F.col("range:value_range").alias("value_range"), F.col("entropy:entropy").alias("entropy")))
+
+
 # --- store ---
 
 

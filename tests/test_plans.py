@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cellgauge.functions import scalar
-from cellgauge.plans import catalog, run, store
+from cellgauge.plans import catalog, collect, run, store
 from cellgauge.sources import arrays
 from cellgauge.streaming import ingest
 
@@ -119,3 +119,26 @@ def test_causes_of_the_schemes():
     causes = {n: s.metrics[0].causes for n, s in catalog.SCHEMES.items()}
     every = (catalog.DEPENDENT, catalog.AGNOSTIC, catalog.DATA)
     assert causes == {"sampled_tiles": every, "lorenzo_bits": every, "interpolation_bits": (catalog.DEPENDENT,), "sampled_blocks": (catalog.DEPENDENT,), "neighbours": (catalog.DEPENDENT,)}
+
+
+def test_only_invalid_modules_run(spark):
+    """For each change the modules that run, and values fresh or cached; the real codec only where labels are wanted."""
+    packed = spark.createDataFrame([(str(i), [32], "float64", [float((i * k * k) % 97) for k in range(32)]) for i in range(4)], arrays.PACKED)
+    s, settings = collect.CODES, {"bound": 0.5, "codec": "quant_zlib"}
+    full = collect.collect(s, {catalog.ALL, catalog.TRAINING}, packed, settings)
+    assert full.ran == ["range", "entropy", "size"]
+    cached = packed.select("field_id", *[F.lit(-1.0).alias(m.metric) for m in s.metrics])
+    for changes, ran in (({"bound"}, ["entropy"]), ({"level"}, []), ({catalog.DATA}, ["range", "entropy"]), ({"bound", catalog.TRAINING}, ["entropy", "size"]), ({"bound", catalog.LABELS}, ["entropy", "size"]), ({catalog.TRAINING}, ["size"])):
+        got = collect.collect(s, changes, packed, settings, cached)
+        assert sorted(got.ran) == sorted(ran), changes
+        want = {r["field_id"]: r.asDict() for r in full.table.collect()}
+        for r in got.table.collect():
+            for m in s.metrics:
+                assert r[m.metric] == (want[r["field_id"]][m.metric] if m.module in ran else -1.0)
+    assert collect.labels(s, full).columns == ["field_id", "size:ratio"] and collect.features(s, full).columns == ["field_id", "range:value_range", "entropy:entropy"]
+    without = collect.collect(s, {catalog.ALL}, packed, settings)
+    assert "size" not in without.ran and "size:ratio" not in without.table.columns
+    with pytest.raises(Exception, match="no value of range:value_range"):
+        collect.collect(s, {"bound"}, packed, settings).table.collect()
+    for name in ("neighbours", "lorenzo_bits", "interpolation_bits"):
+        assert collect.collect(catalog.SCHEMES[name], {catalog.ALL}, packed, settings).table.count() == 4
