@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import argparse
+import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.codecs import CODECS, compressed
 from ..operators.learning import PREDICTORS, cross_validate, median_ape, with_folds
-from ..sources.arrays import DIMS, emb1d, pack
+from ..sources.arrays import DIMS, SOURCES, pack, read_fields
 from .catalog import describe
 from .store import KEY, ResultStore, task_grid
 
+#: Views that are a single field of all rows.
+ONE_FIELD = {"emb2d", "evt3d", "ord2d", "part1d"}
+
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="cellgauge")
@@ -20,7 +24,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-k", "--folds", type=int, default=10)
     p.add_argument("-o", "--codec-option", action="append", default=[], help="key=value, applied last")
     p.add_argument("-b", "--codec-early-option", action="append", default=[])
-    p.add_argument("-l", "--loader-option", action="append", default=[])
+    p.add_argument("-l", "--loader-option", action="append", default=[], help="key=value, applied last; source is a view or raw")
     p.add_argument("-L", "--loader-early-option", action="append", default=[])
     p.add_argument("-v", "--verbose", action="count", default=0)
     p.add_argument("-Q", "--qualified", action="store_true")
@@ -42,20 +46,48 @@ def settings(pairs: list[str]) -> dict[str, str | list[str]]:
     return out
 
 
-def observe(packed: DataFrame, codec: str, bound: float) -> DataFrame:
-    """field_id and values: cheap features and the codec's ratio, as texts by name."""
+def layered(early: list[str], late: list[str]) -> dict[str, str | list[str]]:
+    """Options of both lists; a late one takes the place of an early one with its key."""
+    return {**settings(early), **settings(late)}
+
+
+def load(spark: SparkSession, options: dict, data: str) -> DataFrame:
+    """Packed arrays of the loader named by source: a view of the tables in data, or raw files with path, dims (slow to fast, a comma between), dtype and glob.
+
+    A view's field becomes one row, so views that are one field of all rows are an error.
+    """
+    given = {"source": "emb1d", **options}
+    source = given.pop("source")
+    if source == "raw":
+        dims = [int(d) for d in given.pop("dims").split(",")]
+        return read_fields(spark, "raw", dims=dims, **given)
+    if source not in SOURCES or source in ONE_FIELD:
+        raise ValueError(f"no loader {source!r} for a run; there are {sorted({*SOURCES, 'raw'} - ONE_FIELD)}")
+    view = read_fields(spark, source, sf_dir=given.pop("path", data))
+    if given:
+        raise ValueError(f"loader {source!r} has no option {sorted(given)}")
+    return pack(view, DIMS[source])
+
+
+def observe(packed: DataFrame, codec: str, bound: float, decompress: bool = False) -> DataFrame:
+    """field_id and values: cheap features and the codec's ratio, as texts by name; with decompress also the errors of the decoded array."""
     c = compressed(packed, codec, bound)
+    errors = [x for e in ("max_error", "mse", "psnr") for x in (F.lit(f"error_stat:{e}"), F.col(e).cast("string"))] if decompress else []
     mean = F.aggregate("values", F.lit(0.0), lambda a, x: a + x) / F.size("values")
-    return c.select("field_id", F.create_map(F.lit("range"), F.col("value_range").cast("string"), F.lit("mean"), mean.cast("string"), F.lit("size:ratio"), F.col("ratio").cast("string"), F.lit("codec"), F.lit(codec)).alias("values"))
+    return c.select("field_id", F.create_map(F.lit("range"), F.col("value_range").cast("string"), F.lit("mean"), mean.cast("string"), F.lit("size:ratio"), F.col("ratio").cast("string"), F.lit("codec"), F.lit(codec), *errors).alias("values"))
+
 
+def run(spark: SparkSession, store: ResultStore, packed: DataFrame, codec: str, bound: float, replicates: int = 1, decompress: bool = False, source: str = "memory") -> DataFrame:
+    """Compute the tasks that the store lacks, add them, and return all results; fields whose names aren't whole numbers are stored by a hash of the name.
 
-def run(spark: SparkSession, store: ResultStore, packed: DataFrame, codec: str, bound: float, replicates: int = 1) -> DataFrame:
-    """Compute the tasks that the store lacks, add them, and return all results."""
-    ids = {n[:-1]: store.upsert_configs(n, [c]).first()["id"] for n, c in (("experiments", {"name": "default"}), ("datasets", {"source": "memory"}), ("compressors", {"codec": codec, "bound": bound}))}
-    fields = packed.select(F.col("field_id").cast("bigint").alias("field")).distinct()
+    With decompress or another source the configuration, and so the tasks, are others.
+    """
+    ids = {n[:-1]: store.upsert_configs(n, [c]).first()["id"] for n, c in (("experiments", {"name": "default"}), ("datasets", {"source": source}), ("compressors", {"codec": codec, "bound": bound, **({"decompress": True} if decompress else {})}))}
+    number = F.coalesce(F.col("field_id").try_cast("bigint"), F.xxhash64("field_id"))
+    fields = packed.select(number.alias("field")).distinct()
     todo = store.todo(task_grid(fields, replicates, experiment=ids["experiment"], dataset=ids["dataset"], compressor=ids["compressor"]))
-    wanted = packed.join(todo.select(F.col("field").cast("string").alias("field_id")).distinct(), "field_id", "left_semi")
-    seen = observe(wanted, codec, bound).withColumn("field", F.col("field_id").cast("bigint"))
+    wanted = packed.withColumn("field", number).join(todo.select("field").distinct(), "field", "left_semi").drop("field")
+    seen = observe(wanted, codec, bound, decompress).withColumn("field", number)
     store.upsert_results(todo.join(seen, "field").select(*KEY, "values"))
     return store.load()
 
@@ -71,11 +103,12 @@ def score(results: DataFrame, feature: str, label: str, predictor: str = "offset
 def main(args: list[str] | None = None) -> None:
     a = parser().parse_args(args)
     spark = SparkSession.builder.appName("cellgauge").getOrCreate()
-    options = settings([*a.codec_early_option, *a.codec_option])
+    options = layered(a.codec_early_option, a.codec_option)
+    loader = layered(a.loader_early_option, a.loader_option)
     codec, bound = options.get("codec", "quant_zlib"), float(options.get("bound", 1e-2))
     if codec not in CODECS:
         raise SystemExit(f"no codec {codec!r}; there are {sorted(CODECS)}")
-    packed = pack(emb1d(spark, a.data), DIMS["emb1d"])
+    packed = load(spark, loader, a.data)
     store = ResultStore(spark, a.store)
     for action in a.action:
         if action == "settings":
@@ -83,7 +116,10 @@ def main(args: list[str] | None = None) -> None:
         elif action == "dataset":
             packed.select("field_id", "dims", "dtype").show()
         elif action == "run":
-            run(spark, store, packed, codec, bound, a.replicates).show()
+            done = run(spark, store, packed, codec, bound, a.replicates, a.decompress, json.dumps({"data": a.data, **loader}, sort_keys=True) if loader else "memory")
+            if a.verbose:
+                done.explain("formatted" if a.verbose > 1 else "simple")
+            done.show()
         elif action == "score":
             score(store.load(), "range", "size:ratio", k=a.folds).show()
 

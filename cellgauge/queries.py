@@ -123,6 +123,20 @@ def interpolation_closed_loop_ratio(spark, sf_dir):
     return codes.code_bits(h, codes.CENTER, 0)
 
 
+@query
+def lorenzo_closed_loop_2d(spark, sf_dir):
+    """Each embedding as an array of 8 x 8, all of its codes."""
+    h = closedloop.scan_histograms(arrays.pack(arrays.emb1d(spark, sf_dir), [8, 8]), 0.01, every=1)
+    return codes.corrected_ratio(h, codes.CENTER, 0)
+
+
+@query
+def interpolation_closed_loop_2d(spark, sf_dir):
+    """Each embedding as an array of 8 x 8, the finest level predicted from values with decoded ones' errors."""
+    h = closedloop.scan_histograms(arrays.pack(arrays.emb1d(spark, sf_dir), [8, 8]), 0.01, how="interpolation", noise=True)
+    return codes.code_bits(h, codes.CENTER, 0)
+
+
 # --- tiles ---
 
 

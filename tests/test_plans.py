@@ -1,6 +1,7 @@
 import importlib
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,6 +85,22 @@ def test_run_and_score(spark):
     assert run.parser().parse_args(["-k", "5", "-R", "2"]).folds == 5
 
 
+def test_run_options(spark, tmp_path):
+    """Late options win, the loader is chosen, fields may have names, and errors are stored where decoding is asked for."""
+    assert run.layered(["bound=1", "codec=noop"], ["bound=2"]) == {"bound": "2", "codec": "noop"}
+    for name in ("a.raw", "b.raw"):
+        (tmp_path / name).write_bytes(np.linspace(0, 1, 12, dtype="float32").tobytes())
+    packed = run.load(spark, {"source": "raw", "path": str(tmp_path), "dims": "3,4"}, "")
+    assert sorted(r["field_id"] for r in packed.collect()) == ["a.raw", "b.raw"]
+    s = store.ResultStore(spark)
+    assert "error_stat:max_error" not in run.run(spark, s, packed, "quant_zlib", 0.1).first()["values"]
+    rows = [r["values"] for r in run.run(spark, s, packed, "quant_zlib", 0.1, decompress=True).collect()]
+    assert len(rows) == 4 and sum(v.get("error_stat:max_error", 9) <= 0.1 + 1e-9 for v in rows) == 2
+    for bad in ({"source": "emb2d"}, {"source": "nothing"}, {"source": "grid100", "dtype": "x"}):
+        with pytest.raises(ValueError):
+            run.load(spark, bad, "/root/testdata/sf0.001")
+
+
 def test_scalar_functions(spark):
     df = spark.createDataFrame([("a=b=c", 1.0, 0.0)], "s string, x double, z double")
     r = df.select(scalar.split_setting(F.col("s")).alias("p"), scalar.rescale(F.col("x"), 0, 2, 10, 20).alias("r"), scalar.rescale(F.col("x"), 1, 1, 0, 1).alias("n"), scalar.absolute_percentage_error(F.col("z"), F.col("x")).alias("e"), scalar.first_number(F.lit("x"), F.lit("7")).alias("f")).first()
