@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, fingerprints, licenses, mixing, ngram_join, toxicity, urls, warc, wrappers
+from . import chat, decontamination, fingerprints, licenses, mixing, ngram_join, quality, spelling, toxicity, urls, warc, wrappers
 from .common import table
 
 #: What the chat query adds as conversation -1.
@@ -114,9 +114,9 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_neighbours(table(spark, sf_dir, "documents"))
 
 
-def training_labels(labels: DataFrame) -> DataFrame:
-    """The toxic labels that may be learned from: crc32 of the id modulo 3 isn't 1."""
-    return labels.where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1).select("doc_id", F.col("toxic").alias("label"))
+def training_labels(labels: DataFrame, name: str = "toxic") -> DataFrame:
+    """The labels that may be learned from: crc32 of the id modulo 3 isn't 1."""
+    return labels.where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1).select("doc_id", F.col(name).alias("label"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,9 +176,70 @@ from h left join (select * from m where k = 1) using (n)
 )
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by a machine that has seen none of the held-out labels."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, training_labels(table(spark, sf_dir, "labels"), "quality"))
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    value = F.col("_quality.score")
+    return quality.score(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), value.alias("score"), F.when(value >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of all documents, some of whose occurrences are misspelt, with its form and root."""
+    words = spelling.word_counts(table(spark, sf_dir, "documents"), change=spelling.misspell)
+    return spelling.variants(words)
+
+
+#: The CRC-32 of each byte, by its rule.
+_CRC = [0] * 256
+for _byte in range(256):
+    _crc = _byte
+    for _ in range(8):
+        _crc = _crc >> 1 ^ (0xEDB88320 if _crc & 1 else 0)
+    _CRC[_byte] = _crc
+
+OP12_SQL = f"""
+with recursive runs as (
+  select coalesce(doc_id::varchar, '') as id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\u00C0-\u00FF]+')) as run from documents
+), lowered as (
+  select id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run from runs
+), each as (
+  select id, run, count(*) as n from lowered group by id, run
+), bytes as (
+  select *, hex(id || ':' || run) as x from each
+), hashed as (
+  select run, n, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(0, length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::bigint)),
+    lambda c, b: xor(c >> 8, ({_CRC!r}::bigint[])[(xor(c, b) & 255) + 1])), 4294967295::bigint) as h
+  from bytes
+), counted as (
+  select case when h % 199 = 0 then substr(run, 1, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end as word, n from hashed
+), words as (
+  select word, sum(n)::bigint as n from counted where length(word) >= {spelling.LEAST_LENGTH} group by word having sum(n) >= {spelling.LEAST_COUNT}
+), rests as (
+  select word, n, i, substr(word, 1, i) || substr(word, i + 2) as rest from (select word, n, unnest(range(0, length(word)))::int as i from words)
+), near as (
+  select a.word, b.word as other, b.n as m from rests a join rests b on a.rest = b.rest and a.i = b.i and a.word <> b.word
+  union select a.word, b.word, b.n from words a join rests b on a.word = b.rest
+  union select a.word, b.word, b.n from rests a join words b on a.rest = b.word
+), best as (
+  select word, count(*) as n_near, max(m) as m from near group by word
+), top as (
+  select word, min(other) as other from near join best using (word, m) group by word
+), forms as (
+  select w.word, case when m >= {spelling.RATIO} * n then other end as form, n, coalesce(n_near, 0)::bigint as n_near, case when m >= {spelling.RATIO} * n then m end as form_n
+  from words w left join best using (word) left join top using (word)
+), up as (
+  select word, word as root, 0 as steps from forms
+  union all select up.word, f.form, steps + 1 from up join forms f on up.root = f.word where f.form is not null
+)
+select word, form, root, n, n_near, form_n from forms join (select word, arg_max(root, steps) as root from up group by word) using (word)
+"""
+
+
 def queries() -> dict:
-    return {"op1_chat_format": op1_chat_format, "op2_licenses": op2_licenses, "op3_decontaminate": op3_decontaminate, "op4_html_text": op4_html_text, "op5_mixing": op5_mixing, "op6_ngram_join": op6_ngram_join, "op7_fingerprints": op7_fingerprints, "op8_toxicity": op8_toxicity, "op9_warc": op9_warc, "op10_url_filter": op10_url_filter}
+    return {"op1_chat_format": op1_chat_format, "op2_licenses": op2_licenses, "op3_decontaminate": op3_decontaminate, "op4_html_text": op4_html_text, "op5_mixing": op5_mixing, "op6_ngram_join": op6_ngram_join, "op7_fingerprints": op7_fingerprints, "op8_toxicity": op8_toxicity, "op9_warc": op9_warc, "op10_url_filter": op10_url_filter, "op11_quality": op11_quality, "op12_spelling_variants": op12_spelling_variants}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": OP1_SQL, "op5_mixing": OP5_SQL, "op9_warc": OP9_SQL, "op10_url_filter": OP10_SQL}
+    return {"op1_chat_format": OP1_SQL, "op5_mixing": OP5_SQL, "op9_warc": OP9_SQL, "op10_url_filter": OP10_SQL, "op12_spelling_variants": OP12_SQL}
