@@ -48,7 +48,7 @@ RARE = 3
 #: Buckets of bigrams.
 ORDERED = 1 << 16
 #: Words of a group from which on it is dealt out again.
-DENSE = 50
+DENSE = 100
 #: Keys of such groups that are broadcast at most, 8 bytes each.
 SENT_KEYS = 1_000_000
 #: Distinct words that a task holds, and occurrences of one text that it counts together.
@@ -57,17 +57,32 @@ PIECE = 100_000
 
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
-#: From an id as text and a lower-cased word to the word that is counted.
-Change = Callable[[str, str], str]
+#: From an id as text to what turns a lower-cased word of its text into the word that is counted.
+Change = Callable[[str], Callable[[str], str]]
 
 
-def misspell(doc_id: str, word: str, every: int = 199) -> str:
-    """The word without one code point, if `every` divides the CRC-32 of id and word."""
-    h = crc32(f"{doc_id}:{word}".encode())
-    if h % every:
-        return word
-    at = h % len(word)
-    return word[:at] + word[at + 1 :]
+def misspell(doc_id: str, every: int = 199) -> Callable[[str], str]:
+    """Takes one code point out of a word, if `every` divides the CRC-32 of id and word."""
+    start = crc32(f"{doc_id}:".encode())
+
+    def bent(word: str) -> str:
+        h = crc32(word.encode(), start)
+        if h % every:
+            return word
+        at = h % len(word)
+        return word[:at] + word[at + 1 :]
+
+    return bent
+
+
+def _counted(find: re.Pattern, text: str) -> Iterator[Counter]:
+    """Occurrences of the pattern's matches in a text, a long text in pieces."""
+    if len(text) <= 8 * PIECE:
+        yield Counter(find.findall(text))
+        return
+    runs = (m[0] for m in find.finditer(text))
+    while piece := Counter(islice(runs, PIECE)):
+        yield piece
 
 
 def word_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", pattern: str = LETTERS, least_length: int = LEAST_LENGTH, least_count: int = LEAST_COUNT, change: Change | None = None) -> DataFrame:
@@ -86,12 +101,11 @@ def word_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", patter
 
         for b in batches:
             for doc_id, whole in zip(b.column(0), b.column(1), strict=True):
-                runs = (m[0] for m in find.finditer(whole.as_py() or ""))
-                while piece := Counter(islice(runs, PIECE)):
-                    name = doc_id.as_py()
+                bent = change(doc_id.as_py()) if change else None
+                for piece in _counted(find, whole.as_py() or ""):
                     for run, n in piece.items():
-                        word = run.translate(_LOWER)
-                        word = change(name, word) if change else word
+                        word = run.lower() if run.isascii() else run.translate(_LOWER)
+                        word = bent(word) if bent else word
                         if len(word) >= least_length:
                             seen[word] += n
                     if len(seen) > HELD_WORDS:
@@ -102,10 +116,18 @@ def word_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", patter
     return rows.mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least_count)
 
 
-def _grams(word: str) -> np.ndarray:
-    """Hashes of a word's bigrams, in order; a word of one code point has none."""
-    code = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    return mix64(code[:-1] * np.uint64(0x110000) + code[1:])
+def _codes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(code points of all words one after the other, their number of each)."""
+    return np.frombuffer("".join(words.to_pylist()).encode("utf-32-le"), np.uint32).astype(np.uint64), pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _grams(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word, place, hash) of each bigram of each word, in order."""
+    code, size = _codes(words)
+    word = np.repeat(np.arange(len(size)), size)
+    place = np.arange(len(code)) - np.repeat(np.cumsum(size) - size, size)
+    first = np.flatnonzero(word[:-1] == word[1:])
+    return word[first], place[first], mix64(code[first] * np.uint64(0x110000) + code[first + 1])
 
 
 def _bigram_counts(words: DataFrame) -> np.ndarray:
@@ -114,8 +136,7 @@ def _bigram_counts(words: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(ORDERED, np.int64)
         for b in batches:
-            grams = [_grams(w.as_py()) for w in b.column(0)]
-            total += np.bincount((np.concatenate([np.empty(0, np.uint64), *grams]) % np.uint64(ORDERED)).astype(np.int64), minlength=ORDERED)
+            total += np.bincount((_grams(b.column(0))[2] % np.uint64(ORDERED)).astype(np.int64), minlength=ORDERED)
         held = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(total[held])], ["bucket", "n"])
 
@@ -130,44 +151,43 @@ def _groups(gram: np.ndarray, place: np.ndarray, length: np.ndarray) -> np.ndarr
     return mix64(gram + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + length.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
 
 
+CALL = "group bigint, own boolean, word string, n bigint"
+
+
 def _calls(words: DataFrame) -> DataFrame:
     """group, own, word, n: the groups of each word's rarest bigrams, its own ones and those of words one longer where it calls."""
     counts = words.sparkSession.sparkContext.broadcast(_bigram_counts(words))
 
     def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        freq = counts.value
         for b in batches:
-            gram, place, row = [], [], []
-            for k, w in enumerate(b.column(0)):
-                grams = _grams(w.as_py())
-                rarest = np.lexsort((np.arange(len(grams)), grams, freq[(grams % np.uint64(ORDERED)).astype(np.int64)]))[:RARE]
-                gram.append(grams[rarest])
-                place.append(rarest)
-                row.append(np.full(len(rarest), k))
-            if not row:
-                continue
-            gram, place, row = (np.concatenate(x) for x in (gram, place, row))
-            size = pc.utf8_length(b.column(0)).to_numpy()[row].astype(np.int64)
+            word, place, gram = _grams(b.column(0))
+            order = np.lexsort((place, gram, counts.value[(gram % np.uint64(ORDERED)).astype(np.int64)], word))
+            # Of each word the first RARE in the order.
+            held = word[order]
+            order = order[np.arange(len(held)) - np.searchsorted(held, held) < RARE]
+            word, place, gram = word[order], place[order], gram[order]
+            size = pc.utf8_length(b.column(0)).to_numpy(zero_copy_only=False).astype(np.int64)[word]
             group = np.concatenate([_groups(gram, place, size), _groups(gram, place, size + 1), _groups(gram, place + 1, size + 1)])
-            own = np.repeat([True, False, False], len(row))
-            at = pa.array(np.tile(row, 3))
-            yield pa.RecordBatch.from_arrays([pa.array(group), pa.array(own), b.column(0).take(at), b.column(1).take(at)], ["group", "own", "word", "n"])
+            at = pa.array(np.tile(word, 3))
+            yield pa.RecordBatch.from_arrays([pa.array(group), pa.array(np.repeat([True, False, False], len(word))), b.column(0).take(at), b.column(1).take(at)], ["group", "own", "word", "n"])
 
-    return words.select("word", "n").mapInArrow(call, "group bigint, own boolean, word string, n bigint")
+    return words.select("word", "n").mapInArrow(call, CALL)
 
 
-def _rests(word: str) -> np.ndarray:
-    """Hashes of what is left of a word without each of its code points, and last the word's own."""
-    code = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
-    size = len(code)
-    power = np.full(size + 1, np.uint64(0x9E3779B97F4A7C15) | np.uint64(1))
+def _rests(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word, hash) of what is left of each word without each of its code points, in order, and each word's own hash."""
+    code, size = _codes(words)
+    word, start = np.repeat(np.arange(len(size)), size), np.cumsum(size) - size
+    place = np.arange(len(code)) - start[word]
+    power = np.full(int(size.max(initial=0)) + 1, np.uint64(0x9E3779B97F4A7C15))
     power[0] = 1
     power = np.multiply.accumulate(power)
     # A hash is the sum of code * power of its place; places after the one taken out move by one.
-    whole = np.concatenate(([np.uint64(0)], np.cumsum(code * power[:size], dtype=np.uint64)))
-    moved = np.concatenate(([np.uint64(0)], np.cumsum(code[1:] * power[: size - 1], dtype=np.uint64)))
-    out = np.append(whole[:size] + (moved[-1:] - moved), whole[-1])
-    return mix64(out)
+    whole = np.concatenate(([np.uint64(0)], np.cumsum(code * power[place], dtype=np.uint64)))
+    moved = np.concatenate(([np.uint64(0)], np.cumsum(code * power[np.maximum(place - 1, 0)], dtype=np.uint64)))
+    at, end = np.arange(len(code)), (start + size)[word]
+    rest = whole[at] - whole[start[word]] + moved[end] - moved[at + 1]
+    return word, mix64(rest), mix64(whole[start + size] - whole[start])
 
 
 def _dealt_again(calls: DataFrame) -> DataFrame:
@@ -175,17 +195,18 @@ def _dealt_again(calls: DataFrame) -> DataFrame:
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            group, row = [], []
-            for k, (g, own, w) in enumerate(zip(b.column(0).to_numpy(), b.column(1), b.column(2), strict=True)):
-                rest = _rests(w.as_py())
-                rest = np.unique(rest[:-1]) if own.as_py() else rest[-1:]
-                group.append(mix64(rest + np.uint64(int(g) & 0xFFFFFFFFFFFFFFFF)).view(np.int64))
-                row.append(np.full(len(rest), k))
-            if row:
-                at = pa.array(np.concatenate(row), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(group), pa.int64()), *(b.column(c).take(at) for c in (1, 2, 3))], ["group", "own", "word", "n"])
-
-    return calls.mapInArrow(deal, "group bigint, own boolean, word string, n bigint")
+            group = b.column(0).to_numpy().view(np.uint64)
+            own = b.column(1).to_numpy(zero_copy_only=False)
+            row, rest, self = _rests(b.column(2))
+            # Of equal code points side by side one rest is enough.
+            keep = own[row] & np.append((row[1:] != row[:-1]) | (rest[1:] != rest[:-1]), True)[: len(row)]
+            short = np.flatnonzero(~own)
+            at = np.concatenate([row[keep], short])
+            dealt = mix64(np.concatenate([rest[keep], self[short]]) + group[at])
+            at = pa.array(at)
+            yield pa.RecordBatch.from_arrays([pa.array(dealt.view(np.int64)), *(b.column(c).take(at) for c in (1, 2, 3))], ["group", "own", "word", "n"])
+
+    return calls.mapInArrow(deal, CALL)
 
 
 def near_pairs(words: DataFrame, dense: int = DENSE) -> DataFrame:

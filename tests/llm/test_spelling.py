@@ -4,6 +4,7 @@ from collections import Counter
 from itertools import combinations
 from zlib import crc32
 
+import pyarrow as pa
 import pytest
 
 from cellgauge.llm import spelling
@@ -71,9 +72,12 @@ def test_ties_take_the_smallest_word(spark):
 
 
 def test_rests_are_hashes_of_the_words_that_are_left():
-    whole = lambda w: spelling._rests(w)[-1]
-    for w in ("ab", "aab", "abcabc", "étéà", "x" * 40):
-        assert spelling._rests(w)[:-1].tolist() == [whole(w[:i] + w[i + 1 :]) for i in range(len(w))]
+    words = ["ab", "aab", "abcabc", "étéà", "x" * 40, "q"]
+    word, rest, own = spelling._rests(pa.array(words))
+    left = [w[:i] + w[i + 1 :] for w in words for i in range(len(w))]
+    assert word.tolist() == [k for k, w in enumerate(words) for _ in w]
+    assert rest.tolist() == spelling._rests(pa.array(left))[2].tolist()
+    assert len(set(own.tolist())) == len(words)
 
 
 def plain_counts(docs, change=None):
