@@ -253,7 +253,7 @@ def linked(plan: Plan, a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def shingle_sets(docs: DataFrame, plan: Plan, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_shingles, set_id (null if the set is empty) and the set's nodes, of each row."""
+    """key, text_hash, n_shingles, set_id (null if the set is empty) and the set's nodes, of each row."""
 
     def digest(batches):
         sets = ShingleSets(plan.k)
@@ -264,9 +264,9 @@ def shingle_sets(docs: DataFrame, plan: Plan, key: str = "doc_id", text: str = "
                 n.append(len(h))
                 ids.append(None if i is None else int(i.view(np.int64)))
                 nodes.append([] if i is None else [node(i, b) for b in plan.families(len(h))])
-            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(nodes, pa.list_(pa.int64()))], names=["key", "n_shingles", "set_id", "nodes"])
+            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(nodes, pa.list_(pa.int64()))], names=["key", "text_hash", "n_shingles", "set_id", "nodes"])
 
-    return docs.select(key, text).mapInArrow(digest, f"key {dict(docs.dtypes)[key]}, n_shingles bigint, set_id bigint, nodes array<bigint>")
+    return docs.select(key, text, F.xxhash64(text)).mapInArrow(digest, f"key {dict(docs.dtypes)[key]}, text_hash bigint, n_shingles bigint, set_id bigint, nodes array<bigint>")
 
 
 def _dealt_keys(docs: DataFrame, plan: Plan, text: str) -> DataFrame:
@@ -353,7 +353,7 @@ def _join_blocks(rows: DataFrame, plan: Plan) -> DataFrame:
                     if len(held) > 1:
                         yield finish()
                     name, ids, held, starts = block, {}, [], []
-                # Where a doc_id repeats with another text, that text isn't this set.
+                # Rows that repeat a doc_id and its text are one set; a text whose hash is another's isn't this set.
                 if i not in ids and len(h) and int(set_id(h).view(np.int64)) == i:
                     ids[i] = len(held)
                     held.append(h)
@@ -374,9 +374,10 @@ def classes_of_sets(docs: DataFrame, sets: DataFrame, plan: Plan, key: str = "do
     stars = materialize(candidate_stars(docs, plan, text), "stars", release=True)
     found = connected_components(stars)
     discard(stars)
-    # One row of each member set stands for it.
-    stand = sets.where("set_id is not null").groupBy("set_id").agg(F.min("key").alias("_key"), F.max("n_shingles").alias("n"), F.first("nodes").alias("nodes"))
-    nodes = stand.select("set_id", "_key", "n", F.explode("nodes").alias("node"))
+    # One text of each member set stands for it, found by its row's key and its own hash, since many rows may share a key or have none.
+    one = F.min(F.struct(F.col("key").isNull().alias("none"), F.col("key").alias("key"), F.col("text_hash").alias("hash")))
+    stand = sets.where("set_id is not null").groupBy("set_id").agg(one.alias("_one"), F.max("n_shingles").alias("n"), F.first("nodes").alias("nodes"))
+    nodes = stand.select("set_id", F.col("_one.key").alias("_key"), F.col("_one.hash").alias("_hash"), "n", F.explode("nodes").alias("node"))
     members = materialize(nodes.join(found.withColumnRenamed("label", "cand"), "node").drop("node"), "members")
     members_table = members
     discard(found)
@@ -387,7 +388,7 @@ def classes_of_sets(docs: DataFrame, sets: DataFrame, plan: Plan, key: str = "do
     own = F.pmod(F.xxhash64("set_id"), F.col("nb")).cast("int")
     spread = members.withColumn("part", F.explode(F.when(is_pivot, F.sequence(F.lit(0), F.col("nb") - 1)).otherwise(F.array(own))))
     block = F.concat_ws(":", "cand", "part")
-    texts = _with_text(docs, spread.select("_key", "cand", "set_id", block.alias("block"), ((F.col("nb") > 1) & (F.col("part") == own)).alias("big"), F.lit(None).cast("bigint").alias("start")), key, text)
+    texts = _with_text(docs, spread.select("_key", "_hash", "cand", "set_id", block.alias("block"), ((F.col("nb") > 1) & (F.col("part") == own)).alias("big"), F.lit(None).cast("bigint").alias("start")), key, text)
     big = members.where("nb > 1").select("set_id", "cand", "n")
     if not big.limit(1).count():
         links = materialize(_join_blocks(texts, plan), "links", release=True)
@@ -432,8 +433,8 @@ def _across_blocks(texts: DataFrame, big: DataFrame, links: DataFrame, plan: Pla
 
 def _with_text(docs: DataFrame, rows: DataFrame, key: str, text: str) -> DataFrame:
     # Merged at every size: rows grows with the documents that have near copies.
-    d = docs.select(F.col(key).alias("_k"), F.col(text).alias("_text"))
-    return rows.hint("merge").join(d, rows["_key"].eqNullSafe(d["_k"])).drop("_k", "_key")
+    d = docs.select(F.col(key).alias("_k"), F.xxhash64(text).alias("_h"), F.col(text).alias("_text"))
+    return rows.hint("merge").join(d, (rows["_hash"] == d["_h"]) & rows["_key"].eqNullSafe(d["_k"])).drop("_k", "_h", "_key", "_hash")
 
 
 def components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text", **limits) -> DataFrame:

@@ -58,6 +58,22 @@ def test_every_linked_pair_meets_under_a_key():
                 assert set().union(*[x.tolist() for _, x in plan.keys(a)]) & set().union(*[x.tolist() for _, x in plan.keys(b)])
 
 
+@pytest.mark.parametrize("ids", ["half null", "all null", "one id"])
+def test_rows_without_an_id_or_with_one_id(spark, ids):
+    rows = [({"half null": None if i % 2 else i, "all null": None, "one id": 7}[ids], t) for i, t in enumerate(near_texts(21, 160, 40) + ["", " ", "one two", "one two"])]
+    assert run(spark, rows, k=4, num=85, den=100) == classes(rows, 4, 85, 100)
+    assert run(spark, rows, k=4, num=85, den=100, block_shingles=400, block_sets=20) == classes(rows, 4, 85, 100)
+
+
+def test_many_rows_without_an_id_take_no_longer(spark):
+    """Their number squared would be 64 million texts here."""
+    draw = random.Random(2)
+    texts = [" ".join(f"w{draw.randrange(3000)}" for _ in range(12)) for _ in range(2_000)]
+    rows = [(None, f"{t} {'x' if k % 2 else 'y'}") for k in range(4) for t in texts]
+    got = run(spark, rows, k=4, num=60, den=100)
+    assert len(got) == 8_000 and {r[0] for r in got} == {None}
+
+
 def test_very_long_word_and_text(spark):
     long = "x" * 3_000_000
     rows = [(1, long + " b c d"), (2, long + " B c d"), (3, "y " * 700_000 + "z")]
