@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import bisect
+import functools
+import itertools
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -34,45 +38,128 @@ def ape(actual: Column, predicted: Column, signed: bool = False) -> Column:
     return absolute_percentage_error(actual, predicted, signed)
 
 
+#: Shares of a group's rows that its quantiles are bracketed by, and the accuracy of those brackets.
+BRACKETS = 200
+ACCURACY = 10_000
+
+
+def select_ranks(rows: DataFrame, value: str, by: list[str], ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """by, n and for each name of ranks the value of that rank (from 0, a function of n) among a group's values in order.
+
+    Exact, in two passes over rows and without a task for each group: mergeable sketches bracket each rank
+    by values, then what lies below a bracket is counted and what lies in it is counted by value. Only
+    the distinct values of the brackets, about three in BRACKETS of a group's, are put in order. A rank beyond
+    the last row is null; null values are left out; without by, one row comes out even of no rows.
+    """
+    keys = [f"_k{k}" for k in range(len(by))]
+    given = rows.where(F.col(value).isNotNull()).select(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], F.col(value).cast("double").alias("_v"))
+    grid = [i / BRACKETS for i in range(BRACKETS + 1)]
+    groups = given.groupBy(*keys).agg(F.count("*").alias("_n"), F.percentile_approx("_v", grid, ACCURACY).alias("_g"))
+    n = F.col("_n")
+
+    def bracket(name: str) -> Column:
+        rank = ranks[name](n).cast("bigint")
+        at = F.floor(rank / F.greatest(n, F.lit(1)) * BRACKETS).cast("int")
+        low = F.when(at >= 2, F.get("_g", at - 2)).otherwise(F.lit(float("-inf")))
+        high = F.when(at + 2 < BRACKETS, F.get("_g", at + 2)).otherwise(F.lit(float("inf")))
+        return F.struct(F.lit(name).alias("name"), rank.alias("rank"), low.alias("low"), high.alias("high"))
+
+    wanted = groups.select(*keys, "_n", F.filter(F.array(*[bracket(r) for r in ranks]), lambda t: t["rank"] < n).alias("_t"))
+    a, b = given.alias("a"), wanted.alias("b")
+    both = a.join(b, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]) if keys else given.crossJoin(F.broadcast(wanted))
+    own = [F.col(f"a.{k}").alias(k) for k in keys] if keys else []
+    met = both.select(*own, "_v", F.explode(F.filter("_t", lambda t: F.col("_v") <= t["high"])).alias("t"))
+    # One value stands for all below the bracket.
+    held = met.groupBy(*keys, F.col("t.name").alias("_name"), F.col("t.rank").alias("_rank"), F.when(F.col("_v") < F.col("t.low"), F.lit(float("-inf"))).otherwise(F.col("_v")).alias("_v")).agg(F.count("*").alias("_c"))
+    w = Window.partitionBy(*keys, "_name").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    found = held.withColumn("_to", F.sum("_c").over(w)).where((F.col("_rank") < F.col("_to")) & (F.col("_rank") >= F.col("_to") - F.col("_c")))
+    wide = found.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == r, F.col("_v"))).alias(r) for r in ranks])
+    sizes = groups.select(*keys, "_n").alias("a")
+    out = sizes.join(wide.alias("b"), [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys], "left") if keys else sizes.crossJoin(wide)
+    return out.select(*[F.col(f"a.{k}").alias(c) for k, c in zip(keys, by, strict=True)], F.col("_n").alias("n"), *ranks)
+
+
+#: The ranks that errors are summed up by: those of the median, both elements next to it by the upper rule, and the tenths.
+ERROR_RANKS: dict[str, Callable[[Column], Column]] = {
+    "_low": lambda n: F.floor((n - 1) / 2),
+    "_half": lambda n: F.floor(n / 2),
+    "_upper": lambda n: F.floor(n / 2) + 1,
+    "p10": lambda n: F.floor(n * 0.1),
+    "p90": lambda n: F.floor(n * 0.9),
+}
+
+
 def median_ape(rows: DataFrame, by: list[str], actual: str = "actual", predicted: str = "predicted", rule: str = "median", signed: bool = False) -> DataFrame:
     """n, median, p10 and p90 of the absolute percentage error per group.
 
     p10 and p90 are the elements at floor(0.1 n) and floor(0.9 n) of the sorted errors. rule
-    "upper": for even n of 4 or more the mean of the elements at n/2 and n/2 + 1. Groups are ranked by a
-    window, so a group may be larger than one row could hold.
+    "upper": for even n of 4 or more the mean of the elements at n/2 and n/2 + 1.
     """
     e = rows.where(F.col(actual).isNotNull() & F.col(predicted).isNotNull()).withColumn("ape", ape(F.col(actual), F.col(predicted), signed))
-    keys = [F.col(c) for c in by]
-    if not by:  # one group: percentiles by sorting in ranges rather than in one task
-        n = e.count()
-        at = sorted({int(n * 0.1), int(n * 0.9), (n - 1) // 2, n // 2, min(n - 1, n // 2 + 1)}) if n else []
-        ranked = _global_ranks(e.select("ape"), "ape")
-        got = {r["rank"]: r["ape"] for r in ranked.where(F.col("rank").isin(at)).collect()} if n else {}
-        mid = None if not n else (got[(n - 1) // 2] + got[n // 2]) / 2
-        if n and rule == "upper":
-            mid = (got[n // 2] + got[min(n - 1, n // 2 + 1)]) / 2 if n % 2 == 0 and n >= 4 else got[n // 2]
-        return rows.sparkSession.createDataFrame([(n, mid, got.get(int(n * 0.1)), got.get(int(n * 0.9)))], "n bigint, medape double, p10 double, p90 double")
-    w = Window.partitionBy(*keys)
-    r = e.withColumn("_r", F.row_number().over(w.orderBy("ape")) - 1).withColumn("_n", F.count("*").over(w))
-    pick = lambda c: F.max(F.when(F.col("_r") == c, F.col("ape")))
-    n = F.col("_n")
-    half = F.expr("_n div 2")
-    if rule == "median":
-        mid = (pick(F.expr("(_n - 1) div 2")) + pick(half)) / 2
-    else:
-        mid = F.when((F.first(n) % 2 == 0) & (F.first(n) >= 4), (pick(half) + pick(half + 1)) / 2).otherwise(pick(half))
-    return r.groupBy(*keys).agg(F.first("_n").alias("n"), mid.alias("medape"), pick(F.floor(n * 0.1)).alias("p10"), pick(F.floor(n * 0.9)).alias("p90"))
+    return summarised(e, "ape", by, rule)
 
 
-def _global_ranks(df: DataFrame, value: str) -> DataFrame:
-    """df with `rank` from 0 by value, numbered range by range."""
-    cuts = df.approxQuantile(value, [i / 64 for i in range(1, 64)], 0.001)
-    edges = sorted(set(cuts))
-    bucket = F.size(F.filter(F.array(*[F.lit(float(c)) for c in edges]).cast("array<double>"), lambda c: c <= F.col(value)))
-    df = df.withColumn("_b", bucket)
-    counts = df.groupBy("_b").agg(F.count("*").alias("_n"))
-    before = counts.select("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return df.join(before, "_b").withColumn("rank", F.row_number().over(Window.partitionBy("_b").orderBy(value)) - 1 + F.col("_before")).drop("_b", "_before")
+def summarised(rows: DataFrame, value: str, by: list[str], rule: str = "median") -> DataFrame:
+    """by, n, medape, p10, p90 of values, by median_ape's rules."""
+    r = select_ranks(rows, value, by, ERROR_RANKS)
+    mid = (F.col("_low") + F.col("_half")) / 2
+    if rule == "upper":
+        mid = F.when((F.col("n") % 2 == 0) & (F.col("n") >= 4), (F.col("_half") + F.col("_upper")) / 2).otherwise(F.col("_half"))
+    return r.select(*by, "n", mid.alias("medape"), "p10", "p90")
+
+
+class MedianErrors:
+    """A quality metric that adds up over calls, each of which scores one fold; parts of it can be merged.
+
+    It holds plans, not rows, so what it was given is read when results are asked for.
+    """
+
+    def __init__(self, rule: str = "median", signed: bool = False):
+        self.rule, self.signed, self.calls = rule, signed, []
+
+    def score(self, rows: DataFrame, actual: str = "actual", predicted: str = "predicted") -> None:
+        """Add a fold. Both columns must be there and be numbers, or arrays of one number each; a row that has
+        only one of them is an error when the results are read, a row with neither counts for nothing."""
+        kinds = dict(rows.dtypes)
+        for c in (actual, predicted):
+            if c not in kinds:
+                raise ValueError(f"no column {c}")
+            if not re.fullmatch(r"(array<)?(tinyint|smallint|int|bigint|float|double|decimal\(\d+,\d+\))>?", kinds[c]):
+                raise TypeError(f"{c} is {kinds[c]}, not a number or an array of one")
+        if kinds[actual].startswith("array") != kinds[predicted].startswith("array"):
+            raise TypeError("actual and predicted have different dimensions")
+
+        def number(c: str) -> Column:
+            if not kinds[c].startswith("array"):
+                return F.col(c).cast("double")
+            return F.when(F.size(c) == 1, F.get(c, F.lit(0)).cast("double")).when(F.col(c).isNotNull(), F.raise_error(F.lit(f"{c} has more or fewer labels than one")).cast("double"))
+
+        a, p = number(actual), number(predicted)
+        one = F.when(a.isNull() != p.isNull(), F.raise_error(F.lit("actual and predicted have different dimensions")).cast("double")).otherwise(ape(a, p, self.signed))
+        self.calls.append(rows.select(one.alias("ape")))
+
+    def merge(self, other: MedianErrors) -> None:
+        """Add another's folds after the own ones."""
+        self.calls += other.calls
+
+    def clear(self) -> None:
+        self.calls = []
+
+    def _all(self) -> DataFrame:
+        if not self.calls:
+            raise ValueError("nothing was scored")
+        parts = [c.select(F.lit(k).cast("bigint").alias("call"), "ape") for k, c in enumerate(self.calls)]
+        return functools.reduce(DataFrame.unionByName, parts)
+
+    def folds(self) -> DataFrame:
+        """call, n, medape, p10, p90 of each fold."""
+        return summarised(self._all(), "ape", ["call"], self.rule)
+
+    def results(self) -> DataFrame:
+        """One row: the median and tenths of the folds' medians, and of all errors."""
+        folds = summarised(self.folds(), "medape", [], self.rule).select(F.col("p10").alias("folds_10ape"), F.col("p90").alias("folds_90ape"), F.col("medape").alias("folds_median"))
+        every = summarised(self._all(), "ape", [], self.rule).select(F.col("p10").alias("overall_10ape"), F.col("p90").alias("overall_90ape"), F.col("medape").alias("overall_median"), "n")
+        return folds.crossJoin(F.broadcast(every))
 
 
 def matrix(rows: DataFrame, ids: list[str], keys: list[str]) -> DataFrame:
@@ -150,6 +237,102 @@ def cross_validate(rows: DataFrame, predictor, features: list[str], label: str,
     return folds.groupBy("test_fold").applyInPandas(one, "fold int, idx bigint, actual double, predicted double")
 
 
+class MergeableOffset:
+    """The offset predictor as a state of one number, the greatest difference seen, that merges."""
+
+    def state(self, features: list[str], label: str) -> list[Column]:
+        return [F.max(F.col(label) - F.col(features[0]))]
+
+    def merge(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.fmax(a, b)
+
+    def finish(self, state: np.ndarray) -> np.ndarray:
+        return state
+
+    def predicted(self, features: list[Column], given: Callable[[int], Column]) -> Column:
+        return features[0] + given(0)
+
+
+class LeastSquares:
+    """A line or plane through the training rows. State: their number, means and sums of products of differences from the means.
+
+    Where the rows don't tell features apart, the least coefficients that fit as well; without rows, null.
+    """
+
+    def state(self, features: list[str], label: str) -> list[Column]:
+        cols = [*features, label]
+        n = F.count(F.lit(1)).cast("double")
+        return [n, *[F.avg(c) for c in cols], *[F.covar_pop(a, b) * n for i, a in enumerate(cols) for b in cols[i:]]]
+
+    @staticmethod
+    def _parts(state: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        size = int(round((np.sqrt(8 * len(state) + 1) - 3) / 2))  # 1 + size + size (size + 1) / 2 numbers
+        cross = np.zeros((size, size))
+        cross[np.triu_indices(size)] = state[1 + size :]
+        return state[0], state[1 : 1 + size], cross + np.triu(cross, 1).T
+
+    def merge(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        if not a[0] or not b[0]:
+            return b if not a[0] else a
+        (n, x, s), (m, y, t) = self._parts(a), self._parts(b)
+        cross = s + t + np.outer(y - x, y - x) * n * m / (n + m)
+        return np.concatenate([[n + m], x + (y - x) * m / (n + m), cross[np.triu_indices(len(x))]])
+
+    def finish(self, state: np.ndarray) -> np.ndarray:
+        n, mean, cross = self._parts(state)
+        if not n:
+            return np.full(len(mean), np.nan)
+        slopes = np.linalg.pinv(cross[:-1, :-1], hermitian=True) @ cross[:-1, -1]
+        return np.append(slopes, mean[-1] - slopes @ mean[:-1])
+
+    def predicted(self, features: list[Column], given: Callable[[int], Column]) -> Column:
+        return sum((f * given(k) for k, f in enumerate(features)), given(len(features)))
+
+
+MERGEABLE: dict[str, Callable] = {"offset": MergeableOffset, "least_squares": LeastSquares}
+
+
+def cross_validate_merged(rows: DataFrame, predictor, features: list[str], label: str, by: list[str] | None = None) -> DataFrame:
+    """rows with `actual` and `predicted`; each fold is predicted by what the others of its group taught.
+
+    Each fold is summed up once, where its rows are; a fold's training state is the merged states of the
+    others, from both ends, so no row is copied for a fold and no task is a fold's. The states (a row of
+    a few numbers for each fold of each group) pass through the driver, as a fitted model does. Rows with
+    a null feature or label teach nothing; a fold whose group has no other rows is predicted null.
+    """
+    by = by or []
+    cols = [*by, "fold"]
+    whole = functools.reduce(lambda a, c: a & F.col(c).isNotNull(), [*features, label], F.lit(True))
+    teach = rows.where(whole).select(*cols, *[F.col(c).cast("double").alias(c) for c in dict.fromkeys([*features, label])])
+    stats = teach.groupBy(*cols).agg(*[c.cast("double").alias(f"_s{k}") for k, c in enumerate(predictor.state(features, label))])
+    groups: dict[tuple, dict] = {}
+    for r in stats.collect():
+        groups.setdefault(tuple(r[c] for c in by), {})[r["fold"]] = np.array([np.nan if r[f"_s{k}"] is None else r[f"_s{k}"] for k in range(len(r) - len(cols))])
+    folds = [r for r in rows.select(*cols).distinct().collect()]
+    kinds = dict(rows.dtypes)
+    fitted = []
+    for key in dict.fromkeys(tuple(r[c] for c in by) for r in folds):
+        own = groups.get(key, {})
+        order = sorted(own)
+        ahead = list(itertools.accumulate((own[f] for f in order), predictor.merge))
+        behind = list(itertools.accumulate((own[f] for f in reversed(order)), predictor.merge))[::-1]
+        for fold in {r["fold"] for r in folds if tuple(r[c] for c in by) == key}:
+            at = bisect.bisect_left(order, fold)
+            after = at + (fold in own)
+            sides = [s[k] for s, k in ((ahead, at - 1), (behind, after)) if 0 <= k < len(order)]
+            if sides:
+                params = predictor.finish(functools.reduce(predictor.merge, sides))
+                fitted.append((*key, fold, [None if np.isnan(x) else float(x) for x in params]))
+    schema = ", ".join([*(f"_b{k} {kinds[c]}" for k, c in enumerate(by)), f"_fold {kinds['fold']}", "_params array<double>"])
+    table = rows.sparkSession.createDataFrame(fitted, schema)
+    same = functools.reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_b{k}")) for k, c in enumerate(by)], F.col("fold") == F.col("_fold"))
+    # Fold and group are few by what they are: each has a state on the driver.
+    joined = rows.join(F.broadcast(table), same, "left")
+    predicted = predictor.predicted([F.col(c).cast("double") for c in features], lambda k: F.get("_params", F.lit(k)))
+    kept = [F.col(c) for c in rows.columns if c not in ("actual", "predicted")]
+    return joined.select(*kept, F.col(label).cast("double").alias("actual"), predicted.alias("predicted"))
+
+
 def offset_folds(rows: DataFrame, feature: str, label: str) -> DataFrame:
     """cross_validate with the offset predictor, as aggregates: per fold, the greatest difference of all other folds."""
     per = rows.groupBy("fold").agg(F.max(F.col(label) - F.col(feature)).alias("m"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from .operators.bytecodes import MARK, SYMBOLS
+from .operators.codes import CENTER
+from .operators.interpolation import CUBICS, STEPS
 from .operators.neighbours import lorenzo_offsets
 from .operators.sampling import N_TILES
 from .operators.studies import TIMINGS
@@ -203,3 +206,79 @@ r as (select x, y, ntile(10) over (order by field_id::bigint) - 1 as fold from x
 e as (select fold, case when y = 0 then 0 else abs(y - x - state) / abs(y) end as ape from r join s using (fold))
 select fold::int as fold, count(*) as n, round(median(ape), 6) as medape, round(list_sort(list(ape))[1 + floor(count(*) * 0.1)::int], 6) as p10, round(list_sort(list(ape))[1 + floor(count(*) * 0.9)::int], 6) as p90 from e group by fold""",
 }
+
+
+def text_ratios_sql(by: list[str], text: str) -> str:
+    """Entropies of the bytes of documents, by themselves and given the byte before."""
+    g = ", ".join(by)
+    return f"""
+with d as (
+  select {g}, hex(coalesce({text}, '')) as x from documents
+), s as (
+  select {g}, list_append(list_prepend({MARK}, list_transform(range(0, length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::int)), {MARK}) as s from d
+), p as (
+  select {g}, unnest(list_transform(range(1, len(s)), lambda i: s[i] * {SYMBOLS} + s[i + 1])) as code from s
+), h as (
+  select {g}, code, count(*)::double as c from p group by {g}, code
+), f as (
+  select {g}, code // {SYMBOLS} as a, sum(c) * log2(sum(c)) - sum(c * log2(c)) as bits from h group by {g}, code // {SYMBOLS}
+), o as (
+  select {g}, sum(bits) as bits_1 from f group by {g}
+), z as (
+  select {g}, code % {SYMBOLS} as b, sum(c) as c from h group by {g}, code % {SYMBOLS}
+), y as (
+  select {g}, sum(c) as n, coalesce(sum(c) filter (b = {MARK}), 0)::bigint as n_texts, coalesce(sum(c) filter (b <> {MARK}), 0)::bigint as n_bytes, sum(c) * log2(sum(c)) - sum(c * log2(c)) as bits_0 from z group by {g}
+)
+select {', '.join(f'y.{c}' for c in by)}, n_texts, n_bytes, round(round(bits_0, 6) / n, 6) + 0.0 as entropy_0, round(round(bits_1, 6) / n, 6) + 0.0 as entropy_1,
+       round(n_bytes * 8.0 / nullif(round(bits_0, 6), 0), 6) as ratio_0, round(n_bytes * 8.0 / nullif(round(bits_1, 6), 0), 6) as ratio_1
+from y join o on {' and '.join(f'y.{c} is not distinct from o.{c}' for c in by)}"""
+
+
+def _step(value: str, guess: str, bound: str) -> tuple[str, str]:
+    """(code, decoded value) of a value given its guess."""
+    half = f"floor((floor(abs({value} - {guess}) / {bound}) + 1) / 2)"
+    back = f"({guess} + 2 * (case when {value} >= {guess} then {half} else -{half} end) * {bound})"
+    good = f"{half} < {CENTER} and abs({back} - {value}) <= {bound}"
+    return f"case when {good} then {CENTER} + case when {value} >= {guess} then {half} else -{half} end else 0 end::bigint", f"case when {good} then {back} else {value} end"
+
+
+def finest_codes_sql(view: str, bound: str = "0.01::double", stride: int = 5) -> str:
+    """CTEs that end in h: field_id, code, freq of the interpolating predictor's finest level."""
+    dims = DIMS[view]
+    steps, c = strides(dims), coords(dims)
+    cols, cases = [], []
+    for a in range(len(dims)):
+        on = [f"({c[a]} - 1) % {2 * stride} = 0"] + [f"({c[k]}) % 2 = 0" for k in range(a + 1, len(dims))]
+        near = {s: f"case when {f'({c[a]}) >= {-s}' if s < 0 else f'({c[a]}) + {s} < {dims[a]}' if a else 'true'} then {at(s * steps[a])} end" for s in STEPS}
+        cols += [f"{near[s]} as n{a}_{s + 9}" for s in STEPS]
+        guess = ", ".join("(" + " + ".join(["0.0::double"] + [f"{float(w)!r}::double * n{a}_{s + 9}" for s, w in sorted(ws.items())]) + f") / {float(d)!r}::double" for ws, d in CUBICS)
+        cases.append((" and ".join(on), f"coalesce({guess})"))
+    picked = "case " + " ".join(f"when {on} then {guess}" for on, guess in reversed(cases)) + " end"
+    code, _ = _step("v", "g", bound)
+    return (
+        f"with cells as ({VIEWS[view]}), n as (select field_id, idx, v, {', '.join(cols)} from cells window w as (partition by field_id order by idx)), "
+        f"g as (select field_id, v, {picked} as g from n), h as (select field_id, {code} as code, count(*) as freq from g where g is not null group by all)"
+    )
+
+
+for _v in ("part1d", "emb2d", "evt3d"):
+    ORACLE[f"interpolation_codes_{_v}"] = finest_codes_sql(_v) + " select field_id, code, freq from h"
+
+_scanned, _kept = _step("c.v", "s.back", "0.01::double")
+_first, _first_kept = _step("v", "0.0::double", "0.01::double")
+ORACLE |= {
+    "text_ratios": text_ratios_sql(["source", "lang"], "text"),
+    "interpolation_closed_loop_ratio": finest_codes_sql("emb1d")
+    + f", s as (select *, freq / sum(freq) over (partition by field_id)::double as f from h), k as (select *, case when code = 0 then 32 when -log2(f) >= 32 then 0 when -log2(f) >= 1 then -log2(f) when code = {CENTER} then 1 when abs(code - {CENTER}) = 1 then 2.5 else 4 end as bits from s) "
+    "select field_id, round(sum(f * bits), 6) as mean_bits, round(32.0 / nullif(sum(f * bits), 0), 6) as ratio from k group by field_id",
+    "lorenzo_waves": f"with recursive cells as materialized ({VIEWS['evt1d']}), s as (select field_id, idx, {_first} as code, {_first_kept} as back from cells where idx = 0 "
+    f"union all select c.field_id, c.idx, {_scanned}, {_kept} from s join cells c on c.field_id = s.field_id and c.idx = s.idx + 1) select field_id, code, count(*) as freq from s group by all",
+    "decoded_lorenzo_histogram": ORACLE["lorenzo_histogram"],
+    "least_squares_predictor": _PARTS.split(", m as")[0] + ", f as (select a.fold, regr_slope(b.y, b.x) as slope, regr_intercept(b.y, b.x) as cut from (select distinct fold from p) a join p b on a.fold <> b.fold group by a.fold) "
+    "select fold::int as fold, count(*) as n, round(avg(slope * x + cut), 6) as mean_predicted, round(avg(case when y = 0 then 0 else abs(y - slope * x - cut) / abs(y) end), 6) as mean_ape from p join f using (fold) group by fold",
+    "accumulated_errors": "with e as (select o_orderpriority as call, case when o_totalprice = 0 then 0 else abs(o_totalprice - avg(o_totalprice) over (partition by o_orderpriority)) / abs(o_totalprice) end as ape from orders where o_orderpriority in ('1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW')), "
+    "m as (select call, median(ape) as medape from e group by call), f as (select round(list_sort(list(medape))[1 + floor(count(*) * 0.1)::int], 6) as folds_10ape, round(list_sort(list(medape))[1 + floor(count(*) * 0.9)::int], 6) as folds_90ape, round(median(medape), 6) as folds_median from m), "
+    "a as (select round(list_sort(list(ape))[1 + floor(count(*) * 0.1)::int], 6) as overall_10ape, round(list_sort(list(ape))[1 + floor(count(*) * 0.9)::int], 6) as overall_90ape, round(median(ape), 6) as overall_median, count(*) as n from e) select * from f, a",
+    "collected_neighbours": f"select * from ({features('emb1d')}) join ({blocks('emb1d')}) using (field_id)",
+    "scheme_scores": ORACLE["flagship"],
+}

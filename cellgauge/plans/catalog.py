@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import importlib
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The names of invalidation classes.
 NONDETERMINISTIC, RUNTIME, DEPENDENT, AGNOSTIC, DATA, TRAINING, ALL, LABELS = "predictors:nondeterministic", "predictors:runtime", "predictors:error_dependent", "predictors:error_agnostic", "predictors:data", "predictors:training", "predictors:all", "predictors:collect_labels"
 CLASSES = (NONDETERMINISTIC, RUNTIME, DEPENDENT, AGNOSTIC, DATA)
 METRIC = "position int, metric string, module string, usage string, causes array<string>, needs_compress boolean, needs_decompress boolean"
@@ -21,6 +22,8 @@ class Metric:
     causes: tuple[str, ...] = ()
     needs_compress: bool = True
     needs_decompress: bool = True
+    #: The module's own name for it, if that is another.
+    column: str = ""
 
 
 @dataclass(frozen=True)
@@ -49,6 +52,14 @@ class Scheme:
             out |= {c for c in (RUNTIME, DEPENDENT, AGNOSTIC) if key in self.settings.get(c, self.all_settings)} | {key}
         return sorted(out)
 
+    def qualified(self, name: str) -> Scheme:
+        """The scheme as one of several, its metrics named below name and their module; an empty name gives the plain names again."""
+        return replace(self, metrics=tuple(replace(m, metric=f"/{name}/{m.module}:{m.column or m.metric}" if name else m.column or m.metric, column=m.column or m.metric) for m in self.metrics))
+
+    def of_usage(self, usage: str) -> list[str]:
+        """The metrics that are features, or labels, in declared order."""
+        return [m.metric for m in self.metrics if m.usage == usage]
+
     def catalog(self, spark: SparkSession) -> DataFrame:
         rows = [(i, m.metric, m.module, m.usage, list(m.causes or CLASSES), m.needs_compress, m.needs_decompress) for i, m in enumerate(self.metrics)]
         return spark.createDataFrame(rows, METRIC)
@@ -90,11 +101,14 @@ def uses_real_codec(scheme: Scheme, changes: set[str]) -> bool:
     return scheme.training_required and TRAINING in changes or LABELS in changes
 
 
-def fresh_or_cached(fresh: DataFrame, cached: DataFrame, metrics: list[str], key: str = "field_id") -> DataFrame:
-    """key and metrics: the fresh number if there is one, else the cached, else an error that names the metric."""
+def fresh_or_cached(fresh: DataFrame, cached: DataFrame, metrics: list[str], key: str = "field_id", how: str = "full_outer") -> DataFrame:
+    """key and metrics: the fresh number if there is one, else the cached, else an error that names the metric.
+
+    how: full_outer for the keys of both, left for those of fresh alone, whatever the cache holds besides.
+    """
     f = fresh.select(key, *[F.col(m).alias(f"_f_{m}") for m in metrics if m in fresh.columns])
     c = cached.select(key, *[F.col(m).alias(f"_c_{m}") for m in metrics if m in cached.columns])
-    both = f.join(c, key, "full_outer")
+    both = f.join(c, key, how)
 
     def one(m: str) -> Column:
         found = [F.col(x).cast("string").try_cast("double") for x in (f"_f_{m}", f"_c_{m}") if x in both.columns]
@@ -103,12 +117,15 @@ def fresh_or_cached(fresh: DataFrame, cached: DataFrame, metrics: list[str], key
     return both.select(key, *[one(m) for m in metrics])
 
 
+#: What the label of every scheme depends on.
+_SIZE = Metric("size:ratio", "size", "label", (DEPENDENT, AGNOSTIC, DATA), True, False)
+
 #: The estimators of this package, with the published causes (fixed values); each scheme's label is the ratio of a real codec.
 SCHEMES: dict[str, Scheme] = {
-    name: Scheme(name, (Metric(f"{name}:ratio", name, "feature", causes, False, False), Metric("size:ratio", "size", "label", (DEPENDENT, AGNOSTIC, DATA), True, False)), training_required=False)
+    name: Scheme(name, (Metric(f"{name}:ratio", name, "feature", causes, False, False), _SIZE), training_required=False)
     for name, causes in {"sampled_tiles": (DEPENDENT, AGNOSTIC, DATA), "lorenzo_bits": (DEPENDENT, AGNOSTIC, DATA), "interpolation_bits": (DEPENDENT,), "sampled_blocks": (DEPENDENT,)}.items()
 } | {
-    "neighbours": Scheme("neighbours", tuple(Metric(f"neighbours:{m}", "neighbours", "feature", (DEPENDENT,), False, False) for m in ("value_range", "mean_value", "mean_neighbor_difference", "mean_lorenzo_difference", "mean_spline_difference", "non_constant_block_percentage")) + (Metric("size:ratio", "size", "label", (DEPENDENT, AGNOSTIC, DATA), True, False),), predictor="offset", training_required=True)
+    "neighbours": Scheme("neighbours", tuple(Metric(f"neighbours:{m}", "neighbours", "feature", (DEPENDENT,), False, False) for m in ("value_range", "mean_value", "mean_neighbor_difference", "mean_lorenzo_difference", "mean_spline_difference", "non_constant_block_percentage")) + (_SIZE,), predictor="offset", training_required=True),
 }
 
 

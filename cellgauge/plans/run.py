@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.codecs import CODECS, compressed
-from ..operators.learning import PREDICTORS, cross_validate, median_ape, with_folds
+from ..operators.learning import MERGEABLE, PREDICTORS, cross_validate, cross_validate_merged, median_ape, with_folds
 from ..sources.arrays import DIMS, SOURCES, pack, read_fields
-from .catalog import describe
+from ..sources.shared import new_folder
+from . import collect
+from .catalog import ALL, LABELS, TRAINING, Scheme, describe
+from .collect import SCHEMES
 from .store import KEY, ResultStore, task_grid
 
 #: Views that are a single field of all rows.
@@ -30,6 +33,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-Q", "--qualified", action="store_true")
     p.add_argument("-D", "--decompress", action="store_true")
     p.add_argument("-R", "--replicates", type=int, default=1)
+    p.add_argument("--scheme", choices=sorted(SCHEMES), help="run and score by a scheme's features and labels")
+    p.add_argument("--previous", action="append", help="key=value, settings of an earlier run that valid features are taken from")
     p.add_argument("--data", default="/root/testdata/sf0.001")
     p.add_argument("--store")
     return p
@@ -51,6 +56,22 @@ def layered(early: list[str], late: list[str]) -> dict[str, str | list[str]]:
     return {**settings(early), **settings(late)}
 
 
+def typed(options: dict[str, str | list[str]]) -> dict:
+    """Options with numbers as numbers, and dims and block_size as lists of them."""
+
+    def one(key: str, value):
+        if key in ("dims", "block_size"):
+            return [int(x) for v in ([value] if isinstance(value, str) else value) for x in v.strip("[]").split(",")]
+        for kind in (int, float):
+            try:
+                return float(value) if key == "bound" else kind(value)
+            except (TypeError, ValueError):
+                continue
+        return value
+
+    return {k: one(k, v) for k, v in options.items()}
+
+
 def load(spark: SparkSession, options: dict, data: str) -> DataFrame:
     """Packed arrays of the loader named by source: a view of the tables in data, or raw files with path, dims (slow to fast, a comma between), dtype and glob.
 
@@ -92,6 +113,61 @@ def run(spark: SparkSession, store: ResultStore, packed: DataFrame, codec: str,
     return store.load()
 
 
+def run_scheme(spark: SparkSession, store: ResultStore, packed: DataFrame, scheme: Scheme, settings: dict, replicates: int = 1, source: str = "memory", previous: dict | None = None) -> DataFrame:
+    """Compute the scheme's features and labels for the tasks that the store lacks, add them, and return this configuration's results.
+
+    previous: settings of an earlier run into the same store. Features that the change from them leaves valid
+    aren't computed again but taken from that run's results; a field that it didn't have is an error that
+    names the metric. Labels are always computed.
+    """
+    ids = _configs(store, source, {"scheme": scheme.name, **settings})
+    number = F.coalesce(F.col("field_id").try_cast("bigint"), F.xxhash64("field_id"))
+    todo = store.todo(task_grid(packed.select(number.alias("field")).distinct(), replicates, **ids))
+    wanted = packed.withColumn("_n", number).join(todo.select(F.col("field").alias("_n")).distinct(), "_n", "left_semi").drop("_n")
+    changes, cached = {ALL, TRAINING, LABELS}, None
+    if previous is not None:
+        changes = {k for k in settings.keys() | previous.keys() if settings.get(k) != previous.get(k)} | {TRAINING, LABELS}
+        before = _results(store, _configs(store, source, {"scheme": scheme.name, **previous})).where("replicate = 0")
+        names = wanted.select("field_id", number.alias("field")).distinct()
+        cached = before.join(names, "field").select("field_id", *[F.col("values")[m].alias(m) for m in scheme.of_usage("feature")])
+    found = collect.collect(scheme, changes, wanted, settings, cached).table
+    # A label that an array doesn't have, such as the ratio of an empty one, isn't stored.
+    pairs = [F.struct(F.lit(c).alias("k"), F.col(f"`{c}`").cast("string").alias("v")) for c in found.columns if c != "field_id"]
+    values = F.map_from_entries(F.filter(F.array(*pairs), lambda p: p["v"].isNotNull()))
+    # Written once: the store reads what it is given several times, and features and codecs are dear.
+    folder = new_folder(spark, "observed")
+    found.select(number.alias("field"), values.alias("values")).write.parquet(folder)
+    seen = spark.read.schema("field bigint, values map<string,string>").parquet(folder)
+    store.upsert_results(todo.join(seen, "field").select(*KEY, "values"))
+    return _results(store, ids)
+
+
+def _configs(store: ResultStore, source: str, compressor: dict) -> dict[str, int]:
+    """Ids of the experiment, the dataset and the compressor."""
+    return {n[:-1]: store.upsert_configs(n, [c]).first()["id"] for n, c in (("experiments", {"name": "default"}), ("datasets", {"source": source}), ("compressors", compressor))}
+
+
+def _results(store: ResultStore, ids: dict[str, int]) -> DataFrame:
+    """The results of one configuration."""
+    mine = [F.col(k) == v for k, v in ids.items()]
+    return store.load().where(mine[0] & mine[1] & mine[2])
+
+
+def score_scheme(results: DataFrame, scheme: Scheme, k: int = 10, label: str | None = None) -> DataFrame:
+    """Median absolute percentage error per fold of the scheme's own predictor on the results of run_scheme()."""
+    from ..sources.arrays import dense_index
+
+    features, label = scheme.of_usage("feature"), label or scheme.of_usage("label")[0]
+    rows = results.select("field", "replicate", *[F.col("values")[m].alias(f"_x{i}") for i, m in enumerate(features)], F.col("values")[label].alias("_y"))
+    rows = with_folds(dense_index(rows, "field"), k)
+    names = [f"_x{i}" for i in range(len(features))]
+    if scheme.predictor == "noop":
+        made = rows.select("fold", F.col("_y").alias("actual"), F.col("_x0").alias("predicted"))
+    else:
+        made = cross_validate_merged(rows, MERGEABLE[scheme.predictor](), names, "_y")
+    return median_ape(made, ["fold"])
+
+
 def score(results: DataFrame, feature: str, label: str, predictor: str = "offset", k: int = 10) -> DataFrame:
     """Median absolute percentage error per fold of a predictor on stored results."""
     from ..sources.arrays import dense_index
@@ -108,6 +184,9 @@ def main(args: list[str] | None = None) -> None:
     codec, bound = options.get("codec", "quant_zlib"), float(options.get("bound", 1e-2))
     if codec not in CODECS:
         raise SystemExit(f"no codec {codec!r}; there are {sorted(CODECS)}")
+    scheme = SCHEMES[a.scheme].qualified("pressio" if a.qualified else "") if a.scheme else None
+    given = typed({"codec": codec, "bound": str(bound), **options})
+    source = json.dumps({"data": a.data, **loader}, sort_keys=True)
     packed = load(spark, loader, a.data)
     store = ResultStore(spark, a.store)
     for action in a.action:
@@ -115,6 +194,11 @@ def main(args: list[str] | None = None) -> None:
             describe(spark).show(100, False)
         elif action == "dataset":
             packed.select("field_id", "dims", "dtype").show()
+        elif action == "run" and scheme:
+            done = run_scheme(spark, store, packed, scheme, given, a.replicates, source, typed({**{k: str(v) for k, v in given.items()}, **settings(a.previous)}) if a.previous else None)
+            done.show()
+        elif action == "score" and scheme:
+            score_scheme(_results(store, _configs(store, source, {"scheme": scheme.name, **given})), scheme, a.folds).show()
         elif action == "run":
             done = run(spark, store, packed, codec, bound, a.replicates, a.decompress, json.dumps({"data": a.data, **loader}, sort_keys=True) if loader else "memory")
             if a.verbose:

@@ -11,10 +11,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import scalar
-from .operators import closedloop, codecs, codes, learning, neighbours, sampling, studies, tiles
-from .plans import catalog, collect, store
+from .operators import blockcodec, bytecodes, closedloop, codecs, codes, huffman, interpolation, learning, neighbours, sampling, studies, tiles, wavefront
+from .plans import catalog, collect, run, store
 from .sources import arrays
 from .sources.arrays import DIMS, SOURCES, dense_index, table
+from .sources.shared import new_folder
 from .streaming.ingest import windowed_statistics
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -117,10 +118,33 @@ def lorenzo_closed_loop_ratio(spark, sf_dir):
     return codes.corrected_ratio(h, codes.CENTER, 0)
 
 
+@query
+def lorenzo_waves(spark, sf_dir):
+    """Every code of a closed-loop scan of each event type, block after block."""
+    return wavefront.lorenzo_histograms(arrays.evt1d(spark, sf_dir), [0], 0.01)
+
+
+@query
+def lorenzo_waves_3d(spark, sf_dir):
+    """The same of all events as one field of three dimensions; every hundredth code, and the ratio that follows."""
+    return codes.corrected_ratio(wavefront.lorenzo_histograms(arrays.evt3d(spark, sf_dir), DIMS["evt3d"], 0.01, every=100), codes.CENTER, 0)
+
+
 @query
 def interpolation_closed_loop_ratio(spark, sf_dir):
-    h = closedloop.scan_histograms(arrays.pack(arrays.emb1d(spark, sf_dir), [64]), 0.01, how="interpolation")
-    return codes.code_bits(h, codes.CENTER, 0)
+    h = codes.histogram(interpolation.finest_codes(arrays.emb1d(spark, sf_dir), DIMS["emb1d"], 0.01))
+    return r6(codes.code_bits(h, codes.CENTER, 0))
+
+
+def _finest(view: str) -> Query:
+    def f(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return codes.histogram(interpolation.finest_codes(SOURCES[view](spark, sf_dir), DIMS[view], 0.01))
+
+    return f
+
+
+for _v in ("part1d", "emb2d", "evt3d"):
+    QUERIES[f"interpolation_codes_{_v}"] = _finest(_v)
 
 
 @query
@@ -192,6 +216,13 @@ def singular_share(spark, sf_dir):
     return run.agg(F.min(F.when(F.col("share") >= 0.99, F.col("rank"))).alias("needed"))
 
 
+@query
+def text_ratios(spark, sf_dir):
+    """How far the documents of each source and language would compress by the entropy of their bytes."""
+    by = ["source", "lang"]
+    return r6(bytecodes.text_ratios(bytecodes.byte_pairs(table(spark, sf_dir, "documents"), "text", by), by))
+
+
 # --- sampling, codecs ---
 
 
@@ -217,7 +248,26 @@ def sampled_block_cells(spark, sf_dir):
 def sampled_block_ratio(spark, sf_dir):
     c = arrays.emb2d(spark, sf_dir)
     n = c.count() // 64
-    return codecs.compressed(arrays.pack(sampling.sampled_blocks(c, [n, 64], 0.02), [-1]), "block_float", 0.01).select("field_id", "ratio", "max_error")
+    return blockcodec.transform_ratio(sampling.sampled_blocks(c, [n, 64], 0.02), [n, 64], 0.01)
+
+
+@query
+def transform_ratio(spark, sf_dir):
+    """The transform codec on every block of all events as one field of three dimensions."""
+    return blockcodec.transform_ratio(arrays.evt3d(spark, sf_dir), DIMS["evt3d"], 0.01)
+
+
+@query
+def huffman_sizes(spark, sf_dir):
+    """Lorenzo codes of all embeddings, coded chunk by chunk with their field's table."""
+    return huffman.huffman_ratio(codes.lorenzo_codes(arrays.emb2d(spark, sf_dir), DIMS["emb2d"], 0.01))
+
+
+@query
+def decoded_lorenzo_histogram(spark, sf_dir):
+    """The histogram of Lorenzo codes once more, of the codes that their bytes give back."""
+    c = codes.lorenzo_codes(arrays.emb2d(spark, sf_dir), DIMS["emb2d"], 0.01)
+    return codes.histogram(huffman.read_chunks(huffman.coded_chunks(c)))
 
 
 @query
@@ -280,6 +330,26 @@ def offset_predictor(spark, sf_dir):
     return r6(p.groupBy("fold").agg(F.count("*").alias("n"), F.avg("predicted").alias("mean_predicted"), F.avg(learning.ape(F.col("actual"), F.col("predicted"))).alias("mean_ape")))
 
 
+@query
+def least_squares_predictor(spark, sf_dir):
+    """Each fold's parts priced by a line through the other folds' sizes and prices, fitted by merged sums."""
+    rows = dense_index(table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").alias("y")), "p_partkey")
+    p = learning.cross_validate_merged(learning.with_folds(rows, 5), learning.LeastSquares(), ["x"], "y")
+    return r6(p.groupBy("fold").agg(F.count("*").alias("n"), F.avg("predicted").alias("mean_predicted"), F.avg(learning.ape(F.col("actual"), F.col("predicted"))).alias("mean_ape")))
+
+
+@query
+def accumulated_errors(spark, sf_dir):
+    """Each order priority's prices scored against the priority's mean, one call each, merged into one quality."""
+    o = table(spark, sf_dir, "orders").withColumn("mean", F.avg("o_totalprice").over(Window.partitionBy("o_orderpriority")))
+    quality = learning.MedianErrors()
+    for p in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"):
+        part = learning.MedianErrors()
+        part.score(o.where(F.col("o_orderpriority") == p), "o_totalprice", "mean")
+        quality.merge(part)
+    return r6(quality.results())
+
+
 @query
 def program_predictor(spark, sf_dir):
     rows = dense_index(table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").alias("y")), "p_partkey")
@@ -381,6 +451,22 @@ def changed_bound_run(spark, sf_dir):
     return r6(got.select("field_id", F.col("range:value_range").alias("value_range"), F.col("entropy:entropy").alias("entropy")))
 
 
+@query
+def collected_neighbours(spark, sf_dir):
+    """A scheme's features through its modules, for all embeddings as small arrays."""
+    scheme = catalog.SCHEMES["neighbours"]
+    got = collect.features(scheme, collect.collect(scheme, {catalog.ALL}, arrays.pack(arrays.emb1d(spark, sf_dir), [64]), {"bound": 0.01}))
+    return r6(got.select("field_id", *[F.col(f"`{m}`").alias(m.removeprefix("neighbours:")) for m in scheme.of_usage("feature")]))
+
+
+@query
+def scheme_scores(spark, sf_dir):
+    """A run through a scheme into a store, and its own predictor's errors fold by fold."""
+    scheme, s = collect.ENTROPY_CODER, store.ResultStore(spark, new_folder(spark, "store"))
+    results = run.run_scheme(spark, s, arrays.pack(arrays.emb1d(spark, sf_dir), [64]), scheme, {"bound": 0.01})
+    return r6(run.score_scheme(results, scheme, 10))
+
+
 # --- store ---
 
 
