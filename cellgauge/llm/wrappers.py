@@ -13,7 +13,10 @@ labels. A seed's node is a slot; nodes without a partner have their label path a
   comment is template in any case, so hosts with few pages are extracted too. Elements and roles count
   as they are, names of classes and ids only if all their words say so (`footer-links`, not
   `social-history`); a name that can mean content too (`legal`, `share`) counts only for half
-  of the page's words at most, and where nothing else is left names don't count at all.
+  of the page's words at most, and where nothing else is left names don't count at all. Readers' remarks go
+  whatever they hold, and a form that a whole page is wrapped in stays.
+* Of a page with a main that is the text, of one with articles these, with the headlines and paragraphs right before
+  them, if they hold a third of the words that nothing marks (ABOUT); else, and of other pages, all that isn't template.
 
 Pages are different if their texts outside links and outside what the pages mark differ. So copies of a
 page, or of an article beside other menus and marked adverts, count once and neither make nor break
@@ -59,7 +62,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title noscript template iframe xmp".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split())
 #: Elements that are template wherever they stand; the first of them never hold text of the page at all.
-SILENT = frozenset("script style noscript template iframe svg math button select input textarea option object canvas audio video head title".split())
+SILENT = frozenset("script style noscript template iframe svg button select input textarea option object canvas audio video head title".split())
 DROPPED = SILENT | frozenset("nav footer aside form dialog menu fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar".split())
 #: Words of class and id names that mark template; those that can also name content; and words that say nothing beside them.
@@ -67,7 +70,14 @@ MARKS = frozenset(
     "nav navbar navigation menu menus menubar topbar footer footnav sidebar sidebars aside ad ads advert adverts advertisement advertising adsense promo promotion cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login comment comments commentlist disqus respond replies reply breadcrumb breadcrumbs pagination pager toolbar".split()
 )
 WEAK = frozenset("masthead header banner sponsor sponsored notice notices notification notifications share sharing social related recommended recommendations widget widgets copyright disclaimer legal skip search form".split())
-NEUTRAL = frozenset("area articles bar block bottom box button buttons col column container content desktop feed fixed global group icon icons inner item items left link links list main message mobile outer page panel policy posts primary right row secondary section site slot space sticky stories text thread top unit wrap wrapper zone".split())
+NEUTRAL = frozenset("area articles bar block body bottom box button buttons col column container content desktop feed fixed global group icon icons inner item items left link links list main message mobile outer page panel policy posts primary right row secondary section site slot space sticky stories text thread top unit wrap wrapper zone".split())
+#: Marks of readers' remarks, which go whatever they hold, short of a main.
+REMARKS = frozenset("comment comments commentlist disqus respond replies reply".split())
+#: What makes a form that holds most of a page the page's frame, and what belongs to an article right after it.
+FRAMED = frozenset("article main p h1".split())
+LEAD = frozenset("h1 h2 h3 p hgroup".split())
+#: Share of a page's unmarked words that its articles must hold to be what the page is about; a main always is.
+ABOUT = 1 / 3
 #: A header of the article itself holds its title.
 TITLE_MARKS = frozenset("article post entry story content page main".split())
 #: Elements that end an open paragraph, and elements that end an open one of their own kind.
@@ -192,6 +202,17 @@ def parse(text: str) -> Node:
     return root
 
 
+def below(node: Node, tags: frozenset[str]) -> bool:
+    """Whether an element of one of the tags lies below a node."""
+    todo = list(node.kids)
+    while todo:
+        k = todo.pop()
+        if k.tag in tags:
+            return True
+        todo.extend(k.kids)
+    return False
+
+
 def plain(node: Node) -> str:
     """All text below node, white space made single."""
     out: list[str] = []
@@ -465,15 +486,21 @@ class Page:
 
     def __init__(self, root: Node, names: bool = True):
         self.root, self.names, self.total = root, names, -1
+        self.frames: dict[int, bool] = {}
+        self.above: dict[int, Node] = {}
 
     def marked(self, node: Node, inside: bool) -> bool:
         """inside: in an article or main."""
+        if node.tag == "form":
+            return not self.is_frame(node)
         if node.tag in DROPPED:
             return True
         if node.tag in ("article", "main", "body", "html"):
-            return bool(node.tag == "article" and node.marks & {"comment", "comments", "reply", "ad", "advert", "related", "promo"})
+            return bool(node.tag == "article" and node.marks & (REMARKS | {"ad", "advert", "related", "promo"}))
         if node.tag == "header":
             return not inside
+        if self.names and node.marks & REMARKS and not (node.holds and below(node, frozenset(["main"]))):
+            return True
         if not node.marks or node.holds:
             return False
         if any(m.startswith("role=") and m[5:] in ROLES for m in node.marks):
@@ -484,6 +511,22 @@ class Page:
             return True
         return bool(node.marks & WEAK) and 2 * len(plain(node).split()) <= self.words()
 
+    def is_frame(self, form: Node) -> bool:
+        """Whether a form is what a whole page is wrapped in: more words lie in it than outside, and paragraphs, a headline or an article."""
+        if id(form) not in self.frames:
+            self.frames[id(form)] = len(plain(form).split()) > self.words() and below(form, FRAMED)
+        return self.frames[id(form)]
+
+    def lead(self, region: Node) -> list[Node]:
+        """Headlines and paragraphs right before a region."""
+        above = self.above[id(region)].kids
+        found: list[Node] = []
+        for k in reversed(above[: next(i for i, x in enumerate(above) if x is region)]):
+            if k.tag not in LEAD or self.marked(k, False):
+                break
+            found.insert(0, k)
+        return found
+
     def words(self) -> int:
         if self.total < 0:
             self.total = len(plain(self.root).split())
@@ -491,23 +534,37 @@ class Page:
 
     def regions(self, node: Node) -> list[Node]:
         """The outermost articles and mains below a node."""
-        found, todo = [], node.kids[::-1]
+        found, todo = [], [(k, node) for k in node.kids[::-1]]
         while todo:
-            k = todo.pop()
+            k, above = todo.pop()
             if self.marked(k, False):
                 continue
             if k.tag in ("article", "main") or "role=main" in k.marks:
                 found.append(k)
+                self.above[id(k)] = above
             else:
-                todo.extend(reversed(k.kids))
+                todo.extend((x, k) for x in reversed(k.kids))
         return found
 
     def content(self, texts: set[int], menus: set[int]) -> str:
         regions = self.regions(self.root)
+        about = any(r.tag != "article" for r in regions)
         for i, r in enumerate(regions):  # an article within main is what main is about
             inner = self.regions(r)
             if r.tag != "article" and inner:
                 regions[i : i + 1] = inner
+        if not regions:
+            return "\n".join(self.blocks([self.root], False, texts, menus))
+        said = self.blocks([*self.lead(regions[0]), *regions], True, texts, menus)
+        if about:
+            return "\n".join(said)
+        # Articles beside a longer story, such as a teaser, aren't what the page is about.
+        whole = self.blocks([self.root], False, texts, menus)
+        size = lambda blocks: sum(len(b.split()) for b in blocks)
+        return "\n".join(said if size(said) >= ABOUT * size(whole) else whole)
+
+    def blocks(self, regions: list[Node], inside: bool, texts: set[int], menus: set[int]) -> list[str]:
+        """The texts of regions, block by block, without what is template."""
         blocks: list[str] = []
         buffer: list[str] = []
 
@@ -549,10 +606,10 @@ class Page:
                         todo.append((" ", False))
                     enter(p, skip)
 
-        for r in regions or [self.root]:
-            walk(r, bool(regions))
+        for r in regions:
+            walk(r, inside)
             flush()
-        return "\n".join(blocks)
+        return blocks
 
 
 def extract_page(html: str | None, wrapper: Wrapper | None = None) -> str:
