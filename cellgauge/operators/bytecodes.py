@@ -21,20 +21,20 @@ PIECE = 1 << 20
 HELD_GROUPS = 64
 
 
-def _runs(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Runs of rows with about PIECE bytes together."""
+def _runs(offsets: np.ndarray, piece: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows with about `piece` bytes together."""
     at, n = 0, len(offsets) - 1
     while at < n:
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + PIECE, "right")) - 1)
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + piece, "right")) - 1)
         yield at, min(to, n)
         at = min(to, n)
 
 
-def _pair_codes(data: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _pair_codes(data: np.ndarray, lengths: np.ndarray, piece: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Of texts one after the other in data: (row, code) of each pair, in pieces however long a text is."""
-    if len(lengths) == 1 and len(data) > PIECE:
-        for at in range(0, len(data) + 1, PIECE):
-            part = np.concatenate([[data[at - 1] if at else MARK], data[at : at + PIECE], [MARK] if at + PIECE > len(data) else []]).astype(np.int64)
+    if len(lengths) == 1 and len(data) > piece:
+        for at in range(0, len(data) + 1, piece):
+            part = np.concatenate([[data[at - 1] if at else MARK], data[at : at + piece], [MARK] if at + piece > len(data) else []]).astype(np.int64)
             yield np.zeros(len(part) - 1, np.int64), part[:-1] * SYMBOLS + part[1:]
         return
     # One mark ends a text and starts the next.
@@ -68,13 +68,13 @@ def byte_pairs(rows: DataFrame, text: str, by: list[str]) -> DataFrame:
             offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
             data = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
             keys = list(zip(*(c.to_pylist() for c in b.columns[: len(by)]), strict=True)) if by else [()] * len(texts)
-            for lo, hi in _runs(offsets):
+            for lo, hi in _runs(offsets, PIECE):
                 number = {key: k for k, key in enumerate(dict.fromkeys(keys[lo:hi]))}
                 group = np.array([number[key] for key in keys[lo:hi]])
                 several = len(number) > HELD_GROUPS
                 if several or len(held) + len(number) > HELD_GROUPS:
                     yield from out()
-                for row, code in _pair_codes(data[offsets[lo] : offsets[hi]], np.diff(offsets[lo : hi + 1])):
+                for row, code in _pair_codes(data[offsets[lo] : offsets[hi]], np.diff(offsets[lo : hi + 1]), PIECE):
                     if several:  # too many groups for a count of each pair
                         seen, freq = np.unique(group[row] * SYMBOLS**2 + code, return_counts=True)
                         which = pa.array(seen // SYMBOLS**2)

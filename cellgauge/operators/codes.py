@@ -87,6 +87,23 @@ def corrected_ratio(hist: DataFrame, center: int = 0, raw: int | None = None) ->
     return agg.select("field_id", "mean_bits", p0.alias("p0"), rho.alias("rho"), F.try_divide(32.0 * rho, F.nullif("mean_bits", F.lit(0.0))).alias("ratio"))
 
 
+def refined_ratio(hist: DataFrame, k: int = 5, center: int = 0, raw: int | None = None) -> DataFrame:
+    """The ratio corrected for runs, once of the centre code alone and once of the most frequent codes as well.
+
+    With B the mean bits, f a code's share of the codes and P its share of the bits (the centre's by corrected_ratio's
+    rule, another code's by its information), what is left of the bits is the sum of (1 - f) P over the codes
+    looked at and of 1 - P for the rest; codes: the centre, and those of the k most frequent that aren't it.
+    """
+    total = corrected_ratio(hist, center, raw).withColumnRenamed("ratio", "lossless_ratio")
+    top = with_share(hist).join(top_codes(hist, k, center).select("field_id", "code"), ["field_id", "code"]).join(total.select("field_id", "mean_bits"), "field_id")
+    info = F.try_divide(-F.col("f") * F.log2("f"), F.nullif("mean_bits", F.lit(0.0)))
+    more = top.groupBy("field_id").agg(F.sum((1 - F.col("f")) * info).alias("_left"), F.sum(info).alias("_share"))
+    fc = with_share(hist).groupBy("field_id").agg(F.coalesce(F.max(F.when(F.col("code") == center, F.col("f"))), F.lit(0.0)).alias("_fc"))
+    both = total.join(fc, "field_id").join(more, "field_id", "left").na.fill(0.0, ["_left", "_share"])
+    left = (1 - F.col("_fc")) * F.col("p0") + F.col("_left") + 1 - F.col("p0") - F.col("_share")
+    return both.select("field_id", "mean_bits", "lossless_ratio", F.try_divide(F.lit(32.0), F.nullif(left * F.col("mean_bits"), F.lit(0.0))).alias("refined_ratio"))
+
+
 def top_codes(hist: DataFrame, k: int = 5, center: int = 0) -> DataFrame:
     """The k most frequent codes per field, then without the centre; ties by code."""
     w = F.row_number().over(_rank())

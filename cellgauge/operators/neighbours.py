@@ -64,6 +64,8 @@ def neighbour_features(cells: DataFrame, dims: list[int], scaled_lorenzo: bool =
     index, so they wrap from row to row. The Lorenzo sum is divided by 2^d - 1 unless
     scaled_lorenzo is False. Fields without any valid cell have null means.
     """
+    if not 1 <= len(dims) <= 3:
+        raise ValueError(f"{len(dims)} dimensions; there must be 1 to 3")
     steps = strides(dims)
     lorenzo = lorenzo_offsets(dims)
     need = {s for d in steps for s in (-d, d, -3 * d, 3 * d)} | set(lorenzo)
@@ -86,6 +88,13 @@ def neighbour_features(cells: DataFrame, dims: list[int], scaled_lorenzo: bool =
     )
 
 
+def checked(packed: DataFrame) -> DataFrame:
+    """packed, in which reading an array without values, of another type than float32 or float64, or of other than 1 to 3 dimensions is an error."""
+    fault = F.when(F.col("values").isNull(), "has no data").when(F.col("dtype").isNull() | ~F.col("dtype").isin("float32", "float64"), "isn't of single or double precision").when(F.col("dims").isNull() | ~F.size("dims").between(1, 3), "must have 1, 2 or 3 dimensions")
+    said = F.concat(F.lit("array "), F.coalesce("field_id", F.lit("")), F.lit(" "), fault)
+    return packed.withColumn("values", F.when(fault.isNotNull(), F.raise_error(said).cast("array<double>")).otherwise(F.col("values")))
+
+
 def constant_blocks(cells: DataFrame, dims: list[int]) -> DataFrame:
     """Per field and 4^d block at origins that are multiples of 16: cells, range and whether it isn't constant."""
     coords = coordinates(dims)

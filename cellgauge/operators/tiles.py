@@ -11,6 +11,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.arrays import coordinates
+
 BINS = 15
 EMPTY_BIN = 1e-10
 #: Tiles of a block, and fields whose numbers of blocks are sent to their tiles at most.
@@ -164,5 +166,17 @@ def standardised_svd(cells: DataFrame, width: int, k: int) -> DataFrame:
     return coding_gain(tiles(rows, width, k))
 
 
+#: A field with fewer cells or dimensions or a smaller deviation is degenerate.
+LEAST_CELLS, LEAST_DIMS, LEAST_SD = 10, 2, 0.01
+
+
+def usable_fields(cells: DataFrame, dims: list[int], least_sd: float = LEAST_SD) -> DataFrame:
+    """field_id, n, sd of the fields that aren't degenerate: enough cells, all of them numbers, two dimensions of more than one cell, some deviation."""
+    spread = [F.max(c) > F.min(c) for c in coordinates(dims)]
+    several = sum((s.cast("int") for s in spread), F.lit(0))
+    t = cells.groupBy("field_id").agg(F.count("*").alias("n"), F.stddev_samp("v").alias("sd"), several.alias("_d"), F.bool_or(F.col("v").isNull() | F.isnan("v")).alias("_holes"))
+    return t.where((F.col("n") >= LEAST_CELLS) & (F.col("sd") >= least_sd) & (F.col("_d") >= LEAST_DIMS) & ~F.col("_holes")).select("field_id", "n", "sd")
+
+
 def total_statistics(cells: DataFrame) -> DataFrame:
     return cells.groupBy("field_id").agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"), F.min("v").alias("least"), F.max("v").alias("greatest"))

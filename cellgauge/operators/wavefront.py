@@ -37,8 +37,29 @@ def quantised(value: np.ndarray, guess: np.ndarray, bound: float) -> tuple[np.nd
     return np.where(good, CENTER + signed, 0).astype(np.int64), np.where(good, back, value)
 
 
+def scan_line(x: np.ndarray, before: float, bound: float) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, decoded values) of a line after a decoded value: scan_block() for one dimension, where each cell depends on the last."""
+    codes, backs, guess = [], [], float(before)
+    for v in x.tolist():
+        code, back = 0, v
+        steps = abs(v - guess) / bound
+        if steps < 2 * CENTER - 1:
+            half = (math.floor(steps) + 1) >> 1
+            signed = half if v >= guess else -half
+            found = guess + 2 * signed * bound
+            if abs(found - v) <= bound:
+                code, back = CENTER + signed, found
+        codes.append(code)
+        backs.append(back)
+        guess = back
+    return np.array(codes, np.int64), np.array(backs)
+
+
 def scan_block(x: np.ndarray, known: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray]:
     """(codes, decoded with a face in front of each axis) of a block; known: an array one larger on each axis, of which the faces are set."""
+    if x.ndim == 1:
+        codes, back = scan_line(x, known[0], bound)
+        return codes, np.concatenate([known[:1], back])
     back, codes = known, np.zeros(x.shape, np.int64)
     corners = [(c, 1 if sum(c) % 2 else -1) for c in itertools.product((0, 1), repeat=x.ndim) if any(c)]
     grid = np.indices(x.shape).reshape(x.ndim, -1)

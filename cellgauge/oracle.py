@@ -281,4 +281,60 @@ ORACLE |= {
     "a as (select round(list_sort(list(ape))[1 + floor(count(*) * 0.1)::int], 6) as overall_10ape, round(list_sort(list(ape))[1 + floor(count(*) * 0.9)::int], 6) as overall_90ape, round(median(ape), 6) as overall_median, count(*) as n from e) select * from f, a",
     "collected_neighbours": f"select * from ({features('emb1d')}) join ({blocks('emb1d')}) using (field_id)",
     "scheme_scores": ORACLE["flagship"],
+    "lorenzo_refined_ratio": _CODES.format(b="0.5")
+    + ", g as (select field_id, sum(f * bits) as b, coalesce(max(f) filter (code = 0), 0) as fc, coalesce(max(freq) filter (code = 0), 0) as nc, any_value(n) as n from k group by field_id), "
+    "p as (select *, (case when nc > n // 2 then fc when fc > 0 then -fc * log2(fc) else 0 end) / nullif(b, 0) as p0 from g), "
+    "t as (select field_id, sum((1 - f) * -f * log2(f)) as l, sum(-f * log2(f)) as s from (select *, row_number() over (partition by field_id order by freq desc, code) as r from k) where r <= 5 and code <> 0 group by field_id) "
+    "select field_id, round(b, 6) as mean_bits, round(32.0 * greatest(1, 1 / nullif((1 - fc) * p0 + 1 - p0, 0)) / nullif(b, 0), 6) as lossless_ratio, "
+    "round(32.0 / nullif(((1 - fc) * p0 + coalesce(l, 0) / b + 1 - p0 - coalesce(s, 0) / b) * b, 0), 6) as refined_ratio from p left join t using (field_id)",
+    "usable_fields": f"{_EMB1} select field_id, count(*) as n, round(stddev_samp(v), 6) as sd, 'square' as form from cells group by field_id having count(*) >= 10 and stddev_samp(v) >= 0.01 and max(idx // 8) > min(idx // 8) and max(idx % 8) > min(idx % 8)",
+    "column_summary": "select label, p - 1 as column, round(sum(embedding[p]::double), 6) as total, round(avg(embedding[p]::double), 6) as mean, round(stddev_samp(embedding[p]::double), 6) as sd from embeddings, range(1, 65) t(p) group by label, p",
+}
+
+#: A closed loop over cells in order, with all that was decoded so far at hand.
+_LOOP_2D = f"""with recursive cells as materialized ({VIEWS['emb1d']}), f as materialized (select field_id, list(v order by idx) as v from cells group by field_id),
+s as (
+  select field_id, v, 0 as n, []::double[] as back, null::bigint as code from f
+  union all
+  select field_id, v, n + 1, list_append(back, {_step('x', 'g', '0.01::double')[1]}), {_step('x', 'g', '0.01::double')[0]}
+  from (select *, v[n + 1] as x, 0.0::double + case when n % 8 > 0 then back[n] else 0.0 end + case when n >= 8 then back[n - 7] else 0.0 end - case when n % 8 > 0 and n >= 8 then back[n - 8] else 0.0 end as g from s where n < len(v))
+)"""
+_SHARES = f"""h as (select field_id, code, count(*) as freq from c group by all), s2 as (select *, freq / sum(freq) over (partition by field_id)::double as f, sum(freq) over (partition by field_id) as n from h),
+k as (select *, case when code = 0 then 32 when -log2(f) >= 32 then 0 when -log2(f) >= 1 then -log2(f) when code = {CENTER} then 1 when abs(code - {CENTER}) = 1 then 2.5 else 4 end as bits from s2),
+g as (select field_id, sum(f * bits) as b, coalesce(max(f) filter (code = {CENTER}), 0) as fc, coalesce(max(freq) filter (code = {CENTER}), 0) as nc, any_value(n) as n from k group by field_id),
+p as (select *, (case when nc > n // 2 then fc when fc > 0 then -fc * log2(fc) else 0 end) / nullif(b, 0) as p0 from g), r as (select *, greatest(1, 1 / nullif((1 - fc) * p0 + 1 - p0, 0)) as rho from p)
+select field_id, round(b, 6) as mean_bits, round(p0, 6) as p0, round(rho, 6) as rho, round(32.0 * rho / nullif(b, 0), 6) as ratio from r"""
+ORACLE["lorenzo_closed_loop_2d"] = f"{_LOOP_2D}, c as (select field_id, code from s where n > 0), {_SHARES}"
+ORACLE["lorenzo_closed_loop_ratio"] = ORACLE["lorenzo_waves"].replace("select field_id, code, count(*) as freq from s group by all", f", c as (select field_id, code from s where (idx + 1) % 100 = 0), {_SHARES}").replace(") , c as", "), c as")
+
+_DAY = "with t as (select case when hour(ts) < 8 then 'none' when hour(ts) < 16 then 'sampling' else 'tiles' end as method, event_type as codec, avg(value) as mean, stddev_samp(value) as sd from events group by all), b as (select codec, mean as mean_baseline from t where method = 'none')"
+for _n in ("search_speedup", "best_codec_speedup", "parallel_writes"):
+    ORACLE[f"event_{_n}"] = ORACLE[_n].replace(_TIMES, _DAY)
+
+
+def _names(keys) -> str:
+    return "[" + ", ".join(f"'{k}'" for k in keys) + "]::varchar[]"
+
+
+_WHEN = ", ".join(f"case when list_has_any(changes, {_names(catalog.MOCK.settings[c])}) then {_names([c])} else [] end" for c in (catalog.RUNTIME, catalog.DEPENDENT, catalog.AGNOSTIC))
+#: Orders as change sets: their classes, and each metric's validity.
+_LOG = (
+    "with m(position, metric, module, usage, causes) as (values " + _values([(i, m.metric, m.module, m.usage, list(m.causes)) for i, m in enumerate(catalog.MOCK.metrics)]) + "), "
+    'lg as (select l_orderkey as "case", unnest([case l_returnflag when \'A\' then \'mock_compressor:error_agnostic\' when \'R\' then \'mock_compressor:runtime\' else \'mock_compressor:error_dependent\' end, '
+    f"case when l_linestatus = 'F' and l_linenumber = 1 then '{catalog.DATA}' end, case when l_quantity >= 50 then '{catalog.ALL}' end, case when l_linenumber >= 6 then '{catalog.TRAINING}' end]) as key from lineitem), "
+    'ch as (select "case", list(distinct key) as changes from lg where key is not null group by 1), '
+    f"cl as (select \"case\", list_contains(changes, '{catalog.TRAINING}') as training, case when list_contains(changes, '{catalog.ALL}') then list_sort({_names(catalog.CLASSES)}) "
+    f"else list_sort(list_distinct(list_concat({_names([catalog.NONDETERMINISTIC])}, case when list_contains(changes, '{catalog.DATA}') then {_names([catalog.DATA])} else [] end, {_WHEN}, changes))) end as classes from ch), "
+    'x as (select "case", position, metric, module, usage, list_has_any(causes, classes) and (usage = \'feature\' or training) as invalid from m, cl)'
+)
+_TEXTURE_LABEL = f"select field_id, 64.0 / nullif(round(-sum(f * log2(f)), 12), 0) as ratio from (select field_id, c / sum(c) over (partition by field_id)::double as f from (select field_id, floor(v / 0.02::double + 0.5) as q, count(*) as c from ({VIEWS['emb1d']}) group by all)) group by field_id"
+_TEXTURE_FEATURES = ("value_range", "mean_value", "mean_neighbor_difference", "mean_lorenzo_difference", "mean_spline_difference", "non_constant_block_percentage")
+ORACLE |= {
+    "change_log_classes": f"{_LOG} select \"case\", array_to_string(classes, ',') as classes from cl",
+    "change_log_matrix": ORACLE["invalidation_matrix"].replace(_MOCK, _LOG),
+    "change_log_ids": ORACLE["invalidation_ids"].replace(_MOCK, _LOG),
+    "change_log_requirements": ORACLE["run_requirements"].replace(_MOCK, _LOG),
+    "change_log_modules": f'{_LOG} select module, count(*) as n_cases, sum(n)::bigint as n_metrics from (select module, "case", count(*) as n from x where invalid group by all) group by module',
+    "texture_run": f"select a.*, b.non_constant_block_percentage, round(c.ratio, 6) as ratio from ({features('emb1d')}) a join ({blocks('emb1d')}) b using (field_id) join ({_TEXTURE_LABEL}) c using (field_id)",
+    "texture_run_changed_bound": f"select field_id, {', '.join(f'-1.0::double as {f}' for f in _TEXTURE_FEATURES)}, round(ratio, 6) as ratio from ({_TEXTURE_LABEL})",
 }

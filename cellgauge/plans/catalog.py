@@ -77,6 +77,29 @@ def invalidation(scheme: Scheme, spark: SparkSession, cases: dict[str, set[str]]
     return both.select("case", "position", "metric", "module", "usage", "needs_compress", "needs_decompress", is_invalid(F.col("classes"), F.col("training")).alias("invalid"))
 
 
+def classes_of(scheme: Scheme, changes: Column) -> Column:
+    """Scheme.classes() of a column of change sets, arrays of keys; a null set is an empty one."""
+    names = lambda keys: F.array(*[F.lit(k) for k in keys]).cast("array<string>")
+    given = F.coalesce(changes, names([]))
+    found = [names([NONDETERMINISTIC]), F.when(F.array_contains(given, DATA), names([DATA])).otherwise(names([]))]
+    found += [F.when(F.arrays_overlap(given, names(scheme.settings.get(c, scheme.all_settings))), names([c])).otherwise(names([])) for c in (RUNTIME, DEPENDENT, AGNOSTIC)]
+    own = F.array_sort(F.array_distinct(F.concat(*found, given)))
+    return F.when(F.array_contains(given, ALL), F.array_sort(names([NONDETERMINISTIC, RUNTIME, DEPENDENT, AGNOSTIC, DATA]))).otherwise(own)
+
+
+def invalidation_log(scheme: Scheme, log: DataFrame, case: str = "case", changes: str = "changes") -> DataFrame:
+    """invalidation() of a table of change sets of any length: case, and its changes as an array."""
+    rows = log.select(F.col(case).alias("case"), classes_of(scheme, F.col(changes)).alias("classes"), F.coalesce(F.array_contains(changes, TRAINING), F.lit(False)).alias("training"))
+    # A scheme has a few metrics; each case meets each of them.
+    both = rows.join(F.broadcast(scheme.catalog(log.sparkSession)))
+    return both.select("case", "position", "metric", "module", "usage", "needs_compress", "needs_decompress", is_invalid(F.col("classes"), F.col("training")).alias("invalid"))
+
+
+def modules_to_run(matrix: DataFrame) -> DataFrame:
+    """module, n_cases, n_metrics: in how many cases a module has an invalid metric, and how many it has in all of them."""
+    return matrix.where("invalid").groupBy("module", "case").agg(F.count("*").alias("n")).groupBy("module").agg(F.count("*").alias("n_cases"), F.sum("n").alias("n_metrics"))
+
+
 def requirements(matrix: DataFrame, training_required: bool) -> DataFrame:
     """Per case: whether any invalid metric needs compression or decompression, and whether training is needed."""
     return matrix.groupBy("case").agg(F.bool_or(F.col("invalid") & F.col("needs_compress")).alias("compress"), F.bool_or(F.col("invalid") & F.col("needs_decompress")).alias("decompress"), F.lit(training_required).alias("training"))

@@ -25,7 +25,7 @@ class Collected:
 
 
 def _neighbours(packed: DataFrame, settings: dict) -> DataFrame:
-    cells, dims = unpack(packed), _open(settings)
+    cells, dims = unpack(neighbours.checked(packed)), _open(settings)
     both = neighbours.neighbour_features(cells, dims).join(neighbours.non_constant_share(cells, dims), "field_id")
     return both.select("field_id", *[F.col(c).alias(f"neighbours:{c}") for c in both.columns if c != "field_id"])
 
@@ -147,5 +147,15 @@ ENTROPY_CODER = catalog.Scheme(
     predictor="offset",
     training_required=True,
 )
+#: The same label from all neighbourhood features, which depend on the data alone and are dear.
+TEXTURE = catalog.Scheme(
+    "texture",
+    tuple(catalog.Metric(f"neighbours:{m}", "neighbours", "feature", (catalog.DATA,), False, False) for m in ("value_range", "mean_value", "mean_neighbor_difference", "mean_lorenzo_difference", "mean_spline_difference", "non_constant_block_percentage"))
+    + (catalog.Metric("entropy:ratio", "entropy", "label", (catalog.DEPENDENT, catalog.DATA), False, False),),
+    CODES.settings,
+    CODES.all_settings,
+    predictor="least_squares",
+    training_required=True,
+)
 #: The published schemes and those of this package.
-SCHEMES = catalog.SCHEMES | {s.name: s for s in (CODES, TIMING, ENTROPY_CODER)}
+SCHEMES = catalog.SCHEMES | {s.name: s for s in (CODES, TIMING, ENTROPY_CODER, TEXTURE)}

@@ -13,7 +13,7 @@ from ..operators.learning import MERGEABLE, PREDICTORS, cross_validate, cross_va
 from ..sources.arrays import DIMS, SOURCES, pack, read_fields
 from ..sources.shared import new_folder
 from . import collect
-from .catalog import ALL, LABELS, TRAINING, Scheme, describe
+from .catalog import ALL, LABELS, TRAINING, Scheme, describe, load_plugin
 from .collect import SCHEMES
 from .store import KEY, ResultStore, task_grid
 
@@ -33,7 +33,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-Q", "--qualified", action="store_true")
     p.add_argument("-D", "--decompress", action="store_true")
     p.add_argument("-R", "--replicates", type=int, default=1)
-    p.add_argument("--scheme", choices=sorted(SCHEMES), help="run and score by a scheme's features and labels")
+    p.add_argument("--scheme", help="run and score by a scheme's features and labels")
+    p.add_argument("--plugin", action="append", default=[], help="module to import first, which registers schemes, modules or codecs of its own")
     p.add_argument("--previous", action="append", help="key=value, settings of an earlier run that valid features are taken from")
     p.add_argument("--data", default="/root/testdata/sf0.001")
     p.add_argument("--store")
@@ -178,6 +179,10 @@ def score(results: DataFrame, feature: str, label: str, predictor: str = "offset
 
 def main(args: list[str] | None = None) -> None:
     a = parser().parse_args(args)
+    for name in a.plugin:
+        load_plugin(name)
+    if a.scheme and a.scheme not in SCHEMES:
+        raise SystemExit(f"no scheme {a.scheme!r}; there are {sorted(SCHEMES)}")
     spark = SparkSession.builder.appName("cellgauge").getOrCreate()
     options = layered(a.codec_early_option, a.codec_option)
     loader = layered(a.loader_early_option, a.loader_option)

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import json
 import time
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,6 +30,11 @@ def canonical_json(options: dict) -> str:
     return json.dumps(options, sort_keys=True, separators=(",", ":"))
 
 
+def canonical_column(names: list[str]) -> Column:
+    """The canonical JSON of columns, as canonical_json() would write them: sorted by name, null ones left out."""
+    return F.to_json(F.struct(*[F.col(f"`{n}`") for n in sorted(names)]))
+
+
 def config_rows(spark: SparkSession, configs: list[dict]) -> DataFrame:
     """hash (SHA-256 of the canonical JSON) and config."""
     return spark.createDataFrame([(canonical_json(c),) for c in configs], "config string").select(F.sha2("config", 256).alias("hash"), "config")
@@ -81,6 +85,8 @@ class ResultStore:
     def upsert_configs(self, name: str, configs: list[dict]) -> DataFrame:
         """id and hash of each configuration, new or not."""
         rows, old = config_rows(self.spark, configs), self.table(name)
+        valid = F.when(is_json(F.col("config")), F.col("config")).otherwise(F.raise_error(F.concat(F.lit("no JSON: "), F.col("config"))).cast("string"))
+        rows = rows.withColumn("config", valid)
         self._append(name, numbered(missing(rows, old, ["hash"]), old, ["hash"]))
         return self.table(name).join(rows.select("hash").distinct(), "hash", "left_semi")
 
@@ -148,7 +154,3 @@ def timed(action, warmup: int = 2, repeat: int = 30) -> dict[str, float]:
 
 def is_json(text: Column) -> Column:
     return F.try_parse_json(text).isNotNull()
-
-
-def fresh_path(folder: str) -> str:
-    return f"{folder.rstrip('/')}/{uuid.uuid4().hex}"

@@ -96,6 +96,11 @@ def lorenzo_corrected_ratio(spark, sf_dir):
     return r6(codes.corrected_ratio(codes.histogram(codes.lorenzo_codes(arrays.emb2d(spark, sf_dir), DIMS["emb2d"], 0.5))))
 
 
+@query
+def lorenzo_refined_ratio(spark, sf_dir):
+    return r6(codes.refined_ratio(codes.histogram(codes.lorenzo_codes(arrays.emb2d(spark, sf_dir), DIMS["emb2d"], 0.5))))
+
+
 @query
 def top_codes(spark, sf_dir):
     return codes.top_codes(codes.histogram(codes.lorenzo_codes(arrays.emb2d(spark, sf_dir), DIMS["emb2d"], 0.01))).select("field_id", "code", "freq")
@@ -114,8 +119,8 @@ def quantise_grid(spark, sf_dir):
 
 @query
 def lorenzo_closed_loop_ratio(spark, sf_dir):
-    h = closedloop.scan_histograms(arrays.pack(arrays.evt1d(spark, sf_dir), [-1]), 0.01)
-    return codes.corrected_ratio(h, codes.CENTER, 0)
+    h = wavefront.lorenzo_histograms(arrays.evt1d(spark, sf_dir), [0], 0.01, every=100)
+    return r6(codes.corrected_ratio(h, codes.CENTER, 0))
 
 
 @query
@@ -151,7 +156,7 @@ for _v in ("part1d", "emb2d", "evt3d"):
 def lorenzo_closed_loop_2d(spark, sf_dir):
     """Each embedding as an array of 8 x 8, all of its codes."""
     h = closedloop.scan_histograms(arrays.pack(arrays.emb1d(spark, sf_dir), [8, 8]), 0.01, every=1)
-    return codes.corrected_ratio(h, codes.CENTER, 0)
+    return r6(codes.corrected_ratio(h, codes.CENTER, 0))
 
 
 @query
@@ -429,6 +434,45 @@ def module_map(spark, sf_dir):
     return m.select("module", F.array_join("metrics", ",").alias("metrics"), F.array_join("causes", ",").alias("causes"))
 
 
+def _change_log(spark, sf_dir):
+    """Each order as a run whose lines say what changed before it: a setting by the return flag, the data by the status, all or a training by quantity and number."""
+    x = table(spark, sf_dir, "lineitem")
+    keys = F.array(
+        F.when(F.col("l_returnflag") == "A", "mock_compressor:error_agnostic").when(F.col("l_returnflag") == "R", "mock_compressor:runtime").otherwise("mock_compressor:error_dependent"),
+        F.when((F.col("l_linestatus") == "F") & (F.col("l_linenumber") == 1), catalog.DATA),
+        F.when(F.col("l_quantity") >= 50, catalog.ALL),
+        F.when(F.col("l_linenumber") >= 6, catalog.TRAINING),
+    )
+    return x.select(F.col("l_orderkey").alias("case"), F.explode(F.array_compact(keys)).alias("key")).groupBy("case").agg(F.collect_set("key").alias("changes"))
+
+
+@query
+def change_log_classes(spark, sf_dir):
+    return _change_log(spark, sf_dir).select("case", F.array_join(catalog.classes_of(catalog.MOCK, F.col("changes")), ",").alias("classes"))
+
+
+@query
+def change_log_matrix(spark, sf_dir):
+    return catalog.invalidation_log(catalog.MOCK, _change_log(spark, sf_dir)).select("case", "metric", "usage", "invalid")
+
+
+@query
+def change_log_ids(spark, sf_dir):
+    join = lambda c: F.array_join(c, ",")
+    m = catalog.invalidation_log(catalog.MOCK, _change_log(spark, sf_dir))
+    return catalog.ids(m).select("case", "usage", join("all").alias("all_ids"), join("valid").alias("valid_ids"), join("invalid").alias("invalid_ids"))
+
+
+@query
+def change_log_requirements(spark, sf_dir):
+    return catalog.requirements(catalog.invalidation_log(catalog.MOCK, _change_log(spark, sf_dir)), True)
+
+
+@query
+def change_log_modules(spark, sf_dir):
+    return catalog.modules_to_run(catalog.invalidation_log(catalog.MOCK, _change_log(spark, sf_dir)))
+
+
 @query
 def fresh_or_cached(spark, sf_dir):
     e = table(spark, sf_dir, "events")
@@ -459,6 +503,25 @@ def collected_neighbours(spark, sf_dir):
     return r6(got.select("field_id", *[F.col(f"`{m}`").alias(m.removeprefix("neighbours:")) for m in scheme.of_usage("feature")]))
 
 
+@query
+def texture_run(spark, sf_dir):
+    """A run that computes dear features of the data, and a label that depends on the bound."""
+    return _texture(spark, sf_dir, {catalog.ALL, catalog.TRAINING, catalog.LABELS})
+
+
+@query
+def texture_run_changed_bound(spark, sf_dir):
+    """The run after a change of the bound alone: the features are taken from a cache, whose values are -1, the label is made anew."""
+    return _texture(spark, sf_dir, {"bound", catalog.TRAINING, catalog.LABELS})
+
+
+def _texture(spark, sf_dir, changes):
+    scheme, packed = collect.TEXTURE, arrays.pack(arrays.emb1d(spark, sf_dir), [64])
+    cached = packed.select("field_id", *[F.lit(-1.0).alias(m) for m in scheme.of_usage("feature")])
+    got = collect.collect(scheme, changes, packed, {"bound": 0.01}, cached).table
+    return r6(got.select("field_id", *[F.col(f"`{m}`").alias(m.split(":")[1]) for m in (x.metric for x in scheme.metrics)]))
+
+
 @query
 def scheme_scores(spark, sf_dir):
     """A run through a scheme into a store, and its own predictor's errors fold by fold."""
@@ -512,7 +575,7 @@ def stored_wide(spark, sf_dir):
 
 @query
 def config_hashes(spark, sf_dir):
-    t = table(spark, sf_dir, "part").select(F.to_json(F.struct(F.col("p_brand").alias("brand"), F.col("p_size").alias("size"))).alias("config")).distinct()
+    t = table(spark, sf_dir, "part").select(F.col("p_size").alias("size"), F.col("p_brand").alias("brand")).select(store.canonical_column(["size", "brand"]).alias("config")).distinct()
     return t.select(F.sha2("config", 256).alias("hash"), "config")
 
 
@@ -602,6 +665,20 @@ def degenerate_fields(spark, sf_dir):
     return t.where((F.col("n") >= 10) & (F.col("sd") >= 0.1)).select("field_id")
 
 
+@query
+def usable_fields(spark, sf_dir):
+    """Of arrays of one and two dimensions those that aren't degenerate: each embedding as 8 x 8, and each as 64."""
+    square = tiles.usable_fields(arrays.emb1d(spark, sf_dir), [8, 8]).withColumn("form", F.lit("square"))
+    return r6(square.unionByName(tiles.usable_fields(arrays.emb1d(spark, sf_dir), [64]).withColumn("form", F.lit("line"))))
+
+
+@query
+def column_summary(spark, sf_dir):
+    """Sum, mean and deviation of each of the embeddings' 64 columns within each label."""
+    e = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("column", "x"))
+    return r6(e.groupBy("label", "column").agg(F.sum(F.col("x").cast("double")).alias("total"), F.avg(F.col("x").cast("double")).alias("mean"), F.stddev_samp(F.col("x").cast("double")).alias("sd")))
+
+
 @query
 def slice_plane(spark, sf_dir):
     i, j, k = arrays.coordinates(DIMS["evt3d"])
@@ -689,6 +766,27 @@ def parallel_writes(spark, sf_dir):
     return r6(studies.parallel_writes(studies.timings(spark)))
 
 
+def _event_timings(spark, sf_dir):
+    """Mean and deviation of the events' values as times, the type as codec and the third of the day as method."""
+    third = F.when(F.hour("ts") < 8, "none").when(F.hour("ts") < 16, "sampling").otherwise("tiles")
+    return table(spark, sf_dir, "events").groupBy(third.alias("method"), F.col("event_type").alias("codec")).agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"))
+
+
+@query
+def event_search_speedup(spark, sf_dir):
+    return r6(studies.search_speedup(_event_timings(spark, sf_dir)))
+
+
+@query
+def event_best_codec_speedup(spark, sf_dir):
+    return r6(studies.best_codec_speedup(_event_timings(spark, sf_dir)))
+
+
+@query
+def event_parallel_writes(spark, sf_dir):
+    return r6(studies.parallel_writes(_event_timings(spark, sf_dir)))
+
+
 @query
 def makespans(spark, sf_dir):
     t = table(spark, sf_dir, "events").select(F.col("event_type").alias("scenario"), F.col("value").alias("time"))
@@ -715,7 +813,7 @@ def bound_sweep(spark, sf_dir):
 
 @query
 def training_cover(spark, sf_dir):
-    """The fewest fields that cover all others, where one covers another that shares two of three traits."""
+    """The fewest of six fields that cover all, where a field is covered by itself or by the next one."""
     names = ["a", "b", "c", "d", "e", "f"]
     needs = {n: {frozenset([n]), frozenset([m for m in names if m > n][:1] or names[:1])} for n in names}
     return spark.createDataFrame([(n,) for n in studies.smallest_cover(needs, names)], "field string")

@@ -152,8 +152,10 @@ def append_csv(df: DataFrame, path: str) -> None:
 
 
 def read_fields(spark: SparkSession, source: str, **options) -> DataFrame:
-    """One entry for all loaders: a view's name, or raw, csv or memory, with its options."""
-    loaders = {"raw": read_raw, "csv": read_csv, "memory": from_values}
+    """One entry for all loaders: a view's name, or raw (packed files), raw_cells (files of any size), csv or memory, with its options."""
+    from .raw import read_raw_cells
+
+    loaders = {"raw": read_raw, "raw_cells": read_raw_cells, "csv": read_csv, "memory": from_values}
     found = SOURCES.get(source) or loaders.get(source)
     if found is None:
         raise KeyError(f"no loader {source!r}; there are {sorted([*SOURCES, *loaders])}")

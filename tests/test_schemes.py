@@ -100,3 +100,49 @@ def test_command_line_runs_and_scores_a_scheme(spark, tmp_path, capsys):
     run.main(["-a", "run", "score", "--scheme", "codes", "-o", "bound=0.5", "-k", "5", "-Q", "--store", str(tmp_path / "s")])
     out = capsys.readouterr().out
     assert "medape" in out
+
+
+def test_plugins_register_what_a_run_uses(spark, tmp_path, monkeypatch, capsys):
+    import os
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no test tables")
+    (tmp_path / "own_scheme.py").write_text(
+        "from pyspark.sql import functions as F\n"
+        "from cellgauge.plans import catalog, collect\n"
+        "collect.MODULES['first'] = lambda packed, settings: packed.select('field_id', F.get('values', F.lit(0)).alias('first:value'))\n"
+        "collect.SCHEMES['own'] = catalog.Scheme('own', (catalog.Metric('first:value', 'first', 'feature'), catalog.Metric('size:ratio', 'size', 'label')), predictor='least_squares', training_required=True)\n"
+    )
+    monkeypatch.syspath_prepend(str(tmp_path))
+    try:
+        run.main(["--plugin", "own_scheme", "--scheme", "own", "-a", "run", "score", "-k", "3"])
+    finally:
+        collect.SCHEMES.pop("own", None), collect.MODULES.pop("first", None)
+    assert "medape" in capsys.readouterr().out
+    with pytest.raises(SystemExit, match="no scheme"):
+        run.main(["--scheme", "own"])
+
+
+def test_what_is_no_json_is_no_configuration(spark, monkeypatch):
+    s = store.ResultStore(spark)
+    assert s.upsert_configs("experiments", [{"a": 1}]).count() == 1
+    monkeypatch.setattr(store, "canonical_json", lambda c: "{not json")
+    with pytest.raises(Exception, match="no JSON"):
+        s.upsert_configs("experiments", [{"a": 2}]).collect()
+
+
+def test_a_log_of_changes_is_judged_as_each_change_by_itself(spark):
+    keys = [catalog.DATA, catalog.ALL, catalog.TRAINING, "unknown", *catalog.MOCK.all_settings]
+    sets = {k: {key for b, key in enumerate(keys) if k >> b & 1} for k in range(1 << len(keys))}
+    loose = catalog.Scheme("loose", catalog.MOCK.metrics, {catalog.RUNTIME: (keys[4],)}, catalog.MOCK.all_settings)
+    log = spark.createDataFrame([(k, sorted(s)) for k, s in sets.items()], "case int, changes array<string>")
+    for scheme in (catalog.MOCK, loose):
+        got = {r["case"]: r["c"] for r in log.select("case", catalog.classes_of(scheme, F.col("changes")).alias("c")).collect()}
+        assert got == {k: scheme.classes(s) for k, s in sets.items()}
+    cases = {str(k): s for k, s in sets.items() if k % 37 == 0}
+    one = catalog.invalidation(catalog.MOCK, spark, cases)
+    many = catalog.invalidation_log(catalog.MOCK, spark.createDataFrame([(k, sorted(s)) for k, s in cases.items()], "case string, changes array<string>"))
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, one.select(many.columns).collect()))
+    none = catalog.invalidation_log(catalog.MOCK, spark.createDataFrame([("n", None)], "case string, changes array<string>"))
+    assert [r["metric"] for r in none.where("invalid").collect()] == ["mock:nondeterministic"]
+    assert catalog.invalidation_log(catalog.MOCK, log.limit(0)).count() == 0
