@@ -6,7 +6,7 @@ the other folds; the scores are the median and tenths of the absolute percentage
 
 Written below the output folder:
 
-* observations, partitioned by view and bound: field_id, fold, the features, actual;
+* observations, partitioned by view and bound: field_id, fold, n_cells, the features, actual;
 * predictions, partitioned by view and bound: scheme, field_id, fold, actual, predicted, ape;
 * scores, partitioned by view: bound, scheme, fold (-1: all folds), n, medape, p10, p90.
 
@@ -18,10 +18,11 @@ entropy has no ratio: it is observed, teaches nothing and isn't scored.
 from __future__ import annotations
 
 import argparse
+import functools
 import json
 import logging
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellgauge.operators import codes, learning
@@ -31,7 +32,7 @@ log = logging.getLogger("scheme_benchmark")
 
 FEATURES = "entropy_ratio double, range_bits double, step_bits double"
 SCHEMAS = {
-    "observations": f"field_id string, fold int, {FEATURES}, actual double, view string, bound double",
+    "observations": f"field_id string, fold int, n_cells bigint, {FEATURES}, actual double, view string, bound double",
     "predictions": "scheme string, field_id string, fold int, actual double, predicted double, ape double, view string, bound double",
     "scores": "bound double, scheme string, fold int, n bigint, medape double, p10 double, p90 double, view string",
 }
@@ -43,7 +44,7 @@ def fold_of(field_id: str, folds: int) -> Column:
 
 
 def observe(cells: DataFrame, dims: list[int], bounds: list[float], folds: int) -> DataFrame:
-    """field_id, bound, fold, features and actual of each field at each bound, from one reading of the cells.
+    """field_id, bound, fold, n_cells, features and actual of each field at each bound, from one reading of the cells.
 
     entropy_ratio: 64 bits over the entropy of the quantised values; range_bits: log2 of the range in steps of
     the quantiser; step_bits: log2 of the mean absolute first difference in such steps, and 1.
@@ -58,10 +59,10 @@ def observe(cells: DataFrame, dims: list[int], bounds: list[float], folds: int)
     residuals = codes.histogram(codes.lorenzo_codes(dealt, dims, F.col("bound")))
     actual = named(codes.entropy(residuals))
     spread = named(dealt.groupBy("field_id").agg((F.max("v") - F.min("v")).alias("range")))
-    steps = named(residuals.groupBy("field_id").agg((F.sum(F.abs("code") * F.col("freq")) / F.sum("freq")).alias("mean_step")))
+    steps = named(residuals.groupBy("field_id").agg((F.sum(F.abs("code") * F.col("freq")) / F.sum("freq")).alias("mean_step"), F.sum("freq").alias("n_cells")))
     ratio = lambda e: F.try_divide(F.lit(64.0), F.nullif(F.round(e, 12), F.lit(0.0)))
     both = spread.join(values.select(*key, ratio("entropy").alias("entropy_ratio")), key).join(actual.select(*key, ratio("entropy").alias("actual")), key).join(steps, key)
-    return both.select("field_id", fold_of("field_id", folds).alias("fold"), "entropy_ratio", F.log2(F.col("range") / step + 1).alias("range_bits"), F.log2(F.col("mean_step") + 1).alias("step_bits"), "actual", "bound")
+    return both.select("field_id", fold_of("field_id", folds).alias("fold"), "n_cells", "entropy_ratio", F.log2(F.col("range") / step + 1).alias("range_bits"), F.log2(F.col("mean_step") + 1).alias("step_bits"), "actual", "bound")
 
 
 def predict(observations: DataFrame, scheme: str, how: dict) -> DataFrame:
@@ -82,13 +83,13 @@ def scores(predictions: DataFrame) -> DataFrame:
     return each.unionByName(every)
 
 
-def _write(rows: DataFrame, out: str, name: str, by: list[str]) -> int:
-    """Replace the partitions that rows belong to; the number of rows written."""
-    seen = Observation()
+def _write(rows: DataFrame, out: str, name: str, by: list[str], mine: Column) -> DataFrame:
+    """Replace the partitions that rows belong to, and read back what is there: those that mine says."""
     columns = [c.split(" ")[0] for c in SCHEMAS[name].split(", ")]
-    rows.select(*columns).observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(f"{out}/{name}")
-    log.info("wrote %d rows to %s/%s", seen.get["rows"], out, name)
-    return seen.get["rows"]
+    rows.select(*columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(f"{out}/{name}")
+    held = read(rows.sparkSession, out, name).where(mine)
+    log.info("wrote %d rows to %s/%s", held.count(), out, name)
+    return held
 
 
 def read(spark: SparkSession, out: str, name: str) -> DataFrame:
@@ -96,22 +97,20 @@ def read(spark: SparkSession, out: str, name: str) -> DataFrame:
 
 
 def run(spark: SparkSession, data: str, out: str, config: dict) -> dict[str, int]:
-    """Observe, predict and score all views of the tables in data; rows read and written by name."""
+    """Observe, predict and score all views of the tables in data; cells read and rows written by name."""
     out, counts = out.rstrip("/"), {}
+    bounds = [float(b) for b in config["bounds"]]
     for view in config["views"]:
-        cells = read_fields(spark, view, sf_dir=data)
-        seen = Observation()
-        cells = cells.observe(seen, F.count(F.lit(1)).alias("cells"))
-        rows = observe(cells, DIMS[view], config["bounds"], config["folds"]).withColumn("view", F.lit(view))
-        counts[f"{view}:observations"] = _write(rows, out, "observations", ["view", "bound"])
-        log.info("read view %s of %s, %d cells", view, data, seen.get["cells"])
-        held = read(spark, out, "observations").where((F.col("view") == view) & F.col("bound").isin([float(b) for b in config["bounds"]]))
-        made = None
-        for scheme, how in sorted(config["schemes"].items()):
-            one = predict(held, scheme, how)
-            made = one if made is None else made.unionByName(one)
-        counts[f"{view}:predictions"] = _write(made, out, "predictions", ["view", "bound"])
-        counts[f"{view}:scores"] = _write(scores(read(spark, out, "predictions").where(F.col("view") == view)), out, "scores", ["view"])
+        of_view = F.col("view") == view
+        rows = observe(read_fields(spark, view, sf_dir=data), DIMS[view], bounds, config["folds"]).withColumn("view", F.lit(view))
+        held = _write(rows, out, "observations", ["view", "bound"], of_view & F.col("bound").isin(bounds))
+        cells = held.agg(F.sum("n_cells")).first()[0] or 0
+        log.info("read view %s of %s, %d cells at %d bounds", view, data, cells // len(bounds), len(bounds))
+        parts = [predict(held, scheme, how) for scheme, how in sorted(config["schemes"].items())]
+        made = _write(functools.reduce(DataFrame.unionByName, parts), out, "predictions", ["view", "bound"], of_view & F.col("bound").isin(bounds))
+        # Scores of a view are one partition, so they are those of all bounds that there are.
+        scored = _write(scores(read(spark, out, "predictions").where(of_view)), out, "scores", ["view"], of_view)
+        counts |= {f"{view}:cells": cells // len(bounds), f"{view}:observations": held.count(), f"{view}:predictions": made.count(), f"{view}:scores": scored.count()}
     return counts
 
 

@@ -123,6 +123,7 @@ def test_no_rows(spark, tmp_path):
 # --- schemes ---
 
 
+@needs_tables
 def test_a_rerun_replaces_its_own_partitions(spark, tmp_path):
     out = str(tmp_path)
     config = {**BENCHMARK, "views": ["evt1d"], "bounds": [0.5], "schemes": {"entropy": BENCHMARK["schemes"]["entropy"]}}
@@ -136,6 +137,16 @@ def test_a_rerun_replaces_its_own_partitions(spark, tmp_path):
     assert [x for x in read()["observations"] if "bound=0.5" in x] == before["observations"]
 
 
+@needs_tables
+def test_empty_tables_and_counts(spark, tmp_path):
+    config = {**BENCHMARK, "views": ["evt1d"], "bounds": [0.5, 0.25]}
+    spark.read.parquet(f"{SF}/events.parquet").limit(0).write.parquet(f"{tmp_path}/in/events.parquet")
+    assert set(scheme_benchmark.run(spark, f"{tmp_path}/in", f"{tmp_path}/out", config).values()) == {0}
+    n = spark.read.parquet(f"{SF}/events.parquet").count()
+    got = scheme_benchmark.run(spark, SF, f"{tmp_path}/out", config)
+    assert got["evt1d:cells"] == n and got["evt1d:observations"] == 2 * 5 and got["evt1d:predictions"] == 2 * 5 * len(config["schemes"])
+
+
 def test_fields_without_entropy_are_seen_but_not_scored(spark):
     cells = [("flat", i, 1.0) for i in range(20)] + [(f"f{k}", i, float((i * (k + 3)) % 11)) for k in range(6) for i in range(30)]
     seen = scheme_benchmark.observe(spark.createDataFrame(cells, "field_id string, idx bigint, v double"), [0], [0.1], 2)
