@@ -19,7 +19,7 @@ own for them is parted into its first and second half.
 
 Words are runs of what is neither ASCII white space nor ASCII punctuation, with A-Z lower-cased.
 Null or blank texts, items without words, and empty tables give no rows; repeated items are items of
-their own; rows that share a key count as one; other columns, whatever their names, are left out.
+their own, whose ids are whole numbers; rows that share a key count as one; other columns, whatever their names, are left out.
 One index of at most CHUNK_ITEMS items and CHUNK_CHARS characters is broadcast; of more items there
 are more such indexes in the shared folder, and each task goes through them for each GROUP_WORDS words
 that it has read, so the texts are scanned once. Document frequencies, mean length and passage width

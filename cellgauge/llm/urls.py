@@ -5,7 +5,8 @@ Path: what follows up to `?`, `#` or the end. A null url, or one without `://`,
 both empty, fits no rule and gets the default verdict. A rule fits its host and every
 subdomain of it if the url's path starts with the rule's; of those that fit, the one
 with the most host labels wins, then the one with the longest path, then a block entry
-over an allow entry.
+over an allow entry. Repeated rows are judged each, urls of any length whole; an empty table
+gives an empty one, and without rules every url gets the default verdict. Other columns stay.
 """
 
 from __future__ import annotations

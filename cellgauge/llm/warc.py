@@ -12,6 +12,9 @@ that nothing refers to.
 A null payload is empty; a null url has the empty key. Of at least min_bytes long records with
 equal payloads, those with the largest page_id are responses and the others revisit it; rows whose
 page_id is null count as smallest. Control characters of a url are percent-encoded in its record.
+Page ids are whole numbers. Repeated rows are records of their own, and rows that share a url are all
+found by it. Payloads of any length are written whole. An empty table gives an empty one; columns other
+than page_id, url and the payload, whatever their names, are left out.
 """
 
 from __future__ import annotations
