@@ -68,15 +68,13 @@ def select_ranks(rows: DataFrame, value: str, by: list[str], ranks: dict[str, Ca
     a, b = given.alias("a"), wanted.alias("b")
     both = a.join(b, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]) if keys else given.crossJoin(F.broadcast(wanted))
     own = [F.col(f"a.{k}").alias(k) for k in keys] if keys else []
-    met = both.select(*own, "_v", F.explode(F.filter("_t", lambda t: F.col("_v") <= t["high"])).alias("t"))
+    met = both.select(*own, "_v", "_n", F.explode(F.filter("_t", lambda t: F.col("_v") <= t["high"])).alias("t"))
     # One value stands for all below the bracket.
-    held = met.groupBy(*keys, F.col("t.name").alias("_name"), F.col("t.rank").alias("_rank"), F.when(F.col("_v") < F.col("t.low"), F.lit(float("-inf"))).otherwise(F.col("_v")).alias("_v")).agg(F.count("*").alias("_c"))
+    held = met.groupBy(*keys, "_n", F.col("t.name").alias("_name"), F.col("t.rank").alias("_rank"), F.when(F.col("_v") < F.col("t.low"), F.lit(float("-inf"))).otherwise(F.col("_v")).alias("_v")).agg(F.count("*").alias("_c"))
     w = Window.partitionBy(*keys, "_name").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     found = held.withColumn("_to", F.sum("_c").over(w)).where((F.col("_rank") < F.col("_to")) & (F.col("_rank") >= F.col("_to") - F.col("_c")))
-    wide = found.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == r, F.col("_v"))).alias(r) for r in ranks])
-    sizes = groups.select(*keys, "_n").alias("a")
-    out = sizes.join(wide.alias("b"), [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys], "left") if keys else sizes.crossJoin(wide)
-    return out.select(*[F.col(f"a.{k}").alias(c) for k, c in zip(keys, by, strict=True)], F.col("_n").alias("n"), *ranks)
+    wide = found.groupBy(*keys).agg(F.max("_n").alias("_n"), *[F.max(F.when(F.col("_name") == r, F.col("_v"))).alias(r) for r in ranks])
+    return wide.select(*[F.col(k).alias(c) for k, c in zip(keys, by, strict=True)], F.coalesce("_n", F.lit(0)).cast("bigint").alias("n"), *ranks)
 
 
 #: The ranks that errors are summed up by: those of the median, both elements next to it by the upper rule, and the tenths.
