@@ -12,11 +12,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.arrays import coordinates
+from ..sources.shared import new_folder
 
 BINS = 15
 EMPTY_BIN = 1e-10
-#: Tiles of a block, and fields whose numbers of blocks are sent to their tiles at most.
-TILE_BLOCK = 256
+#: Blocks that a field's tiles are dealt into, unless it is small (fewer, of TILE_BLOCK tiles) or a block would have more than BLOCK_CELLS cells.
+TILE_BLOCKS, TILE_BLOCK = 16, 128
+BLOCK_CELLS = 1 << 22
+#: Tiles whose pairs a task looks at at once, and fields whose numbers of blocks are sent to their tiles at most.
+PIECE = 512
 SENT_FIELDS = 500_000
 
 
@@ -41,40 +45,69 @@ SUMS = ["n", "w", "d", "r", "root_w", "root_wd", "root_w_r"]
 PAIRED = "field_id string, tr bigint, tc bigint, intra double, " + ", ".join(f"{c} double" for c in SUMS) + ", rmax double, rmin double"
 
 
+class _Side:
+    """A block's tiles, and of each its sums over the other block's."""
+
+    def __init__(self, part):
+        self.part, self.tr, self.tc = part[["field_id", "tr", "tc", "intra"]], part["tr"].to_numpy(), part["tc"].to_numpy()
+        self.v = np.stack(part["values"].to_numpy())
+        c = self.v - self.v.mean(axis=1, keepdims=True)
+        self.c, self.square = c / np.linalg.norm(c, axis=1, keepdims=True), (self.v**2).sum(axis=1)
+        self.sums = {c: np.zeros(len(part)) for c in SUMS}
+        self.rmax, self.rmin = np.full(len(part), -1.0), np.full(len(part), 2.0)
+
+    def take(self, at: slice, axis: int, cells: dict, n, high, low) -> None:
+        self.sums["n"][at] += n
+        for c, x in cells.items():
+            self.sums[c][at] += x.sum(axis=axis)
+        self.rmax[at] = np.maximum(self.rmax[at], high.max(axis=axis))
+        self.rmin[at] = np.minimum(self.rmin[at], low.min(axis=axis))
+
+    def frame(self):
+        return self.part.assign(**self.sums, rmax=self.rmax, rmin=self.rmin)
+
+
 def _block_sums(f):
-    """Of each tile of two blocks of one field (or of one block twice) its sums over the other block's tiles."""
+    """Of each tile of two blocks of one field (or of one block twice) its sums over the other block's tiles; pairs are looked at piece by piece."""
     import pandas as pd
 
-    def side(part):
-        v = np.stack(part["values"].to_numpy())
-        c = v - v.mean(axis=1, keepdims=True)
-        return part, v, c / np.linalg.norm(c, axis=1, keepdims=True)
-
     lo, hi = f["lo"].iloc[0], f["hi"].iloc[0]
     parts = [f[f["own"] == lo], f[f["own"] == hi]]
     if not all(len(p) for p in parts):
         return pd.DataFrame({c.split(" ")[0]: [] for c in PAIRED.split(", ")})
-    (a, va, ca), (b, vb, cb) = map(side, parts)
-    w = np.abs(a["tr"].to_numpy()[:, None] - b["tr"].to_numpy()) + np.abs(a["tc"].to_numpy()[:, None] - b["tc"].to_numpy()).astype(float)
-    d = np.sqrt(np.maximum(0.0, (va**2).sum(axis=1)[:, None] + (vb**2).sum(axis=1) - 2 * va @ vb.T))
-    r = np.abs(ca @ cb.T)
-    other = w > 0  # different tiles
-    root = np.sqrt(w)
-    cells = [other.astype(float), w, np.where(other, d, 0), np.where(other, r, 0), root, root * np.sqrt(d), root * r]
-    out = []
-    for part, axis in ((a, 1), (b, 0))[: 1 if lo == hi else 2]:
-        cols = {"field_id": part["field_id"], "tr": part["tr"], "tc": part["tc"], "intra": part["intra"]} | {c: x.sum(axis=axis) for c, x in zip(SUMS, cells, strict=True)}
-        out.append(pd.DataFrame(cols | {"rmax": np.where(other, r, -1.0).max(axis=axis), "rmin": np.where(other, r, 2.0).min(axis=axis)}))
-    return pd.concat(out)
-
-
-def pair_sums(t: DataFrame, block: int = TILE_BLOCK) -> DataFrame:
+    a = _Side(parts[0])
+    b = a if lo == hi else _Side(parts[1])
+    for i in range(0, len(a.part), PIECE):
+        for j in range(i if a is b else 0, len(b.part), PIECE):
+            p, q = slice(i, i + PIECE), slice(j, j + PIECE)
+            w = np.abs(a.tr[p, None] - b.tr[q]) + np.abs(a.tc[p, None] - b.tc[q]).astype(float)
+            d = np.sqrt(np.maximum(0.0, a.square[p, None] + b.square[q] - 2 * a.v[p] @ b.v[q].T))
+            r = high = low = np.abs(a.c[p] @ b.c[q].T)
+            itself = a is b and i == j  # the piece's tiles meet themselves too
+            if itself:
+                own = np.eye(len(r), dtype=bool)
+                d, r, high, low = np.where(own, 0, d), np.where(own, 0, r), np.where(own, -1.0, r), np.where(own, 2.0, r)
+            root = np.sqrt(w)
+            cells = {"w": w, "d": d, "r": r, "root_w": root, "root_wd": root * np.sqrt(d), "root_w_r": root * r}
+            a.take(p, 1, cells, r.shape[1] - itself, high, low)
+            if not itself:
+                b.take(q, 0, cells, r.shape[0], high, low)
+    return a.frame() if a is b else pd.concat([a.frame(), b.frame()])
+
+
+def pair_sums(t: DataFrame, block: int | None = None) -> DataFrame:
     """Of each tile, over the other tiles of its field: their number n, and sums of the Manhattan distance w, the Euclidean distance d, the absolute correlation r, sqrt(w), sqrt(w d) and sqrt(w) r; and r's extremes.
 
-    A field's tiles are dealt into blocks of about `block` tiles; each two blocks meet once, as one
-    task's matrix products, so neither a field nor a pair of tiles is a row that moves.
+    A field's tiles are dealt into blocks; each two blocks meet once, as one task's matrix products, so
+    neither a field nor a pair of tiles is a row that moves. A tile moves once for each block: TILE_BLOCKS times
+    whatever the field's size, until blocks reach BLOCK_CELLS (or `block` tiles). Tiles are made once and kept in the shared folder.
     """
-    counts = t.groupBy("field_id").agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
+    spark = t.sparkSession
+    folder = new_folder(spark, "tiles")
+    t.write.parquet(folder)
+    t = spark.read.schema(t.schema).parquet(folder)
+    most = F.count("*") / block if block else F.sum(F.size("values")) / BLOCK_CELLS
+    counts = t.groupBy("field_id").agg(F.greatest(F.ceil(most), F.least(F.lit(TILE_BLOCKS), F.ceil(F.count("*") / TILE_BLOCK))).cast("int").alias("_blocks"))
     rows = t.join(F.broadcast(counts) if counts.count() <= SENT_FIELDS else counts, "field_id")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("tr", "tc"), F.col("_blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     rows = rows.select("field_id", "tr", "tc", "intra", "values", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
@@ -84,13 +117,12 @@ def pair_sums(t: DataFrame, block: int = TILE_BLOCK) -> DataFrame:
 
 def spatial_statistics(t: DataFrame) -> DataFrame:
     """Per field: spatial variation, and four summaries of the tiles' absolute correlations."""
-    n = t.groupBy("field_id").agg(F.count("*").cast("double").alias("n"))
+    n = F.count("*").cast("double")
     per = pair_sums(t).select("field_id", "tr", "tc", "intra", (F.col("root_wd") / F.col("root_w")).alias("sv"), (F.col("root_w_r") / F.col("root_w")).alias("sc"), "rmax", "rmin")
     return (
-        per.join(n, "field_id")
-        .groupBy("field_id")
+        per.groupBy("field_id")
         .agg(
-            (-F.sum(F.col("intra") * F.col("sv")) * F.log(1 / F.first("n")) / F.first("n")).alias("spatial_variation"),
+            (-F.sum(F.col("intra") * F.col("sv")) * F.log(1 / n) / n).alias("spatial_variation"),
             (F.sum(F.col("sc") / F.col("intra")) / F.sum(1 / F.col("intra"))).alias("correlation_weighted"),
             F.avg("sc").alias("correlation_mean"),
             F.min("rmax").alias("correlation_minmax"),

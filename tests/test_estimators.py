@@ -251,6 +251,29 @@ def test_blocks_of_tiles_change_no_sum(spark):
     assert all(r[4] == (47 if r[0] == "x" else 5) for r in one)
 
 
+def test_tiles_move_a_fixed_number_of_times(spark, monkeypatch):
+    x = np.random.default_rng(9).normal(size=(120, 20))
+    t = tiles.tiles(cells(spark, x), 20, 2)
+    whole = sorted(map(tuple, tiles.pair_sums(t, 1000).collect()))
+    monkeypatch.setattr(tiles, "TILE_BLOCKS", 3)
+    monkeypatch.setattr(tiles, "TILE_BLOCK", 10)
+    seen, work = spark.sparkContext.accumulator(0), tiles._block_sums
+
+    def counted(f):
+        seen.add(len(f))
+        return work(f)
+
+    monkeypatch.setattr(tiles, "_block_sums", counted)
+    monkeypatch.setattr(tiles, "PIECE", 64)
+    got = sorted(map(tuple, tiles.pair_sums(t).collect()))
+    assert seen.value == 3 * 600 and len(got) == 600
+    assert [r[:3] for r in got] == [r[:3] for r in whole] and np.allclose([r[3:] for r in got], [r[3:] for r in whole])
+    monkeypatch.setattr(tiles, "BLOCK_CELLS", 300)
+    seen.value = 0
+    got = sorted(map(tuple, tiles.pair_sums(t).collect()))
+    assert seen.value == 8 * 600 and np.allclose([r[3:] for r in got], [r[3:] for r in whole])
+
+
 def test_codes_beyond_four_bytes_are_kept():
     x = np.array([1e7, -3.5, 1e7 + 0.25, 0.0])
     for name in ("quant_zlib", "quant_zstd"):
