@@ -4,7 +4,8 @@ The scan predicts each cell from cells that are decoded already, so a field is d
 numbers add up to the same are one wave: each is scanned where it is, from the faces that the blocks below it
 decoded to. A wave's faces are written to the shared folder and read by the next, so what a task
 holds is a block and its faces, and a lost executor costs a wave. A field of n blocks a side takes d * (n - 1) + 1
-waves; fields go through them side by side.
+waves; fields go through them side by side. Blocks are as long as their number of cells allows, so a narrow field
+is cut along its long axis alone, into few.
 
 Within a block, cells whose coordinates add up to the same depend on none of each other and are decoded as one array.
 """
@@ -23,11 +24,22 @@ from ..sources.arrays import strides
 from ..sources.shared import new_folder
 from .codes import CENTER
 
-#: Cells of a block along each axis, by number of dimensions.
-BLOCKS = {1: [1 << 20], 2: [1024, 1024], 3: [128, 128, 128]}
+#: Cells of a block, and dimensions that a field may have.
+BLOCK_CELLS = 1 << 20
+MOST_DIMS = 3
 CODES = "field_id string, code bigint, freq bigint"
 
 
+def block_sides(dims: list[int], cells: int = BLOCK_CELLS) -> list[int]:
+    """Cells of a block along each axis: equally many, except that short axes are taken whole and the others, an open one (0) too, get what those leave."""
+    sides, left, open_axes = [0] * len(dims), cells, len(dims)
+    for k in sorted(range(len(dims)), key=lambda k: dims[k] or math.inf):
+        equal = max(1, math.floor(left ** (1 / open_axes) + 1e-9))
+        sides[k] = min(dims[k], equal) if dims[k] else equal
+        left, open_axes = left // sides[k], open_axes - 1
+    return sides
+
+
 def quantised(value: np.ndarray, guess: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray]:
     """(codes, decoded values); code 0 keeps a value as it is."""
     half = (np.floor(np.abs(value - guess) / bound) + 1) // 2
@@ -60,19 +72,23 @@ def scan_block(x: np.ndarray, known: np.ndarray, bound: float) -> tuple[np.ndarr
     if x.ndim == 1:
         codes, back = scan_line(x, known[0], bound)
         return codes, np.concatenate([known[:1], back])
-    back, codes = known, np.zeros(x.shape, np.int64)
-    corners = [(c, 1 if sum(c) % 2 else -1) for c in itertools.product((0, 1), repeat=x.ndim) if any(c)]
     grid = np.indices(x.shape).reshape(x.ndim, -1)
     level = grid.sum(axis=0)
     order = np.argsort(level, kind="stable")
     ends = np.cumsum(np.bincount(level))
+    # Places in the flat arrays, level by level; a corner lies a fixed number of places before its cell.
+    back = known.ravel()
+    at, value = np.ravel_multi_index(tuple(grid + 1), known.shape)[order], x.ravel()[order]
+    corners = [(int(np.ravel_multi_index(c, known.shape)), 1 if sum(c) % 2 else -1) for c in itertools.product((0, 1), repeat=x.ndim) if any(c)]
+    found = np.zeros(x.size, np.int64)
     for lo, hi in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-        at = grid[:, order[lo:hi]]
-        guess = 0
-        for c, sign in corners:
-            guess = guess + sign * back[tuple(a + 1 - b for a, b in zip(at, c, strict=True))]
-        codes[tuple(at)], back[tuple(at + 1)] = quantised(x[tuple(at)], guess, bound)
-    return codes, back
+        here, guess = at[lo:hi], 0
+        for step, sign in corners:
+            guess = guess + sign * back[here - step]
+        found[lo:hi], back[here] = quantised(value[lo:hi], guess, bound)
+    codes = np.empty(x.size, np.int64)
+    codes[order] = found
+    return codes.reshape(x.shape), back.reshape(known.shape)
 
 
 def lorenzo_histograms(cells: DataFrame, dims: list[int], bound: float, every: int = 1, block: list[int] | None = None) -> DataFrame:
@@ -81,9 +97,9 @@ def lorenzo_histograms(cells: DataFrame, dims: list[int], bound: float, every: i
     cells: field_id, idx, v without holes or nulls; dims are the same for all fields, the first may be open (0).
     """
     d = len(dims)
-    if d not in BLOCKS:
-        raise ValueError(f"{d} dimensions; there must be 1 to 3")
-    block, spark = block or BLOCKS[d], cells.sparkSession
+    if not 1 <= d <= MOST_DIMS:
+        raise ValueError(f"{d} dimensions; there must be 1 to {MOST_DIMS}")
+    block, spark = block or block_sides(dims), cells.sparkSession
     folder = new_folder(spark, "waves")
     size, names = strides(dims), [f"b{k}" for k in range(d)]
     dealt = cells.select("field_id", *[F.expr(f"({c}) div {n}").cast("int").alias(b) for c, n, b in zip(_texts(dims), block, names, strict=True)], F.struct("idx", F.col("v").cast("double").alias("v")).alias("c"))

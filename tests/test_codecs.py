@@ -208,6 +208,17 @@ def test_waves_equal_the_scan_of_a_whole_field(spark, dims, block):
         assert set(map(tuple, got.collect())) == want
 
 
+def test_a_narrow_field_is_cut_along_its_long_axis_alone(spark, tmp_path, monkeypatch):
+    assert wavefront.block_sides([0, 10, 10]) == [10485, 10, 10] and wavefront.block_sides([0]) == [1 << 20] and wavefront.block_sides([0, 0]) == [1024, 1024]
+    assert wavefront.block_sides([1, 3]) == [1, 3] and wavefront.block_sides([0, 2, 300], 128) == [8, 2, 8]
+    folder = f"file://{tmp_path}/waves"
+    monkeypatch.setattr(wavefront, "new_folder", lambda spark, name: folder)
+    x = np.random.default_rng(12).normal(size=(300, 3, 2)).cumsum(axis=0)
+    got = wavefront.lorenzo_histograms(cells(spark, x), [0, 3, 2], 0.01)
+    assert {r["code"]: r["freq"] for r in got.collect()} == closedloop.lorenzo_scan(x, 0.01)
+    assert spark.read.parquet(f"{folder}/blocks").count() == 1
+
+
 def test_waves_of_odd_fields(spark):
     long, short = cells(spark, np.arange(30.0), "long"), cells(spark, [1.0, 5.0], "short")
     got = wavefront.lorenzo_histograms(long.unionByName(short), [0], 0.25, 1, [8])
