@@ -17,6 +17,8 @@ from pyspark.sql.types import ArrayType, BinaryType, LongType
 CHUNK = 1 << 16
 #: Bits of the longest code that is looked for at once.
 PEEK = 48
+#: Values that are written, and bits that are read, at once; a multiple of eight.
+PIECE, WINDOW = 1 << 16, 1 << 18
 
 
 def code_lengths(freq: np.ndarray) -> np.ndarray:
@@ -85,31 +87,48 @@ class Table:
     def write(self, values: np.ndarray) -> bytes:
         """The codes of values, all of which the table must have, one after the other; the first eight bytes say how many."""
         order = np.argsort(self.symbols, kind="stable")
-        at = order[np.searchsorted(self.symbols[order], values)] if len(values) else np.empty(0, np.int64)
-        size, code = self.lengths[at], self.codes[at]
-        back = np.repeat(np.cumsum(size), size) - np.arange(int(size.sum())) - 1
-        bits = (np.repeat(code, size) >> back.astype(np.uint64)) & np.uint64(1)
-        return np.array([len(values)], "<u8").tobytes() + np.packbits(bits.astype(np.uint8)).tobytes()
+        symbols, out, rest = self.symbols[order], [np.array([len(values)], "<u8").tobytes()], np.empty(0, np.uint8)
+        for start in range(0, len(values), PIECE):
+            at = order[np.searchsorted(symbols, values[start : start + PIECE])]
+            size, code = self.lengths[at], self.codes[at]
+            back = np.repeat(np.cumsum(size), size) - np.arange(int(size.sum())) - 1
+            bits = (np.repeat(code, size) >> back.astype(np.uint64)) & np.uint64(1)
+            bits = np.concatenate([rest, bits.astype(np.uint8)])
+            whole = len(bits) // 8 * 8
+            out.append(np.packbits(bits[:whole]).tobytes())
+            rest = bits[whole:]
+        return b"".join([*out, np.packbits(rest).tobytes()])
 
     def read(self, data: bytes) -> np.ndarray:
-        """The values again. Every bit is taken for the start of a code; then the starts that the first leads to are followed, twice as far each time."""
+        """The values again, window by window: each is read from where the last one's codes end."""
         n = int(np.frombuffer(data[:8], "<u8")[0])
-        if not n:
-            return np.empty(0, np.int64)
-        bits = np.unpackbits(np.frombuffer(data[8:], np.uint8))
+        raw, out, got, place = np.frombuffer(data, np.uint8, offset=8), np.empty(n, np.int64), 0, 0
+        while got < n:
+            first = place // 8
+            bits = np.unpackbits(raw[first : first + (WINDOW + PEEK) // 8])
+            if place - 8 * first >= len(bits):
+                raise ValueError(f"the codes end after {got} of {n} values")
+            found, end = self._window(bits, place - 8 * first, min(WINDOW, len(bits)), n - got)
+            out[got : got + len(found)] = found
+            got, place = got + len(found), 8 * first + end
+        return out
+
+    def _window(self, bits: np.ndarray, start: int, limit: int, most: int) -> tuple[np.ndarray, int]:
+        """Values whose codes start in bits[start:limit], no more than most, and where the last one ends. Every bit is taken for the start of a code; then the starts that the first leads to are followed, twice as far each time."""
         peek, have = bits.astype(np.uint64), 1
         while have < PEEK:  # the next `have` bits of each place, doubled or filled up; zeros beyond the end
             more = min(have, PEEK - have)
             tail = np.zeros(len(bits), np.uint64)
             tail[: max(0, len(bits) - have)] = peek[have:]
             peek, have = (peek << np.uint64(more)) | (tail >> np.uint64(have - more)), have + more
-        which = np.minimum(np.searchsorted(self.ends, peek, "right"), len(self.ends) - 1)
-        jump = np.append(np.minimum(np.arange(len(bits)) + self.lengths[which], len(bits)), len(bits))
-        starts = np.zeros(1, np.int64)
-        while len(starts) < n:
+        which = np.minimum(np.searchsorted(self.ends, peek[:limit], "right"), len(self.ends) - 1)
+        jump = np.append(np.minimum(np.arange(limit) + self.lengths[which], limit), limit)
+        starts = np.array([start])
+        while len(starts) < most and starts[-1] < limit:
             starts = np.concatenate([starts, jump[starts]])
-            jump = jump[jump] if len(starts) < n else jump
-        return self.symbols[which[starts[:n]]]
+            jump = jump[jump] if len(starts) < most else jump
+        starts = starts[starts < limit][:most]
+        return self.symbols[which[starts]], int(starts[-1] + self.lengths[which[starts[-1]]])
 
 
 def tables(hist: DataFrame) -> DataFrame:

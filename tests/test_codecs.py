@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -184,6 +186,32 @@ def test_composites_nest_and_repeats_are_timed():
     assert r["calls:begin_compress"] == 7 and 0 <= r["bench:begin_compress:min"] <= r["bench:begin_compress:mean"] <= r["bench:begin_compress:max"] and "bench:end_compress:mean" not in r
 
 
+@pytest.mark.parametrize("name", ["lorenzo_huffman", "transform"])
+def test_codecs_hold_little_beside_a_long_array(name):
+    x = np.random.default_rng(6).exponential(50, size=400_000).round(2)
+    tracemalloc.start()
+    try:
+        size, back = codecs.CODECS[name](x, 0.001)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert np.abs(back - x).max() <= 0.001 + 1e-9 and size < x.nbytes
+    assert peak < 13 * x.nbytes
+
+
+def test_pieces_of_huffman_codes_make_the_same_bytes(monkeypatch):
+    values = np.random.default_rng(7).geometric(0.02, size=5_000)
+    table = huffman.Table.of(*np.unique(values, return_counts=True))
+    whole = table.write(values)
+    monkeypatch.setattr(huffman, "PIECE", 37)
+    monkeypatch.setattr(huffman, "WINDOW", 64)
+    assert table.write(values) == whole and (table.read(whole) == values).all()
+    one = huffman.Table.of(np.array([5]), np.array([3]))
+    assert one.read(one.write(np.full(200, 5))).tolist() == [5] * 200
+    with pytest.raises(ValueError, match="codes end"):
+        table.read(whole[:100])
+
+
 # --- predictors on fields of any size ---
 
 
