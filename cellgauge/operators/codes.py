@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,26 +25,43 @@ def to_grid(v: Column, bound: float, how: str = "round") -> Column:
     return F.floor(v / bound + (0.5 if how == "round" else 0.0)) * bound
 
 
-def lorenzo_codes(cells: DataFrame, dims: list[int], bound: float) -> DataFrame:
-    """field_id, idx, code: Lorenzo residuals of numbers that are quantised first; beyond an edge counts 0."""
-    q = cells.withColumn("v", quantised(F.col("v"), bound))
-    offs = lorenzo_offsets(dims)
-    names = {f"l{k}": o for k, o in enumerate(sorted(offs))}
-    rows = with_neighbours(q, names)
-    coords = coordinates(dims)
-    steps = [1]
+def _lorenzo_names(dims: list[int]) -> dict[str, int]:
+    """Names of the columns of a cell's corners, and their offsets."""
+    return {f"l{k}": o for k, o in enumerate(sorted(lorenzo_offsets(dims)))}
+
+
+def _lorenzo_guess(dims: list[int], value: Callable[[Column], Column]) -> Column:
+    """The signed sum of a cell's corners, each as value says; beyond an edge counts 0."""
+    offs, coords, steps = lorenzo_offsets(dims), coordinates(dims), [1]
     for d in dims[:0:-1]:
         steps.insert(0, steps[0] * d)
     total = F.lit(0)
-    for n, o in names.items():
+    for n, o in _lorenzo_names(dims).items():
         # Which axes this corner steps back along: they need a coordinate above 0.
         rest, ok = -o, F.lit(True)
         for c, s in zip(coords, steps, strict=True):
             if rest >= s:
                 rest -= s
                 ok = ok & (c > 0)
-        total = total + F.when(ok, offs[o] * F.coalesce(F.col(n), F.lit(0))).otherwise(0)
-    return rows.select("field_id", "idx", (F.col("v") - total).cast("bigint").alias("code"))
+        total = total + F.when(ok, offs[o] * F.coalesce(value(F.col(n)), F.lit(0))).otherwise(0)
+    return total
+
+
+def lorenzo_codes(cells: DataFrame, dims: list[int], bound: float) -> DataFrame:
+    """field_id, idx, code: Lorenzo residuals of numbers that are quantised first; beyond an edge counts 0."""
+    q = cells.withColumn("v", quantised(F.col("v"), bound))
+    rows = with_neighbours(q, _lorenzo_names(dims))
+    return rows.select("field_id", "idx", (F.col("v") - _lorenzo_guess(dims, lambda c: c)).cast("bigint").alias("code"))
+
+
+def values_and_residuals(cells: DataFrame, dims: list[int], bounds: list[float]) -> DataFrame:
+    """field_id, idx, v and, of the k-th bound, the quantised value q<k> and its Lorenzo residual r<k>; neighbours are found once for all bounds."""
+    rows = with_neighbours(cells.select("field_id", "idx", "v"), _lorenzo_names(dims))
+    out = []
+    for k, b in enumerate(bounds):
+        q = quantised(F.col("v"), b)
+        out += [q.alias(f"q{k}"), (q - _lorenzo_guess(dims, lambda c, b=b: quantised(c, b))).cast("bigint").alias(f"r{k}")]
+    return rows.select("field_id", "idx", "v", *out)
 
 
 def histogram(codes: DataFrame) -> DataFrame:

@@ -43,26 +43,39 @@ def fold_of(field_id: str, folds: int) -> Column:
     return (F.conv(F.substring(F.md5(field_id), 1, 8), 16, 10).cast("bigint") % folds).cast("int")
 
 
-def observe(cells: DataFrame, dims: list[int], bounds: list[float], folds: int) -> DataFrame:
-    """field_id, bound, fold, n_cells, features and actual of each field at each bound, from one reading of the cells.
+def counted(cells: DataFrame, dims: list[int], bounds: list[float]) -> DataFrame:
+    """How often each field's quantised values and their Lorenzo residuals (residual) occur at each bound, and the range of their cells; the cells are read and put in order once."""
+    bounds = [float(b) for b in dict.fromkeys(bounds)]
+    found = [F.struct(F.lit(b).alias("bound"), F.lit(kind == "r").alias("residual"), F.col(f"{kind}{k}").alias("code")) for k, b in enumerate(bounds) for kind in "qr"]
+    rows = codes.values_and_residuals(cells, dims, bounds).select("field_id", "v", F.explode(F.array(*found)).alias("_c"))
+    return rows.select("field_id", "v", "_c.*").groupBy("field_id", "bound", "residual", "code").agg(F.count("*").alias("freq"), F.min("v").alias("low"), F.max("v").alias("high"))
+
+
+def summarised(counts: DataFrame, folds: int) -> DataFrame:
+    """field_id, bound, fold, n_cells, features and actual of each field at each bound, from its counts.
 
     entropy_ratio: 64 bits over the entropy of the quantised values; range_bits: log2 of the range in steps of
     the quantiser; step_bits: log2 of the mean absolute first difference in such steps, and 1.
     """
-    key = ["field_id", "bound"]
-    step = 2 * F.col("bound")
-    dealt = cells.withColumn("bound", F.explode(F.array(*[F.lit(float(b)) for b in bounds])))
-    # One name for a field at a bound, which the operators take for a field.
-    dealt = dealt.withColumn("field_id", F.to_json(F.struct("field_id", "bound")))
-    named = lambda df: df.withColumn("_f", F.from_json("field_id", "field_id string, bound double")).select("_f.*", *[c for c in df.columns if c != "field_id"])
-    values = named(codes.entropy(codes.histogram(dealt.select("field_id", codes.quantised(F.col("v"), F.col("bound")).alias("code")))))
-    residuals = codes.histogram(codes.lorenzo_codes(dealt, dims, F.col("bound")))
-    actual = named(codes.entropy(residuals))
-    spread = named(dealt.groupBy("field_id").agg((F.max("v") - F.min("v")).alias("range")))
-    steps = named(residuals.groupBy("field_id").agg((F.sum(F.abs("code") * F.col("freq")) / F.sum("freq")).alias("mean_step"), F.sum("freq").alias("n_cells")))
+    key, step, share = ["field_id", "bound"], 2 * F.col("bound"), F.col("freq") / F.col("n").cast("double")
+    total = counts.groupBy(*key, "residual").agg(F.sum("freq").alias("n"))
+    entropy = lambda mine: -F.sum(F.when(mine, share * F.log2(share)))
+    residual = F.col("residual")
+    both = counts.join(total, [*key, "residual"]).groupBy(*key).agg(
+        entropy(~residual).alias("_values"),
+        entropy(residual).alias("_residuals"),
+        F.sum(F.when(residual, F.col("freq"))).alias("n_cells"),
+        F.sum(F.when(residual, F.abs("code") * F.col("freq"))).alias("_steps"),
+        (F.max("high") - F.min("low")).alias("range"),
+    )
     ratio = lambda e: F.try_divide(F.lit(64.0), F.nullif(F.round(e, 12), F.lit(0.0)))
-    both = spread.join(values.select(*key, ratio("entropy").alias("entropy_ratio")), key).join(actual.select(*key, ratio("entropy").alias("actual")), key).join(steps, key)
-    return both.select("field_id", fold_of("field_id", folds).alias("fold"), "n_cells", "entropy_ratio", F.log2(F.col("range") / step + 1).alias("range_bits"), F.log2(F.col("mean_step") + 1).alias("step_bits"), "actual", "bound")
+    mean_step = F.col("_steps") / F.col("n_cells")
+    return both.select("field_id", fold_of("field_id", folds).alias("fold"), "n_cells", ratio("_values").alias("entropy_ratio"), F.log2(F.col("range") / step + 1).alias("range_bits"), F.log2(mean_step + 1).alias("step_bits"), ratio("_residuals").alias("actual"), "bound")
+
+
+def observe(cells: DataFrame, dims: list[int], bounds: list[float], folds: int) -> DataFrame:
+    """summarised() of counted()."""
+    return summarised(counted(cells, dims, bounds), folds)
 
 
 def predict(observations: DataFrame, scheme: str, how: dict) -> DataFrame:
@@ -102,8 +115,12 @@ def run(spark: SparkSession, data: str, out: str, config: dict) -> dict[str, int
     bounds = [float(b) for b in config["bounds"]]
     for view in config["views"]:
         of_view = F.col("view") == view
-        rows = observe(read_fields(spark, view, sf_dir=data), DIMS[view], bounds, config["folds"]).withColumn("view", F.lit(view))
-        held = _write(rows, out, "observations", ["view", "bound"], of_view & F.col("bound").isin(bounds))
+        seen = counted(read_fields(spark, view, sf_dir=data), DIMS[view], bounds).persist()
+        try:
+            rows = summarised(seen, config["folds"]).withColumn("view", F.lit(view))
+            held = _write(rows, out, "observations", ["view", "bound"], of_view & F.col("bound").isin(bounds))
+        finally:
+            seen.unpersist()
         cells = held.agg(F.sum("n_cells")).first()[0] or 0
         log.info("read view %s of %s, %d cells at %d bounds", view, data, cells // len(bounds), len(bounds))
         parts = [predict(held, scheme, how) for scheme, how in sorted(config["schemes"].items())]

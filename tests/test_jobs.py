@@ -8,6 +8,7 @@ from collections import Counter
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from jobs import scheme_benchmark, text_compressibility
 from jobs.queries import ORACLE, QUERIES
@@ -156,6 +157,20 @@ def test_fields_without_entropy_are_seen_but_not_scored(spark):
     assert scheme_benchmark.scores(made).where("fold = -1").first()["n"] == 6
 
 
+def test_cells_are_made_once_for_all_bounds(spark, tmp_path, monkeypatch):
+    made = spark.sparkContext.accumulator(0)
+
+    def one(v):
+        made.add(1)
+        return v
+
+    cells = [(f"f{k}", i, float((i * (k + 3)) % 11)) for k in range(4) for i in range(25)]
+    counting = spark.createDataFrame(cells, "field_id string, idx bigint, v double").withColumn("v", F.udf(one, "double")("v"))
+    monkeypatch.setattr(scheme_benchmark, "read_fields", lambda spark, view, sf_dir: counting)
+    got = scheme_benchmark.run(spark, "in", f"{tmp_path}/out", {**BENCHMARK, "views": ["evt1d"], "bounds": [0.5, 0.25, 0.125]})
+    assert got["evt1d:cells"] == 100 and got["evt1d:observations"] == 12 and made.value == 100
+
+
 @needs_tables
 @pytest.mark.parametrize("job", ["scheme_benchmark", "text_compressibility"])
 def test_command_line(tmp_path, job):
