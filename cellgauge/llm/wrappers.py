@@ -33,6 +33,7 @@ like others; an empty table gives an empty one; other columns, whatever their na
 
 from __future__ import annotations
 
+import functools
 import html as html_lib
 import pickle
 import re
@@ -107,6 +108,29 @@ def name_marks(names: str) -> frozenset[str]:
     return frozenset(out)
 
 
+NO_MARKS: frozenset[str] = frozenset()
+#: What attributes that name an element must contain.
+_NAMING = re.compile("class|id|role", re.I)
+
+
+@functools.lru_cache(maxsize=1 << 12)
+def _named(tag: str, attrs: str) -> tuple[frozenset[str], str]:
+    """The marks and the label of an element."""
+    marks, role, names = NO_MARKS, "", ""
+    for m in _ATTR.finditer(attrs):
+        k = m[1].lower()
+        if k in ("class", "id"):
+            names += " " + (m[2] or m[3] or m[4] or "")
+        elif k == "role":
+            role = (m[2] or m[3] or m[4] or "").strip().lower()
+    if names:
+        marks = name_marks(names)
+    if role:
+        marks |= {"role=" + role}
+    # Digits are left out: they number instances.
+    return marks, f"{tag}{re.sub(r'[0-9]+', '', names)}" if names else tag
+
+
 class Node:
     __slots__ = ("tag", "marks", "label", "kids", "parts", "holds")
 
@@ -114,20 +138,7 @@ class Node:
         self.tag, self.kids, self.parts = tag, [], []
         #: Whether an article or main lies below.
         self.holds = False
-        self.marks, role, names = frozenset(), "", ""
-        if attrs and attrs.strip():
-            for m in _ATTR.finditer(attrs):
-                k = m[1].lower()
-                if k in ("class", "id"):
-                    names += " " + (m[2] or m[3] or m[4] or "")
-                elif k == "role":
-                    role = (m[2] or m[3] or m[4] or "").strip().lower()
-            if names:
-                self.marks = name_marks(names)
-            if role:
-                self.marks |= {"role=" + role}
-        #: Digits are left out: they number instances.
-        self.label = f"{tag}{re.sub(r'[0-9]+', '', names)}" if names else tag
+        self.marks, self.label = _named(tag, attrs) if attrs and _NAMING.search(attrs) else (NO_MARKS, tag)
 
     def add(self, node: Node) -> None:
         self.kids.append(node)
@@ -145,18 +156,23 @@ class Stack:
         self.nodes.append(node)
 
     def cut(self, at: int) -> None:
-        for node in self.nodes[at:]:
-            self.places[node.tag].pop()
-        del self.nodes[at:]
+        nodes, places = self.nodes, self.places
+        while len(nodes) > at:
+            places[nodes.pop().tag].pop()
 
     def last(self, tags: set[str]) -> int:
         """The place of the innermost open element with such a tag, or 0."""
-        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+        at, get = 0, self.places.get
+        for t in tags:
+            held = get(t)
+            if held and held[-1] > at:
+                at = held[-1]
+        return at
 
     def close(self, tag: str) -> None:
-        at = self.last({tag})
-        if at:
-            self.cut(at)
+        held = self.places.get(tag)
+        if held:
+            self.cut(held[-1])
 
     def end_open(self, tags: set[str], walls: set[str]) -> None:
         at = self.last(tags)
@@ -234,12 +250,25 @@ def _hash(data: bytes) -> int:
     return int.from_bytes(blake2b(data, digest_size=8).digest(), "little")
 
 
+@functools.lru_cache(maxsize=1 << 14)
+def _shape(label: str, dense: bool, kids: tuple[int, ...]) -> int:
+    return _hash(f"{label}\0{int(dense)}\0{','.join(map(str, kids))}".encode("utf-8", "replace"))
+
+
+@functools.lru_cache(maxsize=1 << 14)
+def _path(above: int, label: str) -> int:
+    return _hash(above.to_bytes(8, "little") + label.encode("utf-8", "replace"))
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
 def _own(node: Node) -> tuple[str, int, list[Node]]:
     """The text of a block without the blocks below it, how many of its words lie in links, and those blocks."""
+    if len(node.parts) == 1 and isinstance(node.parts[0], str):
+        own = node.parts[0]
+        return " ".join(html_lib.unescape(own).split()), len(own.split()) if node.tag == "a" else 0, []
     out, links, below = [], 0, []
     todo = [(p, node.tag == "a") for p in reversed(node.parts)]
     while todo:
@@ -289,18 +318,20 @@ def fold(root: Node) -> tuple[Block, set[int]]:
             block.kids.append(b)
         todo.extend(zip(reversed(below), reversed(block.kids), strict=True))
     for b in reversed(order):
-        kids: list[Block] = []
-        for k in b.kids:
-            if kids and kids[-1].shape == k.shape:
-                _merge(kids[-1], k)
-            else:
-                kids.append(k)
-        b.kids = kids
-        b.size = 1 + sum(k.size for k in kids)
-        b.words += sum(k.words for k in kids)
-        b.links += sum(k.links for k in kids)
-        dense = b.words and b.links >= MENU_LINKS * b.words
-        b.shape = _hash(f"{b.label}\0{int(bool(dense))}\0{','.join(str(k.shape) for k in kids)}".encode("utf-8", "replace"))
+        if b.kids:
+            kids: list[Block] = []
+            for k in b.kids:
+                if kids and kids[-1].shape == k.shape:
+                    _merge(kids[-1], k)
+                else:
+                    kids.append(k)
+            b.kids = kids
+            for k in kids:
+                b.size += k.size
+                b.words += k.words
+                b.links += k.links
+        dense = b.words > 0 and b.links >= MENU_LINKS * b.words
+        b.shape = _shape(b.label, dense, tuple([k.shape for k in b.kids]))
     return top, said
 
 
@@ -441,7 +472,7 @@ def slots(top: Block, seed: Block | None) -> list[tuple[Block, int, bool]]:
     todo = [(top, 0)]
     while todo:
         b, path = todo.pop()
-        path = _hash(path.to_bytes(8, "little") + b.label.encode("utf-8", "replace"))
+        path = _path(path, b.label)
         at = partner.get(b.index)
         out.append((b, path if at is None else at, at is not None))
         todo.extend((k, path) for k in b.kids)
@@ -569,10 +600,11 @@ class Page:
         buffer: list[str] = []
 
         def flush() -> None:
-            text = " ".join(html_lib.unescape("".join(buffer)).split())
-            if text:
-                blocks.append(text)
-            buffer.clear()
+            if buffer:
+                text = " ".join(html_lib.unescape("".join(buffer)).split())
+                if text:
+                    blocks.append(text)
+                buffer.clear()
 
         def walk(region: Node, inside: bool) -> None:
             todo: list[tuple] = []
@@ -580,7 +612,7 @@ class Page:
             def enter(node: Node, skip: bool) -> None:
                 # Inline elements are a part of their block's text.
                 skip = id(node) in texts if node.tag in BLOCK or node is region else skip
-                todo.extend((p, skip) for p in reversed(node.parts))
+                todo.extend([(p, skip) for p in reversed(node.parts)])
 
             enter(region, False)
             while todo:

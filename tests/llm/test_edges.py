@@ -858,3 +858,19 @@ def test_fit_takes_whole_texts_up_to_its_bounds(spark):
     few = toxicity.fit(docs, given, max_chars=300)
     assert few.positive == 0
     assert toxicity.fit(docs, given).positive >= 3
+
+
+def test_names_and_paths_of_repeated_elements_are_judged_once(monkeypatch):
+    judged, hashed, name_marks, plain_hash = [], [], wrappers.name_marks, wrappers._hash
+    monkeypatch.setattr(wrappers, "name_marks", lambda names: judged.append(names) or name_marks(names))
+    monkeypatch.setattr(wrappers, "_hash", lambda data: hashed.append(data) or plain_hash(data))
+    page = "<main>" + "".join(f'<div class="only-here footer"><a href="/{k}">{k}</a></div><section ID=once-{k % 2} data-k={k % 2}>text {k}</section>' for k in range(50)) + "</main>"
+    root = wrappers.parse(page)
+    assert len(judged) == 3
+    divs = [k for k in root.kids[0].kids if k.tag == "div"]
+    assert len(divs) == 50 and {(k.marks, k.label) for k in divs} == {(name_marks("only-here footer"), "div only-here footer")}
+    assert {k.label for k in root.kids[0].kids if k.tag == "section"} == {"section once-"}
+    top, _ = wrappers.fold(root)
+    wrappers.number(top)
+    assert len(hashed) <= 110  # a text each, and few shapes
+    assert wrappers.extract_page(page).split("\n") == [f"text {k}" for k in range(50)]
