@@ -95,12 +95,55 @@ def _block_sums(f):
     return a.frame() if a is b else pd.concat([a.frame(), b.frame()])
 
 
-def pair_sums(t: DataFrame, block: int | None = None) -> DataFrame:
-    """Of each tile, over the other tiles of its field: their number n, and sums of the Manhattan distance w, the Euclidean distance d, the absolute correlation r, sqrt(w), sqrt(w d) and sqrt(w) r; and r's extremes.
+TOTALS = "field_id string, n bigint, w bigint, d double, r double"
+
+
+def _apart(x: np.ndarray, y: np.ndarray) -> int:
+    """The sum of |a - b| over all a of x and b of y, whole numbers, without their pairs."""
+    y = np.sort(y)
+    below = np.concatenate([[0], np.cumsum(y)])
+    k = np.searchsorted(y, x)
+    return int((x * (2 * k - len(y)) + below[-1] - 2 * below[k]).sum())
+
+
+def _block_totals(f):
+    """Totals over the pairs of tiles of two blocks of one field (or of one block twice), each pair taken from both its tiles; pairs are looked at piece by piece."""
+    import pandas as pd
 
-    A field's tiles are dealt into blocks; each two blocks meet once, as one task's matrix products, so
-    neither a field nor a pair of tiles is a row that moves. A tile moves once for each block: TILE_BLOCKS times
-    whatever the field's size, until blocks reach BLOCK_CELLS (or `block` tiles). Tiles are made once and kept in the shared folder.
+    lo, hi = f["lo"].iloc[0], f["hi"].iloc[0]
+    parts = [f[f["own"] == lo], f[f["own"] == hi]]
+    if not all(len(p) for p in parts):
+        return pd.DataFrame({c.split(" ")[0]: [] for c in TOTALS.split(", ")})
+    a = _Side(parts[0])
+    b = a if lo == hi else _Side(parts[1])
+    na, nb, ways = len(a.part), len(b.part), 1 if a is b else 2
+    d = r = 0.0
+    for i in range(0, na, PIECE):
+        for j in range(i if a is b else 0, nb, PIECE):
+            p, q = slice(i, i + PIECE), slice(j, j + PIECE)
+            itself = a is b and i == j  # the piece's tiles meet themselves, and each pair twice
+            x = a.v[p] @ b.v[q].T
+            x *= -2
+            x += a.square[p, None]
+            x += b.square[q]
+            np.sqrt(np.maximum(x, 0, out=x), out=x)
+            y = a.c[p] @ b.c[q].T
+            np.abs(y, out=y)
+            if itself:
+                np.fill_diagonal(x, 0)
+                np.fill_diagonal(y, 0)
+            d += x.sum() * (2 - itself)
+            r += y.sum() * (2 - itself)
+    n = na * (na - 1) if a is b else 2 * na * nb
+    return pd.DataFrame({"field_id": f["field_id"].iloc[:1], "n": [n], "w": [ways * (_apart(a.tr, b.tr) + _apart(a.tc, b.tc))], "d": [d], "r": [r]})
+
+
+def _two_blocks(t: DataFrame, block: int | None) -> DataFrame:
+    """A row per tile and block of its field, with the two blocks lo and hi, one of them its own, that are to meet.
+
+    Each two blocks meet once, as one task's matrix products, so neither a field nor a pair of tiles is a row
+    that moves. A tile moves once for each block: TILE_BLOCKS times whatever the field's size, until blocks
+    reach BLOCK_CELLS (or `block` tiles). Tiles are made once and kept in the shared folder.
     """
     spark = t.sparkSession
     folder = new_folder(spark, "tiles")
@@ -110,11 +153,25 @@ def pair_sums(t: DataFrame, block: int | None = None) -> DataFrame:
     counts = t.groupBy("field_id").agg(F.greatest(F.ceil(most), F.least(F.lit(TILE_BLOCKS), F.ceil(F.count("*") / TILE_BLOCK))).cast("int").alias("_blocks"))
     rows = t.join(F.broadcast(counts) if counts.count() <= SENT_FIELDS else counts, "field_id")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("tr", "tc"), F.col("_blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    rows = rows.select("field_id", "tr", "tc", "intra", "values", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-    each = rows.groupBy("field_id", "lo", "hi").applyInPandas(_block_sums, PAIRED)
+    return rows.select("field_id", "tr", "tc", "intra", "values", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+
+
+def pair_sums(t: DataFrame, block: int | None = None) -> DataFrame:
+    """Of each tile, over the other tiles of its field: their number n, and sums of the Manhattan distance w, the Euclidean distance d, the absolute correlation r, sqrt(w), sqrt(w d) and sqrt(w) r; and r's extremes."""
+    each = _two_blocks(t, block).groupBy("field_id", "lo", "hi").applyInPandas(_block_sums, PAIRED)
     return each.groupBy("field_id", "tr", "tc").agg(F.first("intra").alias("intra"), *[F.sum(c).alias(c) for c in SUMS], F.max("rmax").alias("rmax"), F.min("rmin").alias("rmin")).where("n > 0")
 
 
+def pair_totals(t: DataFrame, block: int | None = None) -> DataFrame:
+    """Of each field, over its ordered pairs of different tiles: their number n, and totals of the Manhattan distance w, the Euclidean distance d and the absolute correlation r.
+
+    What pair_sums gives by tile, summed: two blocks give one row, and n and w are whole numbers of any size.
+    """
+    each = _two_blocks(t, block).groupBy("field_id", "lo", "hi").applyInPandas(_block_totals, TOTALS)
+    whole = [F.sum(F.col(c).cast("decimal(38,0)")).alias(c) for c in ("n", "w")]
+    return each.groupBy("field_id").agg(*whole, F.sum("d").alias("d"), F.sum("r").alias("r")).where("n > 0")
+
+
 def spatial_statistics(t: DataFrame) -> DataFrame:
     """Per field: spatial variation, and four summaries of the tiles' absolute correlations."""
     n = F.count("*").cast("double")

@@ -274,6 +274,52 @@ def test_tiles_move_a_fixed_number_of_times(spark, monkeypatch):
     assert seen.value == 8 * 600 and np.allclose([r[3:] for r in got], [r[3:] for r in whole])
 
 
+@pytest.mark.parametrize("block", [1000, 7, None])
+def test_totals_of_pairs_are_the_tiles_sums(spark, monkeypatch, block):
+    monkeypatch.setattr(tiles, "PIECE", 5)
+    monkeypatch.setattr(tiles, "TILE_BLOCK", 10)
+    x = np.random.default_rng(12).normal(size=(40, 30))
+    t = tiles.tiles(cells(spark, x).unionByName(cells(spark, x[:8] * 2, "y")).unionByName(cells(spark, x[:5, :5], "single")), 30, 5)
+    got = {r["field_id"]: r for r in tiles.pair_totals(t, block).collect()}
+    assert set(got) == {"x", "y"}  # a tile alone has no pair
+    for name, rows in {k: [r for r in t.collect() if r["field_id"] == k] for k in got}.items():
+        pairs = [(a, b) for a in rows for b in rows if a is not b]
+        v = [(np.array(a["values"]), np.array(b["values"])) for a, b in pairs]
+        assert got[name]["n"] == len(pairs)
+        assert got[name]["w"] == sum(abs(a["tr"] - b["tr"]) + abs(a["tc"] - b["tc"]) for a, b in pairs)
+        assert got[name]["d"] == pytest.approx(sum(np.linalg.norm(a - b) for a, b in v))
+        assert got[name]["r"] == pytest.approx(sum(abs(np.corrcoef(a, b)[0, 1]) for a, b in v))
+
+
+def test_totals_of_pairs_move_a_row_for_two_blocks_and_are_exact(spark, monkeypatch):
+    from cellgauge import queries
+
+    far = 2**57 // 40 + 3
+    places = [(0, 0), (1, 0), (far, 3), (far + 2, 1), (5, 4), (far - 7, 2), (11, 0), (13, 1), (2 * far + 1, 0), (far, 0)]
+    draw = np.random.default_rng(13)
+    t = spark.createDataFrame([("ord2d", a, b, [float(x) for x in draw.normal(size=4)], 1.0, 1.0) for a, b in places], "field_id string, tr bigint, tc bigint, values array<double>, intra double, mean_square double")
+    exact = sum(abs(a - c) + abs(b - d) for a, b in places for c, d in places)
+    assert exact > 2**53 and exact != int(float(exact))
+    assert [r["w"] for r in tiles.pair_totals(t, 3).collect()] == [exact]
+    moved = spark.sparkContext.accumulator(0)
+
+    def counted(work):
+        def f(part):
+            out = work(part)
+            moved.add(len(out))
+            return out
+
+        return f
+
+    for name in ("_block_sums", "_block_totals"):
+        monkeypatch.setattr(tiles, name, counted(getattr(tiles, name)))
+    monkeypatch.setattr(tiles, "TILE_BLOCK", 5)  # two blocks: three meetings
+    monkeypatch.setattr(queries.tiles, "tiles", lambda *a, **b: t)
+    row = queries.QUERIES["tile_pairs"](spark, "/root/testdata/sf0.001").first()
+    assert row["n_pairs"] == 90 and row["sum_w"] == float(exact)
+    assert moved.value <= 3
+
+
 def test_codes_beyond_four_bytes_are_kept():
     x = np.array([1e7, -3.5, 1e7 + 0.25, 0.0])
     for name in ("quant_zlib", "quant_zstd"):
