@@ -97,14 +97,15 @@ class Ranges:
         return F.when(F.col(key).isNull(), F.expr(none)).otherwise(self._searched(F.col(key), F.col(tie)))
 
     def _searched(self, key: Column, tie: Column) -> Column:
-        """The same by binary search in arrays, so that the plan stays small."""
+        """The same by a search in arrays, so that the plan stays small; a row is searched for once, for all that its segment gives."""
         s = self.segments
         whole = lambda v: F.array(*[F.lit(int(x)) for x in v]).cast("array<bigint>")
         lows, highs, parts, bases, points = whole(x.low for x in s), whole(x.high for x in s), whole(x.parts for x in s), whole(x.base for x in s), whole(x.point for x in s)
-        bounds = F.struct(F.lit(0).alias("lo"), F.lit(len(s)).alias("hi"))
-        mid = lambda b: F.shiftright(b["lo"] + b["hi"], 1)
-        step = lambda b, _: F.when(key < F.get(lows, mid(b)), F.struct(b["lo"].alias("lo"), mid(b).alias("hi"))).otherwise(F.struct(mid(b).alias("lo"), b["hi"].alias("hi")))
-        i = F.aggregate(F.sequence(F.lit(1), F.lit(len(s).bit_length())), bounds, step, lambda b: b["lo"])
-        at = lambda a: F.get(a, i)
-        share = F.when(at(points) == 1, tie.cast("double") / 18446744073709551616.0 + 0.5).otherwise((key.cast("double") - at(lows)) / (at(highs) - at(lows)))
-        return (at(bases) + F.greatest(F.lit(0), F.least(at(parts) - 1, F.floor(share * at(parts))))).cast("int")
+
+        def within(i: Column) -> Column:
+            at = lambda a: F.get(a, i)
+            share = F.when(at(points) == 1, tie.cast("double") / 18446744073709551616.0 + 0.5).otherwise((key.cast("double") - at(lows)) / (at(highs) - at(lows)))
+            return (at(bases) + F.greatest(F.lit(0), F.least(at(parts) - 1, F.floor(share * at(parts))))).cast("int")
+
+        i = F.greatest(F.lit(0), F.size(F.filter(lows, lambda low: low <= key)) - 1)
+        return F.get(F.transform(F.array(i), within), 0)

@@ -242,6 +242,12 @@ def test_dense_index_with_null_hot_and_clumped_keys(spark, monkeypatch, kind):
         arrays.dense_index(df, "g")
 
 
+def test_a_row_is_searched_for_once_among_many_segments(spark):
+    df = spark.range(4000).withColumn("t", F.xxhash64("id"))
+    plan = df.select(Ranges(df, "id", 100).bucket("id", "t").alias("b"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("filter(") + plan.count("aggregate(") == 1
+
+
 def test_blocks_of_tiles_change_no_sum(spark):
     x = np.random.default_rng(8).normal(size=(40, 30))
     t = tiles.tiles(cells(spark, x).unionByName(cells(spark, x[:8] * 2, "y")), 30, 5)
