@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from .common import discard, join_hot, materialize
 
 EDGES_PER_FILE = 500_000
+#: Edges from which on a round's shuffle files are deleted before the next.
+RELEASE_EDGES = 1_000_000
 
 
 def _state(e: DataFrame) -> tuple[int, int, int]:
@@ -40,7 +42,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     edges from a node to itself change nothing.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    e = materialize(e.coalesce(_files(edges.count())), "edges")
+    n = edges.count()
+    e = materialize(e.coalesce(_files(n)), "edges", release=n >= RELEASE_EDGES)
     before = _state(e)
     while before[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -50,7 +53,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         # Small star: u and its smaller neighbours meet the least of them.
         small = _with_least(large, 2 * before[0], before[2])
         new = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(small.select("u", F.col("m").alias("v"))).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        new = materialize(new.coalesce(_files(before[0])), "edges")
+        new = materialize(new.coalesce(_files(before[0])), "edges", release=before[0] >= RELEASE_EDGES)
         after = _state(new)
         discard(e)
         e = new

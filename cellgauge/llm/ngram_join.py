@@ -8,8 +8,12 @@ all pairs of a class.
    into m = d + 1 + spare groups, so at least spare + 1 groups are equal in both sets. Each set's
    groups, keyed by size band, group and a hash of the group's content, are dealt out; sets that
    meet under a key are candidates, and only a star of each key's sets is kept, never their pairs.
-   If a set has more than spare empty groups, its rarest-ordered prefix is dealt out as well, which
-   covers pairs of two such sets. So no link is missed, whatever the sizes.
+   spare is chosen so that few sets have more than spare empty groups; those deal out a prefix of
+   single shingles as well, which covers pairs of two such sets. So no link is missed, whatever the sizes.
+   Shingles that many sets of a run of sets share, as those of a passage, are common: they are left out
+   of the groups, which then differ in no more places, and come last in the order that prefixes are
+   taken by. Else a passage would tie a part of the corpus into one class, and what a class's blocks
+   move grows with its square. Which shingles count as common changes candidates, never links.
 2. Candidate classes: connected components of those stars, one size band at a time. A set is a node
    in its own band and in those of the smaller sets that it can link to, so sets of very different
    sizes don't share a class for a passage that they share.
@@ -18,7 +22,8 @@ all pairs of a class.
    upper bounds, or the vectors' own, are below the overlap needed. What is left is verified by
    intersection. Sets that are already in one class aren't compared again.
 4. A class larger than a block is first joined block by block, each with the same few pivots. Only
-   sets that are then still in different classes meet, in pairs of blocks.
+   sets that are then still in different classes meet, in pairs of blocks, in rounds that each move
+   a few times the sets at most.
 
 Keys that many sets of a map task share, such as those of a passage that a third of all documents
 hold, are dealt out under a key of their own for each run of sets, of which one set goes on under the
@@ -33,6 +38,7 @@ the table, whatever their names, are left out.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -52,9 +58,25 @@ PIVOTS = 64
 #: Keys that one task holds before it sends them, and sets of such a run under one key from which on they get a key of their own.
 HELD_KEYS = 200_000
 MANY = 16
+#: Shingles in a run of sets whose common ones are counted, and common shingles that are sent to the tasks at most, 8 bytes each.
+RUN_SHINGLES = 2_000_000
+COMMON = 500_000
+#: Times the sets of large classes that a round of pairs of blocks moves at most.
+ROUND = 2
 
 _K1, _K2, _K3, _K4 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 
+_NONE = np.empty(0, np.uint64)
+
+
+def _in(common: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which of h are in common, a sorted array."""
+    if not len(common):
+        return np.zeros(len(h), dtype=bool)
+    at = np.searchsorted(common, h)
+    at[at == len(common)] = 0
+    return common[at] == h
+
 
 class Plan:
     """Size bands and numbers of groups for a shingle length and a threshold num / den."""
@@ -71,7 +93,7 @@ class Plan:
 
     @lru_cache(maxsize=None)  # noqa: B019
     def band_start(self, b: int) -> int:
-        return 1 if b == 0 else max(self.band_start(b - 1) + 1, -(-self.band_start(b - 1) * 7 // 5))
+        return 1 if b == 0 else max(self.band_start(b - 1) + 1, -(-self.band_start(b - 1) * 5 // 4))
 
     def band(self, n: int) -> int:
         b = 0
@@ -82,10 +104,18 @@ class Plan:
     @lru_cache(maxsize=None)  # noqa: B019
     def groups(self, b: int) -> tuple[int, int]:
         """(m, spare) of pairs whose smaller set is in band b; m is 0 if such sets link only when equal."""
-        a = self.band_start(b + 1) - 1
+        n, a = self.band_start(b), self.band_start(b + 1) - 1
         d = (a + a * self.den // self.num) * (self.den - self.num) // (self.den + self.num)
-        spare = 2 + d // 50
-        return (d + 1 + spare, spare) if d else (0, 0)
+        if not d:
+            return 0, 0
+        least = spare = 2 + d // 50
+        while spare <= d:
+            empty = (d + 1 + spare) * math.exp(-n / (d + 1 + spare))
+            if spare > empty + 2 * math.sqrt(empty):
+                return d + 1 + spare, spare
+            spare += 1 + spare // 50
+        # A small set has about as many groups as shingles: most have empty groups whatever spare is.
+        return d + 1 + least, least
 
     @lru_cache(maxsize=4096)  # noqa: B019
     def families(self, n: int) -> tuple[int, ...]:
@@ -97,20 +127,22 @@ class Plan:
             b -= 1
         return tuple(out)
 
-    def keys(self, h: np.ndarray) -> list[tuple[int, np.ndarray]]:
-        """By band, the keys of a set under which it meets every other set that it links to."""
+    def keys(self, h: np.ndarray, common: np.ndarray = _NONE) -> list[tuple[int, np.ndarray]]:
+        """By band, the keys of a set under which it meets every other set that it links to; common: sorted, the same for all sets."""
         out = []
-        r, v = mix64(h ^ _K1), mix64(h + _K3)
+        last = _in(common, h)
+        rare = h[~last]
+        r, v = mix64(rare ^ _K1), mix64(rare + _K3)
         for b in self.families(len(h)):
             m, spare = self.groups(b)
             g = (r % np.uint64(m)).astype(np.int64)
             order = np.argsort(g, kind="stable")
             gs = g[order]
-            starts = np.flatnonzero(np.concatenate(([True], gs[1:] != gs[:-1])))
-            total = np.add.reduceat(v[order], starts)
+            starts = np.flatnonzero(np.concatenate(([True], gs[1:] != gs[:-1]))) if len(gs) else np.empty(0, np.int64)
+            total = np.add.reduceat(v[order], starts) if len(gs) else _NONE
             found = [mix64(total + gs[starts].astype(np.uint64) * _K1 + _band_salt(b))]
             if len(starts) < m - spare:
-                prefix = np.sort(r)[: len(h) - self.least_partner(len(h)) + 1]
+                prefix = np.concatenate((np.sort(r), np.sort(mix64(h[last] ^ _K1))))[: len(h) - self.least_partner(len(h)) + 1]
                 found.append(mix64((prefix ^ _K3) + _band_salt(-b - 1)))
             out.append((b, np.concatenate(found)))
         return out
@@ -253,24 +285,56 @@ def linked(plan: Plan, a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def shingle_sets(docs: DataFrame, plan: Plan, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, text_hash, n_shingles, set_id (null if the set is empty) and the set's nodes, of each row."""
+    """key, text_hash, n_shingles, set_id (null if the set is empty) and the set's nodes, of each row.
+
+    Beside them are rows with n_shingles -1, whose nodes are the common shingles of a run of sets.
+    """
 
     def digest(batches):
-        sets = ShingleSets(plan.k)
+        sets, seen, run, held = ShingleSets(plan.k), set(), [], 0
+        kind = None
         for batch in batches:
-            n, ids, nodes = [], [], []
+            n, ids, nodes, kind = [], [], [], batch.schema.field(0).type
             for h in sets(batch.column(1)):
                 i = set_id(h) if len(h) else None
                 n.append(len(h))
                 ids.append(None if i is None else int(i.view(np.int64)))
                 nodes.append([] if i is None else [node(i, b) for b in plan.families(len(h))])
-            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(nodes, pa.list_(pa.int64()))], names=["key", "text_hash", "n_shingles", "set_id", "nodes"])
+                if i is not None and i not in seen:
+                    seen.add(i)
+                    run.append(h)
+                    held += len(h)
+                    if held > RUN_SHINGLES:
+                        yield _common_of_run(run, kind)
+                        run, held = [], 0
+            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(nodes, pa.list_(pa.int64()))], names=_SET_COLUMNS)
+        if run:
+            yield _common_of_run(run, kind)
 
     return docs.select(key, text, F.xxhash64(text)).mapInArrow(digest, f"key {dict(docs.dtypes)[key]}, text_hash bigint, n_shingles bigint, set_id bigint, nodes array<bigint>")
 
 
-def _dealt_keys(docs: DataFrame, plan: Plan, text: str) -> DataFrame:
+_SET_COLUMNS = ["key", "text_hash", "n_shingles", "set_id", "nodes"]
+
+
+def _common_of_run(run: list[np.ndarray], kind: pa.DataType) -> pa.RecordBatch:
+    """A row with the shingles that MANY sets of the run have; none if there are none."""
+    shingle, count = np.unique(np.concatenate(run), return_counts=True)
+    found = as_long(shingle[count >= MANY])
+    n = int(len(found) > 0)
+    return pa.record_batch([pa.nulls(n, kind), pa.nulls(n, pa.int64()), pa.array([-1] * n, pa.int64()), pa.nulls(n, pa.int64()), pa.array([found] * n, pa.list_(pa.int64()))], names=_SET_COLUMNS)
+
+
+def _common(found: DataFrame) -> np.ndarray:
+    """The common shingles, sorted, of rows of shingle_sets(); those of most runs if they are more than COMMON."""
+    each = found.where("n_shingles = -1").select(F.explode("nodes").alias("h")).groupBy("h").agg(F.count("*").alias("n"))
+    most = each.orderBy(F.desc("n"), "h").limit(COMMON).select("h").toArrow()
+    return np.sort(most.column(0).to_numpy().astype(np.int64).view(np.uint64))
+
+
+def _dealt_keys(docs: DataFrame, plan: Plan, text: str, common: np.ndarray = _NONE) -> DataFrame:
     """key and node for each group of each set, once for equal sets of a task."""
+    sent = docs.sparkSession.sparkContext.broadcast(common)
 
     def emit(batches):
         sets, seen = ShingleSets(plan.k), set()
@@ -283,7 +347,7 @@ def _dealt_keys(docs: DataFrame, plan: Plan, text: str) -> DataFrame:
                 if i in seen:
                     continue
                 seen.add(i)
-                for band, k in plan.keys(h):
+                for band, k in plan.keys(h, sent.value):
                     keys.append(k)
                     ids.append(np.full(len(k), node(i, band)))
                     held += len(k)
@@ -313,7 +377,7 @@ def _keys_of_run(keys: list[np.ndarray], ids: list[np.ndarray]) -> pa.RecordBatc
     return pa.record_batch([pa.array(key), pa.array(node_)], names=["key", "node"])
 
 
-def candidate_stars(docs: DataFrame, plan: Plan, text: str = "text") -> DataFrame:
+def candidate_stars(docs: DataFrame, plan: Plan, text: str = "text", common: np.ndarray = _NONE) -> DataFrame:
     """Edges a, b: the least node of each key and the others. Rows come sorted, so a key of any size streams through."""
 
     def stars(batches):
@@ -331,7 +395,7 @@ def candidate_stars(docs: DataFrame, plan: Plan, text: str = "text") -> DataFram
                 pairs = np.unique(np.stack([mid[edge], i[edge]], axis=1), axis=0)
                 yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    keys = _dealt_keys(docs, plan, text)
+    keys = _dealt_keys(docs, plan, text, common)
     return keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(stars, "a bigint, b bigint").distinct()
 
 
@@ -371,7 +435,7 @@ def _share(x):
 
 def classes_of_sets(docs: DataFrame, sets: DataFrame, plan: Plan, key: str = "doc_id", text: str = "text", block_shingles: int = BLOCK_SHINGLES, block_sets: int = BLOCK_SETS) -> DataFrame:
     """set_id and label of each set that links to another; sets: the written table of shingle_sets()."""
-    stars = materialize(candidate_stars(docs, plan, text), "stars", release=True)
+    stars = materialize(candidate_stars(docs, plan, text, _common(sets)), "stars", release=True)
     found = connected_components(stars)
     discard(stars)
     # One text of each member set stands for it, found by its row's key and its own hash, since many rows may share a key or have none.
@@ -396,7 +460,7 @@ def classes_of_sets(docs: DataFrame, sets: DataFrame, plan: Plan, key: str = "do
         return _labels(links)
     # The members' texts are needed again, so they are kept; the corpus is dealt out once.
     texts = materialize(texts, "texts", release=True)
-    links = materialize(_join_blocks(texts, plan), "links")
+    links = materialize(_join_blocks(texts, plan), "links", release=True)
     links = _across_blocks(texts.where("big").select("cand", "set_id", "_text"), big, links, plan, block_shingles)
     discard(texts, members_table)
     return _labels(links)
@@ -420,15 +484,23 @@ def _across_blocks(texts: DataFrame, big: DataFrame, links: DataFrame, plan: Pla
     half = block_shingles / 2
     pure = F.col("w") > block_shingles / 4
     unit = F.when(pure, F.concat(F.lit("L"), F.col("start"), F.lit("/"), F.pmod(F.xxhash64("set_id"), F.ceil(F.col("w") / half).cast("bigint")))).otherwise(F.concat(F.lit("S"), F.pmod(F.xxhash64("start"), F.ceil(F.col("ws") / half).cast("bigint"))))
-    rows = materialize(rows.select("cand", "set_id", "start", unit.alias("unit"), F.when(pure, F.col("start")).alias("only")), "units")
+    rows = materialize(rows.select("cand", "set_id", "n", "start", unit.alias("unit"), F.when(pure, F.col("start")).alias("only")), "units")
     discard(labels)
     units = rows.groupBy("cand").agg(F.collect_set(F.struct("unit", "only")).alias("units"))
     pairs = rows.join(units, "cand").withColumn("other", F.explode("units")).where(~F.coalesce(F.col("only") == F.col("other.only"), F.lit(False)))
     block = F.concat_ws("|", F.col("cand").cast("string"), F.least("unit", "other.unit"), F.greatest("unit", "other.unit"))
-    more = _join_blocks(pairs.select("cand", "set_id", block.alias("block"), "start").join(texts, ["cand", "set_id"]), plan)
-    out = materialize(links.unionByName(more), "links")
-    discard(links, rows)
-    return out
+    pairs = pairs.select("cand", "set_id", block.alias("block"), "start", "n")
+    # Each set goes to the pairs of its unit with all others: what moves grows with the square of a class, so it moves in rounds.
+    moved, held = pairs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], big.agg(F.sum("n")).first()[0]
+    rounds = max(1, -(-moved // (ROUND * held)))
+    for k in range(rounds):
+        part = pairs.where(F.pmod(F.xxhash64("block"), F.lit(rounds)) == k).drop("n")
+        more = _join_blocks(part.join(texts, ["cand", "set_id"]), plan)
+        out = materialize(links.unionByName(more), "links", release=True)
+        discard(links)
+        links = out
+    discard(rows)
+    return links
 
 
 def _with_text(docs: DataFrame, rows: DataFrame, key: str, text: str) -> DataFrame:
@@ -442,7 +514,7 @@ def components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, key:
     plan = Plan(k, num, den)
     sets = materialize(shingle_sets(docs, plan, key, text), "sets")
     labels = classes_of_sets(docs, sets, plan, key, text, **limits)
-    rows = sets.join(labels, "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
+    rows = sets.where("n_shingles >= 0").join(labels, "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
     rows = materialize(rows, "labelled")
     discard(sets, labels)
     first = rows.where("label is not null").groupBy("label").agg(F.min("key").alias("component_id"), F.count("*").alias("_n"))

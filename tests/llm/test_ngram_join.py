@@ -58,6 +58,73 @@ def test_every_linked_pair_meets_under_a_key():
                 assert set().union(*[x.tolist() for _, x in plan.keys(a)]) & set().union(*[x.tolist() for _, x in plan.keys(b)])
 
 
+def test_linked_pairs_meet_whichever_shingles_are_common():
+    draw = np.random.default_rng(4)
+    plan = J.Plan(5, 80, 100)
+    for share in (0.02, 0.5, 1.0):
+        for _ in range(150):
+            a = np.unique(draw.integers(0, 1 << 63, int(draw.integers(2, 600))).astype(np.uint64))
+            b = np.unique(np.concatenate([a[int(draw.integers(0, max(1, len(a) // 8) + 1)) :], draw.integers(0, 1 << 63, int(draw.integers(0, max(1, len(a) // 9) + 1))).astype(np.uint64)]))
+            common = np.unique(draw.choice(np.concatenate([a, b]), int(share * len(a)) + 1))
+            common = np.unique(np.concatenate([a, b])) if share == 1 else common
+            if J.linked(plan, a, b) and J.set_id(a) != J.set_id(b):
+                assert set().union(*[x.tolist() for _, x in plan.keys(a, common)]) & set().union(*[x.tolist() for _, x in plan.keys(b, common)])
+
+
+def made(monkeypatch):
+    """Rows of each table that a run writes, by its label."""
+    out, write = {}, J.materialize
+
+    def counted(df, label, *a, **b):
+        table = write(df, label, *a, **b)
+        out.setdefault(label, []).append(table.count())
+        return table
+
+    monkeypatch.setattr(J, "materialize", counted)
+    return out
+
+
+def passage_texts(n):
+    """Texts that share a passage and are else apart; of every tenth there is a near copy, and some are little else than the passage."""
+    draw = random.Random(8)
+    passage = [f"p{i}" for i in range(60)]
+    out = []
+    for i in range(n):
+        w = [f"w{draw.randrange(100_000)}" for _ in range(draw.randrange(130, 150))]
+        out.append(w[:70] + passage + w[70:])
+        if i % 10 == 0:
+            out.append(out[-1][:-1])
+    out += [[f"y{i}", *passage, f"z{i}"] for i in range(20)] + [[f"u{i}{j}" for j in range(9)] + passage + [f"v{i}{j}" for j in range(9)] for i in range(20)]
+    return list(enumerate(" ".join(w) for w in out))
+
+
+def test_a_passage_that_all_share_ties_no_class(spark, monkeypatch):
+    """Each class's blocks move its sets' texts, so a class of all texts takes disk by the square of their number."""
+    rows = passage_texts(200)
+    want = classes(rows, 5, 80, 100)
+    sizes = made(monkeypatch)
+    assert run(spark, rows, k=5, num=80, den=100) == want
+    assert sizes["members"] == [sum(sizes["members"])] and sizes["members"][0] < 150
+
+
+def test_common_shingles_beyond_those_sent_change_nothing(spark, monkeypatch):
+    rows = passage_texts(60)
+    want = classes(rows, 5, 80, 100)
+    for run_shingles, sent in ((3_000, 20), (3_000, 0), (10**9, 10**6)):
+        monkeypatch.setattr(J, "RUN_SHINGLES", run_shingles)
+        monkeypatch.setattr(J, "COMMON", sent)
+        assert run(spark, rows, k=5, num=80, den=100) == want
+
+
+def test_pairs_of_blocks_move_in_rounds(spark, monkeypatch):
+    rows = list(enumerate(near_texts(5, 300, 80)))
+    want = classes(rows, 4, 85, 100)
+    sizes = made(monkeypatch)
+    monkeypatch.setattr(J, "MANY", 10**6)  # else all shingles are common
+    assert run(spark, rows, k=4, num=85, den=100, block_shingles=800, block_sets=20) == want
+    assert len(sizes["links"]) > 3
+
+
 @pytest.mark.parametrize("ids", ["half null", "all null", "one id"])
 def test_rows_without_an_id_or_with_one_id(spark, ids):
     rows = [({"half null": None if i % 2 else i, "all null": None, "one id": 7}[ids], t) for i, t in enumerate(near_texts(21, 160, 40) + ["", " ", "one two", "one two"])]
