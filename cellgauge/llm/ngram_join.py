@@ -442,7 +442,8 @@ def classes_of_sets(docs: DataFrame, sets: DataFrame, plan: Plan, key: str = "do
     one = F.min(F.struct(F.col("key").isNull().alias("none"), F.col("key").alias("key"), F.col("text_hash").alias("hash")))
     stand = sets.where("set_id is not null").groupBy("set_id").agg(one.alias("_one"), F.max("n_shingles").alias("n"), F.first("nodes").alias("nodes"))
     nodes = stand.select("set_id", F.col("_one.key").alias("_key"), F.col("_one.hash").alias("_hash"), "n", F.explode("nodes").alias("node"))
-    members = materialize(nodes.join(found.withColumnRenamed("label", "cand"), "node").drop("node"), "members")
+    # The keys' files may outlive stars, as long as its events wait for listeners; texts shouldn't come on top of them.
+    members = materialize(nodes.join(found.withColumnRenamed("label", "cand"), "node").drop("node"), "members", release=True)
     members_table = members
     discard(found)
     weight = members.groupBy("cand").agg(F.sum("n").alias("w"), F.count("*").alias("c"))
